@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siftwork.llm import packing, toxicity
+from siftwork.llm import embeddings, packing, toxicity
 from siftwork.session import table
 
 
@@ -13,12 +13,22 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op4_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+def op8_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.top_k(table(spark, sf_dir, "embeddings"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
     "op3_toxicity": op3_toxicity,
+    "op4_embedding_near_dedup": op4_embedding_near_dedup,
+    "op8_exact_top_k": op8_exact_top_k,
     "op9_packing": op9_packing,
 }
 
