@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siftwork.llm import embeddings, html, packing, toxicity
+from siftwork.llm import embeddings, html, jaccard, packing, toxicity
 from siftwork.session import table
 
 
@@ -17,6 +17,10 @@ def op4_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similar(table(spark, sf_dir, "documents"))
+
+
 def op8_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.top_k(table(spark, sf_dir, "embeddings"))
 
@@ -32,6 +36,7 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op3_toxicity": op3_toxicity,
     "op4_embedding_near_dedup": op4_embedding_near_dedup,
+    "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
     "op8_exact_top_k": op8_exact_top_k,
     "op9_packing": op9_packing,
     "op10_html_extraction": op10_html_extraction,
