@@ -134,7 +134,7 @@ def prefixes(docs: DataFrame, often: tuple[np.ndarray, np.ndarray], per_cent: in
 
 def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(id, n, counts, members) of the documents in wanted(id); members are the set's hashes as bytes."""
-    bits = docs.sparkSession.sparkContext.broadcast(sketch.bitmap(wanted, "id"))
+    bits = docs.sparkSession.sparkContext.broadcast(sketch.bitmap(wanted, sketch.place("id")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siftwork.llm import embeddings, html, jaccard, packing, toxicity
+from siftwork.llm import embeddings, html, jaccard, packing, suffixes, toxicity
 from siftwork.session import table
 
 
+def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.digest(table(spark, sf_dir, "documents"))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
@@ -34,6 +38,7 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_suffix_array_dedup": op2_suffix_array_dedup,
     "op3_toxicity": op3_toxicity,
     "op4_embedding_near_dedup": op4_embedding_near_dedup,
     "op5_ngram_jaccard_join": op5_ngram_jaccard_join,

@@ -18,9 +18,9 @@ def place(*keys: Column | str) -> Column:
     return F.pmod(F.xxhash64(*keys), F.lit(BITS))
 
 
-def bitmap(keys: DataFrame, *names: str) -> np.ndarray:
-    """Bits, packed in bytes, of the places of the rows' keys."""
-    at = keys.select((place(*names) + 1).alias("at"))  # bucket 1 starts at position 1
+def bitmap(keys: DataFrame, at: Column) -> np.ndarray:
+    """Bits, packed in bytes, at the places `at` of the rows."""
+    at = keys.select((at + 1).alias("at"))  # bucket 1 starts at position 1
     rows = at.groupBy(F.bitmap_bucket_number("at").alias("slot")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits")).collect()
     out = np.zeros(BITS // 8 + 1, dtype=np.uint8)
     for r in rows:
