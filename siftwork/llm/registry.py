@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siftwork.llm import embeddings, html, jaccard, packing, suffixes, toxicity
+from siftwork.llm import embeddings, html, jaccard, mixing, packing, suffixes, toxicity
 from siftwork.session import table
 
 
@@ -25,6 +25,10 @@ def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similar(table(spark, sf_dir, "documents"))
 
 
+def op7_mixing_to_target_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
 def op8_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.top_k(table(spark, sf_dir, "embeddings"))
 
@@ -42,9 +46,12 @@ QUERIES = {
     "op3_toxicity": op3_toxicity,
     "op4_embedding_near_dedup": op4_embedding_near_dedup,
     "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
+    "op7_mixing_to_target_weights": op7_mixing_to_target_weights,
     "op8_exact_top_k": op8_exact_top_k,
     "op9_packing": op9_packing,
     "op10_html_extraction": op10_html_extraction,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op7_mixing_to_target_weights": mixing.ORACLE,
+}
