@@ -2,8 +2,8 @@
 
 Every document's set is ordered rarest shingle first; two sets that are similar enough share one of their first shingles (prefix filter), so
 candidates meet under a common prefix shingle. There they are points of an R-tree of count vectors, which bounds their overlap; pairs
-that pass are verified on their whole sets. In a first round documents are only held against the first document under each
-shingle, which ties groups of copies together at a cost that is linear in their size; in a second round all other
+that pass are verified on their whole sets. In a first round a document is only held against the first document under any of its
+shingles, which ties groups of copies together at a cost that is linear in their size; in a second round all other
 pairs under a shingle are tried that don't lie in one component already. Copies (equal sets) count once.
 """
 
@@ -21,6 +21,7 @@ from siftwork.llm import sketch
 from siftwork.llm.components import components, forest
 from siftwork.llm.hashing import BACK, BYTE, STEP, chunks, mix, powers, signed
 from siftwork.llm.rtree import GROUPS, RTree, enough
+from siftwork.llm.storage import table_path
 
 WORDS = 5
 PER_CENT = 80
@@ -31,6 +32,8 @@ FREQUENT = 50_000
 LEAST_COUNT = 16
 #: Members that are verified against one document in one task.
 STAR = 256
+#: Tasks' worth of shingles in the second round; more of them only make smaller lots.
+LOTS = 4096
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[32, 9, 10, 11, 12, 13]] = True
@@ -59,7 +62,10 @@ def shingles(texts: list[str | None], k: int = WORDS) -> Iterator[np.ndarray]:
         for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
             n = b - a
             if n >= k:
-                yield np.unique(whole[a : b - k + 1])
+                found = np.sort(whole[a : b - k + 1])
+                fresh = np.ones(len(found), dtype=bool)
+                np.not_equal(found[1:], found[:-1], out=fresh[1:])
+                yield found[fresh]
             elif n:
                 yield mix((word[a:b] * turns[:n]).sum(keepdims=True) + np.array([n], dtype=np.uint64) * SHORT)
             else:
@@ -83,8 +89,10 @@ def survey(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
             sets = list(shingles(b.column(1).to_pylist()))
             k1 = np.array([(s * TURN).sum(dtype=np.uint64) for s in sets], dtype=np.uint64)
             k2 = np.array([mix(s ^ SHORT).sum(dtype=np.uint64) for s in sets], dtype=np.uint64)
-            often, seen = np.unique(np.concatenate(sets or [k1[:0]]), return_counts=True)
-            often, seen = often[seen > 1], seen[seen > 1]
+            every = np.sort(np.concatenate(sets or [k1[:0]]))
+            edge = np.nonzero(np.concatenate([[True], every[1:] != every[:-1], [True]]))[0] if len(every) else np.zeros(1, dtype=np.int64)
+            seen = np.diff(edge)
+            often, seen = every[edge[:-1][seen > 1]], seen[seen > 1]
             m = len(often)
             yield pa.RecordBatch.from_arrays(
                 [
@@ -132,50 +140,57 @@ def prefixes(docs: DataFrame, often: tuple[np.ndarray, np.ndarray], per_cent: in
     return _texts(docs.where("doc_id is not null")).mapInArrow(run, "shingle long, doc_id long")
 
 
-def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(id, n, counts, members) of the documents in wanted(id); members are the set's hashes as bytes."""
-    bits = docs.sparkSession.sparkContext.broadcast(sketch.bitmap(wanted, sketch.place("id")))
+def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(id, n, counts, text) of the documents in wanted(id), written as a table: texts compress, sets don't."""
+    spark = docs.sparkSession
+    bits = spark.sparkContext.broadcast(sketch.bitmap(wanted, sketch.place("id")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             b = b.filter(pa.array(sketch.inside(bits.value, b.column(2).to_numpy())))
-            # Few at a time: sets are larger than texts.
-            for lo in range(0, b.num_rows, 500):
-                part = b.slice(lo, 500)
-                sets = list(shingles(part.column(1).to_pylist()))
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([counts_of(s).tobytes() for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())],
-                    names=["id", "n", "counts", "members"],
-                )
+            sets = list(shingles(b.column(1).to_pylist()))
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([counts_of(s).tobytes() for s in sets], pa.binary()), b.column(1)], names=["id", "n", "counts", "text"]
+            )
 
     texts = _texts(docs.where("doc_id is not null")).withColumn("place", sketch.place("doc_id"))
-    return texts.mapInArrow(run, "id long, n long, counts binary, members binary").join(wanted.select("id"), "id", "left_semi")
+    path = table_path(spark, "texts")
+    texts.mapInArrow(run, "id long, n long, counts binary, text string").join(wanted.select("id"), "id", "left_semi").write.parquet(path)
+    return spark.read.parquet(path)
 
 
 def _counts(column: pd.Series) -> np.ndarray:
     return np.frombuffer(b"".join(column), dtype="<u2").reshape(len(column), GROUPS).astype(np.int64)
 
 
-def verified(pairs: DataFrame, sets: DataFrame, per_cent: int) -> DataFrame:
-    """(a, b) of the pairs whose sets are similar enough. One task holds a document b against up to about STAR others."""
+def verified(pairs: DataFrame, texts: DataFrame, per_cent: int) -> DataFrame:
+    """(a, b) of the pairs whose sets are similar enough. One task holds a document b against up to about STAR others at a time."""
     size = pairs.groupBy("b").agg(F.ceil(F.count("*") / F.lit(STAR)).cast("int").alias("parts"))
     spread = pairs.join(size, "b").withColumn("part", F.pmod(F.xxhash64("a"), "parts").cast("int"))
-    spokes = spread.select("b", "part", F.col("a").alias("id")).join(sets.select("id", "n", "members"), "id").withColumn("hub", F.lit(False))
-    hubs = size.select("b", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("b").alias("id")).join(sets.select("id", "n", "members"), "id").withColumn("hub", F.lit(True))
-
-    def hold(group: pd.DataFrame) -> pd.DataFrame:
-        hub = group["hub"].to_numpy()
-        out = []
-        for center in group["members"][hub]:
-            c = np.frombuffer(center, dtype=np.uint64)
-            for who, n, m in zip(group["id"][~hub], group["n"][~hub], group["members"][~hub], strict=True):
-                s = np.frombuffer(m, dtype=np.uint64)
-                at = np.minimum(np.searchsorted(c, s), len(c) - 1)
-                if int((c[at] == s).sum()) >= int(enough(n, len(c), per_cent)):
-                    out.append(who)
-        return pd.DataFrame({"a": pd.Series(out, dtype="int64"), "b": int(group["b"].iloc[0])})
+    whole = texts.select("id", "text")
+    spokes = spread.select("b", "part", F.col("a").alias("id")).join(whole, "id").withColumn("hub", F.lit(False))
+    hubs = size.select("b", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("b").alias("id")).join(whole, "id").withColumn("hub", F.lit(True))
+    dealt = spokes.unionByName(hubs)
+    # Many documents b share a task; in it each stands with its part.
+    tasks = dealt.repartition("b", "part").sortWithinPartitions("b", "part", F.desc("hub"))
 
-    return spokes.unionByName(hubs).groupBy("b", "part").applyInPandas(hold, "a long, b long")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, centers = None, []
+        for batch in batches:
+            left, right = [], []
+            for b, part, i, hub, s in zip(*(batch.column(k).to_pylist() for k in range(4)), shingles(batch.column(4).to_pylist()), strict=True):
+                if (b, part) != now:
+                    now, centers = (b, part), []
+                if hub:
+                    centers.append(s)
+                    continue
+                need = [int(enough(len(s), len(c), per_cent)) for c in centers]
+                if any(int((c[np.minimum(np.searchsorted(c, s), len(c) - 1)] == s).sum()) >= m for c, m in zip(centers, need, strict=True)):
+                    left.append(i)
+                    right.append(b)
+            yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
+
+    return tasks.select("b", "part", "id", "hub", "text").mapInArrow(run, "a long, b long")
 
 
 def _bounded(pairs: DataFrame, points: DataFrame, per_cent: int) -> DataFrame:
@@ -196,29 +211,36 @@ def _second_round(live: DataFrame, linked: DataFrame, points: DataFrame, per_cen
     """Pairs (a, b) under a common shingle, of different components, that the R-tree allows."""
     known = live.join(linked, "id", "left").withColumn("component", F.coalesce("component", "id"))
     groups = known.groupBy("shingle").agg(F.count("*").alias("size"), F.min("component").alias("low"), F.max("component").alias("high"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("s"), F.bit_xor(F.xxhash64("id", F.lit(7))).alias("x"))
-    # Under two documents only, the first round has seen the pair; shingles with the same documents need one look.
-    open_ = groups.where("size > 2 and low <> high").groupBy("size", "s", "x").agg(F.min("shingle").alias("shingle")).select("shingle", F.ceil(F.col("size") / F.lit(block)).cast("int").alias("parts"))
+    # Shingles with the same documents need one look.
+    open_ = groups.where("low <> high").groupBy("size", "s", "x").agg(F.min("shingle").alias("shingle")).select("shingle", F.ceil(F.col("size") / F.lit(block)).cast("int").alias("parts"))
     member = known.join(open_, "shingle").join(points, "id").withColumn("own", F.pmod(F.xxhash64("component"), "parts").cast("int"))
     spread = member.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     spread = spread.select("shingle", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "id", "component", "n", "counts")
+    # Groups of one block share a task; other pairs of blocks have one each.
+    dealt = spread.withColumn("lot", F.when((F.col("p") == 0) & (F.col("q") == 0), F.pmod("shingle", F.lit(LOTS))).otherwise(F.col("shingle")))
 
-    def meet(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("id", ignore_index=True)
-        own, p, q = group["own"].to_numpy(), int(group["p"].iloc[0]), int(group["q"].iloc[0])
+    def pairs_of(own, p, q, ids, comp, n, counts):
         a, b = np.nonzero(own == p)[0], np.nonzero(own == q)[0]
-        ids, comp, n, counts = group["id"].to_numpy(), group["component"].to_numpy(), group["n"].to_numpy(), _counts(group["counts"])
-        left, right = [], []
-        if len(a) and len(b) and (comp[a][0] != comp[b]).any() | (comp[b][0] != comp[a]).any():
-            tree = RTree(counts[a], n[a])
-            for j in b.tolist():
-                hit = a[tree.candidates(counts[j], int(n[j]), per_cent)]
-                hit = hit[(comp[hit] != comp[j]) & ((hit < j) if p == q else True)]
-                left.append(ids[hit])
-                right.append(np.full(len(hit), ids[j]))
-        x, y = (np.concatenate(v) if v else ids[:0] for v in (left, right))
+        if not len(a) or not len(b) or (comp[a] == comp[b[0]]).all() and (comp[b] == comp[b[0]]).all():
+            return
+        tree = RTree(counts[a], n[a])
+        for j in b.tolist():
+            hit = a[tree.candidates(counts[j], int(n[j]), per_cent)]
+            hit = hit[(comp[hit] != comp[j]) & ((hit < j) if p == q else True)]
+            if len(hit):
+                yield ids[hit], np.full(len(hit), ids[j])
+
+    def meet(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values(["shingle", "id"], ignore_index=True)
+        p, q = int(group["p"].iloc[0]), int(group["q"].iloc[0])
+        shingle, own, ids, comp, n = (group[c].to_numpy() for c in ("shingle", "own", "id", "component", "n"))
+        counts = _counts(group["counts"])
+        cut = np.nonzero(np.concatenate([[True], shingle[1:] != shingle[:-1], [True]]))[0].tolist()
+        found = [x for s, e in zip(cut[:-1], cut[1:], strict=True) for x in pairs_of(own[s:e], p, q, ids[s:e], comp[s:e], n[s:e], counts[s:e])]
+        x, y = (np.concatenate(v) for v in zip(*found, strict=True)) if found else (ids[:0], ids[:0])
         return pd.DataFrame({"a": np.maximum(x, y), "b": np.minimum(x, y)})
 
-    return spread.groupBy("shingle", "p", "q").applyInPandas(meet, "a long, b long").distinct()
+    return dealt.groupBy("lot", "p", "q").applyInPandas(meet, "a long, b long").distinct()
 
 
 def similar(docs: DataFrame, per_cent: int = PER_CENT, block: int = BLOCK) -> DataFrame:
@@ -238,14 +260,13 @@ def similar(docs: DataFrame, per_cent: int = PER_CENT, block: int = BLOCK) -> Da
     shared = rows.groupBy("shingle").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low <> high").select("shingle").checkpoint()
     live = rows.join(shared, "shingle").join(member, "doc_id").select("shingle", "id").distinct().checkpoint()
     first = live.groupBy("shingle").agg(F.min("id").alias("b"), F.max("id").alias("top")).where("b <> top").select("shingle", "b")
-    stars = live.join(first, "shingle").where("id <> b").select(F.col("id").alias("a"), "b").distinct().checkpoint()
-    active = stars.select(F.col("a").alias("id")).union(stars.select("b")).distinct()
-    sets = sets_of(docs, active).checkpoint()
-    points = sets.select("id", "n", "counts")
-    links = verified(_bounded(stars, points, per_cent), sets, per_cent).checkpoint()
-    linked = components(links)
-    more = _second_round(live, linked, points, per_cent, block).join(stars, ["a", "b"], "left_anti").checkpoint()
-    links = links.union(verified(more, sets, per_cent)).union(member.where("doc_id <> id").select("doc_id", "id")).checkpoint()
+    stars = live.join(first, "shingle").where("id <> b").groupBy(F.col("id").alias("a")).agg(F.min("b").alias("b")).checkpoint()
+    meets = live.join(first.select("shingle"), "shingle").checkpoint()
+    texts = texts_of(docs, meets.select("id").distinct())
+    points = texts.select("id", "n", "counts")
+    links = verified(_bounded(stars, points, per_cent), texts, per_cent).checkpoint()
+    more = _second_round(meets, components(links), points, per_cent, block).join(stars, ["a", "b"], "left_anti").checkpoint()
+    links = links.union(verified(more, texts, per_cent)).union(member.where("doc_id <> id").select("doc_id", "id")).checkpoint()
     final = components(links).withColumnRenamed("id", "doc_id")
     out = surveyed.select("doc_id", F.col("n").alias("n_shingles")).join(final, "doc_id", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))

@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siftwork.llm import embeddings, html, jaccard, mixing, packing, suffixes, toxicity
+from siftwork.llm import embeddings, html, jaccard, langid, licences, mixing, packing, suffixes, toxicity
 from siftwork.session import table
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "pages"), langid.fit(table(spark, sf_dir, "documents")))
+
+
 def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.digest(table(spark, sf_dir, "documents"))
 
@@ -25,6 +29,11 @@ def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similar(table(spark, sf_dir, "documents"))
 
 
+def op6_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return licences.scan(docs.select("doc_id", licences.directory_of_documents().alias("directory"), "text"))
+
+
 def op7_mixing_to_target_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -42,10 +51,12 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_language_id": op1_language_id,
     "op2_suffix_array_dedup": op2_suffix_array_dedup,
     "op3_toxicity": op3_toxicity,
     "op4_embedding_near_dedup": op4_embedding_near_dedup,
     "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
+    "op6_licence_scan": op6_licence_scan,
     "op7_mixing_to_target_weights": op7_mixing_to_target_weights,
     "op8_exact_top_k": op8_exact_top_k,
     "op9_packing": op9_packing,
@@ -53,5 +64,6 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op6_licence_scan": licences.oracle(),
     "op7_mixing_to_target_weights": mixing.ORACLE,
 }
