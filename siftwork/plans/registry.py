@@ -1,6 +1,269 @@
-"""Queries over the supplied tables, each with the SQL that checks it."""
+"""Queries over the supplied tables, each with the SQL that checks it.
+
+Models and tokenizer are the stand-ins described with their operators. Sizes are small enough that all cases occur at the scale of the tables.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from siftwork.functions.tokens import EOS, SQL_TOKEN_TABLE, SQL_WORD, chunks, n_tokens, with_bos
+from siftwork.operators import heads, packing, probes, ranking, scoring
+from siftwork.session import table
+from siftwork.sources import shards
+from siftwork.sources.storage import scratch
+
+#: Tokens in a shard of the layout queries, in one of the pointer queries (so that documents span three and more), and in a chunk.
+SHARD, SMALL_SHARD, CHUNK = 20_000, 512, 512
+BLOCK = 128
+MAX_TOKENS = 100_000
+TOP = 20.0
+#: Probes: how many, their token budget (which some tables of 60 exceed), seed.
+N_PROBES, BUDGET, SEED = 20, 1_000, "probes"
+#: Attention: vectors in a sequence, of them in the prompt, heads, per cent of heads chosen, layers that heads are counted in.
+SEQUENCE, PROMPT, HEADS, HEADS_PER_LAYER, TOP_HEADS = 50, 40, 16, 8, 20.0
+HEAD_DIM = 4
+DOCS = ("lang", "source")
+
+
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", "text", *DOCS)
+
+
+def doc_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _documents(spark, sf_dir).select("doc_id", n_tokens(F.col("text")).alias("n_text_tokens"), (n_tokens(F.col("text")) + 1).alias("n_tokens"))
+
+
+def token_prefix_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.positions(_documents(spark, sf_dir)).select("doc_id", "n_tokens", "total_tokens_seen")
+
+
+def shard_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.layout(packing.positions(_documents(spark, sf_dir)).checkpoint(), SHARD)
+
+
+def shard_doc_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = packing.positions(_documents(spark, sf_dir))
+    return placed.select("doc_id", packing.pointer(packing.ranges(SMALL_SHARD)).alias("pointer"), "total_tokens_seen")
+
+
+def _stream(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Tokens of the documents with their totals, and the pieces of the shards that they fill."""
+    docs = _documents(spark, sf_dir)
+    tokens = packing.token_table(docs).join(packing.positions(docs).drop("n_tokens"), "doc_id").checkpoint()
+    return tokens, packing.slices(tokens, SMALL_SHARD, BLOCK)
+
+
+def doc_split_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.islands(_stream(spark, sf_dir)[1], SMALL_SHARD)
+
+
+def _digest(tokens: DataFrame) -> DataFrame:
+    return tokens.select("doc_id", F.size("tokens").cast("long").alias("n_tokens"), F.md5(F.array_join("tokens", " ")).alias("tokens_md5"))
+
+
+def doc_id_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tokens, pieces = _stream(spark, sf_dir)
+    pointers = tokens.select("doc_id", packing.pointer(packing.ranges(SMALL_SHARD)).alias("pointer"))
+    return _digest(packing.resolve(pointers, pieces.withColumn("shard_name", packing.shard_name(F.col("shard"))), BLOCK))
+
+
+def shard_file_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shards written by the data source, read by it, split at their ends again."""
+    pieces = _stream(spark, sf_dir)[1]
+    path = scratch(spark, "shards")
+    shards.write(pieces.withColumn("shard", packing.shard_name(F.col("shard"))), path)
+    number = F.regexp_extract("shard", "(\\d+)$", 1).cast("long")
+    back = shards.read_with_spark(spark, f"{path}/*.bin", BLOCK).withColumn("shard", number)
+    return packing.islands(back, SMALL_SHARD)
+
+
+def chunk_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tokens = packing.token_table(_documents(spark, sf_dir))
+    each = tokens.select("doc_id", F.posexplode(chunks(F.col("tokens"), CHUNK)).alias("chunk", "t"))
+    return each.select("doc_id", "chunk", (F.col("chunk") * CHUNK).cast("long").alias("start"), (F.size("t") - 1).cast("long").alias("n_targets"), F.size(with_bos(F.col("t"))).cast("long").alias("n_input"))
+
+
+def _scores(spark: SparkSession, sf_dir: str, max_tokens: int | None = None) -> DataFrame:
+    """doc_id, lang, source, l_base, l_ref, ai_score, n_tokens, total_tokens_seen."""
+    docs = _documents(spark, sf_dir)
+    tokens = packing.token_table(docs, *DOCS)
+    placed = scoring.until(packing.positions(docs), max_tokens)
+    read = tokens if max_tokens is None else tokens.join(placed.select("doc_id"), "doc_id", "left_semi")
+    share = scoring.frequencies(tokens)
+    scored = scoring.ai_score(scoring.score(read, scoring.stand_in(share), CHUNK, DOCS))
+    return scored.join(placed, "doc_id")
+
+
+SCORE_COLUMNS = ("doc_id", "l_base", "l_ref", "ai_score", "total_tokens_seen")
+
+
+def ai_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scores(spark, sf_dir).select(*SCORE_COLUMNS)
+
+
+def ai_scores_max_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scores(spark, sf_dir, MAX_TOKENS).select(*SCORE_COLUMNS)
+
+
+def _ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The score table as a program finds it on disk: lengths come from differences again."""
+    return ranking.lengths(_scores(spark, sf_dir).drop("n_tokens", "l_base", "l_ref")).checkpoint()
+
+
+RANKED = ("doc_id", "ai_score", "tok_len")
+
+
+def rank_top20(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranking.select(_ranked(spark, sf_dir), TOP).select(*RANKED)
+
+
+def rank_bottom20(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranking.select(_ranked(spark, sf_dir), bottom=TOP).select(*RANKED)
+
+
+def rank_top20_per_domain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranking.select(_ranked(spark, sf_dir), TOP, by="lang").select("lang", *RANKED)
+
+
+def selection_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores = _ranked(spark, sf_dir)
+    return ranking.summary(ranking.select(scores, TOP), scores)
+
+
+def score_by_label(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and their summed losses by label."""
+    labelled = _scores(spark, sf_dir).join(table(spark, sf_dir, "labels"), "doc_id")
+    return labelled.groupBy("quality", "toxic").agg(F.count("*").alias("n_docs"), F.sum("l_base").alias("l_base"), F.sum("l_ref").alias("l_ref"), F.count_if(F.col("ai_score") > 0).alias("n_positive"))
+
+
+def sentence_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return probes.pool(_documents(spark, sf_dir))
+
+
+def probe_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return probes.contexts(probes.pool(_documents(spark, sf_dir)), N_PROBES, SEED)
+
+
+def probe_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return probes.prompts(probe_context(spark, sf_dir), BUDGET, SEED)
+
+
+def head_copy_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    seq = heads.sequences(table(spark, sf_dir, "embeddings"), SEQUENCE)
+    return heads.copy_recall(seq, heads.attention(seq, PROMPT, HEADS), PROMPT)
+
+
+def retrieval_heads_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return heads.best_heads(head_copy_recall(spark, sf_dir), HEADS_PER_LAYER, TOP_HEADS)
+
+
+def masked_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors stand for weight rows: 32 to a projection, three projections to a layer."""
+    rows = table(spark, sf_dir, "embeddings").select(F.expr("vec_id div 96").cast("int").alias("layer"), F.element_at(F.array(F.lit("q"), F.lit("k"), F.lit("v")), F.expr("cast(vec_id div 32 % 3 as int) + 1")).alias("proj"), F.expr("cast(vec_id % 32 as int)").alias("row_idx"), F.col("embedding").cast("array<double>").alias("w"))
+    chosen = retrieval_heads_topk(spark, sf_dir).select("layer", F.col("head_in_layer").alias("head"))
+    out = heads.masked(rows, chosen, HEAD_DIM, HEADS_PER_LAYER)
+    return out.select("layer", "proj", "row_idx", "masked", F.round(F.aggregate("w", F.lit(0.0), lambda a, x: a + x), 6).alias("w_sum"))
+
+
+def mixture_70_30(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Training mixture: the selected documents, and of the others as many as make them 70 per cent of the expected rows, by a seeded hash."""
+    scores = _ranked(spark, sf_dir)
+    chosen = ranking.select(scores, TOP).select("doc_id", F.lit("selected").alias("part"))
+    k = ranking.how_many(scores.count(), TOP)
+    rest = scores.join(chosen, "doc_id", "left_anti")
+    share = k * 30.0 / 70.0 / max(1, scores.count() - k)
+    drawn = rest.where(probes.number(probes.hashed("mixture", F.col("doc_id").cast("string"))) < int(share * (1 << 48))).select("doc_id", F.lit("random").alias("part"))
+    return chosen.unionByName(drawn)
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        doc_token_counts, token_prefix_sum, shard_layout, shard_doc_ids, doc_split_islands, doc_id_resolve, shard_file_roundtrip, chunk_table, ai_scores, ai_scores_max_tokens, rank_top20, rank_bottom20,
+        rank_top20_per_domain, selection_summary, score_by_label, sentence_pool, probe_context, probe_prompt, head_copy_recall, retrieval_heads_topk, masked_weights, mixture_70_30,
+    )
+}
+
+
+def _name(i: str) -> str:
+    return f"'fineweb_' || case when {i} = 0 then 'val' else 'train' end || '_' || lpad(cast({i} as varchar), 6, '0')"
+
+
+_T = SQL_TOKEN_TABLE
+_PARTS = f"""parts as (select doc_id, total_tokens_seen, unnest(range((total_tokens_seen - n_tokens) // {SMALL_SHARD}, (total_tokens_seen - 1) // {SMALL_SHARD} + 1)) as s, n_tokens from seen)"""
+_SCORED = f"""
+    exploded as (select doc_id, unnest(tokens) as token, generate_subscripts(tokens, 1) - 1 as pos from docs),
+    unigram as (select token, count(*) / cast((select count(*) from exploded) as double) as p from exploded group by token),
+    inputs as (select doc_id, pos // {CHUNK} as chunk, pos, token, true as target from exploded where pos > 0 and pos % {CHUNK} <> 0
+        union all select doc_id, pos // {CHUNK} - 1, pos, token, true from exploded where pos > 0 and pos % {CHUNK} = 0
+        union all select doc_id, pos // {CHUNK}, pos, token, false from exploded e where pos % {CHUNK} = 0 and pos < (select n_tokens - 1 from counted c where c.doc_id = e.doc_id)),
+    ordered as (select *, row_number() over (partition by doc_id, chunk order by pos) as before, row_number() over (partition by doc_id, chunk, token order by pos) - 1 as same from inputs),
+    loss as (select doc_id, cast(floor(-ln(0.5::double * (same / cast(before as double)) + 0.5::double * p) * 1000000 + 0.5) as bigint) as b, cast(floor(-ln(p) * 1000000 + 0.5) as bigint) as r
+        from ordered join unigram using (token) where target),
+    per_doc as (select doc_id, cast(sum(b) as bigint) as l_base, cast(sum(r) as bigint) as l_ref from loss group by doc_id),
+    scores as (select doc_id, lang, source, n_tokens, total_tokens_seen, coalesce(l_base, 0) as l_base, coalesce(l_ref, 0) as l_ref,
+        round((coalesce(l_ref, 0) / 1e6::double - coalesce(l_base, 0) / 1e6::double) / greatest(coalesce(l_base, 0) / 1e6::double, 1e-12::double), 6) as ai_score from seen left join per_doc using (doc_id))"""
+_S = f"{_T}, {_SCORED}"
+_TOP = f"ceil((select count(*) from scores) * {TOP}::double / 100)"
+_TOP_ROWS = f"select *, n_tokens as tok_len from scores qualify row_number() over (order by ai_score desc, total_tokens_seen) <= {_TOP}"
+_SENTENCES = f"""
+    cut as (select doc_id, string_split(regexp_replace(coalesce(text, ''), '([.!?])[ \\t\\n\\r]+', '\\1' || chr(30), 'g'), chr(30)) as parts from documents),
+    each as (select doc_id, unnest(parts) as raw, generate_subscripts(parts, 1) - 1 as sent_no from cut),
+    trimmed as (select doc_id, cast(sent_no as integer) as sent_no, regexp_replace(raw, '^[ \\t\\n\\r]+|[ \\t\\n\\r]+$', '', 'g') as sentence from each),
+    pool as (select *, cast(len(regexp_extract_all(sentence, '{SQL_WORD}')) as bigint) as n_tok from trimmed where len(regexp_extract_all(sentence, '{SQL_WORD}')) between {probes.LEAST} and {probes.MOST})"""
+_CONTEXT = f"""{_SENTENCES},
+    known as (select *, row_number() over (order by doc_id, sent_no) - 1 as sent_id from pool),
+    draws as (select p.probe_id, i.i, ('0x' || substr(md5('{SEED}:draw:' || p.probe_id || ':' || i.i), 1, 12))::bigint % (select count(*) from known) as sent_id from range({N_PROBES}) p(probe_id), range({probes.DRAWS}) i(i)),
+    firsts as (select probe_id, sent_id, row_number() over (partition by probe_id order by min(i)) - 1 as pos from draws group by probe_id, sent_id),
+    context as (select cast(probe_id as integer) as probe_id, cast(pos as integer) as pos, md5('{SEED}:key:' || probe_id || ':' || pos) as key, sentence from firsts join known using (sent_id) where pos < {probes.SIZES[0]})"""
+_ATTENTION = f"""
+    seq as (select vec_id // {SEQUENCE} as probe_id, vec_id % {SEQUENCE} as pos, label as token, embedding as v from embeddings),
+    can as (select * from seq a where pos >= {PROMPT} and exists (select 1 from seq b where b.probe_id = a.probe_id and b.pos < {PROMPT} and b.token = a.token)),
+    sims as (select h.head, a.probe_id, a.pos, a.token, b.pos as spot, b.token as other,
+        a.v[4 * h.head + 1]::double * b.v[4 * h.head + 1] + a.v[4 * h.head + 2]::double * b.v[4 * h.head + 2] + a.v[4 * h.head + 3]::double * b.v[4 * h.head + 3] + a.v[4 * h.head + 4]::double * b.v[4 * h.head + 4] as s
+        from can a join seq b on a.probe_id = b.probe_id and b.pos < {PROMPT} cross join range({HEADS}) h(head)),
+    picked as (select * from sims qualify row_number() over (partition by head, probe_id, pos order by s desc, spot) = 1),
+    recall as (select cast(head as integer) as head, count(*) filter (where token = other) as hits, count(*) as attempts, round(count(*) filter (where token = other) / (count(*) + 1e-12::double), 6) as recall from picked group by head),
+    best as (select row_number() over (order by recall desc, head) as rank, head, recall from recall),
+    heads as (select cast(rank as integer) as rank, cast(head // {HEADS_PER_LAYER} as integer) as layer, cast(head % {HEADS_PER_LAYER} as integer) as head_in_layer, recall from best where rank <= ceil((select count(*) from recall) * {TOP_HEADS}::double / 100))"""
+
+ORACLES = {
+    "doc_token_counts": f"with {_T} select doc_id, cast(n_tokens - 1 as bigint) as n_text_tokens, cast(n_tokens as bigint) as n_tokens from counted",
+    "token_prefix_sum": f"with {_T} select doc_id, cast(n_tokens as bigint) as n_tokens, total_tokens_seen from seen",
+    "shard_layout": f"""with {_T}, total as (select max(total_tokens_seen) as t from seen), s as (select unnest(range(0, (t - 1) // {SHARD} + 1)) as shard_index, t from total),
+        d as (select (total_tokens_seen - n_tokens) // {SHARD} as shard_index, count(*) as n from seen group by 1)
+        select shard_index, {_name("shard_index")} as shard_name, cast(least({SHARD}, t - shard_index * {SHARD}) as bigint) as n_tokens, coalesce(n, 0) as n_docs_started from s left join d using (shard_index)""",
+    "shard_doc_ids": f"""with {_T}, {_PARTS} select doc_id, string_agg({_name("s")} || ':' || greatest(total_tokens_seen - n_tokens - s * {SMALL_SHARD}, 0) || '-' || least(total_tokens_seen - 1 - s * {SMALL_SHARD}, {SMALL_SHARD} - 1), '{packing.DASH}' order by s) as pointer, total_tokens_seen from parts group by doc_id, total_tokens_seen""",
+    "doc_split_islands": f"""with {_T}, stream as (select token, row_number() over (order by doc_id, pos) - 1 as g from (select doc_id, unnest(tokens) as token, generate_subscripts(tokens, 1) as pos from docs)),
+        marked as (select g, coalesce(sum(case when token = {EOS} then 1 else 0 end) over (order by g rows between unbounded preceding and 1 preceding), 0) as island from stream)
+        select min(g) as doc_start, max(g) as doc_end, count(*) as n_tokens, max(g) + 1 as total_tokens_seen from marked group by island""",
+    "doc_id_resolve": f"with {_T} select doc_id, cast(n_tokens as bigint) as n_tokens, md5(array_to_string(tokens, ' ')) as tokens_md5 from counted",
+    "chunk_table": f"""with {_T}, c as (select doc_id, n_tokens, unnest(range(0, n_tokens - 1, {CHUNK})) as start from counted where n_tokens >= 2)
+        select doc_id, cast(start // {CHUNK} as integer) as chunk, start, cast(least({CHUNK}, n_tokens - 1 - start) as bigint) as n_targets, cast(least({CHUNK}, n_tokens - 1 - start) + 2 as bigint) as n_input from c""",
+    "ai_scores": f"with {_S} select doc_id, l_base, l_ref, ai_score, total_tokens_seen from scores",
+    "ai_scores_max_tokens": f"with {_S} select doc_id, l_base, l_ref, ai_score, total_tokens_seen from scores where total_tokens_seen - n_tokens < {MAX_TOKENS} or total_tokens_seen = n_tokens",
+    "rank_top20": f"with {_S} select doc_id, ai_score, cast(tok_len as bigint) as tok_len from ({_TOP_ROWS})",
+    "rank_bottom20": f"with {_S} select doc_id, ai_score, cast(n_tokens as bigint) as tok_len from scores qualify row_number() over (order by ai_score, total_tokens_seen) <= {_TOP}",
+    "rank_top20_per_domain": f"with {_S} select lang, doc_id, ai_score, cast(n_tokens as bigint) as tok_len from scores qualify row_number() over (partition by lang order by ai_score desc, total_tokens_seen) <= ceil(count(*) over (partition by lang) * {TOP}::double / 100)",
+    "selection_summary": f"with {_S} select count(*) as n_selected, cast(coalesce(sum(tok_len), 0) as bigint) as selected_tokens, (select max(total_tokens_seen) from scores) as total_tokens, round(sum(tok_len) * 100.0::double / (select max(total_tokens_seen) from scores), 6) as token_pct from ({_TOP_ROWS})",
+    "score_by_label": f"with {_S} select quality, toxic, count(*) as n_docs, cast(sum(l_base) as bigint) as l_base, cast(sum(l_ref) as bigint) as l_ref, count(*) filter (where ai_score > 0) as n_positive from scores join labels using (doc_id) group by quality, toxic",
+    "sentence_pool": f"with {_SENTENCES} select doc_id, sent_no, sentence, n_tok from pool",
+    "probe_context": f"with {_CONTEXT} select probe_id, pos, key, sentence from context",
+    "probe_prompt": f"""with {_CONTEXT},
+        tried as (select c.*, k.k, row_number() over (partition by c.probe_id, k.k order by md5('{SEED}:ask:' || c.probe_id || ':' || k.k || ':' || c.pos)) as ask from context c, (values {", ".join(f"({k})" for k in probes.SIZES)}) k(k) where c.pos < k.k),
+        made as (select probe_id, k, '{probes.INSTRUCTION.rstrip(chr(10))}' || chr(10) || '{{' || string_agg(cast(to_json(key) as varchar) || ': ' || cast(to_json(sentence) as varchar), ', ' order by pos) || '}}' || chr(10) || chr(10)
+            || string_agg(key || chr(10) || sentence || chr(10), '' order by ask) filter (where ask <= 3) || max(key) filter (where ask = 4) || chr(10) || 'answer:' as prompt, max(sentence) filter (where ask = 4) as answer
+            from tried group by probe_id, k having count(*) = k)
+        select probe_id, cast(k as integer) as k, prompt, answer from made where len(regexp_extract_all(prompt, '{SQL_WORD}')) + 1 <= {BUDGET} qualify row_number() over (partition by probe_id order by k desc) = 1""",
+    "head_copy_recall": f"with {_ATTENTION} select head, hits, attempts, recall from recall",
+    "retrieval_heads_topk": f"with {_ATTENTION} select rank, layer, head_in_layer, recall from heads",
+    "masked_weights": f"""with {_ATTENTION}, rows_ as (select cast(vec_id // 96 as integer) as layer, ['q', 'k', 'v'][(vec_id // 32) % 3 + 1] as proj, cast(vec_id % 32 as integer) as row_idx, embedding as w from embeddings)
+        select r.layer, proj, row_idx, h.layer is not null as masked, case when h.layer is null then round(list_reduce(list_transform(w, lambda x: x::double), lambda a, x: a + x), 6) else 0.0::double end as w_sum
+        from rows_ r left join heads h on h.layer = r.layer and h.head_in_layer = row_idx // {HEAD_DIM}""",
+    "mixture_70_30": f"""with {_S}, top as ({_TOP_ROWS}), n as (select count(*) as n, {_TOP} as k from scores)
+        select doc_id, 'selected' as part from top union all select doc_id, 'random' from scores, n where doc_id not in (select doc_id from top)
+        and ('0x' || substr(md5('mixture:' || doc_id), 1, 12))::bigint < floor(k * 30.0::double / 70.0::double / greatest(1, n - k) * 281474976710656)""",
+}
+ORACLES["shard_file_roundtrip"] = ORACLES["doc_split_islands"]
