@@ -8,6 +8,8 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Rows that go to a Python worker at a time, where the session doesn't say otherwise: rows of documents are long.
+ARROW_ROWS = "1000"
 ROOT = str(Path(__file__).resolve().parent.parent)
 
 
@@ -16,10 +18,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Lets Python workers import this package and gives the session a checkpoint folder.
+    """Lets Python workers import this package, gives the session a checkpoint folder, and makes Arrow batches small.
 
-    A folder named in spark.checkpoint.dir is kept; one of our own is made only where there is none.
+    A folder named in spark.checkpoint.dir is kept; one of our own is made only where there is none. A batch size that is set is kept too.
     """
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":  # Spark's own
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
     sc = spark.sparkContext
     known = sc.environment.get("PYTHONPATH", "")
     if ROOT not in known.split(os.pathsep):
