@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from siftwork.llm import jaccard, mixing, packing, suffixes, toxicity
 from siftwork.llm.storage import table_path
-from siftwork.session import table
+from siftwork.session import prepare, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -18,24 +18,29 @@ def _documents(rows: DataFrame) -> DataFrame:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    prepare(spark)
     chain = toxicity.fit(docs, table(spark, sf_dir, "labels"))
     return toxicity.score(docs, chain, keep=True).select(*COLUMNS)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    prepare(spark)
     return jaccard.one_of_each(docs).select(*COLUMNS)
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    prepare(spark)
     return _documents(suffixes.strip(docs))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Small sources occur up to twice; every document occurs."""
+    prepare(spark)
     return mixing.mixture(docs).select(*COLUMNS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    prepare(spark)
     return packing.pack_documents(docs)
 
 
@@ -53,7 +58,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; what a stage returns is written as Parquet and read again for the next."""
-    docs = table(spark, sf_dir, "documents")
+    docs = table(prepare(spark), sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         path = table_path(spark, name)
         stage(spark, docs, sf_dir).write.parquet(path)

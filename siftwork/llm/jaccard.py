@@ -9,7 +9,7 @@ pairs under a shingle are tried that don't lie in one component already. Copies
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -18,10 +18,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftwork.llm import sketch
+from siftwork.llm.batches import portions
 from siftwork.llm.components import components, forest
 from siftwork.llm.hashing import BACK, BYTE, STEP, chunks, mix, powers, signed
-from siftwork.llm.rtree import GROUPS, RTree, enough
-from siftwork.llm.storage import table_path
+from siftwork.llm.rtree import Index, count_vector, decoded, enough, overlap_bound
+from siftwork.llm.storage import Scratch
 
 WORDS = 5
 PER_CENT = 80
@@ -72,11 +73,6 @@ def shingles(texts: list[str | None], k: int = WORDS) -> Iterator[np.ndarray]:
                 yield word[:0]
 
 
-def counts_of(s: np.ndarray) -> np.ndarray:
-    # High bits choose the group: low ones order the prefix.
-    return np.minimum(np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=GROUPS), 65_535).astype("<u2")
-
-
 def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
@@ -85,7 +81,7 @@ def survey(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(doc_id, n, k1, k2) of every row, k1 and k2 a fingerprint of its set; (shingle, seen) with the counts of those that occur repeatedly in a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in portions(batches, 2500, 16 << 20):
             sets = list(shingles(b.column(1).to_pylist()))
             k1 = np.array([(s * TURN).sum(dtype=np.uint64) for s in sets], dtype=np.uint64)
             k2 = np.array([mix(s ^ SHORT).sum(dtype=np.uint64) for s in sets], dtype=np.uint64)
@@ -122,7 +118,7 @@ def prefixes(docs: DataFrame, often: tuple[np.ndarray, np.ndarray], per_cent: in
     key, heat = often
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in portions(batches):
             found, sizes = [], []
             for s in shingles(b.column(1).to_pylist()):
                 n = len(s)
@@ -140,43 +136,46 @@ def prefixes(docs: DataFrame, often: tuple[np.ndarray, np.ndarray], per_cent: in
     return _texts(docs.where("doc_id is not null")).mapInArrow(run, "shingle long, doc_id long")
 
 
-def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(id, n, counts, text) of the documents in wanted(id), written as a table: texts compress, sets don't."""
-    spark = docs.sparkSession
-    bits = spark.sparkContext.broadcast(sketch.bitmap(wanted, sketch.place("id")))
+def _passing(docs: DataFrame, wanted: DataFrame, made: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
+    """made(doc_id, text) of the documents in wanted(id), and of few others."""
+    bits = docs.sparkSession.sparkContext.broadcast(sketch.bitmap(wanted, sketch.place("id")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            b = b.filter(pa.array(sketch.inside(bits.value, b.column(2).to_numpy())))
-            sets = list(shingles(b.column(1).to_pylist()))
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([counts_of(s).tobytes() for s in sets], pa.binary()), b.column(1)], names=["id", "n", "counts", "text"]
-            )
+        for b in portions(batches):
+            yield made(b.filter(pa.array(sketch.inside(bits.value, b.column(2).to_numpy()))).select([0, 1]))
+
+    return _texts(docs.where("doc_id is not null")).withColumn("place", sketch.place("doc_id")).mapInArrow(run, schema)
 
-    texts = _texts(docs.where("doc_id is not null")).withColumn("place", sketch.place("doc_id"))
-    path = table_path(spark, "texts")
-    texts.mapInArrow(run, "id long, n long, counts binary, text string").join(wanted.select("id"), "id", "left_semi").write.parquet(path)
-    return spark.read.parquet(path)
 
+def points_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(id, n, counts): the count vectors of the documents in wanted(id), and of few others."""
 
-def _counts(column: pd.Series) -> np.ndarray:
-    return np.frombuffer(b"".join(column), dtype="<u2").reshape(len(column), GROUPS).astype(np.int64)
+    def made(b: pa.RecordBatch) -> pa.RecordBatch:
+        sets = list(shingles(b.column(1).to_pylist()))
+        return pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([count_vector(s).tobytes() for s in sets], pa.binary())], names=["id", "n", "counts"])
+
+    return _passing(docs, wanted, made, "id long, n long, counts binary").where("n > 0")
+
+
+def texts_of(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(id, text) of the documents in pairs(a, b), and of few others."""
+    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b"))
+    return _passing(docs, wanted, lambda b: b.rename_columns(["id", "text"]), "id long, text string")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, per_cent: int) -> DataFrame:
     """(a, b) of the pairs whose sets are similar enough. One task holds a document b against up to about STAR others at a time."""
     size = pairs.groupBy("b").agg(F.ceil(F.count("*") / F.lit(STAR)).cast("int").alias("parts"))
     spread = pairs.join(size, "b").withColumn("part", F.pmod(F.xxhash64("a"), "parts").cast("int"))
-    whole = texts.select("id", "text")
-    spokes = spread.select("b", "part", F.col("a").alias("id")).join(whole, "id").withColumn("hub", F.lit(False))
-    hubs = size.select("b", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("b").alias("id")).join(whole, "id").withColumn("hub", F.lit(True))
+    spokes = spread.select("b", "part", F.col("a").alias("id")).join(texts, "id").withColumn("hub", F.lit(False))
+    hubs = size.select("b", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("b").alias("id")).join(texts, "id").withColumn("hub", F.lit(True))
     dealt = spokes.unionByName(hubs)
     # Many documents b share a task; in it each stands with its part.
     tasks = dealt.repartition("b", "part").sortWithinPartitions("b", "part", F.desc("hub"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, centers = None, []
-        for batch in batches:
+        for batch in portions(batches):
             left, right = [], []
             for b, part, i, hub, s in zip(*(batch.column(k).to_pylist() for k in range(4)), shingles(batch.column(4).to_pylist()), strict=True):
                 if (b, part) != now:
@@ -193,6 +192,10 @@ def verified(pairs: DataFrame, texts: DataFrame, per_cent: int) -> DataFrame:
     return tasks.select("b", "part", "id", "hub", "text").mapInArrow(run, "a long, b long")
 
 
+def _counts(column: pd.Series, n: pd.Series) -> list[np.ndarray]:
+    return [decoded(c, k) for c, k in zip(column, n.tolist(), strict=True)]
+
+
 def _bounded(pairs: DataFrame, points: DataFrame, per_cent: int) -> DataFrame:
     """The pairs (a, b) that sizes and count vectors allow."""
     p = points.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("counts").alias("ca"))
@@ -200,43 +203,57 @@ def _bounded(pairs: DataFrame, points: DataFrame, per_cent: int) -> DataFrame:
 
     @F.pandas_udf("boolean")
     def allowed(na: pd.Series, ca: pd.Series, nb: pd.Series, cb: pd.Series) -> pd.Series:
-        n, m = na.to_numpy(), nb.to_numpy()
-        return pd.Series(np.minimum(_counts(ca), _counts(cb)).sum(axis=1) >= enough(n, m, per_cent))
+        need = enough(na.to_numpy(), nb.to_numpy(), per_cent).tolist()
+        return pd.Series([overlap_bound(x, y) >= k for x, y, k in zip(_counts(ca, na), _counts(cb, nb), need, strict=True)], dtype=bool)
 
     fits = (100 * F.col("na") >= per_cent * F.col("nb")) & (100 * F.col("nb") >= per_cent * F.col("na"))
     return pairs.join(p, "a").join(q, "b").where(fits).where(allowed("na", "ca", "nb", "cb")).select("a", "b")
 
 
-def _second_round(live: DataFrame, linked: DataFrame, points: DataFrame, per_cent: int, block: int) -> DataFrame:
+def _second_round(live: DataFrame, linked: DataFrame, stars: DataFrame, points: DataFrame, per_cent: int, block: int) -> DataFrame:
     """Pairs (a, b) under a common shingle, of different components, that the R-tree allows."""
     known = live.join(linked, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    groups = known.groupBy("shingle").agg(F.count("*").alias("size"), F.min("component").alias("low"), F.max("component").alias("high"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("s"), F.bit_xor(F.xxhash64("id", F.lit(7))).alias("x"))
-    # Shingles with the same documents need one look.
-    open_ = groups.where("low <> high").groupBy("size", "s", "x").agg(F.min("shingle").alias("shingle")).select("shingle", F.ceil(F.col("size") / F.lit(block)).cast("int").alias("parts"))
-    member = known.join(open_, "shingle").join(points, "id").withColumn("own", F.pmod(F.xxhash64("component"), "parts").cast("int"))
-    spread = member.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    spread = spread.select("shingle", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "id", "component", "n", "counts")
-    # Groups of one block share a task; other pairs of blocks have one each.
-    dealt = spread.withColumn("lot", F.when((F.col("p") == 0) & (F.col("q") == 0), F.pmod("shingle", F.lit(LOTS))).otherwise(F.col("shingle")))
-
-    def pairs_of(own, p, q, ids, comp, n, counts):
-        a, b = np.nonzero(own == p)[0], np.nonzero(own == q)[0]
-        if not len(a) or not len(b) or (comp[a] == comp[b[0]]).all() and (comp[b] == comp[b[0]]).all():
+    groups = known.groupBy("shingle").agg(F.count("*").alias("size"), F.min("id").alias("b"), F.max("id").alias("a"), F.min("component").alias("low"), F.max("component").alias("high"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("s"), F.bit_xor(F.xxhash64("id", F.lit(7))).alias("x"))
+    # Shingles with the same documents need one look, and a pair that the first round has seen none.
+    seen = stars.withColumn("size", F.lit(2).cast("long"))
+    open_ = groups.where("low <> high").join(seen, ["size", "a", "b"], "left_anti").groupBy("size", "s", "x").agg(F.min("shingle").alias("shingle")).select("shingle")
+    member = known.join(open_, "shingle").select("shingle", "id", "component").checkpoint()
+    # Units of about `block` members: small components of a group share some, a large one has its own. Two units of one large component never meet.
+    inside = member.groupBy("shingle", "component").agg(F.count("*").alias("size"))
+    small = inside.where(F.col("size") <= block).groupBy("shingle").agg(F.ceil(F.sum("size") / F.lit(block)).cast("long").alias("shared"))
+    own = F.when(F.col("size") > block, F.xxhash64("component", F.pmod(F.xxhash64("id"), F.ceil(F.col("size") / F.lit(block))))).otherwise(F.pmod(F.xxhash64("component"), F.coalesce("shared", F.lit(1).cast("long"))))
+    member = member.join(inside, ["shingle", "component"]).join(small, "shingle", "left").withColumn("unit", own).withColumn("large", F.when(F.col("size") > block, F.col("component"))).drop("size", "shared").checkpoint()
+    units = member.select("shingle", "unit", "large").distinct()
+    p = units.select("shingle", F.col("unit").alias("p"), F.col("large").alias("lp"))
+    q = units.select("shingle", F.col("unit").alias("q"), F.col("large").alias("lq"))
+    meets = p.join(q, "shingle").where("lp is null and lq is null and p <= q or lp is not null and lq is null or lp < lq").select("shingle", "p", "q", "lp")
+    near = member.select("shingle", "unit", "id", "component").join(points, "id")
+    first = near.join(meets.select("shingle", F.col("p").alias("unit"), "p", "q", F.col("lp").isNotNull().alias("alone")), ["shingle", "unit"]).withColumn("own", F.lit(0))
+    second = near.join(meets.where("p <> q or lp is not null").select("shingle", F.col("q").alias("unit"), "p", "q", F.col("lp").isNotNull().alias("alone")), ["shingle", "unit"]).withColumn("own", F.lit(1))
+    spread = first.unionByName(second)
+    # Groups of one unit share a task; other pairs of units have one each.
+    one = (F.col("p") == F.col("q")) & ~F.col("alone") & (F.col("p") == 0)
+    dealt = spread.withColumn("lot", F.when(one, F.pmod("shingle", F.lit(LOTS))).otherwise(F.col("shingle")))
+
+    def pairs_of(own, ids, comp, n, counts):
+        a, b = np.nonzero(own == 0)[0], np.nonzero(own == 1)[0]
+        same = not len(b)
+        b = a if same else b
+        if not len(a) or (comp[a] == comp[b[0]]).all() and (comp[b] == comp[b[0]]).all():
             return
-        tree = RTree(counts[a], n[a])
+        index = Index([counts[i] for i in a.tolist()], n[a])
         for j in b.tolist():
-            hit = a[tree.candidates(counts[j], int(n[j]), per_cent)]
-            hit = hit[(comp[hit] != comp[j]) & ((hit < j) if p == q else True)]
+            hit = a[index.candidates(counts[j], int(n[j]), per_cent)]
+            hit = hit[(comp[hit] != comp[j]) & ((hit < j) if same else True)]
             if len(hit):
                 yield ids[hit], np.full(len(hit), ids[j])
 
     def meet(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["shingle", "id"], ignore_index=True)
-        p, q = int(group["p"].iloc[0]), int(group["q"].iloc[0])
         shingle, own, ids, comp, n = (group[c].to_numpy() for c in ("shingle", "own", "id", "component", "n"))
-        counts = _counts(group["counts"])
+        counts = _counts(group["counts"], group["n"])
         cut = np.nonzero(np.concatenate([[True], shingle[1:] != shingle[:-1], [True]]))[0].tolist()
-        found = [x for s, e in zip(cut[:-1], cut[1:], strict=True) for x in pairs_of(own[s:e], p, q, ids[s:e], comp[s:e], n[s:e], counts[s:e])]
+        found = [x for s, e in zip(cut[:-1], cut[1:], strict=True) for x in pairs_of(own[s:e], ids[s:e], comp[s:e], n[s:e], counts[s:e])]
         x, y = (np.concatenate(v) for v in zip(*found, strict=True)) if found else (ids[:0], ids[:0])
         return pd.DataFrame({"a": np.maximum(x, y), "b": np.minimum(x, y)})
 
@@ -252,21 +269,35 @@ def similar(docs: DataFrame, per_cent: int = PER_CENT, block: int = BLOCK) -> Da
     share a component; a row without doc_id links with nothing and has a null component. Other columns are ignored; an empty
     table gives no rows.
     """
+    scratch = Scratch(docs.sparkSession)
     surveyed, often = survey(docs)
     named = surveyed.where("doc_id is not null and n > 0")
     classes = named.groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("id"))
-    member = named.join(classes, ["n", "k1", "k2"]).select("doc_id", "id").distinct().checkpoint()
+    member = named.join(classes, ["n", "k1", "k2"]).select("doc_id", "id", "n").distinct().checkpoint()
     rows = prefixes(docs, _frequent(often), per_cent)
-    shared = rows.groupBy("shingle").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low <> high").select("shingle").checkpoint()
-    live = rows.join(shared, "shingle").join(member, "doc_id").select("shingle", "id").distinct().checkpoint()
-    first = live.groupBy("shingle").agg(F.min("id").alias("b"), F.max("id").alias("top")).where("b <> top").select("shingle", "b")
-    stars = live.join(first, "shingle").where("id <> b").groupBy(F.col("id").alias("a")).agg(F.min("b").alias("b")).checkpoint()
-    meets = live.join(first.select("shingle"), "shingle").checkpoint()
-    texts = texts_of(docs, meets.select("id").distinct())
-    points = texts.select("id", "n", "counts")
-    links = verified(_bounded(stars, points, per_cent), texts, per_cent).checkpoint()
-    more = _second_round(meets, components(links), points, per_cent, block).join(stars, ["a", "b"], "left_anti").checkpoint()
-    links = links.union(verified(more, texts, per_cent)).union(member.where("doc_id <> id").select("doc_id", "id")).checkpoint()
+    shared = scratch.keep(rows.groupBy("shingle").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low <> high").select("shingle"), "shared")
+    scratch.tidy()
+    live = scratch.keep(rows.join(shared, "shingle").join(member, "doc_id").select("shingle", "id", "n").distinct(), "live")
+    scratch.tidy()
+    several = live.groupBy("shingle").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low <> high").select("shingle")
+    # Similar sets have sizes in one class or in neighbours, so a document stands in its own class and in the next.
+    size = F.floor(F.log("n") / F.log(F.lit(101.0 / per_cent)))
+    classed = F.explode(F.array(F.xxhash64("shingle", size), F.xxhash64("shingle", size + 1)))
+    alike = scratch.keep(live.join(several, "shingle").select(classed.alias("shingle"), "id"), "alike")
+    first = alike.groupBy("shingle").agg(F.min("id").alias("b"), F.max("id").alias("top")).where("b <> top").select("shingle", "b")
+    meets = scratch.keep(alike.join(first, "shingle"), "meets")
+    stars = meets.where("id <> b").groupBy(F.col("id").alias("a")).agg(F.min("b").alias("b")).checkpoint()
+    meets = meets.select("shingle", "id")
+    scratch.tidy()
+    points = scratch.keep(points_of(docs, meets.select("id")), "points")
+    scratch.tidy()
+    allowed = scratch.keep(_bounded(stars, points, per_cent), "allowed")
+    links = verified(allowed, texts_of(docs, allowed), per_cent).checkpoint()
+    scratch.tidy()
+    more = scratch.keep(_second_round(meets, components(links), stars, points, per_cent, block).join(stars, ["a", "b"], "left_anti"), "more")
+    scratch.tidy()
+    links = links.union(verified(more, texts_of(docs, more), per_cent)).union(member.where("doc_id <> id").select("doc_id", "id")).checkpoint()
+    scratch.clear()
     final = components(links).withColumnRenamed("id", "doc_id")
     out = surveyed.select("doc_id", F.col("n").alias("n_shingles")).join(final, "doc_id", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))

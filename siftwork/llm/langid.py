@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftwork.llm import html
+from siftwork.llm.batches import portions
 
 DIM = 1 << 15
 #: Labelled documents that the text model is fitted on, at most: those with the smallest hash of their id.
@@ -64,7 +65,8 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarray]:
         for b in batches:
             for lang, text in zip(b["lang"], b["text"], strict=True):
                 total[lang] = total.get(lang, 0) + grams(text)
-        yield pd.DataFrame({"lang": list(total), "counts": [c.tobytes() for c in total.values()]}, columns=["lang", "counts"])
+        if total:
+            yield pd.DataFrame({"lang": list(total), "counts": [c.tobytes() for c in total.values()]})
 
     rows = chosen.repartition(8).mapInPandas(run, "lang string, counts binary").collect()
     total: dict[str, np.ndarray] = {}
@@ -97,7 +99,7 @@ def identify(pages: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame
     weights = html.model()
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in portions(batches):
             declared, likely = [], []
             for page in b.column(2).to_pylist():
                 page = page or ""

@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siftwork.llm.batches import portions
+
 SIZE = 2048
 #: A bin with at most this many free places is final.
 SLACK = 8
@@ -63,7 +65,7 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, size: int = SIZE) -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer).encode_ordinary
-        for batch in batches:
+        for batch in portions(batches):
             out: list[list] = [[], [], [], [], []]
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 ids = np.array([*encode(text.as_py() or ""), END], dtype="<u4")

@@ -8,8 +8,37 @@ from __future__ import annotations
 
 import numpy as np
 
-GROUPS = 64
+#: Hash groups: about a quarter of the set's size, within these bounds; powers of two, so that finer counts fold into coarser ones.
+LEAST_GROUPS, MOST_GROUPS = 64, 8192
 FANOUT = 16
+#: Sets up to which all pairs are bounded one by one.
+FEW = 8
+
+
+def groups_for(n: int) -> int:
+    return min(MOST_GROUPS, max(LEAST_GROUPS, 1 << max(0, n // 4).bit_length()))
+
+
+def count_vector(hashes: np.ndarray) -> np.ndarray:
+    """How many of the 64-bit hashes fall into each group, by their high bits; in bytes where they fit."""
+    groups = groups_for(len(hashes))
+    shift = np.uint64(64 - groups.bit_length() + 1)
+    counts = np.bincount((hashes >> shift).astype(np.int64), minlength=groups)
+    return counts.astype("u1" if counts.max() < 256 else "<u4")
+
+
+def decoded(counts: bytes, n: int) -> np.ndarray:
+    """The count vector of a set of n hashes from its bytes."""
+    return np.frombuffer(counts, dtype="u1" if len(counts) == groups_for(n) else "<u4")
+
+
+def fold(counts: np.ndarray, groups: int) -> np.ndarray:
+    return counts if len(counts) == groups else counts.reshape(groups, -1).sum(axis=1, dtype=np.int64)
+
+
+def overlap_bound(a: np.ndarray, b: np.ndarray) -> int:
+    g = min(len(a), len(b))
+    return int(np.minimum(fold(a, g), fold(b, g)).sum(dtype=np.int64))
 
 
 def enough(n: np.ndarray, m: np.ndarray, per_cent: int) -> np.ndarray:
@@ -53,3 +82,29 @@ class RTree:
         keep = (100 * m >= per_cent * n) & (100 * n >= per_cent * m)
         at, m = at[keep], m[keep]
         return at[np.minimum(self.counts[at], counts).sum(axis=1) >= enough(np.int64(n), m, per_cent)]
+
+
+class Index:
+    """Sets of any sizes: an R-tree for each number of groups, folded where a set with fewer groups asks."""
+
+    def __init__(self, counts: list[np.ndarray], n: np.ndarray):
+        self.counts, self.n = counts, n
+        self.trees: dict[tuple[int, int], RTree] = {}
+        size = np.array([len(c) for c in counts])
+        self.classes = {int(g): np.nonzero(size == g)[0] for g in np.unique(size)} if len(counts) > FEW else {}
+
+    def candidates(self, counts: np.ndarray, n: int, per_cent: int) -> np.ndarray:
+        """Indices of the sets whose bound reaches what a set of these counts and size n needs."""
+        if not self.classes:
+            fits = np.nonzero((100 * self.n >= per_cent * n) & (100 * n >= per_cent * self.n))[0]
+            return np.array([i for i in fits.tolist() if overlap_bound(counts, self.counts[i]) >= int(enough(n, int(self.n[i]), per_cent))], dtype=np.int64)
+        found = []
+        for groups, members in self.classes.items():
+            g = min(groups, len(counts))
+            # Sizes are too far apart where the groups are.
+            if 100 * self.n[members].max() < per_cent * n or 100 * n < per_cent * self.n[members].min():
+                continue
+            if (groups, g) not in self.trees:
+                self.trees[groups, g] = RTree(np.array([fold(self.counts[i], g) for i in members.tolist()]), self.n[members])
+            found.append(members[self.trees[groups, g].candidates(fold(counts, g), n, per_cent)])
+        return np.concatenate(found) if found else np.zeros(0, dtype=np.int64)

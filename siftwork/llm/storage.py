@@ -1,12 +1,40 @@
-"""Where tables between steps go."""
+"""Tables between steps, in the session's checkpoint folder, which all executors share."""
 
 from __future__ import annotations
 
+import gc
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def table_path(spark: SparkSession, name: str) -> str:
-    """A new path in the session's checkpoint folder, which all executors share."""
+    """A new path in the checkpoint folder."""
     return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}.parquet"
+
+
+class Scratch:
+    """Tables of one computation: written compressed, read back without their lineage, and deleted when they are no longer needed."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def keep(self, rows: DataFrame, name: str) -> DataFrame:
+        path = table_path(self.spark, name)
+        rows.write.option("compression", "zstd").parquet(path)
+        self.paths.append(path)
+        return self.spark.read.schema(rows.schema).parquet(path)
+
+    def tidy(self) -> None:
+        """Lets go of what steps that have ended still hold: Spark deletes shuffle files once the driver's garbage is collected."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
+    def clear(self) -> None:
+        """Deletes the tables; nothing that is still to be computed may read them."""
+        jvm = self.spark.sparkContext._jvm
+        for path in self.paths:
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        self.paths.clear()
+        self.tidy()
