@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 from siftwork.functions.tokens import EOS, tokenize
 from siftwork.operators.prefix import prefix_sum
 
-#: Between the ranges of a document that lies in several shards.
+# Between the ranges of a document that lies in several shards; what the names of shards begin with.
 DASH = "—"
+PREFIX = "fineweb"
 
 
 def token_table(docs: DataFrame, *keep: str) -> DataFrame:
@@ -26,9 +27,9 @@ def positions(docs: DataFrame, *keep: str) -> DataFrame:
     return prefix_sum(token_table(docs, *keep).drop("tokens"), "doc_id", "n_tokens", "total_tokens_seen")
 
 
-def shard_name(index: Column) -> Column:
+def shard_name(index: Column, prefix: str = PREFIX) -> Column:
     """Shard 0 is for validation."""
-    return F.concat(F.lit("fineweb_"), F.when(index == 0, "val").otherwise("train"), F.lit("_"), F.lpad(index.cast("string"), 6, "0"))
+    return F.concat(F.lit(f"{prefix}_"), F.when(index == 0, "val").otherwise("train"), F.lit("_"), F.lpad(index.cast("string"), 6, "0"))
 
 
 def layout(placed: DataFrame, size: int) -> DataFrame:

@@ -188,7 +188,7 @@ QUERIES = {
 
 
 def _name(i: str) -> str:
-    return f"'fineweb_' || case when {i} = 0 then 'val' else 'train' end || '_' || lpad(cast({i} as varchar), 6, '0')"
+    return f"'{packing.PREFIX}_' || case when {i} = 0 then 'val' else 'train' end || '_' || lpad(cast({i} as varchar), 6, '0')"
 
 
 _T = SQL_TOKEN_TABLE
