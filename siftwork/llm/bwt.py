@@ -2,77 +2,110 @@
 
 A shard's transform lists, in the order of the shard's sorted suffixes, the symbol before each suffix. Merging starts from the shards laid one after
 another, which is the order of all suffixes by no symbol at all; each step reads the merged transform in the present order and deals
-its symbols out stably by value, which gives the order by one symbol more. No suffix is compared with one of another shard. Positions
-where neighbours part in step h have a common prefix of h - 1, so blocks of suffixes that still stand together after h steps are
-the repeated strings of length h. A suffix alone in its block can't be a part of a longer repeat and is left out from there on.
+its symbols out stably by value, which gives the order by those symbols more. No suffix is compared with one of another shard. Positions
+where neighbours part in a step have a common prefix as long as the steps before it, so blocks of suffixes that still stand together after
+all steps are the repeated strings. A suffix alone in its block can't be a part of a longer repeat and is left out from there on, and so is
+one too near its string's start to grow to the full length.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-END = 256  # stands before a whole string; no byte has this value
+#: Stands for the symbol before a whole string in the pairs below; such suffixes have been left out by then.
+NONE = 0
 
 
 class Shard:
-    """Transform of some strings, each with an end of its own: `before` holds the symbol before each suffix in sorted order, `step` the
-    place of that longer suffix, `text` and `at` where the suffix lies. Empty suffixes come first, in the order of the strings."""
+    """Transform of some strings: `before` holds the symbol before each suffix in sorted order, `step` the place of that longer suffix
+    (-1 for whole strings), `text` and `at` where the suffix lies. A suffix that is a prefix of another comes first; equal ones go by string.
+    """
 
     def __init__(self, strings: list[bytes], depth: int):
-        data = np.frombuffer(b"\0".join([*strings, b""]), dtype=np.uint8)
+        joined = b"\0".join([*strings, b""])
+        data = np.frombuffer(joined, dtype=np.uint8)
         lengths = np.array([len(s) for s in strings], dtype=np.int64)
         first = np.concatenate([[0], np.cumsum(lengths + 1)[:-1]]).astype(np.int64)
         n = len(data)
         text = np.repeat(np.arange(len(strings)), lengths + 1)
-        at = np.arange(n) - first[text]
-        end = at == lengths[text]
-        # Sorted by doubling: rank by 1, 2, 4, ... symbols. Ends are smallest, and ordered by string.
-        rank = data.astype(np.int64) + len(strings)
-        rank[end] = text[end]
-        reach = 1
+        place = np.arange(n)
+        left = first[text] + lengths[text] - place  # symbols up to the end
+        # By eight symbols, zeros behind the end, and then by how many of them there are.
+        wide = np.frombuffer(joined + b"\0" * 8, dtype=np.uint8)
+        key = np.zeros(n, dtype=np.uint64)
+        for k in range(8):
+            key <<= np.uint64(8)
+            key |= np.where(left > k, wide[k : k + n], 0).astype(np.uint64)
+        order = np.lexsort((np.minimum(left, 8), key))
+        rank = self._ranks(order, key, np.minimum(left, 8))
+        reach = 8
         while reach < depth:
-            ahead = np.arange(n) + reach
-            stop = first[text] + lengths[text]
-            then = np.where(ahead <= stop, rank[np.minimum(ahead, n - 1)], -1)
-            order = np.lexsort((then, rank))
-            new = np.empty(n, dtype=np.int64)
-            parted = (rank[order][1:] != rank[order][:-1]) | (then[order][1:] != then[order][:-1])
-            new[order] = np.concatenate([[0], np.cumsum(parted)])
-            rank = new
-            reach *= 2
-            if n and rank.max() == n - 1:
+            # Only suffixes that still share a rank, and haven't ended, are told apart by what follows.
+            tied = np.zeros(n, dtype=bool)
+            tied[:-1] = rank[order][1:] == rank[order][:-1]
+            tied[1:] |= tied[:-1].copy()
+            at = np.nonzero(tied & (left[order] >= reach))[0]
+            if not len(at):
                 break
-        order = np.lexsort((np.arange(n), rank))
+            rows = order[at]
+            then = rank[rows + np.minimum(reach, left[rows])]
+            again = np.lexsort((then, rank[rows]))
+            rows, then = rows[again], then[again]
+            order[at] = rows
+            new = np.zeros(len(rows), dtype=np.int64)
+            head = np.ones(len(rows), dtype=bool)
+            head[1:] = rank[rows][1:] != rank[rows][:-1]
+            start = np.maximum.accumulate(np.where(head, np.arange(len(rows)), 0))
+            parted = head.copy()
+            parted[1:] |= then[1:] != then[:-1]
+            # A rank is the number of suffixes before its block, so that it stays when the block is split behind it.
+            new = np.maximum.accumulate(np.where(parted, np.arange(len(rows)), 0)) - start
+            rank[rows] += new
+            reach *= 2
+        at = place - first[text]
+        where = np.empty(n, dtype=np.int64)
+        where[order] = place
+        whole = (at == 0)[order]
         self.text, self.at = text[order], at[order]
-        place = np.empty(n, dtype=np.int64)
-        place[order] = np.arange(n)
-        whole = self.at == 0
-        self.before = np.where(whole, END, data[np.maximum(order - 1, 0)].astype(np.int16))
-        self.step = np.where(whole, -1, place[np.maximum(order - 1, 0)])
-        self.ends = len(strings)
+        self.before = np.where(whole, NONE, data[np.maximum(order - 1, 0)]).astype(np.uint8)
+        self.step = np.where(whole, -1, where[np.maximum(order - 1, 0)])
+
+    @staticmethod
+    def _ranks(order: np.ndarray, *keys: np.ndarray) -> np.ndarray:
+        parted = np.zeros(len(order), dtype=bool)
+        parted[:1] = True
+        for k in keys:
+            parted[1:] |= k[order][1:] != k[order][:-1]
+        rank = np.empty(len(order), dtype=np.int64)
+        rank[order] = np.maximum.accumulate(np.where(parted, np.arange(len(order)), 0))
+        return rank
 
 
 def repeats(shards: list[Shard], depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(block, shard, text, at) of every suffix whose first `depth` symbols occur at another suffix too; equal blocks, equal strings."""
-    sizes = [len(s.before) for s in shards]
-    base = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
-    before = np.concatenate([s.before for s in shards])
+    base = np.concatenate([[0], np.cumsum([len(s.before) for s in shards])]).astype(np.int64)
+    text, at = np.concatenate([s.text for s in shards]), np.concatenate([s.at for s in shards])
+    one = np.concatenate([s.before for s in shards])
     step = np.concatenate([np.where(s.step >= 0, s.step + b, -1) for s, b in zip(shards, base, strict=False)])
-    # Order by no symbol: shard after shard, one block. Ends are blocks of their own, and so never part of a repeat.
-    row = np.arange(base[-1])
-    block = np.zeros(len(row), dtype=np.int64)
-    for _ in range(depth):
-        # The merged transform in the present order, dealt out by symbol.
-        symbol = before[row]
-        real = symbol != END
-        row, block, symbol = row[real], block[real], symbol[real]
-        dealt = np.argsort(symbol.astype(np.uint8), kind="stable")
-        row, block, symbol = step[row[dealt]], block[dealt], symbol[dealt]
+    # Two steps in one: the pair of symbols before a suffix, the farther one leading, is dealt like a symbol.
+    pair = one[np.maximum(step, 0)].astype(np.uint16) << np.uint16(8) | one
+    second = np.where(step >= 0, step[np.maximum(step, 0)], -1)
+    # Order by no symbol: shard after shard, in one block.
+    row = np.nonzero(at >= depth)[0]
+    block = np.zeros(len(row), dtype=np.int32)
+    for k in range(depth - depth // 2):
+        symbols, onward = (one, step) if k == 0 and depth % 2 else (pair, second)
+        symbol = symbols[row]
+        dealt = np.argsort(symbol, kind="stable")
+        row, block, symbol = onward[row[dealt]], block[dealt], symbol[dealt]
         if len(row) < 2:
-            return tuple(np.zeros(0, dtype=np.int64) for _ in range(4))
-        parted = np.concatenate([[True], (symbol[1:] != symbol[:-1]) | (block[1:] != block[:-1])])
-        alone = parted & np.concatenate([parted[1:], [True]])
-        row, block = row[~alone], np.cumsum(parted)[~alone]
-    text = np.concatenate([s.text for s in shards])
-    at = np.concatenate([s.at for s in shards])
-    return block, np.searchsorted(base, row, side="right") - 1, text[row], at[row]
+            row = row[:0]
+            block = block[:0]
+            break
+        parted = np.empty(len(row) + 1, dtype=bool)
+        parted[0] = parted[-1] = True
+        np.not_equal(symbol[1:], symbol[:-1], out=parted[1:-1])
+        parted[1:-1] |= block[1:] != block[:-1]
+        together = ~(parted[:-1] & parted[1:])
+        row, block = row[together], np.cumsum(parted[:-1], dtype=np.int32)[together]
+    return block.astype(np.int64), np.searchsorted(base, row, side="right") - 1, text[row], at[row]

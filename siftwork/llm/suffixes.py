@@ -2,10 +2,11 @@
 
 A string of LENGTH bytes is found wherever it starts earlier. Every such string holds an anchor, the run of GRAM bytes with the smallest hash in it,
 which all its occurrences share; so strings that repeat meet under their anchor. The bytes around an anchor that strings with
-this anchor can cover are its context. Equal contexts are settled at once: all strings of all but the first are repeats. Different contexts of one
-anchor go to a bucket of bounded size, where transforms of shards of them are built and merged by iterative interleave refinement; the
-blocks that stand after LENGTH steps are the repeated strings. Anchors with very many different contexts don't fit in a bucket:
-theirs are cut into their strings, which are grouped by content.
+this anchor can cover are its context. Equal contexts are settled at once: all strings of all but the first are repeats. Where an anchor
+has different contexts, each is cut into PARTS overlapping parts by where a string starts; a part's core are the bytes that all its
+strings have. Parts of one core are settled in the same way where they are equal; the different ones go to a bucket of bounded
+size, in which transforms of shards are built and merged by iterative interleave refinement: the blocks that stand
+after LENGTH symbols are the repeated strings. A core with too many different parts for a bucket has its strings grouped by content.
 """
 
 from __future__ import annotations
@@ -20,51 +21,99 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftwork.llm import sketch
+from siftwork.llm.batches import portions
 from siftwork.llm.bwt import Shard, repeats
 from siftwork.llm.hashing import Runs, chunks, mix, signed
+from siftwork.llm.storage import Scratch
 
 LENGTH = 100
 GRAM = 32
-#: Contexts in a bucket, about, and of one anchor in a bucket at most.
-BUCKET = 4096
-HOT = 2048
-#: Contexts in a shard whose transform is built by sorting.
-SHARD = 256
+PARTS = 4
+#: Parts of contexts in a bucket, about, and of one core in a bucket at most.
+BUCKET = 8192
+HOT = 4096
+#: Parts in a shard whose transform is built by sorting.
+SHARD = 1024
 SPAN = "lo long, hi long"
+#: Low bits of a sliding minimum's keys, which hold the position.
+PLACE = np.uint64((1 << 26) - 1)
 
 
-def _sliding(h: np.ndarray, n: int, pick) -> np.ndarray:
-    """pick over each n neighbours; as long as h less n - 1."""
+def _sliding(h: np.ndarray, n: int) -> np.ndarray:
+    """Minimum over each n neighbours; as long as h less n - 1."""
     reach = 1
     while 2 * reach <= n:
-        h = pick(h[:-reach], h[reach:])
+        h = np.minimum(h[:-reach], h[reach:])
         reach *= 2
-    return pick(h[: len(h) - (n - reach)], h[n - reach :]) if reach < n else h
+    return np.minimum(h[: len(h) - (n - reach)], h[n - reach :]) if reach < n else h
 
 
-def anchors(raw: list[bytes], length: int = LENGTH, gram: int = GRAM) -> Iterator[tuple[np.ndarray, ...]]:
-    """For parts of the texts: (text, anchor hash, context hash, position, start and end of the context in the text) of every anchor."""
-    width = length - gram + 1
-    for lo, hi in chunks(raw):
-        data = np.frombuffer(b"".join(raw[lo:hi]), dtype=np.uint8)
+class Anchors:
+    """The anchors in a few texts: number of the text, position in it, hash, and the runs of bytes around."""
+
+    def __init__(self, raw: list[bytes], length: int, gram: int):
+        data = np.frombuffer(b"".join(raw), dtype=np.uint8)
+        sizes = np.array([len(t) for t in raw], dtype=np.int64)
+        self.end = np.cumsum(sizes)
+        self.start = self.end - sizes
+        self.at = self.text = np.zeros(0, dtype=np.int64)
         if len(data) < length:
-            continue
-        sizes = np.array([len(t) for t in raw[lo:hi]], dtype=np.int64)
-        end = np.cumsum(sizes)
-        start = end - sizes
-        runs = Runs(data)
-        h = runs.every(gram)
-        low = _sliding(h, width, np.minimum)  # of the string that starts here
-        # Strings that cross the end of a text choose nothing.
-        for e in end[:-1].tolist():
-            low[max(0, e - length + 1) : e] = 0
-        pad = np.zeros(width - 1, dtype=np.uint64)
-        chosen = _sliding(np.concatenate([pad, low, pad]), width, np.maximum)
-        at = np.nonzero(chosen[: len(h)] == h)[0]
-        text = np.searchsorted(end, at, side="right")
-        a, b = np.maximum(start[text], at - width + 1), np.minimum(end[text], at + length)
-        context = mix(runs.hash(a, b) + mix((at - a).astype(np.uint64) * np.uint64(1021) + (b - at).astype(np.uint64)))
-        yield lo + text, h[at], context, at - start[text], a - start[text], b - start[text]
+            self.hash = np.zeros(0, dtype=np.uint64)
+            return
+        self.runs = Runs(data)
+        h = self.runs.every(gram)
+        # Of equal hashes in a string the first is its anchor.
+        low = _sliding((h & ~PLACE) | (np.arange(len(h), dtype=np.uint64) & PLACE), length - gram + 1)
+        inside = np.ones(len(low), dtype=bool)
+        for e in self.end[:-1].tolist():
+            inside[max(0, e - length + 1) : e] = False  # strings that cross the end of a text
+        first = np.nonzero(inside)[0]
+        low = low[inside]
+        if not len(low):
+            self.hash = h[:0]
+            return
+        change = np.concatenate([[True], low[1:] != low[:-1]])
+        near, low = first[change], low[change]
+        # The position counts from the string's start, which lies at most a string before.
+        at = near + ((low - near.astype(np.uint64)) & PLACE).astype(np.int64)
+        self.at = at[np.concatenate([[True], at[1:] != at[:-1]])]
+        self.hash = h[self.at]
+        self.text = np.searchsorted(self.end, self.at, side="right")
+
+    def spans(self, before: int, after: int) -> tuple[np.ndarray, np.ndarray]:
+        """Starts and ends of the bytes from `before` ahead of each anchor to `after` behind its start, within its text."""
+        return np.maximum(self.start[self.text], self.at - before), np.minimum(self.end[self.text], self.at + after)
+
+    def again(self, *keys: np.ndarray) -> np.ndarray:
+        """Whether the same keys come earlier in the same text; anchors are in the order of their places."""
+        order = np.lexsort((*keys, self.text))
+        same = np.zeros(len(order), dtype=bool)
+        if len(order):
+            same[1:] = self.text[order][1:] == self.text[order][:-1]
+            for k in keys:
+                same[1:] &= k[order][1:] == k[order][:-1]
+        out = np.empty(len(order), dtype=bool)
+        out[order] = same
+        return out
+
+    def content(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        """Hashes of runs together with how they lie about their anchors."""
+        return mix(self.runs.hash(lo, hi) + mix((self.at - lo + 4096).astype(np.uint64) * np.uint64(1 << 20) + (hi - self.at + 4096).astype(np.uint64)))
+
+
+def anchored(raw: list[bytes], length: int = LENGTH, gram: int = GRAM) -> Iterator[tuple[int, Anchors]]:
+    """Number of the first text, and the anchors, of some texts at a time."""
+    for lo, hi in chunks(raw):
+        found = Anchors(raw[lo:hi], length, gram)
+        if len(found.at):
+            yield lo, found
+
+
+def starts(length: int, gram: int, parts: int = PARTS) -> list[tuple[int, int]]:
+    """For each part (a, b): its strings start a to b - 1 bytes ahead of the anchor."""
+    width = length - gram + 1
+    edges = [width * k // parts for k in range(parts + 1)]
+    return [(a, b) for a, b in zip(edges[:-1], edges[1:], strict=True) if a < b]
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -76,37 +125,69 @@ def _bytes(column: pa.Array) -> list[bytes]:
 
 
 def _occurrences(docs: DataFrame, length: int, gram: int) -> DataFrame:
-    """(anchor, context, doc_id, pos) of every anchor."""
+    """(anchor, context, doc_id, pos, again) of every anchor; again: the document has the same before."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for text, anchor, context, pos, _, _ in anchors(_bytes(b.column(1)), length, gram):
-                yield pa.RecordBatch.from_arrays([pa.array(signed(anchor)), pa.array(signed(context)), b.column(0).take(pa.array(text)), pa.array(pos.astype(np.int32))], names=["anchor", "context", "doc_id", "pos"])
+        for b in portions(batches):
+            for first, a in anchored(_bytes(b.column(1)), length, gram):
+                content = a.content(*a.spans(length - gram, length))
+                yield pa.RecordBatch.from_arrays([pa.array(signed(a.hash)), pa.array(signed(content)), b.column(0).take(pa.array(first + a.text)), pa.array((a.at - a.start[a.text]).astype(np.int32)), pa.array(a.again(a.hash, content))], names=["anchor", "context", "doc_id", "pos", "again"])
 
-    return _texts(docs.where("doc_id is not null")).mapInArrow(run, "anchor long, context long, doc_id long, pos int")
+    return _texts(docs.where("doc_id is not null")).mapInArrow(run, "anchor long, context long, doc_id long, pos int, again boolean")
 
 
-def _contexts(docs: DataFrame, wanted: DataFrame, length: int, gram: int) -> DataFrame:
-    """(anchor, doc_id, pos, skip, body) of the wanted (anchor, doc_id, pos): body holds the context's bytes, skip of them before the anchor."""
-    context = docs.sparkSession.sparkContext
-    by_doc = context.broadcast(sketch.bitmap(wanted, sketch.place("doc_id")))
-    by_anchor = context.broadcast(sketch.bitmap(wanted, F.pmod("anchor", F.lit(sketch.BITS))))
+def _parts(docs: DataFrame, wanted: DataFrame, length: int, gram: int) -> DataFrame:
+    """(core, part, doc_id, lo, hi, again) of the parts, lo to hi in the text, of the wanted (anchor, doc_id, pos); `part` is a hash of content and place.
+
+    Parts of a few other places may come too. They are as real as the wanted ones, and are judged in the same way.
+    """
+    of = F.col("anchor").bitwiseXOR(F.col("doc_id")).bitwiseXOR(F.col("pos").cast("long"))
+    bits = docs.sparkSession.sparkContext.broadcast(sketch.bitmap(wanted, F.pmod(of, F.lit(sketch.BITS))))
+    by_doc = docs.sparkSession.sparkContext.broadcast(sketch.bitmap(wanted, sketch.place("doc_id")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in portions(batches):
             b = b.filter(pa.array(sketch.inside(by_doc.value, b.column(2).to_numpy())))
-            raw = _bytes(b.column(1))
-            for text, anchor, _, pos, lo, hi in anchors(raw, length, gram):
-                keep = np.nonzero(sketch.inside(by_anchor.value, signed(anchor) % sketch.BITS))[0]
-                body = [raw[text[i]][lo[i] : hi[i]] for i in keep]
+            ids = b.column(0).to_numpy()
+            for first, a in anchored(_bytes(b.column(1)), length, gram):
+                keep = sketch.inside(bits.value, (signed(a.hash) ^ ids[first + a.text] ^ (a.at - a.start[a.text])) % sketch.BITS)
+                if not keep.any():
+                    continue
+                a.at, a.hash, a.text = a.at[keep], a.hash[keep], a.text[keep]
+                begin, out = a.start[a.text], []
+                for k, (p, q) in enumerate(starts(length, gram)):
+                    lo, hi = a.spans(q - 1, length - p)
+                    part = a.content(lo, hi)
+                    some = np.nonzero(hi - lo >= length)[0]
+                    # What all strings of the part have, whether or not the text's ends leave room for all of them.
+                    core = mix(a.runs.hash((a.at - p)[some], (a.at - q + 1 + length)[some]) + np.uint64(k << 56 | 0x1E98DF25))
+                    # A part has its core in it, and its hash its place about the anchor.
+                    out.append((a.text[some], signed(core), signed(part[some]), (lo - begin)[some], (hi - begin)[some], a.again(part)[some]))
+                text, core, part, lo, hi, again = (np.concatenate(x) for x in zip(*out, strict=True))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(signed(anchor)[keep]), b.column(0).take(pa.array(text[keep])), pa.array(pos[keep].astype(np.int32)), pa.array((pos - lo)[keep].astype(np.int32)), pa.array(body, pa.binary())],
-                    names=["anchor", "doc_id", "pos", "skip", "body"],
+                    [pa.array(core), pa.array(part), b.column(0).take(pa.array(first + text)), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32)), pa.array(again)], names=["core", "part", "doc_id", "lo", "hi", "again"]
                 )
 
     texts = _texts(docs.where("doc_id is not null")).withColumn("place", sketch.place("doc_id"))
-    found = texts.mapInArrow(run, "anchor long, doc_id long, pos int, skip int, body binary")
-    return found.join(wanted, ["anchor", "doc_id", "pos"])
+    return texts.mapInArrow(run, "core long, part long, doc_id long, lo int, hi int, again boolean")
+
+
+def _bodies(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(core, hot, doc_id, lo, body) of wanted(core, hot, doc_id, lo, hi). A document's parts are fewer than its bytes."""
+    lists = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("core", "hot", "lo", "hi")).alias("parts"))
+    bits = docs.sparkSession.sparkContext.broadcast(sketch.bitmap(wanted, sketch.place("doc_id")))
+    texts = _texts(docs.where("doc_id is not null")).where(_marked(bits)(sketch.place("doc_id"))).join(lists, "doc_id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in portions(batches):
+            n = np.array(b.column(2).value_lengths())
+            parts = b.column(2).flatten()
+            core, hot, at, end = (parts.field(k) for k in range(4))
+            raw, of = _bytes(b.column(1)), np.repeat(np.arange(b.num_rows), n)
+            body = [raw[i][x:y] for i, x, y in zip(of.tolist(), at.to_pylist(), end.to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([core, hot, b.column(0).take(pa.array(of)), at.cast(pa.int64()), pa.array(body, pa.binary())], names=["core", "hot", "doc_id", "lo", "body"])
+
+    return texts.select("doc_id", "text", "parts").mapInArrow(run, "core long, hot boolean, doc_id long, lo long, body binary")
 
 
 def _covered(doc: np.ndarray, start: np.ndarray, length: int) -> pd.DataFrame:
@@ -119,36 +200,38 @@ def _covered(doc: np.ndarray, start: np.ndarray, length: int) -> pd.DataFrame:
     return pd.DataFrame({"doc_id": doc[new], "lo": start[new], "hi": start[last] + length})
 
 
-def _merged(bodies: DataFrame, length: int, width: int, n: int) -> DataFrame:
-    """Repeats among different contexts, by bucket."""
+def _merged(bodies: DataFrame, length: int, n: int) -> DataFrame:
+    """Repeats among different parts, by bucket."""
     buckets = max(1, -(-n // BUCKET))
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        # Contexts of one anchor stay together, so that shards have short merges.
-        group = group.sort_values(["anchor", "doc_id", "pos"], ignore_index=True)
-        body = group["body"].tolist()
-        shards = [Shard(body[k : k + SHARD], length) for k in range(0, len(body), SHARD)]
+        group = group.sort_values(["core", "doc_id", "lo"], ignore_index=True)
+        # A core's parts, much alike, go to different shards: a shard is soon sorted, and the merge finds what they share.
+        count = -(-len(group) // SHARD)
+        rows = np.concatenate([np.arange(k, len(group), count) for k in range(count)])
+        body, edges = group["body"].to_numpy(), np.cumsum([0, *(len(range(k, len(group), count)) for k in range(count))])
+        shards = [Shard(body[rows[a:b]].tolist(), length) for a, b in zip(edges[:-1], edges[1:], strict=True)]
         block, shard, text, at = repeats(shards, length)
-        text = text + shard * SHARD
-        doc, start = group["doc_id"].to_numpy()[text], (group["pos"] - group["skip"]).to_numpy(dtype=np.int64)[text] + at
+        text = rows[edges[shard] + text]
+        doc, start = group["doc_id"].to_numpy()[text], group["lo"].to_numpy()[text] + at
         order = np.lexsort((start, doc, block))
         block, doc, start = block[order], doc[order], start[order]
         head = np.ones(len(block), dtype=bool)
         head[1:] = block[1:] != block[:-1]
         first = np.maximum.accumulate(np.where(head, np.arange(len(block)), 0))
-        # One place can stand in the contexts of two anchors: it isn't earlier than itself.
+        # One place can stand in two parts: it isn't earlier than itself.
         late = (doc != doc[first]) | (start != start[first])
         return _covered(doc[late], start[late], length)
 
-    dealt = bodies.withColumn("bucket", F.pmod(F.xxhash64("anchor"), F.lit(buckets)))
-    return dealt.groupBy("bucket").applyInPandas(run, f"doc_id long, {SPAN}")
+    dealt = bodies.select("core", "doc_id", "lo", "body", F.pmod(F.xxhash64("core"), F.lit(buckets)).alias("bucket"))
+    return dealt.repartition(buckets, "bucket").groupBy("bucket").applyInPandas(run, f"doc_id long, {SPAN}")
 
 
 def _by_string(bodies: DataFrame, length: int) -> DataFrame:
-    """The same for anchors of very many contexts: every string is a key, and its first place comes from a grouped minimum."""
+    """The same for cores of very many parts: every string is a key, and its first place comes from a grouped minimum."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in portions(batches):
             body = b.column(2).to_pylist()
             for lo, hi in chunks(body, 1 << 16):
                 data = np.frombuffer(b"".join(body[lo:hi]), dtype=np.uint8)
@@ -159,12 +242,12 @@ def _by_string(bodies: DataFrame, length: int) -> DataFrame:
                 a = (np.cumsum(size) - size)[text] + at
                 runs = Runs(data)
                 h = runs.hash(a, a + length)
-                begin = np.asarray(b.column(1))[lo:hi].astype(np.int64)[text] + at
+                begin = b.column(1).to_numpy()[lo:hi][text] + at
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(signed(mix(h))), pa.array(signed(mix(runs.hash(a, a + length // 2) ^ np.uint64(0x5851F42D4C957F2D)))), b.column(0).slice(lo, hi - lo).take(pa.array(text)), pa.array(begin)], names=["k1", "k2", "doc_id", "start"]
                 )
 
-    strings = bodies.select("doc_id", (F.col("pos") - F.col("skip")).alias("begin"), "body").mapInArrow(run, "k1 long, k2 long, doc_id long, start long").distinct()
+    strings = bodies.select("doc_id", "lo", "body").mapInArrow(run, "k1 long, k2 long, doc_id long, start long").distinct()
     first = strings.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count("*").alias("n")).where("n > 1").select("k1", "k2", "first")
     late = strings.join(first, ["k1", "k2"]).where((F.col("doc_id") != F.col("first.doc_id")) | (F.col("start") != F.col("first.start")))
     return late.select("doc_id", F.col("start").alias("lo"), (F.col("start") + length).alias("hi"))
@@ -176,21 +259,40 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     Texts are UTF-8 bytes; a string is earlier in a document of smaller doc_id, or in the same one at a smaller start. Rows
     without doc_id take no part; rows of one doc_id are one document.
     """
-    width = length - gram + 1
+    scratch = Scratch(docs.sparkSession)
     rows = _occurrences(docs, length, gram)
-    place = F.struct("doc_id", "pos")
-    shared = rows.groupBy("anchor").agg(F.min(place).alias("low"), F.max(place).alias("high")).where("low <> high").select("anchor")
-    live = rows.join(shared, "anchor").checkpoint()
-    firsts = live.groupBy("anchor", "context").agg(F.min(place).alias("first"), F.count("*").alias("n")).checkpoint()
-    again = live.join(firsts.where("n > 1").select("anchor", "context", "first"), ["anchor", "context"]).where(place != F.col("first"))
-    # A context shorter than a string covers nothing; spans are cut to the text where they are used, as contexts were.
-    copies = again.select("doc_id", F.greatest(F.lit(0), F.col("pos") - (width - 1)).cast("long").alias("lo"), (F.col("pos") + length).cast("long").alias("hi"))
-    many = firsts.groupBy("anchor").agg(F.count("*").alias("contexts")).where("contexts > 1")
-    wanted = firsts.join(many, "anchor").select("anchor", F.col("first.doc_id").alias("doc_id"), F.col("first.pos").alias("pos"), (F.col("contexts") > HOT).alias("hot")).checkpoint()
-    bodies = _contexts(docs, wanted, length, gram).checkpoint()
-    n = wanted.where("not hot").count()
-    spans = copies.unionByName(_merged(bodies.where("not hot"), length, width, n)).unionByName(_by_string(bodies.where("hot"), length))
-    return spans.groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+    # Minima of whole numbers combine in hash tables; which place of one document comes first, its own task has said.
+    shared = scratch.keep(rows.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), "shared")
+    scratch.tidy()
+    live = scratch.keep(rows.join(shared, "anchor"), "live")
+    scratch.tidy()
+    firsts = live.groupBy("anchor", "context").agg(F.min("doc_id").alias("first"))
+    judged = scratch.keep(live.join(firsts, ["anchor", "context"]).select("anchor", "doc_id", "pos", ((F.col("doc_id") != F.col("first")) | F.col("again")).alias("late")), "judged")
+    scratch.tidy()
+    # Spans are cut to the text where they are used, as contexts were.
+    copies = judged.where("late").select("doc_id", F.greatest(F.lit(0), F.col("pos") - (length - gram)).cast("long").alias("lo"), (F.col("pos") + length).cast("long").alias("hi"))
+    copies = scratch.keep(copies.groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")), "copies")
+    different = judged.where("not late")
+    many = different.groupBy("anchor").agg(F.count("*").alias("contexts")).where("contexts > 1").select("anchor")
+    wanted = scratch.keep(different.join(many, "anchor").select("anchor", "doc_id", "pos"), "wanted")
+    scratch.tidy()
+    parts = scratch.keep(_parts(docs, wanted, length, gram), "parts")
+    settled = parts.groupBy("core", "part").agg(F.min("doc_id").alias("first"))
+    ruled = scratch.keep(parts.join(settled, ["core", "part"]).select("core", "doc_id", "lo", "hi", ((F.col("doc_id") != F.col("first")) | F.col("again")).alias("late")), "ruled")
+    scratch.tidy()
+    equal = ruled.where("late").select("doc_id", F.col("lo").cast("long").alias("lo"), F.col("hi").cast("long").alias("hi"))
+    apart = ruled.where("not late")
+    differ = apart.groupBy("core").agg(F.count("*").alias("parts")).where("parts > 1").select("core", (F.col("parts") > HOT).alias("hot"))
+    open_ = scratch.keep(apart.join(differ, "core").select("core", "hot", "doc_id", "lo", "hi"), "open")
+    scratch.tidy()
+    bodies = scratch.keep(_bodies(docs, open_), "bodies")
+    scratch.tidy()
+    late = equal.unionByName(_merged(bodies.where("not hot"), length, open_.where("not hot").count())).unionByName(_by_string(bodies.where("hot"), length))
+    late = late.groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi")).alias("late"))
+    spans = copies.join(late, "doc_id", "full").select("doc_id", F.concat(F.coalesce("spans", F.array()), F.coalesce("late", F.array())).alias("spans"))
+    spans = spans.checkpoint()
+    scratch.clear()
+    return spans
 
 
 def union(spans: list[dict] | None, n: int) -> list[tuple[int, int]]:
@@ -204,16 +306,20 @@ def union(spans: list[dict] | None, n: int) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def _split(docs: DataFrame, spans: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows of docs that can have spans, with them, and the rest. Only the former are shuffled."""
-    bits = docs.sparkSession.sparkContext.broadcast(sketch.bitmap(spans, sketch.place("doc_id")))
-
+def _marked(bits):
     @F.pandas_udf("boolean")
     def marked(at: pd.Series) -> pd.Series:
         return pd.Series(sketch.inside(bits.value, at.to_numpy()))
 
+    return marked
+
+
+def _split(docs: DataFrame, spans: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows of docs that can have spans, with them, and the rest. Only the former are shuffled."""
+    bits = docs.sparkSession.sparkContext.broadcast(sketch.bitmap(spans, sketch.place("doc_id")))
+
     id_ = F.col("doc_id").cast("long")
-    flag = id_.isNotNull() & marked(sketch.place(F.coalesce(id_, F.lit(0).cast("long"))))
+    flag = id_.isNotNull() & _marked(bits)(sketch.place(F.coalesce(id_, F.lit(0).cast("long"))))
     named = spans.select(F.col("doc_id").alias("span_doc_id"), F.col("spans").alias("removed_spans"))
     hit = docs.where(flag)
     return hit.join(named, hit["doc_id"].cast("long") == named["span_doc_id"], "left").drop("span_doc_id"), docs.where(~flag)
@@ -227,10 +333,10 @@ def digest(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame
     table gives no rows.
     """
     docs = _texts(docs)
-    hit, rest = _split(docs, repeated_spans(docs, length, gram).checkpoint())
+    hit, rest = _split(docs, repeated_spans(docs, length, gram))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in portions(batches):
             out: list[list] = [[], [], [], []]
             for t, s in zip(_bytes(b.column(1)), b.column(2).to_pylist(), strict=True):
                 runs, kept, at = union(s, len(t)), hashlib.sha256(), 0
@@ -270,7 +376,7 @@ def strip(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
 
     Nulls, empty texts and rows without doc_id are as in `digest`; they stay.
     """
-    hit, rest = _split(docs, repeated_spans(docs, length, gram).checkpoint())
+    hit, rest = _split(docs, repeated_spans(docs, length, gram))
 
     @F.pandas_udf("string")
     def cut(text: pd.Series, spans: pd.Series) -> pd.Series:
