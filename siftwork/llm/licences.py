@@ -33,7 +33,7 @@ TEMPLATES = (
     ("CC-BY-NC", "This work is licensed under a Creative Commons Attribution NonCommercial 4.0 International License"),
     ("CC0", "To the extent possible under law, the author has waived all copyright and related rights to this work. CC0 public domain dedication"),
 )
-STOP = frozenset("a all and are as at by can except file files for from has in is it may met modify not of on or org http www person source the this to use v with you work code forms form program any following extent possible under 0 2 3 4".split())
+STOP = frozenset("a all and are as at by can except file files for from has in is it may met modify not of on or org http www person source that the this to use v with you work code forms form program any following extent possible under 0 2 3 4".split())
 TERM = "[a-z0-9]+"
 
 
@@ -57,13 +57,16 @@ def _id() -> Column:
 
 
 def lines(docs: DataFrame) -> DataFrame:
-    """(id, line, word, n): how often each word is in each line that has a term of a template."""
+    """(id, line, word, n, other): how often a line has each of the templates' terms, and how many other words it has; lines without such terms are left out."""
     anyone = f"(?:^|[^a-z0-9])(?:{'|'.join(vocabulary())})(?:$|[^a-z0-9])"
     text = _lower(F.coalesce(F.col("text").cast("string"), F.lit("")))
     numbered = F.transform(F.split(text, "\n"), lambda x, i: F.struct(i.alias("line"), x.alias("text")))
     some = docs.select(_id().alias("id"), F.explode(F.filter(numbered, lambda x: F.rlike(x["text"], F.lit(anyone)))).alias("l"))
-    words = some.select("id", "l.line", F.explode(F.regexp_extract_all(F.col("l.text"), F.lit(TERM), F.lit(0))).alias("word"))
-    return words.where(~F.col("word").isin(*sorted(STOP))).groupBy("id", "line", "word").agg(F.count("*").alias("n"))
+    words = some.select("id", "l.line", F.regexp_extract_all(F.col("l.text"), F.lit(TERM), F.lit(0)).alias("words"))
+    # Words that no template has only count: a line of prose with one term gives one row.
+    known = F.filter("words", lambda w: w.isin(*vocabulary()))
+    other = F.size("words") - F.size(known) - F.size(F.filter("words", lambda w: w.isin(*sorted(STOP))))
+    return words.select("id", "line", other.alias("other"), F.explode(known).alias("word")).groupBy("id", "line", "word").agg(F.count("*").alias("n"), F.max("other").alias("other"))
 
 
 def detect(docs: DataFrame, cosine: float = COSINE) -> DataFrame:
@@ -74,13 +77,13 @@ def detect(docs: DataFrame, cosine: float = COSINE) -> DataFrame:
     terms = spark.createDataFrame([(w,) for w in vocabulary()], "word string")
     entries = spark.createDataFrame([(k, name, w, float(_terms(t).count(w))) for k, (name, t) in enumerate(TEMPLATES) for w in sorted(set(_terms(t)))], "template int, licence string, word string, tf double")
     total = docs.count()
-    seen = found.join(F.broadcast(terms), "word").groupBy("word").agg(F.count_distinct("id").alias("df"))
+    seen = found.groupBy("word").agg(F.count_distinct("id").alias("df"))
     idf = terms.join(seen, "word", "left").select("word", (F.log((1.0 + total) / (1.0 + F.coalesce("df", F.lit(0)))) + 1.0).alias("idf"))
     weights = entries.join(idf, "word").select("template", "licence", "word", (F.col("tf") * F.col("idf")).alias("weight"))
     lengths = weights.groupBy("template").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("t_length"))
-    valued = found.join(F.broadcast(idf), "word", "left").withColumn("value", F.col("n") * F.coalesce("idf", F.lit(OTHER)))
-    size = valued.groupBy("id", "line").agg(F.sqrt(F.sum(F.col("value") * F.col("value"))).alias("length"))
-    dots = valued.where("idf is not null").join(F.broadcast(weights), "word").groupBy("id", "line", "template", "licence").agg(F.sum(F.col("value") * F.col("weight")).alias("dot"))
+    valued = found.join(F.broadcast(idf), "word").withColumn("value", F.col("n") * F.col("idf"))
+    size = valued.groupBy("id", "line").agg(F.sqrt(F.sum(F.col("value") * F.col("value")) + F.lit(OTHER * OTHER) * F.max("other")).alias("length"))
+    dots = valued.join(F.broadcast(weights), "word").groupBy("id", "line", "template", "licence").agg(F.sum(F.col("value") * F.col("weight")).alias("dot"))
     scored = dots.join(size, ["id", "line"]).join(F.broadcast(lengths), "template").withColumn("cosine", F.round(F.col("dot") / (F.col("length") * F.col("t_length")), 6))
     best = scored.where(F.col("cosine") >= cosine).groupBy("id", "licence").agg(F.max("cosine").alias("cosine"))
     return best.groupBy("id").agg(F.min(F.struct((-F.col("cosine")).alias("less"), "licence", "cosine")).alias("b")).select("id", "b.licence", "b.cosine")
@@ -119,20 +122,22 @@ def oracle() -> str:
     """`scan` over the table documents, in DuckDB's SQL."""
     entries = ", ".join(f"({k}, {_sql(name)}, {_sql(w)}, {float(_terms(t).count(w))}::double)" for k, (name, t) in enumerate(TEMPLATES) for w in sorted(set(_terms(t))))
     stop = ", ".join(_sql(w) for w in sorted(STOP))
+    known = ", ".join(_sql(w) for w in vocabulary())
     anyone = f"(?:^|[^a-z0-9])(?:{'|'.join(vocabulary())})(?:$|[^a-z0-9])"
     return f"""
 with d as (select doc_id, coalesce(doc_id, -9223372036854775808) as id, case when lang = 'en' then source else concat_ws('/', source, lang) end as directory,
         translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as text from documents),
     t(template, licence, word, tf) as (values {entries}),
     l as (select id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as no from d),
-    w as (select id, no, unnest(regexp_extract_all(line, '{TERM}')) as word from l where regexp_matches(line, {_sql(anyone)})),
-    f as (select id, no, word, count(*) as n from w where word not in ({stop}) group by all),
+    w as (select id, no, regexp_extract_all(line, '{TERM}') as words from l where regexp_matches(line, {_sql(anyone)})),
+    u as (select id, no, len(list_filter(words, lambda w: w not in ({stop}) and w not in ({known}))) as other, unnest(list_filter(words, lambda w: w in ({known}))) as word from w),
+    f as (select id, no, word, count(*) as n, max(other) as other from u group by all),
     i as (select v.word, ln((1.0::double + (select count(*) from d)) / (1.0::double + coalesce(s.df, 0))) + 1.0::double as idf
         from (select distinct word from t) v left join (select word, count(distinct id) as df from f group by word) s using (word)),
     g as (select template, licence, word, tf * idf as weight from t join i using (word)),
     h as (select template, sqrt(sum(weight * weight)) as t_length from g group by template),
-    v as (select f.*, i.idf, n * coalesce(i.idf, {OTHER}::double) as value from f left join i using (word)),
-    z as (select id, no, sqrt(sum(value * value)) as length from v group by all),
+    v as (select f.*, n * i.idf as value from f join i using (word)),
+    z as (select id, no, sqrt(sum(value * value) + {OTHER * OTHER}::double * max(other)) as length from v group by all),
     p as (select id, no, template, licence, sum(value * weight) as dot from v join g using (word) group by all),
     c as (select id, licence, max(round(dot / (length * t_length), 6)) as cosine from p join z using (id, no) join h using (template) group by all),
     o as (select id, licence, cosine from c where cosine >= {COSINE} qualify row_number() over (partition by id order by cosine desc, licence) = 1),
