@@ -24,6 +24,8 @@ TOP = 20
 SCALE = 64
 EVERY = 20
 QUERY_BLOCK = 1024
+#: Tasks, at most; with more pairs of blocks a task has several.
+TASKS = 20_000
 DATA_BLOCK = 8192
 
 
@@ -85,7 +87,9 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, block: int = BLO
         rep = group["rep"].to_numpy()
         return pd.DataFrame({"rep": rep[found], "root": rep[root[found]], "links": links[found]})
 
-    met = pairs.groupBy("label", "n_dim", "p", "q").applyInPandas(meet, "rep long, root long, links long").checkpoint()
+    # Blocks are small but take long: each pair has a task, which Spark would merge by size.
+    n = blocks.agg(F.sum(F.col("n_blocks") * (F.col("n_blocks") + 1) / 2)).first()[0] or 1
+    met = pairs.repartition(min(TASKS, int(n)), "label", "n_dim", "p", "q").groupBy("label", "n_dim", "p", "q").applyInPandas(meet, "rep long, root long, links long").checkpoint()
     linked = components(met.select(F.col("rep").alias("a"), F.col("root").alias("b")))
     links = met.groupBy("rep").agg(F.sum("links").alias("links"))
     per_class = classes.select("label", "v", "rep", "weight").join(links, "rep", "left").join(linked.withColumnRenamed("id", "rep"), "rep", "left")
@@ -123,6 +127,8 @@ def top_k(vectors: DataFrame, k: int = TOP, every: int = EVERY, scale: int = SCA
         found = best.score > np.iinfo(np.int64).min // 2
         return pd.DataFrame({"query_id": np.repeat(own, found.sum(axis=1)), "vec_id": best.id[found], "score": best.score[found]})
 
-    met = both.groupBy("n_dim", "qb", "db").applyInPandas(meet, "query_id long, vec_id long, score long").distinct()
+    # Blocks are small but take long: each pair has a task, which Spark would merge by size.
+    pairs = n.agg(F.sum(F.col("n_data") * F.col("n_query"))).first()[0] or 1
+    met = both.repartition(min(TASKS, int(pairs)), "n_dim", "qb", "db").groupBy("n_dim", "qb", "db").applyInPandas(meet, "query_id long, vec_id long, score long").distinct()
     by = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return met.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
