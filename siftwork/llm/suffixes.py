@@ -266,7 +266,9 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     scratch.tidy()
     live = scratch.keep(rows.join(shared, "anchor"), "live")
     scratch.tidy()
-    firsts = live.groupBy("anchor", "context").agg(F.min("doc_id").alias("first"))
+    # Written before they are joined: with the grouping out of the join's stage, Spark can split a context that very many documents have.
+    firsts = scratch.keep(live.groupBy("anchor", "context").agg(F.min("doc_id").alias("first")), "firsts")
+    scratch.tidy()
     judged = scratch.keep(live.join(firsts, ["anchor", "context"]).select("anchor", "doc_id", "pos", ((F.col("doc_id") != F.col("first")) | F.col("again")).alias("late")), "judged")
     scratch.tidy()
     # Spans are cut to the text where they are used, as contexts were.
@@ -277,7 +279,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     wanted = scratch.keep(different.join(many, "anchor").select("anchor", "doc_id", "pos"), "wanted")
     scratch.tidy()
     parts = scratch.keep(_parts(docs, wanted, length, gram), "parts")
-    settled = parts.groupBy("core", "part").agg(F.min("doc_id").alias("first"))
+    settled = scratch.keep(parts.groupBy("core", "part").agg(F.min("doc_id").alias("first")), "settled")
     ruled = scratch.keep(parts.join(settled, ["core", "part"]).select("core", "doc_id", "lo", "hi", ((F.col("doc_id") != F.col("first")) | F.col("again")).alias("late")), "ruled")
     scratch.tidy()
     equal = ruled.where("late").select("doc_id", F.col("lo").cast("long").alias("lo"), F.col("hi").cast("long").alias("hi"))
@@ -314,6 +316,23 @@ def _marked(bits):
     return marked
 
 
+def unions(spans: pa.ListArray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of a list of (lo, hi) for each text: text, lo and hi of the maximal runs within the text, in order."""
+    text = np.repeat(np.arange(len(spans)), spans.fill_null([]).value_lengths().to_numpy())
+    both = spans.flatten()
+    lo, hi = both.field(0).to_numpy(), np.minimum(both.field(1).to_numpy(), sizes[text])
+    text, lo, hi = (x[lo < hi] for x in (text, lo, hi))
+    order = np.lexsort((lo, text))
+    text, lo, hi = text[order], lo[order], hi[order]
+    # Texts one after another on one line, with a gap between, need one running maximum.
+    start = text * (int(sizes.max(initial=0)) + 2)
+    far = np.maximum.accumulate(hi + start) if len(hi) else hi
+    new = np.ones(len(lo), dtype=bool)
+    new[1:] = (lo + start)[1:] > far[:-1]
+    last = np.concatenate([new[1:], [True]])[: len(new)]
+    return text[new], lo[new], (far - start)[last]
+
+
 def _split(docs: DataFrame, spans: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows of docs that can have spans, with them, and the rest. Only the former are shuffled."""
     bits = docs.sparkSession.sparkContext.broadcast(sketch.bitmap(spans, sketch.place("doc_id")))
@@ -337,16 +356,22 @@ def digest(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in portions(batches):
-            out: list[list] = [[], [], [], []]
-            for t, s in zip(_bytes(b.column(1)), b.column(2).to_pylist(), strict=True):
-                runs, kept, at = union(s, len(t)), hashlib.sha256(), 0
-                for lo, hi in runs:
-                    kept.update(t[at:lo])
-                    at = hi
-                kept.update(t[at:])
-                for column, x in zip(out, (len(t), sum(hi - lo for lo, hi in runs), len(runs), kept.hexdigest()), strict=True):
-                    column.append(x)
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, pa.string() if i == 3 else pa.int64()) for i, c in enumerate(out))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+            raw = _bytes(b.column(1))
+            sizes = np.array([len(t) for t in raw], dtype=np.int64)
+            text, lo, hi = unions(b.column(2), sizes)
+            edge = np.searchsorted(text, np.arange(len(raw) + 1)).tolist()
+            runs, kept = list(zip(lo.tolist(), hi.tolist(), strict=True)), []
+            for i, t in enumerate(raw):
+                digest, at = hashlib.sha256(), 0
+                for x, y in runs[edge[i] : edge[i + 1]]:
+                    digest.update(t[at:x])
+                    at = y
+                digest.update(t[at:])
+                kept.append(digest.hexdigest())
+            removed = np.bincount(text, weights=hi - lo, minlength=len(raw)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), pa.array(sizes), pa.array(removed), pa.array(np.bincount(text, minlength=len(raw)).astype(np.int64)), pa.array(kept, pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+            )
 
     changed = hit.select("doc_id", "text", "removed_spans").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
     text, zero = F.coalesce("text", F.lit("")), F.lit(0).cast("long")
