@@ -2,7 +2,7 @@
 
 Every document's set is ordered rarest shingle first; two sets that are similar enough share one of their first shingles (prefix filter), so
 candidates meet under a common prefix shingle. There they are points of an R-tree of count vectors, which bounds their overlap; pairs
-that pass are verified on their whole sets. In a first round a document is only held against the first document under any of its
+that pass are verified on their whole sets. In a first round a document is only held against the first document under each of its
 shingles, which ties groups of copies together at a cost that is linear in their size; in a second round all other
 pairs under a shingle are tried that don't lie in one component already. Copies (equal sets) count once.
 """
@@ -33,6 +33,8 @@ FREQUENT = 50_000
 LEAST_COUNT = 16
 #: Members that are verified against one document in one task.
 STAR = 256
+#: Rounds of joining components between the rounds of links: pairs of one component may be met then without need, but few are.
+ROUNDS = 2
 #: Tasks' worth of shingles in the second round; more of them only make smaller lots.
 LOTS = 4096
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -272,21 +274,22 @@ def similar(docs: DataFrame, per_cent: int = PER_CENT, block: int = BLOCK) -> Da
     scratch = Scratch(docs.sparkSession)
     surveyed, often = survey(docs)
     named = surveyed.where("doc_id is not null and n > 0")
-    classes = named.groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("id"))
+    # Groupings are written before they are joined, so that Spark can split a key that very many documents have.
+    classes = named.groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("id")).checkpoint()
     member = named.join(classes, ["n", "k1", "k2"]).select("doc_id", "id", "n").distinct().checkpoint()
     rows = prefixes(docs, _frequent(often), per_cent)
     shared = scratch.keep(rows.groupBy("shingle").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low <> high").select("shingle"), "shared")
     scratch.tidy()
     live = scratch.keep(rows.join(shared, "shingle").join(member, "doc_id").select("shingle", "id", "n").distinct(), "live")
     scratch.tidy()
-    several = live.groupBy("shingle").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low <> high").select("shingle")
+    several = live.groupBy("shingle").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low <> high").select("shingle").checkpoint()
     # Similar sets have sizes in one class or in neighbours, so a document stands in its own class and in the next.
     size = F.floor(F.log("n") / F.log(F.lit(101.0 / per_cent)))
     classed = F.explode(F.array(F.xxhash64("shingle", size), F.xxhash64("shingle", size + 1)))
     alike = scratch.keep(live.join(several, "shingle").select(classed.alias("shingle"), "id"), "alike")
-    first = alike.groupBy("shingle").agg(F.min("id").alias("b"), F.max("id").alias("top")).where("b <> top").select("shingle", "b")
+    first = alike.groupBy("shingle").agg(F.min("id").alias("b"), F.max("id").alias("top")).where("b <> top").select("shingle", "b").checkpoint()
     meets = scratch.keep(alike.join(first, "shingle"), "meets")
-    stars = meets.where("id <> b").groupBy(F.col("id").alias("a")).agg(F.min("b").alias("b")).checkpoint()
+    stars = scratch.keep(meets.where("id <> b").select(F.col("id").alias("a"), "b").distinct(), "stars")
     meets = meets.select("shingle", "id")
     scratch.tidy()
     points = scratch.keep(points_of(docs, meets.select("id")), "points")
@@ -294,7 +297,7 @@ def similar(docs: DataFrame, per_cent: int = PER_CENT, block: int = BLOCK) -> Da
     allowed = scratch.keep(_bounded(stars, points, per_cent), "allowed")
     links = verified(allowed, texts_of(docs, allowed), per_cent).checkpoint()
     scratch.tidy()
-    more = scratch.keep(_second_round(meets, components(links), stars, points, per_cent, block).join(stars, ["a", "b"], "left_anti"), "more")
+    more = scratch.keep(_second_round(meets, components(links, ROUNDS).checkpoint(), stars, points, per_cent, block).join(stars, ["a", "b"], "left_anti"), "more")
     scratch.tidy()
     links = links.union(verified(more, texts_of(docs, more), per_cent)).union(member.where("doc_id <> id").select("doc_id", "id")).checkpoint()
     scratch.clear()
