@@ -1,8 +1,8 @@
 """Licence scan: TF-IDF cosine of text lines to licence templates, then inheritance from the nearest licensed directory.
 
-Everything is a DataFrame expression. A line is a vector over the templates' terms (common words aside); words that no template
-has add to its length alone, so that prose which mentions a licence isn't one. Only lines with such a term can have a cosine above 0, and
-only those are taken apart. Document frequencies come from grouped counts over all documents.
+Everything is a DataFrame expression. A line is a vector over all its words (common ones aside), so that prose which mentions a licence
+isn't one. Only lines with a template's term can have a cosine above 0, and other words only make a line longer: those of a line are taken
+apart where the templates' terms alone reach the threshold. Document frequencies come from grouped counts over all documents.
 """
 
 from __future__ import annotations
@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 
 #: Lines at least this similar to a template carry its licence.
 COSINE = 0.6
-#: Weight of a word that no template has, beside weights of 1 and more.
+#: In the SQL, the weight of a word that no template has; `detect` gives each its own.
 OTHER = 0.3
+#: Rows that are sent to every executor rather than joined by shuffles.
+FEW = 200_000
 #: A licence file has at most so many words; its licence is that of its directory too.
 FILE_WORDS = 150
 
@@ -56,17 +58,46 @@ def _id() -> Column:
     return F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)).cast("long"))
 
 
-def lines(docs: DataFrame) -> DataFrame:
-    """(id, line, word, n, other): how often a line has each of the templates' terms, and how many other words it has; lines without such terms are left out."""
+def _text() -> Column:
+    return _lower(F.coalesce(F.col("text").cast("string"), F.lit("")))
+
+
+def _few(rows: DataFrame) -> DataFrame:
+    """rows, sent to every executor where they are few: then the texts that they are joined with stay where they are."""
+    rows = rows.checkpoint()
+    return F.broadcast(rows) if rows.count() <= FEW else rows
+
+
+def candidates(docs: DataFrame) -> DataFrame:
+    """(id, line, words) of the lines that have a term of a template."""
     anyone = f"(?:^|[^a-z0-9])(?:{'|'.join(vocabulary())})(?:$|[^a-z0-9])"
-    text = _lower(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    numbered = F.transform(F.split(text, "\n"), lambda x, i: F.struct(i.alias("line"), x.alias("text")))
+    numbered = F.transform(F.split(_text(), "\n"), lambda x, i: F.struct(i.alias("line"), x.alias("text")))
     some = docs.select(_id().alias("id"), F.explode(F.filter(numbered, lambda x: F.rlike(x["text"], F.lit(anyone)))).alias("l"))
-    words = some.select("id", "l.line", F.regexp_extract_all(F.col("l.text"), F.lit(TERM), F.lit(0)).alias("words"))
-    # Words that no template has only count: a line of prose with one term gives one row.
-    known = F.filter("words", lambda w: w.isin(*vocabulary()))
-    other = F.size("words") - F.size(known) - F.size(F.filter("words", lambda w: w.isin(*sorted(STOP))))
-    return words.select("id", "line", other.alias("other"), F.explode(known).alias("word")).groupBy("id", "line", "word").agg(F.count("*").alias("n"), F.max("other").alias("other"))
+    return some.select("id", "l.line", F.regexp_extract_all(F.col("l.text"), F.lit(TERM), F.lit(0)).alias("words"))
+
+
+def counted(words: DataFrame) -> DataFrame:
+    """(id, line, word, n): how often each word is in each line."""
+    return words.select("id", "line", F.explode("words").alias("word")).groupBy("id", "line", "word").agg(F.count("*").alias("n"))
+
+
+def lines(docs: DataFrame) -> DataFrame:
+    """(id, line, word, n): how often a line has each of the templates' terms; lines without such terms are left out."""
+    # A line of prose with one term gives one row.
+    return counted(candidates(docs).withColumn("words", F.filter("words", lambda w: w.isin(*vocabulary()))))
+
+
+def rest(docs: DataFrame, near: DataFrame, total: int) -> DataFrame:
+    """(id, line, rest): the summed squares of tf*idf of the words that no template has, for the lines of near(id, line) that have such words.
+
+    Documents are counted for these words only, over all documents.
+    """
+    those = candidates(docs).join(_few(near), ["id", "line"], "left_semi")
+    n = counted(those.withColumn("words", F.filter("words", lambda w: ~w.isin(*vocabulary(), *sorted(STOP))))).checkpoint()
+    once = docs.select(_id().alias("id"), F.explode(F.array_distinct(F.regexp_extract_all(_text(), F.lit(TERM), F.lit(0)))).alias("word"))
+    df = once.join(_few(n.select("word").distinct()), "word", "left_semi").groupBy("word").agg(F.count_distinct("id").alias("df"))
+    value = F.col("n") * (F.log((1.0 + total) / (1.0 + F.col("df"))) + 1.0)
+    return n.join(df, "word").groupBy("id", "line").agg(F.sum(value * value).alias("rest"))
 
 
 def detect(docs: DataFrame, cosine: float = COSINE) -> DataFrame:
@@ -82,9 +113,13 @@ def detect(docs: DataFrame, cosine: float = COSINE) -> DataFrame:
     weights = entries.join(idf, "word").select("template", "licence", "word", (F.col("tf") * F.col("idf")).alias("weight"))
     lengths = weights.groupBy("template").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("t_length"))
     valued = found.join(F.broadcast(idf), "word").withColumn("value", F.col("n") * F.col("idf"))
-    size = valued.groupBy("id", "line").agg(F.sqrt(F.sum(F.col("value") * F.col("value")) + F.lit(OTHER * OTHER) * F.max("other")).alias("length"))
+    size = valued.groupBy("id", "line").agg(F.sum(F.col("value") * F.col("value")).alias("known"))
     dots = valued.join(F.broadcast(weights), "word").groupBy("id", "line", "template", "licence").agg(F.sum(F.col("value") * F.col("weight")).alias("dot"))
-    scored = dots.join(size, ["id", "line"]).join(F.broadcast(lengths), "template").withColumn("cosine", F.round(F.col("dot") / (F.col("length") * F.col("t_length")), 6))
+    most = dots.join(size, ["id", "line"]).join(F.broadcast(lengths), "template")
+    could = most.where(F.round(F.col("dot") / (F.sqrt("known") * F.col("t_length")), 6) >= cosine).checkpoint()
+    others = rest(docs, could.select("id", "line").distinct(), total)
+    length = F.sqrt(F.col("known") + F.coalesce("rest", F.lit(0.0)))
+    scored = could.join(others, ["id", "line"], "left").withColumn("cosine", F.round(F.col("dot") / (length * F.col("t_length")), 6))
     best = scored.where(F.col("cosine") >= cosine).groupBy("id", "licence").agg(F.max("cosine").alias("cosine"))
     return best.groupBy("id").agg(F.min(F.struct((-F.col("cosine")).alias("less"), "licence", "cosine")).alias("b")).select("id", "b.licence", "b.cosine")
 

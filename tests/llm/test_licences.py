@@ -27,6 +27,12 @@ def test_scan(spark):
     }
 
 
+def test_every_word_has_its_weight(spark):
+    rare = " ".join(f"rare{k}" for k in range(20))
+    rows = [(1, "a", f"copy associated documentation free charge {rare}"), (2, "b", "Released under the MIT License."), *((k, "c", "word") for k in range(3, 300))]
+    assert {k: v for k, v in scan(spark, rows).items() if v[0]} == {2: ("MIT", "own")}
+
+
 def test_empty(spark):
     assert scan(spark, []) == {}
     assert scan(spark, [(1, "x", "MIT License"), (1, "x", "MIT License")]) == {1: ("MIT", "own")}
