@@ -1,0 +1,96 @@
+"""Words of the full texts of the licences, common ones and numbers aside: MIT, BSD, Apache-2.0, GPL (2 and 3), MPL-2.0, CC0."""
+
+COMMON = frozenset(
+    """a about all also an and any are as at be been but by c can did do does each for from had has have he her here his i if in into is it its may me more
+most must my no not of on one only or other our out over s shall she should so some such than that the their then there these they this those to two
+under up was we were what when where which who whom will with without would you your""".split()
+)
+WORDS = frozenset(
+    """6b 6d abandoned abandons ability able above absence absolute absolutely abuse accept acceptance accepting access accessible accompanied accompanies
+accompany accord according account accuracy accurate achieve acknowledges acquired across act acting action actions activities activity acts actual
+actually adapt add added addendum addition additional additionally additions address addressed adopted adversely advertising advised affect affected
+affects affero affirmed affirmer affirms after against aggregate aggregation agree agreed agreement agreements aim allegation alleging allow allowed
+alone along alongside already alter alternative although amended among ancillary annotations announcement another anti anyone anything apache
+apparatus appear appendix applicable application applications applied applies apply appropriate appropriately appropriateness approximates april
+archives area arise arising arrange arrangement article ask asking assert asserted asserting assets associated associating assume assumption
+assumptions assures attach attached attempt attorney attributed attribution attributions author authorization authorized authorizes authorizing
+authors authorship automatic automatically available avoid away back balance based basic basis because become behalf being believe believed believes
+below beneficial benefit best between beyond binary bind body boilerplate boston both box brackets brief bring brought build business california
+called cancellation cannot carry case cases cause caused causes cc0 cease certain cessation change changed changing character characterized charge
+choice choose choosing circumstance circumstances circumvention civil claim claims class clear clearing clearly clicks client closely code collect
+collective combination combine combined combines come comes commands comment commercial commit commitment common commons communicate communication
+compelled compensation competition compilation compilations compiled compiler compilers complete compliance compliant complies comply component
+components computer computers concerning concerns conditioned conditions confer configuration conflict connection consents consequence consequential
+consider consideration considered consistent conspicuously constantly constitute constitutes construe construed consumer contact contain contained
+containing contains contemplated content contents contest context continue continued contract contractual contradict contrary contrast contravention
+contribute contributes contributing contribution contributions contributor contributors contributory control controlled controls convenient
+conversions convey conveyance conveyed conveying conveys coon copies copy copying copyleft copyright copyrightable copyrighted corporation correction
+corresponding cost could council counter counterclaim countries country counts course court courts covenant coverage covered create creates creation
+creative creator criterion cross cultural culture cure current customarily customary customer damage damages danger data database databases date days
+deal dealing dealings death december decide decision declaratory declining deemed defective defects defend defendant defenses defined definition
+definitions deletion deliberate denied denominated deny denying depends depicted deprive derivative derivatives derived describe described describing
+description designated designed desirable detail detailed details determining detriment develop developers development devices differ different
+differently differs direct direction directions directive directly directory disclaim disclaimed disclaimer disclaimers disclaiming disclaims
+discoverable discriminatory discussing display displayed displays disrupt dissemination distinguishing distribute distributed distributes distributing
+distribution distributions distributors doctrines document documentation documented domains don donor doubtful downstream drafter due durable duration
+duty dwelling dynamically earlier easier ec editorial effect effected effective effectively efforts either elaborations electronic elects else
+embodied employer enable enables enclosed end endorse enforce enforceable enforcing enjoyment ensure entered entire entirely entities entity equitable
+equivalent equivalents erroneously errors essential european even event ever every everyone exact example except exception exceptions exchange
+excluded excluding exclusion exclusive exclusively excuse executable execute executed executing exemplary exercise exercising exhibit existing
+expectation expected expects explains explicit explicitly exploit express expressed expressly extend extended extensions extent extraction facilities
+factual fail fails failure fair fallback family fashion favor fear feature fee fields fifth fifty file filed files finally find firm first fit fitness
+fixed floor flow follow following forbid force form format forming forms found foundation franklin free freedom freedoms freely fsf fulfilling full
+fully functioning fundamentally furnished further future gain general generally generate generated generous geographical get give given gives giving
+gnomovision gnu goals goods goodwill governed governing gpl grant granted granting grants gratis greater greatest grossly guarantee gui guided hacker
+harmless having heirs held hereafter hereby herein hereinafter hereof hereunder hold holder holders hope hosts household how however html http https
+hypothetical idea ideal identifiable identification identifying ii iii image implement implementation implementations implemented implied import
+importing impose imposed impossible improving inability inaccuracies inaccurate inc incidental include included includes including inclusion
+incompatible incorporate incorporated incorporates incorporating incorporation incurred indemnification indemnify indemnity independent indicate
+indicated indicating indirect indirectly individual individually individuals induce industrial ineffective ineffectiveness inform information
+informational informed infringe infringed infringement infringements infringes infringing initial initiate injury inside install installation
+installed instead institute intact integrity intellectual intended intending intent intention intentionally interaction interactive interactively
+interchange interest interface interfaces interfered interpretation interpreter interruption intimate introduced invalid invalidate invalidity
+irrevocable irrevocably issue issues item items itself iv james january judged judgment judicial june jurisdiction jurisdictions keep kernel key keys
+kind kinds know knowingly knowledge known language large larger latent later law laws lawsuit least legal legally lesser lgpl liability liable
+libraries library licensable license licensed licensee licensees licenses licensing licensor licensors like likely likeness likewise limit limitation
+limitations limited limiting line link linked linking list lists litigation local location logos long look loss losses lost ma machine made mail
+mailing maintain maintains major make makes making malfunction managed management manner manufacturer many march marked marks masks material
+materially materials matter maximum mean meaning means measure measures mechanical media medium meet meets member menu merchantability merchantable
+mere merely merge merging met method methods might miscellaneous misrepresentation mit mode model modification modifications modified modifies modify
+modifying modules moral moreover motivations mouse mozilla mpl name names national nature necessarily necessary need needed negligence negligent
+neighboring neither network new next non noncommercial noncommercially noninfringement nor normal normally note nothing notice notices notifies notify
+notwithstanding now number numbered object obligate obligated obligation obligations obtain obtaining occasionally occurring occurs offer offered
+offering offers official ongoing operate operated operating operation option options order ordinary org organization organizations origin original
+originally others otherwise ours output outside outstanding overtly own owned owner owners ownership owns packaged packaging page paper paragraph
+paragraphs parliament part partial particular parties parts party pass passed passes password patent patents pattern payment peer peers people percent
+perform performance performer performing permanently permissible permission permissions permissive permit permits permitted perpetual perpetuity
+person personal persons pertain pertaining pertinent physical physically pieces place placed places please plus pointer portion portions possesses
+possession possibility possible power practical practice practices preamble precise precisely predecessor preferred prepare present presents
+preservation preserved preserving president prevent prevented previous price primarily principal print printed prior privacy private problems
+procedures process procurement procuring produce product production products profits program programmer programming programs prohibit prohibited
+prohibiting prohibits prominent prominently promote promoting promotional propagate propagating propagation property proprietary protect protected
+protecting protection protocols prove provide provided provides provision provisionally provisions proxy public publicity publicly publish published
+purpose purposes pursuant put qualify quality quiet range rather read readable readily reading reads ready reason reasonable reasonably receipt
+receive received receives receiving recipient recipients recognized recommend redistribute redistributing redistribution redistributions
+redistributors refer reference references referring refers reflect reformed refrain regard regarding regardless regards regenerate regents regulation
+reinstated related relating relationship released relevant reliably reliance relicensing relinquish relying remain remainder remaining remains remedy
+removal remove removed rename render rendered repair replaced represent representation representations representatives represents reproduce
+reproducing reproduction reputation reputations require required requirement requirements requires requiring rescission resellers reserved resolved
+respect responsibilities responsibility responsible rest restrict restricted restricting restriction restrictions result resulting results retain
+retained retains return reuse reviewing revised revisions revocation right rights risk risks rom royalty rules run running runs safest sake sale same
+sample satisfy say saying school scientific scope scripts secondarily secondary section sections see sell selling semiconductor sent separable
+separate separately server serves service services servicing share shared shares sharing short show sign signature signed significant similar
+simultaneously since single skill software sold sole solely someone something sometimes source spare speak special specific specifically specified
+specifies specify spirit stand standard standards start started starts state stated statement states stating status statute statutory steps steward
+stoppage storage street strict subdividing subject sublicensable sublicense sublicenses sublicensing submission submit submitted subprograms
+subroutine subsection subsequent subsequently substance substantial substantially substitute successor successors sue suffice sufficient sufficiently
+suits supersede supplement support supports sure surrender surrendered surrenders survive sustained syntax system systematic systems take taking
+tangible technological telling tells term terminal terminate terminated terminates termination terms territories text them themselves theory therefore
+thereof things third thoroughly though threatened three through throughout thus time timely title too tools tort tracking trade trademark trademarks
+transaction transfer transferable transferred transferring transformation translate translated translation transmission treated treaty true ty type
+types typical unacceptable unconditional unconditionally understand understands unenforceable unfair union universal university unknown unless
+unlimited unmodified unnecessary unpacking until updates upon usa use used useful user users uses using valid validity validly verbal verbatim version
+versions vi vice view vii violates violation visible void volume voluntarily waive waived waiver waives want warranties warranty way ways welcome well
+whatever whatsoever wherever whether while whole whose why wide widely willing window wipo wish within work working works world worldwide write
+writing written wrote www year years yourself yoyodyne yyyy""".split()
+)

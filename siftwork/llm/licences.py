@@ -10,14 +10,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siftwork.llm.licence_words import COMMON, WORDS
+
 #: Lines at least this similar to a template carry its licence.
 COSINE = 0.6
 #: In the SQL, the weight of a word that no template has; `detect` gives each its own.
 OTHER = 0.3
 #: Rows that are sent to every executor rather than joined by shuffles.
 FEW = 200_000
-#: A licence file has at most so many words; its licence is that of its directory too.
+#: A document of at most so many words with a notice is a licence file; its licence is that of its directory too.
 FILE_WORDS = 150
+#: So is a longer one with this share of its words, common ones aside, among those of the full texts.
+FULL_TEXT = 0.8
 
 # The usual short notices of these licences.
 TEMPLATES = (
@@ -124,18 +128,27 @@ def detect(docs: DataFrame, cosine: float = COSINE) -> DataFrame:
     return best.groupBy("id").agg(F.min(F.struct((-F.col("cosine")).alias("less"), "licence", "cosine")).alias("b")).select("id", "b.licence", "b.cosine")
 
 
+def full_text(n_words: Column) -> Column:
+    """Whether a text of n_words is that of a licence, by its words; what isn't in Latin letters counts as words that no licence has."""
+    every = F.regexp_extract_all(_text(), F.lit(TERM), F.lit(0))
+    words = F.filter(every, lambda w: ~w.isin(*sorted(COMMON)))
+    n = F.greatest(F.size(words), n_words - (F.size(every) - F.size(words)))
+    return F.size(F.filter(words, lambda w: w.isin(*sorted(WORDS)))) >= F.lit(FULL_TEXT) * n
+
+
 def scan(files: DataFrame, cosine: float = COSINE) -> DataFrame:
     """doc_id, directory, licence, cosine, origin ('own', 'inherited' or null) for every row of files(doc_id, directory, text).
 
     A file has the licence of its best line, or else that of the nearest directory above it, its own first, that holds a licence file: a
-    short file with a licence of its own; of several the one of the smallest doc_id counts. A null or empty text has no licence of its
+    file with a licence of its own that is short or a licence's full text; of several the one of the smallest doc_id counts. A null or empty text has no licence of its
     own; a null directory has none to inherit and gives none; rows of equal doc_id share what is found in any of them; other columns are
     ignored; an empty table gives no rows.
     """
     own = detect(files, cosine).checkpoint()
-    slim = files.select("doc_id", _id().alias("id"), F.col("directory").cast("string").alias("directory"), F.regexp_count(F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit("[^ \\t\\n\\r]+")).alias("n_words"))
+    n_words = F.regexp_count(F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit("[^ \\t\\n\\r]+"))
+    slim = files.select("doc_id", _id().alias("id"), F.col("directory").cast("string").alias("directory"), F.when(n_words <= FILE_WORDS, True).otherwise(full_text(n_words)).alias("file"))
     known = slim.join(own, "id", "left")
-    given = known.where(f"licence is not null and n_words <= {FILE_WORDS}").groupBy("directory").agg(F.min(F.struct("id", "licence")).alias("first")).select(F.col("directory").alias("above"), F.col("first.licence").alias("above_licence"))
+    given = known.where("licence is not null and file").groupBy("directory").agg(F.min(F.struct("id", "licence")).alias("first")).select(F.col("directory").alias("above"), F.col("first.licence").alias("above_licence"))
     parts = F.split("directory", "/")
     ways = slim.where("directory is not null").select("directory").distinct()
     steps = ways.select("directory", F.explode(F.sequence(F.lit(1), F.size(parts))).alias("depth")).withColumn("above", F.array_join(F.slice(parts, F.lit(1), F.col("depth")), "/"))

@@ -1,5 +1,28 @@
+import pathlib
+
+import pytest
+
 from siftwork.llm import licences
 
+APACHE = pathlib.Path("/usr/share/common-licenses/Apache-2.0")
+MIT = """MIT License
+
+Copyright (c) 2020 Someone Permission is hereby granted, free of
+charge, to any person obtaining a copy of this software and associated
+documentation files (the "Software"), to deal in the Software without
+restriction, including without limitation the rights to use, copy, modify,
+merge, publish, distribute, sublicense, and/or sell copies of the Software,
+and to permit persons to whom the Software is furnished to do so, subject to
+the following conditions: The above copyright notice and this permission
+notice shall be included in all copies or substantial portions of the
+Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND,
+EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF
+MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO
+EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES
+OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE,
+ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER
+DEALINGS IN THE SOFTWARE."""
+
 
 def scan(spark, rows):
     docs = spark.createDataFrame(rows, "doc_id long, directory string, text string").selectExpr("doc_id", "directory", "text", "1 as id", "2 as licence", "3 as word")
@@ -33,6 +56,14 @@ def test_every_word_has_its_weight(spark):
     assert {k: v for k, v in scan(spark, rows).items() if v[0]} == {2: ("MIT", "own")}
 
 
+@pytest.mark.skipif(not APACHE.exists(), reason="no full text")
+def test_full_texts_are_licence_files(spark):
+    long = "the water of the old house ran over many green stones in summer " * 20
+    rows = [(1, "a", MIT), (2, "a", "x"), (3, "b", APACHE.read_text()), (4, "b/c", "x"), (5, "d", f"{long}\nReleased under the MIT License."), (6, "d", "x")]
+    assert len(MIT.split()) > licences.FILE_WORDS
+    assert scan(spark, rows) == {1: ("MIT", "own"), 2: ("MIT", "inherited"), 3: ("Apache-2.0", "own"), 4: ("Apache-2.0", "inherited"), 5: ("MIT", "own"), 6: (None, None)}
+
+
 def test_empty(spark):
     assert scan(spark, []) == {}
     assert scan(spark, [(1, "x", "MIT License"), (1, "x", "MIT License")]) == {1: ("MIT", "own")}
