@@ -21,7 +21,7 @@ from siftwork.llm import html
 from siftwork.llm.batches import portions
 
 DIM = 1 << 15
-#: Labelled documents that the text model is fitted on, at most: those with the smallest hash of their id.
+#: Labelled documents of each language that the text model is fitted on, at most: those with the smallest hash of their id.
 SAMPLE = 4_000
 #: Character sequences are far from independent: a page counts as so many of them, at most.
 WEIGHT = 60.0
@@ -57,8 +57,18 @@ _KNOWN: dict[str, list[int]] = {}
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarray]:
-    """Languages, and the log probability of each hashed sequence in each, from documents(doc_id, text, lang); rows of null language or text take no part."""
-    chosen = docs.where("lang is not null and text is not null").select(F.col("doc_id").cast("long"), "text", F.col("lang").cast("string")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    """Languages, and the log probability of each hashed sequence in each, from documents(doc_id, text, lang); rows of null language or text take no part.
+
+    Languages are those of all documents; the sample is drawn in each, so that a rare one isn't missed.
+    """
+    labelled = docs.where("lang is not null and text is not null").select(F.col("doc_id").cast("long"), "text", F.col("lang").cast("string"))
+    chosen = None
+    # One plan a language: each sample is the top of its own sort, so that no task gets all documents of a language.
+    for (lang,) in labelled.groupBy("lang").count().select("lang").orderBy("lang").collect():
+        some = labelled.where(F.col("lang") == lang).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+        chosen = some if chosen is None else chosen.unionByName(some)
+    if chosen is None:
+        return [], np.zeros((0, DIM))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total: dict[str, np.ndarray] = {}

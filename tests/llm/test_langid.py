@@ -34,6 +34,13 @@ def test_evidence(spark):
     assert got[None].lang is not None and abs(got[0].probability - 1) < 0.05
 
 
+def test_rare_language_is_known(spark):
+    rng = random.Random(4)
+    docs = [(k, prose(rng, "en" if k else "fr", 20), "en" if k else "fr") for k in range(60)]
+    langs, logp = langid.fit(spark.createDataFrame(docs, "doc_id long, text string, lang string"), sample=1)
+    assert langs == ["en", "fr"] and logp.shape == (2, langid.DIM)
+
+
 def test_empty(spark):
     _, model = setup(spark)
     none = spark.createDataFrame([], "page_id long, url string, html string")
