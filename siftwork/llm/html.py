@@ -187,7 +187,7 @@ def features(blocks: list[Block]) -> np.ndarray:
         x[i, place["log_words"]] = np.log1p(n) / 3
         x[i, place["few_words"]] = n < 5
         x[i, place["ends"]] = b.text[-1] in ".!?:;\"'”»…。"
-        x[i, place["stops"]] = min(1.0, 3 * sum(w in STOPS for w in b.text[:2000].lower().split()) / min(n, 400))
+        x[i, place["stops"]] = min(1.0, 3 * sum(w in STOPS for w in b.text.lower().split()) / n)
         x[i, place["bias"]] = 1
     return x
 

@@ -66,3 +66,12 @@ def test_rows(spark):
     got = html.extract(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect()
     assert sorted((r.page_id or 0, r.n_chars) for r in got) == [(0, 0), (1, 61), (1, 61)]
     assert html.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_stop_words_are_counted_in_whole_blocks():
+    (block,) = html.blocks_of("<p>" + "xyzzy " * 500 + "the " * 499 + "the.</p>")
+    (other,) = html.blocks_of("<p>" + "the " * 500 + "xyzzy " * 499 + "xyzzy.</p>")
+    at = html.FEATURES.index("stops")
+    assert html.features([block])[0, at] == html.features([other])[0, at] == 1
+    (tail,) = html.blocks_of("<p>" + "xyzzy " * 900 + "the " * 99 + "xyzzy.</p>")
+    assert abs(html.features([tail])[0, at] - 0.297) < 1e-9
