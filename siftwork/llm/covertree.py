@@ -12,9 +12,12 @@ from collections.abc import Iterator
 import numpy as np
 
 LEAF = 24
-#: Room for rounding in comparisons of distances.
+#: Room for rounding in comparisons of distances between points of lengths up to 1.
 EPS = 1e-6
-LOWEST = -(1 << 62)
+#: Scores are held as longs; one that doesn't fit is the nearest of these.
+HIGHEST = (1 << 63) - 1
+LOWEST = -HIGHEST
+NOBODY = np.iinfo(np.int64).max
 CHUNK = 256
 
 
@@ -22,7 +25,7 @@ def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum((a * a).sum(axis=1)[:, None] + (b * b).sum(axis=1)[None] - 2 * (a @ b.T), 0))
 
 
-def _net(x: np.ndarray, points: np.ndarray, radius: float) -> Iterator[tuple[int, np.ndarray]]:
+def net(x: np.ndarray, points: np.ndarray, radius: float) -> Iterator[tuple[int, np.ndarray]]:
     """Greedy cover: (centre, its points). Each point belongs to the first centre within the radius; points[0] is the first centre."""
     rest = points
     while len(rest):
@@ -69,12 +72,12 @@ class Tree:
             while r and r >= radius[k]:
                 r /= 2
             if n > leaf and radius[k] > 3 * EPS and r > 0:
-                net = list(_net(x, self.order[lo[k] : hi[k]].copy(), r))
-                if n < fill * len(net):
+                made = list(net(x, self.order[lo[k] : hi[k]].copy(), r))
+                if n < fill * len(made):
                     k += 1
                     continue
                 first[k], at = len(center), lo[k]
-                for c, below in net:
+                for c, below in made:
                     self.order[at : at + len(below)] = below
                     level[len(center)] = r / 2
                     center.append(c)
@@ -126,12 +129,12 @@ def close_leaves(a: Tree, b: Tree, limit: float, step: int = 1024) -> Iterator[t
 
 
 class Best:
-    """The k highest scores of each of n queries, ties to the smaller id."""
+    """The k highest scores of each of n queries, ties to the smaller id; NOBODY where there are fewer."""
 
     def __init__(self, n: int, k: int):
         self.k = k
         self.score = np.full((n, k), LOWEST)
-        self.id = np.full((n, k), np.iinfo(np.int64).max)
+        self.id = np.full((n, k), NOBODY)
 
     def worst(self, rows: np.ndarray) -> int:
         return self.score[rows, -1].min()
@@ -141,7 +144,7 @@ class Best:
         if not useful.any():
             return
         both = np.concatenate([self.score[rows], scores[:, useful]], axis=1)
-        who = np.concatenate([self.id[rows], np.broadcast_to(ids[useful], (len(rows), int(useful.sum())))], axis=1)
+        who = np.concatenate([self.id[rows], np.broadcast_to(ids, scores.shape)[:, useful]], axis=1)
         if both.shape[1] > 4 * self.k:
             # What is below the kth score goes before the sort; ties with it stay.
             kth = np.partition(both, both.shape[1] - self.k, axis=1)[:, both.shape[1] - self.k]
@@ -153,15 +156,85 @@ class Best:
         self.id[rows] = np.take_along_axis(who, order, axis=1)
 
 
-def search(queries: Tree, own: np.ndarray, data: Tree, ids: np.ndarray, best: Best, step: int = 1024) -> None:
-    """Updates `best` with the data points of the highest inner products for each query, the query's own row (equal id) excepted.
+class Products:
+    """Exact inner products of rows floor(scale * a) and floor(scale * b), clipped to longs.
+
+    Lengths tell how far numbers grow on the way: double precision is exact below 2**53, longs are below 2**63; beyond that Python's integers
+    count, pair by pair.
+    """
+
+    def __init__(self, a: np.ndarray, b: np.ndarray, scale: int):
+        self.raw, self.scale = (a, b), scale
+        with np.errstate(over="ignore"):
+            self.whole = tuple(np.floor(x * scale) for x in (a, b))
+            self.norm = tuple(np.sqrt((x * x).sum(axis=1)) for x in self.whole)
+
+    def _integers(self, side: int, rows: np.ndarray) -> np.ndarray:
+        out = np.empty((len(rows), self.raw[side].shape[1]), dtype=object)
+        for r, i in enumerate(rows.tolist()):
+            # Doubles from 2**53 on are whole numbers.
+            out[r] = [int(x) * self.scale if abs(x) > 2**53 else int(np.floor(x * self.scale)) for x in self.raw[side][i].tolist()]
+        return out
+
+    def of(self, rows: np.ndarray, points: np.ndarray) -> np.ndarray:
+        out = np.empty((len(rows), len(points)), dtype=np.int64)
+        for long in (False, True):
+            r = np.nonzero((self.norm[0][rows] >= 1 << 26) == long)[0]
+            if not len(r):
+                continue
+            size = np.maximum(self.norm[0][rows[r]].max(), 1.0) * np.maximum(self.norm[1][points], 1.0)
+            tier = np.where(size < 2.0**52, 0, np.where(size < 2.0**62, 1, 2))
+            for t in np.unique(tier).tolist():
+                p = np.nonzero(tier == t)[0]
+                a, b = rows[r], points[p]
+                if t == 0:
+                    got = np.rint(self.whole[0][a] @ self.whole[1][b].T).astype(np.int64)
+                elif t == 1:
+                    got = self.whole[0][a].astype(np.int64) @ self.whole[1][b].astype(np.int64).T
+                else:
+                    got = np.clip(self._integers(0, a) @ self._integers(1, b).T, LOWEST, HIGHEST).astype(np.int64)
+                out[np.ix_(r, p)] = got
+        return out
+
+
+#: Longer rows take no part in the trees: squares of lengths have to be finite. They are compared one by one.
+ENDLESS = 2.0**400
+
+
+def search(a: np.ndarray, own: np.ndarray, b: np.ndarray, ids: np.ndarray, best: Best, scale: int = 1, step: int = 1024) -> None:
+    """Updates `best` with the rows of b of the highest inner products for each row of a, the row's own id excepted.
 
     For a query node of centre c and radius r and a data node of centre e and radius s no inner product exceeds
-    c.e + r|e| + s|c| + rs; the pair is pruned if that is below the worst kth score of the node's queries.
-    The matrices hold whole numbers, so scores are exact in double precision.
+    c.e + r|e| + s|c| + rs; the pair is pruned if that is below the worst kth score of the node's queries. Bounds are those of the rows
+    over the longest one's length, with room for rounding; scores are exact.
     """
-    if not len(queries.x) or not len(data.x):
+    if not len(a) or not len(b):
+        return
+    exact = Products(a, b, scale)
+    tame = tuple(n < ENDLESS for n in exact.norm)
+
+    def compare(rows: np.ndarray, points: np.ndarray) -> None:
+        for s in range(0, len(points), step):
+            p = points[s : s + step]
+            scores = exact.of(rows, p)
+            mine = own[rows][:, None] == ids[p][None]
+            scores[mine] = LOWEST
+            best.add(rows, scores, np.where(mine, NOBODY, ids[p][None]))
+
+    every = np.arange(len(b))
+    for s in np.nonzero(~tame[0])[0].tolist():
+        compare(np.array([s]), every)
+    for s in range(0, len(a), step):
+        rows = np.arange(s, min(s + step, len(a)))
+        rows = rows[tame[0][rows]]
+        if len(rows) and not tame[1].all():
+            compare(rows, np.nonzero(~tame[1])[0])
+    which = tuple(np.nonzero(t)[0] for t in tame)
+    if not len(which[0]) or not len(which[1]):
         return
+    unit = max(1.0, float(exact.norm[0][which[0]].max()), float(exact.norm[1][which[1]].max()))
+    queries = Tree(exact.whole[0][which[0]] / unit, leaf=64, fill=4)
+    data = Tree(exact.whole[1][which[1]] / unit)
     norm = np.sqrt((data.x * data.x).sum(axis=1))
 
     def alive(group: int, rows: np.ndarray, nodes: np.ndarray) -> np.ndarray:
@@ -169,7 +242,9 @@ def search(queries: Tree, own: np.ndarray, data: Tree, ids: np.ndarray, best: Be
         at = data.center[nodes]
         bound = data.x[at] @ c + r * norm[at] + data.radius[nodes] * (np.sqrt(c @ c) + r)
         order = np.argsort(-bound, kind="stable")
-        return nodes[order[bound[order] + EPS >= best.worst(rows)]]
+        worst = best.worst(which[0][rows])
+        # LOWEST stands for fewer than k, and for all scores that are lower.
+        return nodes[order[bound[order] + EPS >= (float(worst) / unit / unit if worst > LOWEST else -np.inf)]]
 
     todo = [(0, np.array([0]))]
     while todo:
@@ -185,9 +260,6 @@ def search(queries: Tree, own: np.ndarray, data: Tree, ids: np.ndarray, best: Be
             nodes = alive(group, rows, data.below(nodes))
         while len(nodes):
             taken = int(np.searchsorted(np.cumsum(data.hi[nodes] - data.lo[nodes]), step)) + 1
-            points = data.gathered(nodes[:taken])
-            scores = np.rint(queries.x[rows] @ data.x[points].T).astype(np.int64)
-            scores[own[rows][:, None] == ids[points][None]] = LOWEST
-            best.add(rows, scores, ids[points])
+            compare(which[0][rows], which[1][data.gathered(nodes[:taken])])
             nodes = nodes[taken:]
             nodes = alive(group, rows, nodes) if len(nodes) else nodes

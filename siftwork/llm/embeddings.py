@@ -1,22 +1,23 @@
 """Near duplicates and exact top-k search over embeddings, both by walking two cover trees at once.
 
-Vectors are dealt into blocks of bounded size; a task builds the trees of two blocks and walks them together. Blocks of one
-label (near duplicates), or of queries and rows (search), meet in pairs, so every pair of vectors is decided in exactly
-one task, by bounds or by its own value. Copies of a vector are one point with a weight.
+The top levels of a cover tree over a bounded sample give pivots; every vector goes to its nearest pivot, whose cell has its true covering radius. Cells
+are the nodes that the dual walk starts from: pairs of cells that their radii rule out are never shipped. Cells are dealt in
+blocks of bounded size; a task builds the trees of two blocks and walks them together, so every pair of vectors is decided in
+exactly one task or by the bounds of its cells. Copies of a vector are one point with a weight.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftwork.llm.components import components, forest
-from siftwork.llm.covertree import Best, Tree, close_leaves, search
+from siftwork.llm.covertree import ENDLESS, EPS, LOWEST, NOBODY, Best, Tree, close_leaves, distances, net, search
 
 COSINE = 0.93
 BLOCK = 2048
@@ -27,6 +28,12 @@ QUERY_BLOCK = 1024
 #: Tasks, at most; with more pairs of blocks a task has several.
 TASKS = 20_000
 DATA_BLOCK = 8192
+#: Vectors that pivots are chosen from, at most, and their numbers in all: those with the smallest hashes of their ids. All vectors are dealt to the pivots.
+SAMPLE, SAMPLE_NUMBERS = 1024, 1 << 20
+#: Cells serve where their bounds rule out this share of the pairs of vectors at least; else vectors are dealt evenly.
+SPARED = 0.3
+#: Number of a block: cell * UNITS + unit.
+UNITS = 1 << 40
 
 
 def usable(vectors: DataFrame, nonzero: bool) -> DataFrame:
@@ -41,6 +48,88 @@ def _matrix(column: pd.Series) -> np.ndarray:
     return np.array(column.tolist(), dtype=np.float64)
 
 
+def _unit(x: np.ndarray) -> np.ndarray:
+    """Rows over their lengths; over their largest components first, so that squares neither vanish nor overflow."""
+    x = x / np.abs(x).max(axis=1, keepdims=True)
+    return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+
+
+def _whole(x: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return np.floor(x * SCALE)
+
+
+def _pivots(x: np.ndarray, want: int) -> np.ndarray:
+    """`want` centres of the levels of a cover tree, coarser levels first; each level's radius is half of the one above."""
+    chosen, radius = [0], float(distances(x[:1], x).max())
+    while len(chosen) < min(want, len(x)) and radius > EPS:
+        radius /= 2
+        # Nested: the centres so far lead the next level.
+        rest = np.setdiff1d(np.arange(len(x)), chosen)
+        chosen = [c for c, _ in net(x, np.concatenate([np.array(chosen), rest]), radius)]
+    return x[chosen[:want]]
+
+
+class Cells:
+    """Pivots of the groups that need several blocks, and what cells are made of: (group columns, cell, rest) -> blocks to meet."""
+
+    def __init__(self, rows: DataFrame, by: list[str], key: str, block: int, point: Callable[[np.ndarray], np.ndarray]):
+        """rows(*by, key, v); by ends with n_dim. point: what a row of numbers stands for in the tree's space."""
+        self.rows, self.by, self.point = rows, by, point
+        sizes = rows.groupBy(*by).agg(F.count("*").alias("n")).checkpoint()
+        self.pivots: dict[tuple, np.ndarray] = {}
+        large = sizes.where(F.col("n") > block)
+        if not large.limit(1).count():
+            return
+        numbers = F.sum("n_dim").over(Window.orderBy("h", key).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        few = rows.join(large, by, "left_semi").withColumn("h", F.xxhash64(key)).orderBy("h", key).limit(SAMPLE)
+        some = few.withColumn("numbers", numbers).where(F.col("numbers") <= SAMPLE_NUMBERS).toPandas()
+        if len(some):
+            known = {self.name(r): r["n"] for r in large.join(F.broadcast(rows.sparkSession.createDataFrame(some[by].drop_duplicates(), large.select(*by).schema)), by, "left_semi").collect()}
+            for name, group in some.groupby(by, dropna=False):
+                name = tuple(x.item() if hasattr(x, "item") else x for x in name)
+                x = point(_matrix(group["v"]))
+                tame = np.isfinite(x).all(axis=1) & (np.abs(x).max(axis=1) < math.sqrt(ENDLESS))
+                if tame.sum() > 1 and name in known:
+                    self.pivots[name] = _pivots(x[tame], -(-known[name] // block) + 1)
+
+    def name(self, row) -> tuple:
+        return tuple(row[c] for c in self.by)
+
+    def dealt(self) -> DataFrame:
+        """rows with cell and far, the distance to the cell's pivot; -1 for rows too long for the tree, 0 without pivots."""
+        if not self.pivots:
+            return self.rows.withColumn("cell", F.lit(0)).withColumn("far", F.lit(0.0))
+        pivots, point = self.rows.sparkSession.sparkContext.broadcast(self.pivots), self.point
+
+        @F.pandas_udf("struct<cell int, far double>")
+        def nearest(batches: Iterator[tuple[pd.DataFrame, pd.Series]]) -> Iterator[pd.DataFrame]:
+            for names, v in batches:
+                cell, far = np.zeros(len(v), dtype=np.int32), np.zeros(len(v))
+                for name, at in names.groupby(list(names.columns), dropna=False, sort=False).indices.items():
+                    name = name if isinstance(name, tuple) else (name,)
+                    p = pivots.value.get(tuple(name))
+                    if p is None:
+                        continue
+                    x = point(_matrix(v.iloc[at]))
+                    tame = np.isfinite(x).all(axis=1) & (np.abs(x).max(axis=1) < math.sqrt(ENDLESS))
+                    cell[at[~tame]] = -1
+                    d = distances(x[tame], p)
+                    cell[at[tame]], far[at[tame]] = d.argmin(axis=1), d.min(axis=1)
+                yield pd.DataFrame({"cell": cell, "far": far})
+
+        return self.rows.withColumn("near", nearest(F.struct(*self.by), "v")).select(*self.rows.columns, "near.cell", "near.far")
+
+
+def _unit_of(key: str, units: str | Column) -> Column:
+    return F.pmod(F.xxhash64(key), units).cast("long")
+
+
+def _blocks(cells: str) -> Column:
+    """Numbers of the blocks of an array of (cell, units)."""
+    return F.flatten(F.transform(cells, lambda c: F.transform(F.sequence(F.lit(0).cast("long"), c["units"] - 1), lambda u: c["cell"] * F.lit(UNITS) + u)))
+
+
 def near_duplicates(vectors: DataFrame, cosine: float = COSINE, block: int = BLOCK) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row.
 
@@ -52,18 +141,30 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, block: int = BLO
     spark = vectors.sparkSession
     good = usable(vectors.where(F.col("label").isNotNull() & F.col("vec_id").isNotNull()), nonzero=True).withColumn("n_dim", F.size("v"))
     classes = good.groupBy("label", "v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight"), F.first("n_dim").alias("n_dim")).checkpoint()
-    blocks = classes.groupBy("label", "n_dim").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("n_blocks"))
-    dealt = classes.join(blocks, ["label", "n_dim"]).withColumn("own", F.pmod(F.xxhash64("rep"), "n_blocks").cast("int"))
-    # Block i meets every block j: the pair goes by its smaller and its larger number.
-    other = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
-    pairs = other.select("label", "n_dim", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "rep", "weight", "v")
     limit = math.sqrt(2 - 2 * cosine)
+    by = ["label", "n_dim"]
+    cells = Cells(classes, by, "rep", block, _unit)
+    placed = cells.dealt()
+    if cells.pivots:
+        placed = placed.checkpoint()
+    sized = placed.groupBy(*by, "cell").agg(F.count("*").alias("n"), F.max("far").alias("radius"))
+    even = sized.groupBy(*by).agg(F.sum("n").alias("n")).select(*by, F.lit(0).alias("cell"), F.ceil(F.col("n") / F.lit(block)).cast("long").alias("units"))
+    plan = even.withColumn("others", F.array(F.struct(F.lit(0).cast("long").alias("cell"), "units")))
+    kept = close_cells(sized, cells, limit, block) if cells.pivots else None
+    if kept:
+        table = spark.createDataFrame(kept, plan.schema)
+        placed = placed.join(F.broadcast(table.select(*by).distinct().withColumn("celled", F.lit(True))), by, "left").withColumn("cell", F.when(F.col("celled"), F.col("cell")).otherwise(0)).drop("celled")
+        plan = plan.join(F.broadcast(table.select(*by).distinct()), by, "left_anti").unionByName(table)
+    else:
+        placed = placed.withColumn("cell", F.lit(0))
+    dealt = placed.join(plan.checkpoint(), [*by, "cell"]).withColumn("own", F.col("cell") * F.lit(UNITS) + _unit_of("rep", "units"))
+    # Block i meets every block j near it: the pair goes by its smaller and its larger number.
+    other = dealt.withColumn("other", F.explode(_blocks("others")))
+    pairs = other.select("label", "n_dim", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "rep", "weight", "v")
 
     def meet(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("rep", ignore_index=True)
-        x = _matrix(group["v"])
-        unit = x / np.sqrt((x * x).max(axis=1, keepdims=True))
-        unit /= np.sqrt((unit * unit).sum(axis=1, keepdims=True))
+        unit = _unit(_matrix(group["v"]))
         first = (group["own"] == group["p"]).to_numpy()
         same = bool(group["p"].iloc[0] == group["q"].iloc[0])
         a = np.nonzero(first)[0]
@@ -88,8 +189,8 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, block: int = BLO
         return pd.DataFrame({"rep": rep[found], "root": rep[root[found]], "links": links[found]})
 
     # Blocks are small but take long: each pair has a task, which Spark would merge by size.
-    n = blocks.agg(F.sum(F.col("n_blocks") * (F.col("n_blocks") + 1) / 2)).first()[0] or 1
-    met = pairs.repartition(min(TASKS, int(n)), "label", "n_dim", "p", "q").groupBy("label", "n_dim", "p", "q").applyInPandas(meet, "rep long, root long, links long").checkpoint()
+    n = plan.agg(F.sum(F.col("units") * (F.aggregate("others", F.lit(0).cast("long"), lambda s, c: s + c["units"]) + 1) / 2)).first()[0] or 1
+    met = pairs.repartition(min(TASKS, int(n) + 1), "label", "n_dim", "p", "q").groupBy("label", "n_dim", "p", "q").applyInPandas(meet, "rep long, root long, links long").checkpoint()
     linked = components(met.select(F.col("rep").alias("a"), F.col("root").alias("b")))
     links = met.groupBy("rep").agg(F.sum("links").alias("links"))
     per_class = classes.select("label", "v", "rep", "weight").join(links, "rep", "left").join(linked.withColumnRenamed("id", "rep"), "rep", "left")
@@ -101,34 +202,134 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, block: int = BLO
     return rest.join(per_id, "vec_id", "left").select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"), (F.coalesce("component", "vec_id") == F.col("vec_id")).alias("kept"))
 
 
-def top_k(vectors: DataFrame, k: int = TOP, every: int = EVERY, scale: int = SCALE) -> DataFrame:
+def close_cells(sized: DataFrame, cells: Cells, limit: float, block: int) -> list[tuple]:
+    """(*by, cell, units, others) of the groups where cells spare enough pairs; others are the (cell, units) that may hold points within the limit.
+
+    As many rows as pivots, at most.
+    """
+    out = []
+    found = pd.DataFrame([r.asDict() for r in sized.join(F.broadcast(_names(sized, cells)), cells.by, "left_semi").collect()])
+    for name, group in found.groupby(cells.by, sort=False) if len(found) else ():
+        p, cell, n, radius = cells.pivots[tuple(name)], group["cell"].to_numpy(), group["n"].to_numpy(), group["radius"].to_numpy()
+        near = distances(p[cell], p[cell]) <= limit + radius[:, None] + radius[None] + 4 * EPS
+        np.fill_diagonal(near, True)
+        if (n[:, None] * n[None] * near).sum() > (1 - SPARED) * float(n.sum()) ** 2:
+            continue
+        units = -(-n // block)
+        out += [(*(x.item() if hasattr(x, "item") else x for x in name), int(c), int(units[i]), [(int(cell[j]), int(units[j])) for j in np.nonzero(near[i])[0]]) for i, c in enumerate(cell.tolist())]
+    return out
+
+
+def _names(rows: DataFrame, cells: Cells) -> DataFrame:
+    return rows.sparkSession.createDataFrame([*cells.pivots], rows.select(*cells.by).schema)
+
+
+def top_k(vectors: DataFrame, k: int = TOP, every: int = EVERY, scale: int = SCALE, data_block: int | None = None) -> DataFrame:
     """query_id, rank, vec_id, score: the k highest integer inner products of each query row with the other rows.
 
     A component x becomes floor(scale * x). Queries are the rows whose vec_id is divisible by `every`, candidates all rows but those of the
-    query's own vec_id; ties go to the smaller vec_id. Vectors that are null, empty or hold null or non-finite components, and rows of
+    query's own vec_id; ties go to the smaller vec_id. Products are exact, of any size; a score that doesn't fit a long is the nearest
+    long (but the smallest), and such scores tie. Vectors that are null, empty or hold null or non-finite components, and rows of
     null vec_id, take no part; vectors meet only vectors of their length. Rows of equal vec_id as queries give the best of
     each other's results once. Other columns are ignored; an empty table gives no rows.
     """
+    block = data_block or DATA_BLOCK
     good = usable(vectors.where("vec_id is not null").withColumn("label", F.lit(None)), nonzero=False)
-    whole = good.select("vec_id", F.transform("v", lambda x: F.floor(x * scale).cast("int")).alias("v"), F.size("v").alias("n_dim"))
-    n = whole.groupBy("n_dim").agg(F.ceil(F.count("*") / F.lit(DATA_BLOCK)).cast("int").alias("n_data"), F.ceil(F.count(F.when(F.col("vec_id") % every == 0, 1)) / F.lit(QUERY_BLOCK)).cast("int").alias("n_query"))
-    dealt = whole.join(n, "n_dim").where("n_query > 0")
-    mix = F.xxhash64("vec_id")
-    q = dealt.where(F.col("vec_id") % every == 0).withColumn("qb", F.pmod(mix, "n_query").cast("int")).withColumn("db", F.explode(F.sequence(F.lit(0), F.col("n_data") - 1)))
-    d = dealt.withColumn("db", F.pmod(mix, "n_data").cast("int")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.col("n_query") - 1)))
-    both = q.select("n_dim", "qb", "db", "vec_id", "v", F.lit(True).alias("is_query")).unionByName(d.select("n_dim", "qb", "db", "vec_id", "v", F.lit(False).alias("is_query")))
+    rows = good.select("vec_id", "v", F.size("v").alias("n_dim"), (F.col("vec_id") % every == 0).alias("is_query"))
+    cells = Cells(rows, ["n_dim"], "vec_id", block, _whole if scale == SCALE else lambda x: np.floor(x * scale))
+    placed = cells.dealt()
+    if cells.pivots:
+        placed = placed.checkpoint()
+    even = placed.groupBy("n_dim").agg(F.count("*").alias("n"), F.count_if("is_query").alias("m")).where("m > 0")
+    zero = F.lit(0).cast("long")
+    side = F.explode(F.array(F.lit(True), F.lit(False)))
 
-    def meet(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("vec_id", ignore_index=True)
-        x, query, ids = _matrix(group["v"]), group["is_query"].to_numpy(), group["vec_id"].to_numpy()
-        own = ids[query]
-        best = Best(len(own), k)
-        search(Tree(x[query], leaf=64, fill=4), own, Tree(x[~query]), ids[~query], best)
-        found = best.score > np.iinfo(np.int64).min // 2
-        return pd.DataFrame({"query_id": np.repeat(own, found.sum(axis=1)), "vec_id": best.id[found], "score": best.score[found]})
+    def met(placed: DataFrame, plan: DataFrame, pairs: int) -> DataFrame:
+        """(query_id, vec_id, score) of placed(n_dim, cell, ...) by plan(n_dim, is_query, cell, units, others)."""
+        both = placed.where("is_query").unionByName(placed.withColumn("is_query", F.lit(False)))
+        dealt = both.join(F.broadcast(plan) if pairs < TASKS else plan, ["n_dim", "is_query", "cell"]).withColumn("own", F.col("cell") * F.lit(UNITS) + _unit_of("vec_id", "units"))
+        spread = dealt.withColumn("other", F.explode(_blocks("others")))
+        q, d = F.when(F.col("is_query"), F.col("own")).otherwise(F.col("other")), F.when(F.col("is_query"), F.col("other")).otherwise(F.col("own"))
 
-    # Blocks are small but take long: each pair has a task, which Spark would merge by size.
-    pairs = n.agg(F.sum(F.col("n_data") * F.col("n_query"))).first()[0] or 1
-    met = both.repartition(min(TASKS, int(pairs)), "n_dim", "qb", "db").groupBy("n_dim", "qb", "db").applyInPandas(meet, "query_id long, vec_id long, score long").distinct()
+        def meet(group: pd.DataFrame) -> pd.DataFrame:
+            group = group.sort_values("vec_id", ignore_index=True)
+            x, query, ids = _matrix(group["v"]), group["is_query"].to_numpy(), group["vec_id"].to_numpy()
+            own = ids[query]
+            best = Best(len(own), k)
+            search(x[query], own, x[~query], ids[~query], best, scale)
+            found = best.id != NOBODY
+            return pd.DataFrame({"query_id": np.repeat(own, found.sum(axis=1)), "vec_id": best.id[found], "score": best.score[found]})
+
+        # Blocks are small but take long: each pair has a task, which Spark would merge by size.
+        tasks = spread.select("n_dim", q.alias("qb"), d.alias("db"), "vec_id", "v", "is_query").repartition(max(1, min(TASKS, pairs)), "n_dim", "qb", "db")
+        return tasks.groupBy("n_dim", "qb", "db").applyInPandas(meet, "query_id long, vec_id long, score long")
+
+    units = F.when(F.col("is_query"), F.ceil(F.col("m") / F.lit(QUERY_BLOCK))).otherwise(F.ceil(F.col("n") / F.lit(block))).cast("long")
+    facing = F.when(F.col("is_query"), F.ceil(F.col("n") / F.lit(block))).otherwise(F.ceil(F.col("m") / F.lit(QUERY_BLOCK))).cast("long")
+    evenly = even.select("n_dim", side.alias("is_query"), "n", "m").select("n_dim", "is_query", F.lit(0).alias("cell"), units.alias("units"), F.array(F.struct(zero.alias("cell"), facing.alias("units"))).alias("others"))
+    found, celled = None, []
+    if cells.pivots:
+        first, later, celled = _search_cells(placed, cells, evenly, met, k, block)
+        found = first if later is None else first.unionByName(later) if first is not None else None
+    others = placed.where(~F.col("n_dim").isin(celled)) if celled else placed
+    plan = evenly.where(~F.col("n_dim").isin(celled)) if celled else evenly
+    plan = plan.checkpoint()
+    pairs = plan.where("is_query").agg(F.sum(F.col("units") * F.col("others")[0]["units"])).first()[0]
+    if pairs or found is None:
+        rest = met(others.withColumn("cell", F.lit(0)), plan, int(pairs or 0))
+        found = rest if found is None else found.unionByName(rest)
     by = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return met.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return found.distinct().withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def _search_cells(placed: DataFrame, cells: Cells, evenly: DataFrame, met: Callable, k: int, block: int) -> tuple[DataFrame | None, DataFrame | None, list[int]]:
+    """Results of the query cells' best data cells, those of all others that bounds don't rule out, and the lengths of vectors so searched.
+
+    First every query cell meets the data cells of the highest bounds, as many as hold k rows and more; then those whose bound reaches the
+    worst kth score of the cell's queries. Lists have as many rows as pivots.
+    """
+    spark = placed.sparkSession
+    stat = placed.where(F.col("n_dim").isin([x for (x,) in cells.pivots])).groupBy("n_dim", "cell").agg(F.count("*").alias("n"), F.count_if("is_query").alias("m"), F.max("far").alias("far"), F.max(F.when(F.col("is_query"), F.col("far"))).alias("far_q")).toPandas()
+    schema, near, rest, done = evenly.schema, [], {}, []
+    for n_dim, group in stat.groupby("n_dim"):
+        group = group.reset_index(drop=True)
+        p = np.vstack([cells.pivots[(n_dim,)], np.zeros((1, int(n_dim)))])[group["cell"].to_numpy()]  # cell -1 has the row of zeros
+        length = np.sqrt((p * p).sum(axis=1))
+        s, r = (x + EPS * (x + length) for x in (group["far"].to_numpy(), group["far_q"].fillna(0).to_numpy()))
+        bound = p @ p.T + r[:, None] * length[None] + s[None] * (length + r)[:, None]
+        bound += EPS * ((length + r)[:, None] * (length + s)[None])
+        endless = (group["cell"] < 0).to_numpy()
+        bound[endless] = bound[:, endless] = np.inf
+        first = np.zeros(bound.shape, dtype=bool)
+        asked = (group["m"] > 0).to_numpy()
+        for i in np.nonzero(asked)[0]:
+            order = np.argsort(-bound[i], kind="stable")
+            first[i, order[: int(np.searchsorted(np.cumsum(group["n"].to_numpy()[order]), k + 1)) + 1]] = True
+        near.append((int(n_dim), group, first))
+        rest[int(n_dim)] = (group, bound, first, asked)
+
+    def plan(pairs: list[tuple[int, pd.DataFrame, np.ndarray]]) -> tuple[list[tuple], int]:
+        out, total = [], 0
+        for n_dim, group, meets in pairs:
+            cell, q, d = group["cell"].tolist(), -(-group["m"] // QUERY_BLOCK), -(-group["n"] // block)
+            for is_query, own, other, m in ((True, q, d, meets), (False, d, q, meets.T)):
+                for i in np.nonzero(m.any(axis=1))[0].tolist():
+                    js = np.nonzero(m[i])[0].tolist()
+                    out.append((n_dim, is_query, cell[i], int(own[i]), [(cell[j], int(other[j])) for j in js]))
+                    total += int(own[i]) * sum(int(other[j]) for j in js) if is_query else 0
+        return out, total
+
+    listed, total = plan(near)
+    if not listed:
+        return None, None, []
+    one = met(placed, spark.createDataFrame(listed, schema), total).distinct().checkpoint()
+    ranked = one.withColumn("at", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))).where(F.col("at") == k).select("query_id", "score")
+    asked = placed.where("is_query").select("n_dim", "cell", F.col("vec_id").alias("query_id")).join(ranked, "query_id", "left")
+    worst = {(r["n_dim"], r["cell"]): r["worst"] for r in asked.groupBy("n_dim", "cell").agg(F.when(F.count("score") == F.count("*"), F.min("score")).alias("worst")).where(F.col("n_dim").isin([*rest])).collect()}
+    more = []
+    for n_dim, (group, bound, first, some) in rest.items():
+        least = np.array([-np.inf if worst.get((n_dim, c)) is None else float(worst[n_dim, c]) if worst[n_dim, c] > LOWEST else -np.inf for c in group["cell"].tolist()])
+        more.append((n_dim, group, (bound >= least[:, None] * (1 - 1e-12 * np.sign(least))[:, None]) & ~first & some[:, None]))
+        done.append(n_dim)
+    listed, total = plan(more)
+    return one, met(placed, spark.createDataFrame(listed, schema), total) if listed else None, done

@@ -40,19 +40,81 @@ def test_near_duplicates(spark, block):
     assert got == {i: (len(links[i]), root[i], root[i] == i) for i in links}
 
 
-def test_top_k(spark, monkeypatch):
-    monkeypatch.setattr(embeddings, "DATA_BLOCK", 40)
-    rows = [(i, v, y) for i, v, y in vectors() if i % 7 or i < 60]
-    rows += [(2000, [0.5] * 8, 1), (2020, [0.5] * 8, 1)]
-    good = {i: [int(np.floor(64 * x)) for x in v] for i, v, _ in rows if v and None not in v and np.isfinite(v).all() and max(map(abs, v)) < 1e6}
-    rows = [r for r in rows if r[0] in good or r[1] is None or len(r[1]) != 8 or not np.isfinite([x or 0 for x in r[1]]).all()]
-    want = set()
-    for q, v in good.items():
+def clustered(n=400, dim=6, seed=2):
+    """Vectors in tight clusters far apart."""
+    rng = np.random.default_rng(seed)
+    centres = rng.normal(size=(8, dim))
+    return [(k, (centres[k % 8] * (1 + k % 3) + rng.normal(size=dim) * 0.01).tolist(), 0) for k in range(n)]
+
+
+def brute_links(rows):
+    unit = [(i, np.array(v) / np.linalg.norm(v)) for i, v, _ in rows]
+    return {i: sum(j != i and float(a @ b) >= 0.93 for j, b in unit) for i, a in unit}
+
+
+def test_cells_spare_pairs(spark):
+    rows = clustered()
+    table = frame(spark, rows)
+    good = embeddings.usable(table, True).selectExpr("label", "size(v) as n_dim", "vec_id", "v")
+    cells = embeddings.Cells(good, ["label", "n_dim"], "vec_id", 50, embeddings._unit)
+    sized = cells.dealt().groupBy("label", "n_dim", "cell").agg(embeddings.F.count("*").alias("n"), embeddings.F.max("far").alias("radius"))
+    kept = embeddings.close_cells(sized, cells, 0.37, 50)
+    met = sum(units * sum(u for _, u in others) for *_, units, others in kept)
+    assert 0 < met < 30  # 64 and more without cells
+    got = {r.vec_id: r.n_links for r in embeddings.near_duplicates(table, block=50).collect()}
+    assert got == brute_links(rows)
+
+
+def test_tiny_and_huge_vectors(spark):
+    rows = [(0, [1e-200, 1e-200], 0), (1, [1e-200, 1.01e-200], 0), (2, [1e200, 1e200], 0), (3, [1e200, 1.01e200], 0), (4, [1e300, -1e300], 0), (5, [5e-324, 0.0], 1), (6, [1.0, 0.0], 1)]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embeddings.near_duplicates(frame(spark, rows)).collect()}
+    assert got == {0: (3, 0), 1: (3, 0), 2: (3, 0), 3: (3, 0), 4: (0, 4), 5: (1, 5), 6: (1, 5)}
+
+
+def brute_top(rows, k=20):
+    def whole(v):
+        return [int(x) * 64 if abs(x) > 2**53 else int(np.floor(64 * x)) for x in v]
+
+    good = [(i, whole(v)) for i, v, _ in rows if v and None not in v and np.isfinite(v).all()]
+    want, clip = set(), (1 << 63) - 1
+    for q, v in good:
         if q % 20 == 0:
-            scored = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), i) for i, w in good.items() if i != q and len(w) == len(v))[:20]
-            want |= {(q, k + 1, i, -s) for k, (s, i) in enumerate(scored)}
-    got = {(r.query_id, r["rank"], r.vec_id, r.score) for r in embeddings.top_k(frame(spark, rows)).collect()}
-    assert got == want
+            scored = sorted((-max(-clip, min(clip, sum(a * b for a, b in zip(v, w, strict=True)))), i) for i, w in good if i != q and len(w) == len(v))[:k]
+            want |= {(q, n + 1, i, -s) for n, (s, i) in enumerate(scored)}
+    return want
+
+
+def large(seed, size):
+    rng = np.random.default_rng(seed)
+    return [(k, (rng.normal(size=64) * size).tolist(), 0) for k in range(60)]
+
+
+@pytest.mark.parametrize(
+    "rows",
+    [
+        [*vectors(), (2000, [0.5] * 8, 1), (2020, [0.5] * 8, 1), (2040, [4e7] * 8, 1), (2041, [-4e7] * 8, 1)],
+        clustered(),
+        large(1, 2e6),
+        large(2, 1e9),
+        large(3, 1e200),
+        [(k, (np.array(v) * 10.0 ** (7 * (k % 40))).tolist(), y) for k, v, y in large(4, 1)],
+        [(k, [(-1.0) ** k * 1e160, 1.0 + k], 0) for k in range(50)],
+    ],
+)
+@pytest.mark.parametrize("block", [8192, 40])
+def test_top_k(spark, rows, block):
+    got = {(r.query_id, r["rank"], r.vec_id, r.score) for r in embeddings.top_k(frame(spark, rows), data_block=block).collect()}
+    assert got == brute_top(rows)
+
+
+def test_repeated_ids(spark):
+    rows = [(k % 30, [float(k % 7), float(k // 30)], 0) for k in range(120)]
+    want = set()
+    for q in (0, 20):
+        scored = sorted({(-sum(int(64 * a) * int(64 * b) for a, b in zip(v, w, strict=True)), i) for p, v, _ in rows if p == q for i, w, _ in rows if i != q})[:20]
+        want |= {(q, n + 1, i, -s) for n, (s, i) in enumerate(scored)}
+    got = [(r.query_id, r["rank"], r.vec_id, r.score) for r in embeddings.top_k(frame(spark, rows), data_block=25).collect()]
+    assert set(got) == want and len(got) == 40
 
 
 def test_empty(spark):
