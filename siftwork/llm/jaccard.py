@@ -1,10 +1,13 @@
-"""Jaccard join of documents on five-word shingles, with an R-tree over count vectors.
+"""Jaccard join of documents on five-word shingles, with R-trees over count vectors.
 
-Every document's set is ordered rarest shingle first; two sets that are similar enough share one of their first shingles (prefix filter), so
-candidates meet under a common prefix shingle. There they are points of an R-tree of count vectors, which bounds their overlap; pairs
-that pass are verified on their whole sets. In a first round a document is only held against the first document under each of its
-shingles, which ties groups of copies together at a cost that is linear in their size; in a second round all other
-pairs under a shingle are tried that don't lie in one component already. Copies (equal sets) count once.
+Every document's set is ordered rarest shingle first; two sets that are similar enough share one of their first shingles (prefix filter).
+Documents that share such a shingle, and those that these share others with, make a group. In a group the count vectors of the sets are indexed
+by an R-tree, and the pairs that its bounds let through tie the group's documents into clusters, of which only a spanning forest
+leaves a task. Documents of a cluster then meet with their whole texts: the R-tree proposes pairs, whole sets decide, and again only the
+links of a spanning forest leave the task. So what is written grows with the documents, never with the pairs. Copies (equal sets) count once.
+
+A group larger than a task goes in two rounds: first unit by unit, with a few documents of the group in every unit, which ties copies together at a cost
+that is linear in their number; then units whose documents lie in different components meet in pairs.
 """
 
 from __future__ import annotations
@@ -20,23 +23,19 @@ from pyspark.sql import functions as F
 from siftwork.llm import sketch
 from siftwork.llm.batches import portions
 from siftwork.llm.components import components, forest
-from siftwork.llm.hashing import BACK, BYTE, STEP, chunks, mix, powers, signed
-from siftwork.llm.rtree import Index, count_vector, decoded, enough, overlap_bound
+from siftwork.llm.hashing import chunks, mix, powers, signed, words
+from siftwork.llm.rtree import Index, count_vector, decoded, enough
 from siftwork.llm.storage import Scratch
 
 WORDS = 5
 PER_CENT = 80
-#: Members of a block; larger groups meet block by block.
-BLOCK = 1024
+#: Shingles that meet in a task, about, as counts and as texts; larger groups are dealt into units.
+COUNTED, VERIFIED = 1 << 20, 1 << 19
 #: Shingles whose count orders prefixes, at most: the most frequent ones. It changes the order of work, never the result.
 FREQUENT = 50_000
 LEAST_COUNT = 16
-#: Members that are verified against one document in one task.
-STAR = 256
-#: Rounds of joining components between the rounds of links: pairs of one component may be met then without need, but few are.
-ROUNDS = 2
-#: Tasks' worth of shingles in the second round; more of them only make smaller lots.
-LOTS = 4096
+#: Pairs of one document that are verified at a time.
+BATCH = 64
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[32, 9, 10, 11, 12, 13]] = True
@@ -52,9 +51,7 @@ def shingles(texts: list[str | None], k: int = WORDS) -> Iterator[np.ndarray]:
         gap = SPACE[data]
         edge = np.diff(np.concatenate([[True], gap, [True]]).astype(np.int8))
         start, end = np.nonzero(edge == -1)[0], np.nonzero(edge == 1)[0]
-        sums = np.zeros(len(data) + 1, dtype=np.uint64)
-        np.cumsum(BYTE[data] * powers(STEP, len(data) + 1)[:-1], out=sums[1:])
-        word = mix((sums[end] - sums[start]) * powers(BACK, len(data) + 1)[start])
+        word = words(data, start, end)
         ends = np.cumsum([len(t) + 1 for t in raw[lo:hi]])
         at = np.searchsorted(start, np.concatenate([[0], ends]))
         turns = powers(TURN, k)
@@ -80,7 +77,7 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 
 def survey(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, n, k1, k2) of every row, k1 and k2 a fingerprint of its set; (shingle, seen) with the counts of those that occur repeatedly in a task."""
+    """(doc_id, n, k1, k2, counts) of every row, k1 and k2 a fingerprint of its set; (shingle, seen) with the counts of those that occur repeatedly in a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in portions(batches, 2500, 16 << 20):
@@ -92,18 +89,20 @@ def survey(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
             seen = np.diff(edge)
             often, seen = every[edge[:-1][seen > 1]], seen[seen > 1]
             m = len(often)
+            counts = pa.array([count_vector(s).tobytes() if len(s) else None for s in sets], pa.binary())
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.concat_arrays([b.column(0), pa.nulls(m, pa.int64())]),
                     pa.array(np.concatenate([[len(s) for s in sets], seen]).astype(np.int64)),
                     pa.array(np.concatenate([signed(k1), signed(often)])),
                     pa.array(np.concatenate([signed(k2), np.zeros(m, dtype=np.int64)])),
+                    pa.concat_arrays([counts, pa.nulls(m, pa.binary())]),
                     pa.array(np.arange(len(sets) + m) >= len(sets)),
                 ],
-                names=["doc_id", "n", "k1", "k2", "shingle"],
+                names=["doc_id", "n", "k1", "k2", "counts", "shingle"],
             )
 
-    found = _texts(docs).mapInArrow(run, "doc_id long, n long, k1 long, k2 long, shingle boolean").checkpoint()
+    found = _texts(docs).mapInArrow(run, "doc_id long, n long, k1 long, k2 long, counts binary, shingle boolean").checkpoint()
     often = found.where("shingle").groupBy(F.col("k1").alias("shingle")).agg(F.sum("n").alias("seen")).where(F.col("seen") >= LEAST_COUNT)
     return found.where("not shingle").drop("shingle"), often
 
@@ -115,9 +114,22 @@ def _frequent(often: DataFrame, limit: int = FREQUENT) -> tuple[np.ndarray, np.n
     return key[order], np.log2(top["seen"].to_numpy(dtype=np.float64)[order]).astype(np.int64) if len(top) else np.zeros(0, dtype=np.int64)
 
 
-def prefixes(docs: DataFrame, often: tuple[np.ndarray, np.ndarray], per_cent: int) -> DataFrame:
-    """(shingle, doc_id) of the shingles that a set has to share one of with any set that is similar enough."""
+def _wanted(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(doc_id, text) of the documents in ids(id), and of few others where ids are few."""
+    bits = docs.sparkSession.sparkContext.broadcast(sketch.bitmap(ids, sketch.place("id")))
+
+    @F.pandas_udf("boolean")
+    def marked(at: pd.Series) -> pd.Series:
+        return pd.Series(sketch.inside(bits.value, at.to_numpy()))
+
+    return _texts(docs.where("doc_id is not null")).where(marked(sketch.place("doc_id")))
+
+
+def prefixes(texts: DataFrame, often: tuple[np.ndarray, np.ndarray], per_cent: int, shared: np.ndarray | None = None) -> DataFrame:
+    """(shingle, doc_id) of the shingles that a set has to share one of with any set that is similar enough; with a bitmap of shared ones, those and few others."""
+    sc = texts.sparkSession.sparkContext
     key, heat = often
+    bits = None if shared is None else sc.broadcast(shared)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in portions(batches):
@@ -129,181 +141,196 @@ def prefixes(docs: DataFrame, often: tuple[np.ndarray, np.ndarray], per_cent: in
                     at = np.minimum(np.searchsorted(key, s), len(key) - 1)
                     warm = np.where(key[at] == s, heat[at], 0)
                     s = s[np.argsort(warm, kind="stable")]
-                found.append(s[:p])
-                sizes.append(p)
+                s = s[:p]
+                if bits is not None:
+                    s = s[sketch.inside(bits.value, _low(s))]
+                found.append(s)
+                sizes.append(len(s))
             shingle = np.concatenate(found) if found else np.zeros(0, dtype=np.uint64)
             ids = b.column(0).take(pa.array(np.repeat(np.arange(len(sizes)), sizes)))
             yield pa.RecordBatch.from_arrays([pa.array(signed(shingle)), ids], names=["shingle", "doc_id"])
 
-    return _texts(docs.where("doc_id is not null")).mapInArrow(run, "shingle long, doc_id long")
-
+    return texts.mapInArrow(run, "shingle long, doc_id long")
 
-def _passing(docs: DataFrame, wanted: DataFrame, made: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
-    """made(doc_id, text) of the documents in wanted(id), and of few others."""
-    bits = docs.sparkSession.sparkContext.broadcast(sketch.bitmap(wanted, sketch.place("id")))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in portions(batches):
-            yield made(b.filter(pa.array(sketch.inside(bits.value, b.column(2).to_numpy()))).select([0, 1]))
-
-    return _texts(docs.where("doc_id is not null")).withColumn("place", sketch.place("doc_id")).mapInArrow(run, schema)
 
+def _low(s: np.ndarray) -> np.ndarray:
+    return (s & np.uint64(sketch.BITS - 1)).astype(np.int64)
 
-def points_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(id, n, counts): the count vectors of the documents in wanted(id), and of few others."""
 
-    def made(b: pa.RecordBatch) -> pa.RecordBatch:
-        sets = list(shingles(b.column(1).to_pylist()))
-        return pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([count_vector(s).tobytes() for s in sets], pa.binary())], names=["id", "n", "counts"])
+class Groups:
+    """The components of some rows while links between them are found."""
 
-    return _passing(docs, wanted, made, "id long, n long, counts binary").where("n > 0")
+    def __init__(self, labels: np.ndarray):
+        self.root = np.unique(labels, return_inverse=True)[1]
 
+    def apart(self, j: int, rows: np.ndarray) -> np.ndarray:
+        return rows[self.root[rows] != self.root[j]]
 
-def texts_of(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(id, text) of the documents in pairs(a, b), and of few others."""
-    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b"))
-    return _passing(docs, wanted, lambda b: b.rename_columns(["id", "text"]), "id long, text string")
+    def join(self, j: int, rows: np.ndarray) -> np.ndarray:
+        """Ties j to the rows; of each component that is new to it, one of them."""
+        roots, first = np.unique(self.root[rows], return_index=True)
+        new = roots != self.root[j]
+        self.root[np.isin(self.root, roots[new])] = self.root[j]
+        return rows[first[new]]
 
 
-def verified(pairs: DataFrame, texts: DataFrame, per_cent: int) -> DataFrame:
-    """(a, b) of the pairs whose sets are similar enough. One task holds a document b against up to about STAR others at a time."""
-    size = pairs.groupBy("b").agg(F.ceil(F.count("*") / F.lit(STAR)).cast("int").alias("parts"))
-    spread = pairs.join(size, "b").withColumn("part", F.pmod(F.xxhash64("a"), "parts").cast("int"))
-    spokes = spread.select("b", "part", F.col("a").alias("id")).join(texts, "id").withColumn("hub", F.lit(False))
-    hubs = size.select("b", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("b").alias("id")).join(texts, "id").withColumn("hub", F.lit(True))
-    dealt = spokes.unionByName(hubs)
-    # Many documents b share a task; in it each stands with its part.
-    tasks = dealt.repartition("b", "part").sortWithinPartitions("b", "part", F.desc("hub"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, centers = None, []
-        for batch in portions(batches):
-            left, right = [], []
-            for b, part, i, hub, s in zip(*(batch.column(k).to_pylist() for k in range(4)), shingles(batch.column(4).to_pylist()), strict=True):
-                if (b, part) != now:
-                    now, centers = (b, part), []
-                if hub:
-                    centers.append(s)
-                    continue
-                need = [int(enough(len(s), len(c), per_cent)) for c in centers]
-                if any(int((c[np.minimum(np.searchsorted(c, s), len(c) - 1)] == s).sum()) >= m for c, m in zip(centers, need, strict=True)):
-                    left.append(i)
-                    right.append(b)
-            yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
-
-    return tasks.select("b", "part", "id", "hub", "text").mapInArrow(run, "a long, b long")
+def _forest(a: np.ndarray, b: np.ndarray, n: np.ndarray, counts: list[np.ndarray], groups: Groups, per_cent: int, sets: list[np.ndarray] | None = None) -> Iterator[tuple[int, int]]:
+    """Links (row, row) between rows a, indexed, and rows b that span the components of all their links; a is b: within one unit.
 
-
-def _counts(column: pd.Series, n: pd.Series) -> list[np.ndarray]:
-    return [decoded(c, k) for c, k in zip(column, n.tolist(), strict=True)]
-
-
-def _bounded(pairs: DataFrame, points: DataFrame, per_cent: int) -> DataFrame:
-    """The pairs (a, b) that sizes and count vectors allow."""
-    p = points.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("counts").alias("ca"))
-    q = points.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("counts").alias("cb"))
-
-    @F.pandas_udf("boolean")
-    def allowed(na: pd.Series, ca: pd.Series, nb: pd.Series, cb: pd.Series) -> pd.Series:
-        need = enough(na.to_numpy(), nb.to_numpy(), per_cent).tolist()
-        return pd.Series([overlap_bound(x, y) >= k for x, y, k in zip(_counts(ca, na), _counts(cb, nb), need, strict=True)], dtype=bool)
-
-    fits = (100 * F.col("na") >= per_cent * F.col("nb")) & (100 * F.col("nb") >= per_cent * F.col("na"))
-    return pairs.join(p, "a").join(q, "b").where(fits).where(allowed("na", "ca", "nb", "cb")).select("a", "b")
-
-
-def _second_round(live: DataFrame, linked: DataFrame, stars: DataFrame, points: DataFrame, per_cent: int, block: int) -> DataFrame:
-    """Pairs (a, b) under a common shingle, of different components, that the R-tree allows."""
-    known = live.join(linked, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    groups = known.groupBy("shingle").agg(F.count("*").alias("size"), F.min("id").alias("b"), F.max("id").alias("a"), F.min("component").alias("low"), F.max("component").alias("high"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("s"), F.bit_xor(F.xxhash64("id", F.lit(7))).alias("x"))
-    # Shingles with the same documents need one look, and a pair that the first round has seen none.
-    seen = stars.withColumn("size", F.lit(2).cast("long"))
-    open_ = groups.where("low <> high").join(seen, ["size", "a", "b"], "left_anti").groupBy("size", "s", "x").agg(F.min("shingle").alias("shingle")).select("shingle")
-    member = known.join(open_, "shingle").select("shingle", "id", "component").checkpoint()
-    # Units of about `block` members: small components of a group share some, a large one has its own. Two units of one large component never meet.
-    inside = member.groupBy("shingle", "component").agg(F.count("*").alias("size"))
-    small = inside.where(F.col("size") <= block).groupBy("shingle").agg(F.ceil(F.sum("size") / F.lit(block)).cast("long").alias("shared"))
-    own = F.when(F.col("size") > block, F.xxhash64("component", F.pmod(F.xxhash64("id"), F.ceil(F.col("size") / F.lit(block))))).otherwise(F.pmod(F.xxhash64("component"), F.coalesce("shared", F.lit(1).cast("long"))))
-    member = member.join(inside, ["shingle", "component"]).join(small, "shingle", "left").withColumn("unit", own).withColumn("large", F.when(F.col("size") > block, F.col("component"))).drop("size", "shared").checkpoint()
-    units = member.select("shingle", "unit", "large").distinct()
-    p = units.select("shingle", F.col("unit").alias("p"), F.col("large").alias("lp"))
-    q = units.select("shingle", F.col("unit").alias("q"), F.col("large").alias("lq"))
-    meets = p.join(q, "shingle").where("lp is null and lq is null and p <= q or lp is not null and lq is null or lp < lq").select("shingle", "p", "q", "lp")
-    near = member.select("shingle", "unit", "id", "component").join(points, "id")
-    first = near.join(meets.select("shingle", F.col("p").alias("unit"), "p", "q", F.col("lp").isNotNull().alias("alone")), ["shingle", "unit"]).withColumn("own", F.lit(0))
-    second = near.join(meets.where("p <> q or lp is not null").select("shingle", F.col("q").alias("unit"), "p", "q", F.col("lp").isNotNull().alias("alone")), ["shingle", "unit"]).withColumn("own", F.lit(1))
-    spread = first.unionByName(second)
-    # Groups of one unit share a task; other pairs of units have one each.
-    one = (F.col("p") == F.col("q")) & ~F.col("alone") & (F.col("p") == 0)
-    dealt = spread.withColumn("lot", F.when(one, F.pmod("shingle", F.lit(LOTS))).otherwise(F.col("shingle")))
-
-    def pairs_of(own, ids, comp, n, counts):
+    A link is a pair that the R-tree lets through, or with `sets` one whose sets are similar enough.
+    """
+    index = Index([counts[i] for i in a.tolist()], n[a])
+    if sets is not None:
+        edge = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
+        codes = np.unique(np.concatenate(sets), return_inverse=True)[1]
+        mark = np.zeros(len(codes), dtype=bool)
+    for j in b.tolist():
+        hit = a[index.candidates(counts[j], int(n[j]), per_cent)]
+        hit = groups.apart(j, hit[hit < j] if a is b else hit)
+        if not len(hit):
+            continue
+        if sets is None:
+            yield from ((i, j) for i in groups.join(j, hit).tolist())
+            continue
+        mark[codes[edge[j] : edge[j + 1]]] = True
+        while len(hit):
+            some, hit = hit[:BATCH], hit[BATCH:]
+            cut = np.concatenate([[0], np.cumsum(n[some])])
+            at = np.arange(cut[-1]) + np.repeat(edge[some] - cut[:-1], n[some])
+            same = np.add.reduceat(mark[codes[at]].astype(np.int64), cut[:-1])
+            yield from ((i, j) for i in groups.join(j, some[same >= enough(n[some], n[j], per_cent)]).tolist())
+            hit = groups.apart(j, hit)
+        mark[codes[edge[j] : edge[j + 1]]] = False
+
+
+def _meet(per_cent: int, whole: bool) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """(a, b) of a task's rows (own, id, component, n, body): links that span the components of own 0, or those of own 0 and 1 together."""
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        # Rows of one doc_id may have several texts.
+        group = group.drop_duplicates(["id", "body"]).sort_values("id", ignore_index=True)
+        sets = None
+        if whole:
+            sets = list(shingles(group["body"].tolist()))
+            some = [i for i, s in enumerate(sets) if len(s)]
+            group, sets = group.iloc[some], [sets[i] for i in some]
+            counts, n = [count_vector(s) for s in sets], np.array([len(s) for s in sets], dtype=np.int64)
+        else:
+            n = group["n"].to_numpy()
+            counts = [decoded(c, k) for c, k in zip(group["body"], n.tolist(), strict=True)]
+        own, ids = group["own"].to_numpy(), group["id"].to_numpy()
         a, b = np.nonzero(own == 0)[0], np.nonzero(own == 1)[0]
-        same = not len(b)
-        b = a if same else b
-        if not len(a) or (comp[a] == comp[b[0]]).all() and (comp[b] == comp[b[0]]).all():
-            return
-        index = Index([counts[i] for i in a.tolist()], n[a])
-        for j in b.tolist():
-            hit = a[index.candidates(counts[j], int(n[j]), per_cent)]
-            hit = hit[(comp[hit] != comp[j]) & ((hit < j) if same else True)]
-            if len(hit):
-                yield ids[hit], np.full(len(hit), ids[j])
-
-    def meet(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["shingle", "id"], ignore_index=True)
-        shingle, own, ids, comp, n = (group[c].to_numpy() for c in ("shingle", "own", "id", "component", "n"))
-        counts = _counts(group["counts"], group["n"])
-        cut = np.nonzero(np.concatenate([[True], shingle[1:] != shingle[:-1], [True]]))[0].tolist()
-        found = [x for s, e in zip(cut[:-1], cut[1:], strict=True) for x in pairs_of(own[s:e], ids[s:e], comp[s:e], n[s:e], counts[s:e])]
-        x, y = (np.concatenate(v) for v in zip(*found, strict=True)) if found else (ids[:0], ids[:0])
-        return pd.DataFrame({"a": np.maximum(x, y), "b": np.minimum(x, y)})
-
-    return dealt.groupBy("lot", "p", "q").applyInPandas(meet, "a long, b long").distinct()
-
-
-def similar(docs: DataFrame, per_cent: int = PER_CENT, block: int = BLOCK) -> DataFrame:
+        found = list(_forest(a, b if len(b) else a, n, counts, Groups(group["component"].to_numpy()), per_cent, sets))
+        x, y = (ids[np.array(v, dtype=np.int64)] for v in (zip(*found, strict=True) if found else ((), ())))
+        return pd.DataFrame({"a": x, "b": y})
+
+    return run
+
+
+def _dealt(rows: DataFrame, bodies: DataFrame, per_cent: int, whole: bool) -> DataFrame:
+    """Links (a, b) of rows(lot, p, q, own, id, component, n), each task with its (lot, p, q)."""
+    full = rows.drop("n").join(bodies, "id").withColumn("n", F.lit(0)) if whole else rows.join(bodies, ["id", "n"])
+    return full.groupBy("lot", "p", "q").applyInPandas(_meet(per_cent, whole), "a long, b long")
+
+
+def linked(member: DataFrame, bodies: DataFrame, per_cent: int, weight: int, whole: bool, scratch: Scratch) -> DataFrame:
+    """Links (a, b) that span the components of member(grp, id, n) under links inside groups; bodies(id, body) holds count vectors, or whole texts."""
+    sized = member.groupBy("grp").agg(F.count("*").alias("m"), F.sum("n").alias("w"))
+    total = sized.agg(F.coalesce(F.sum("w"), F.lit(0)).alias("w"), F.max("w").alias("most")).first()
+    zero, lots = F.lit(0).cast("long"), max(1, -(-int(total["w"]) // weight))
+    # Small groups share a task, whose R-tree holds them all.
+    lot = F.pmod(F.xxhash64("grp"), F.lit(lots)).cast("long")
+    own = F.lit(0).alias("own")
+    if (total["most"] or 0) <= weight:
+        return scratch.keep(_dealt(member.select(lot.alias("lot"), F.lit(-1).cast("long").alias("p"), zero.alias("q"), own, "id", F.col("id").alias("component"), "n").distinct(), bodies, per_cent, whole), "links")
+    large = sized.where(F.col("w") > weight).withColumn("units", F.ceil(F.col("w") / F.lit(weight)).cast("long")).select("grp", "units").checkpoint()
+    small = member.join(large, "grp", "left_anti").select(lot.alias("lot"), F.lit(-1).cast("long").alias("p"), zero.alias("q"), own, "id", F.col("id").alias("component"), "n")
+    inside = member.join(large, "grp").checkpoint()
+    # In every unit: a few of the group's documents, which tie the units' components to each other.
+    mixed = F.xxhash64("id")
+    hubs = inside.groupBy("grp", "units").agg(F.array(F.min(F.struct("id", "n")), F.max(F.struct("id", "n")), F.min_by(F.struct("id", "n"), mixed), F.max_by(F.struct("id", "n"), mixed)).alias("h"))
+    hubs = hubs.select("grp", F.explode(F.sequence(zero, F.col("units") - 1)).alias("p"), "h").select("grp", "p", F.explode("h").alias("h")).select("grp", "p", "h.id", "h.n")
+    units = inside.select("grp", F.pmod(mixed, "units").cast("long").alias("p"), "id", "n").unionByName(hubs)
+    rows = small.unionByName(units.select(F.col("grp").alias("lot"), "p", zero.alias("q"), own, "id", F.col("id").alias("component"), "n")).distinct()
+    first = scratch.keep(_dealt(rows, bodies, per_cent, whole), "links")
+    scratch.tidy()
+    return first.unionByName(scratch.keep(_across(inside, first, bodies, per_cent, weight, whole), "links"))
+
+
+def _across(inside: DataFrame, first: DataFrame, bodies: DataFrame, per_cent: int, weight: int, whole: bool) -> DataFrame:
+    """Links between units of inside(grp, id, n) that lie in different components of the links so far."""
+    known = inside.drop("units").join(components(first), "id", "left").withColumn("component", F.coalesce("component", "id")).checkpoint()
+    parts = known.groupBy("grp", "component").agg(F.sum("n").alias("size")).checkpoint()
+    open_ = parts.groupBy("grp").agg(F.count("*").alias("c"), F.sum(F.when(F.col("size") <= weight, F.col("size"))).alias("few")).where("c > 1").select("grp", F.ceil(F.coalesce("few", F.lit(0)) / F.lit(weight)).cast("long").alias("shared")).checkpoint()
+    # Small components of a group share units, a large one has its own. Two units of one large component never meet.
+    one = F.col("size") > weight
+    unit = F.when(one, F.xxhash64("component", F.pmod(F.xxhash64("id"), F.ceil(F.col("size") / F.lit(weight))))).otherwise(F.pmod(F.xxhash64("component"), F.greatest("shared", F.lit(1).cast("long"))))
+    member = known.join(parts, ["grp", "component"]).join(open_, "grp").select("grp", "id", "n", "component", unit.alias("unit"), F.when(one, F.col("component")).alias("large")).checkpoint()
+    units = member.select("grp", "unit", "large").distinct()
+    p = units.select("grp", F.col("unit").alias("p"), F.col("large").alias("lp"))
+    q = units.select("grp", F.col("unit").alias("q"), F.col("large").alias("lq"))
+    meets = p.join(q, "grp").where("lp is null and lq is null and p <= q or lp is not null and lq is null or lp < lq").select("grp", "p", "q", "lp").checkpoint()
+    left = member.join(meets.select("grp", F.col("p").alias("unit"), "p", "q"), ["grp", "unit"]).withColumn("own", F.lit(0))
+    right = member.join(meets.where("p <> q or lp is not null").select("grp", F.col("q").alias("unit"), "p", "q"), ["grp", "unit"]).withColumn("own", F.lit(1))
+    rows = left.unionByName(right).select(F.col("grp").alias("lot"), "p", "q", "own", "id", "component", "n")
+    return _dealt(rows, bodies, per_cent, whole)
+
+
+def _groups(alike: DataFrame, weight: int) -> DataFrame:
+    """(grp, id, n) of alike(shingle, id, n): documents under a shingle and those under shingles of these, or a shingle alone where that is less to meet."""
+    first = alike.groupBy("shingle").agg(F.min("id").alias("b"), F.max("id").alias("top"), F.count("*").alias("m"), F.sum("n").alias("w")).where("b <> top").select("shingle", "b", "m", "w").checkpoint()
+    meets = alike.join(first, "shingle").checkpoint()
+    near = meets.groupBy("id").agg(F.min("b").alias("grp"))
+    named = first.join(near, first["b"] == near["id"]).select("shingle", "grp", (F.col("m") * F.ceil(F.col("w") / F.lit(weight))).alias("cost")).checkpoint()
+    wide = meets.select("shingle", "id", "n").join(named, "shingle").select("grp", "id", "n").distinct().checkpoint()
+    cost = wide.groupBy("grp").agg((F.count("*") * F.ceil(F.sum("n") / F.lit(weight))).alias("wide"))
+    dear = cost.join(named.groupBy("grp").agg(F.sum("cost").alias("apart")), "grp").where("wide > apart").select("grp").checkpoint()
+    if not dear.limit(1).count():
+        return wide
+    alone = named.join(dear, "grp").select("shingle")
+    return wide.join(dear, "grp", "left_anti").unionByName(meets.join(alone, "shingle").select(F.xxhash64("shingle", F.lit(1)).alias("grp"), "id", "n"))
+
+
+def similar(docs: DataFrame, per_cent: int = PER_CENT, counted: int = COUNTED, verified: int = VERIFIED) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of docs(doc_id, text).
 
-    A set holds the distinct five-word shingles of the whole text, words lower-cased in A-Z and separated by ASCII white space; a shorter text is one
-    shingle; a null text, or one without words, has an empty set that links with nothing. Sets link when
+    A set holds the distinct five-word shingles of the whole text, however long, words lower-cased in A-Z and separated by ASCII white space; a shorter
+    text is one shingle; a null text, or one without words, has an empty set that links with nothing. Sets link when
     100 * |intersection| >= per_cent * |union|; component_id is the smallest doc_id reachable. Rows of one doc_id are one document, and
     share a component; a row without doc_id links with nothing and has a null component. Other columns are ignored; an empty
-    table gives no rows.
+    table gives no rows. `counted` and `verified`: shingles to a task.
     """
     scratch = Scratch(docs.sparkSession)
-    surveyed, often = survey(docs)
-    named = surveyed.where("doc_id is not null and n > 0")
-    # Groupings are written before they are joined, so that Spark can split a key that very many documents have.
-    classes = named.groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("id")).checkpoint()
-    member = named.join(classes, ["n", "k1", "k2"]).select("doc_id", "id", "n").distinct().checkpoint()
-    rows = prefixes(docs, _frequent(often), per_cent)
-    shared = scratch.keep(rows.groupBy("shingle").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low <> high").select("shingle"), "shared")
-    scratch.tidy()
-    live = scratch.keep(rows.join(shared, "shingle").join(member, "doc_id").select("shingle", "id", "n").distinct(), "live")
-    scratch.tidy()
-    several = live.groupBy("shingle").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low <> high").select("shingle").checkpoint()
-    # Similar sets have sizes in one class or in neighbours, so a document stands in its own class and in the next.
-    size = F.floor(F.log("n") / F.log(F.lit(101.0 / per_cent)))
-    classed = F.explode(F.array(F.xxhash64("shingle", size), F.xxhash64("shingle", size + 1)))
-    alike = scratch.keep(live.join(several, "shingle").select(classed.alias("shingle"), "id"), "alike")
-    first = alike.groupBy("shingle").agg(F.min("id").alias("b"), F.max("id").alias("top")).where("b <> top").select("shingle", "b").checkpoint()
-    meets = scratch.keep(alike.join(first, "shingle"), "meets")
-    stars = scratch.keep(meets.where("id <> b").select(F.col("id").alias("a"), "b").distinct(), "stars")
-    meets = meets.select("shingle", "id")
-    scratch.tidy()
-    points = scratch.keep(points_of(docs, meets.select("id")), "points")
-    scratch.tidy()
-    allowed = scratch.keep(_bounded(stars, points, per_cent), "allowed")
-    links = verified(allowed, texts_of(docs, allowed), per_cent).checkpoint()
-    scratch.tidy()
-    more = scratch.keep(_second_round(meets, components(links, ROUNDS).checkpoint(), stars, points, per_cent, block).join(stars, ["a", "b"], "left_anti"), "more")
-    scratch.tidy()
-    links = links.union(verified(more, texts_of(docs, more), per_cent)).union(member.where("doc_id <> id").select("doc_id", "id")).checkpoint()
-    scratch.clear()
-    final = components(links).withColumnRenamed("id", "doc_id")
-    out = surveyed.select("doc_id", F.col("n").alias("n_shingles")).join(final, "doc_id", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    try:
+        surveyed, often = survey(docs)
+        named = surveyed.where("doc_id is not null and n > 0")
+        # Groupings are written before they are joined, so that Spark can split a key that very many documents have.
+        classes = named.groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("id")).checkpoint()
+        member = named.select("doc_id", "n", "k1", "k2").join(classes, ["n", "k1", "k2"]).select("doc_id", "id", "n").distinct().checkpoint()
+        reps = _wanted(docs, classes.select("id"))
+        top = _frequent(often)
+        rows = prefixes(reps, top, per_cent)
+        shared = scratch.keep(rows.groupBy("shingle").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low <> high").select("shingle"), "shared")
+        scratch.tidy()
+        rows = prefixes(reps, top, per_cent, sketch.bitmap(shared, F.col("shingle").bitwiseAND(F.lit(sketch.BITS - 1))))
+        live = rows.join(shared, "shingle").join(member, "doc_id").select("shingle", "id", "n").distinct()
+        # Similar sets have sizes in one class or in neighbours, so a document stands in its own class and in the next.
+        size = F.floor(F.log("n") / F.log(F.lit(101.0 / per_cent)))
+        classed = F.explode(F.array(F.xxhash64("shingle", size), F.xxhash64("shingle", size + 1)))
+        alike = scratch.keep(live.select(classed.alias("shingle"), "id", "n"), "alike")
+        scratch.tidy()
+        groups = _groups(alike, counted)
+        points = named.select(F.col("doc_id").alias("id"), "n", F.col("counts").alias("body"))
+        bound = linked(groups, points, per_cent, counted, False, scratch)
+        scratch.tidy()
+        clusters = components(bound).select(F.col("component").alias("grp"), "id").join(classes.select("id", "n"), "id").checkpoint()
+        texts = _wanted(docs, clusters.select("id")).select(F.col("doc_id").alias("id"), F.col("text").alias("body"))
+        links = linked(clusters, texts, per_cent, verified, True, scratch).unionByName(member.where("doc_id <> id").select(F.col("doc_id").alias("a"), F.col("id").alias("b")))
+        final = components(links).withColumnRenamed("id", "doc_id")
+        out = surveyed.select("doc_id", F.col("n").alias("n_shingles")).join(final, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")).checkpoint()
+    finally:
+        scratch.clear()
+    return out
 
 
 def one_of_each(docs: DataFrame, per_cent: int = PER_CENT) -> DataFrame:

@@ -11,8 +11,6 @@ import numpy as np
 #: Hash groups: about a quarter of the set's size, within these bounds; powers of two, so that finer counts fold into coarser ones.
 LEAST_GROUPS, MOST_GROUPS = 64, 8192
 FANOUT = 16
-#: Sets up to which all pairs are bounded one by one.
-FEW = 8
 
 
 def groups_for(n: int) -> int:
@@ -36,11 +34,6 @@ def fold(counts: np.ndarray, groups: int) -> np.ndarray:
     return counts if len(counts) == groups else counts.reshape(groups, -1).sum(axis=1, dtype=np.int64)
 
 
-def overlap_bound(a: np.ndarray, b: np.ndarray) -> int:
-    g = min(len(a), len(b))
-    return int(np.minimum(fold(a, g), fold(b, g)).sum(dtype=np.int64))
-
-
 def enough(n: np.ndarray, m: np.ndarray, per_cent: int) -> np.ndarray:
     """Least intersection of sets of n and m elements with 100 * intersection >= per_cent * union."""
     # 100 i >= p (n + m - i)
@@ -91,13 +84,10 @@ class Index:
         self.counts, self.n = counts, n
         self.trees: dict[tuple[int, int], RTree] = {}
         size = np.array([len(c) for c in counts])
-        self.classes = {int(g): np.nonzero(size == g)[0] for g in np.unique(size)} if len(counts) > FEW else {}
+        self.classes = {int(g): np.nonzero(size == g)[0] for g in np.unique(size)}
 
     def candidates(self, counts: np.ndarray, n: int, per_cent: int) -> np.ndarray:
         """Indices of the sets whose bound reaches what a set of these counts and size n needs."""
-        if not self.classes:
-            fits = np.nonzero((100 * self.n >= per_cent * n) & (100 * n >= per_cent * self.n))[0]
-            return np.array([i for i in fits.tolist() if overlap_bound(counts, self.counts[i]) >= int(enough(n, int(self.n[i]), per_cent))], dtype=np.int64)
         found = []
         for groups, members in self.classes.items():
             g = min(groups, len(counts))

@@ -23,11 +23,24 @@ def texts(seed: int = 5) -> dict[int, str | None]:
     return out
 
 
-@pytest.mark.parametrize("block", [1024, 2])
-def test_like_brute_force(spark, block):
-    t = texts()
+def many_near(seed: int = 9) -> dict[int, str]:
+    """A large group of near copies: all like their source, many of them not like each other."""
+    rng = random.Random(seed)
+    base = [f"b{k}" for k in range(240)]
+    out = {}
+    for i in range(120):
+        w = list(base)
+        for at in rng.sample(range(len(w)), rng.choice([1, 2, 3, 5, 7])):
+            w[at] = f"x{i}y{at}"
+        out[i] = " ".join(w)
+    return out
+
+
+@pytest.mark.parametrize(("made", "counted", "verified"), [("texts", 1 << 20, 1 << 19), ("texts", 800, 400), ("many_near", 1 << 20, 1 << 19), ("many_near", 9000, 5000)])
+def test_like_brute_force(spark, made, counted, verified):
+    t = globals()[made]()
     docs = spark.createDataFrame(list(t.items()), "doc_id long, text string").selectExpr("doc_id", "text", "text as n", "doc_id as id", "1 as component").repartition(3)
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.similar(docs, block=block).collect()}
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.similar(docs, counted=counted, verified=verified).collect()}
     assert got == jaccard.reference(t)
 
 
@@ -41,6 +54,32 @@ def test_edges(spark):
     assert jaccard.similar(empty).count() == 0
 
 
+def test_structured_words():
+    t = "a"
+    for _ in range(11):
+        t += t.translate(str.maketrans("ab", "ba"))
+    other = t.translate(str.maketrans("ab", "ba"))
+    for n in (1, 7, 8, 9, 255, 256, 257, 1024, 2048):
+        x, y, z = jaccard.shingles([t[:n], other[:n], t[:n] + "b"])
+        assert len({int(s[0]) for s in (x, y, z)}) == 3
+
+
+def test_several_texts_of_one_id(spark):
+    long, other = " ".join(f"p{k}" for k in range(60)), " ".join(f"q{k}" for k in range(60))
+    rows = [(3, long), (3, other), (5, long + " end"), (6, other + " end"), (3, None)]
+    got = {(r.doc_id, r.component_id) for r in jaccard.similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(3, 3), (5, 3), (6, 3)}
+
+
+def test_few_rows_for_many_pairs(spark, tmp_path):
+    t = many_near()
+    docs = spark.createDataFrame([(i, i, x, len(x.split())) for i, x in t.items()], "id long, grp long, body string, n long")
+    scratch = jaccard.Scratch(spark)
+    links = jaccard.linked(docs.selectExpr("0L as grp", "id", "cast(n as long) as n"), docs.select("id", "body"), 80, 5000, True, scratch)
+    assert links.count() < 3 * len(t)
+    scratch.clear()
+
+
 def test_shingles_of_chunks():
     t = ["x y z"] * 3 + ["", "a b c d e f g"] * 4
     assert [len(s) for s in jaccard.shingles(t)] == [1, 1, 1] + [0, 3] * 4
