@@ -22,7 +22,7 @@ from siftwork.llm.batches import portions
 from siftwork.llm.mincut import source_side
 
 #: Elements whose text is never shown, or is never a part of an article.
-UNSEEN = frozenset("script style noscript template head title svg math canvas object iframe textarea select option optgroup datalist button input label fieldset legend form audio video map".split())
+UNSEEN = frozenset("script style noscript template head title svg math canvas object iframe textarea select option optgroup datalist button input label fieldset legend audio video map".split())
 #: Text inside these runs up to the closing tag, whatever it holds.
 RAW = frozenset("script style textarea title noscript iframe template svg".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -31,17 +31,16 @@ BLOCK = frozenset(
 )
 #: A start tag on the left ends an open element on the right.
 ENDS = {
-    "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"},
-    **{t: {"p"} for t in "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split()},
+    "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",),
+    **{t: ("p",) for t in "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split()},
 }
 #: An open element on the right isn't ended from inside these.
-SCOPE = frozenset("table ul ol dl article section div main body aside blockquote".split())
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(?P<tag>/?[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(?P<tag2>/?[a-zA-Z][^\s/>]*)(?P<rest2>[^>]*)>|(?P<text>[^<]+|<)",
-    re.S,
-)
-NAMES = re.compile(r"""\b(?:class|id|role|aria-label|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
+SCOPE = ("table", "ul", "ol", "dl", "article", "section", "div", "main", "body", "aside", "blockquote")
+NAME = re.compile(r"[a-zA-Z][^\s/><]*")
+EDGE = re.compile(r"[>\"']")
+ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+NAMING = frozenset(("class", "id", "role", "aria-label", "itemprop"))
+NOT_SHOWN = re.compile(r"display\s*:\s*none", re.I)
 WORDS = re.compile(r"[A-Za-z][a-z]*|[A-Z]+")
 
 #: Words of class and id by what they say about an element.
@@ -58,9 +57,11 @@ KINDS = {
 }
 KIND_OF = {w: k for k, ws in KINDS.items() for w in ws.split()}
 TAG_KIND = {"nav": "menu", "menu": "menu", "header": "head", "footer": "foot", "aside": "side", "article": "main", "main": "main", "dialog": "note"}
-FEATURES = (*KINDS, *(f"tag_{t}" for t in ("p", "h", "li", "cell", "div", "pre")), "in_article", "linked", "log_words", "few_words", "ends", "stops", "bias")
+FEATURES = (*(f"near_{k}" for k in KINDS), *(f"far_{k}" for k in KINDS), *(f"tag_{t}" for t in ("p", "h", "li", "cell", "div", "pre")), "plain", "in_article", "linked", "log_words", "few_words", "ends", "stops", "bias")
 #: What a tie between two blocks costs to cut, next to each other or under one parent.
 ADJACENT, SIBLING = 0.6, 0.5
+#: A form with this share of the page's words and so many of them is the page's frame, and so is one that holds an article.
+FRAME_SHARE, FRAME_WORDS = 0.5, 50
 
 
 @dataclass
@@ -68,104 +69,227 @@ class Block:
     text: str
     linked: float
     tag: str
+    #: Numbers of the element around it and of that one's parent, among block-level elements.
+    element: int
     parent: int
-    #: Numbers of the elements around it, outermost first.
-    path: tuple[int, ...]
-    kinds: frozenset[str]
     in_article: bool
+    #: How much each kind is said by the nearest element that says any, and by all others around it.
+    near: tuple[float, ...] = ()
+    far: tuple[float, ...] = ()
 
 
-def _kinds(tag: str, rest: str) -> tuple[frozenset[str], bool]:
-    found = {TAG_KIND[tag]} if tag in TAG_KIND else set()
-    if "=" in rest:
-        for m in NAMES.finditer(rest):
-            for w in WORDS.findall(m[1] or m[2] or m[3] or ""):
-                if k := KIND_OF.get(w.lower()):
-                    found.add(k)
-    return frozenset(found), bool(rest) and HIDDEN.search(rest) is not None
-
+@dataclass
+class Page:
+    """Blocks in page order, and of the block-level elements (0: the page) their parents and depths; an element's number is larger than its parent's."""
+
+    blocks: list[Block]
+    up: list[int]
+    depth: list[int]
+
+    def apart(self, a: int, b: int, most: int = 64) -> int:
+        """Steps between two elements in the tree, if they aren't more than `most`."""
+        n = 0
+        while a != b and n < most:
+            if self.depth[a] >= self.depth[b]:
+                a = self.up[a]
+            else:
+                b = self.up[b]
+            n += 1
+        return n
+
+
+def _says(tag: str, rest: str, inside: bool) -> tuple[frozenset[str], bool]:
+    """Kinds that a start tag names, and whether it hides the element. The header of an article is a part of it."""
+    found = {TAG_KIND[tag]} if tag in TAG_KIND and not (inside and tag == "header") else set()
+    hidden = False
+    if rest and not rest.isspace():
+        for m in ATTRIBUTE.finditer(rest):
+            name = m[1].lower()
+            value = m[2] or m[3] or m[4] or ""
+            if name in NAMING:
+                found.update(KIND_OF[w] for w in map(str.lower, WORDS.findall(value)) if w in KIND_OF)
+            hidden = hidden or name == "hidden" or name == "style" and NOT_SHOWN.search(value) is not None
+    return frozenset(found), hidden
+
+
+class Tokens:
+    """(kind, name or text, rest) of a page's text and tags in turn; a page is read once, whatever is broken in it.
+
+    kind: text, open, close. A quoted value may hold >. Where a quote that never ends would swallow all that follows, tags from there on end at the next >.
+    """
 
-def blocks_of(page: str | None) -> list[Block]:
+    def __init__(self, page: str):
+        self.page, self.at, self.plain, self.gone = page, 0, False, set()
+
+    def find(self, what: str, at: int) -> int:
+        if what in self.gone:
+            return -1
+        k = self.page.find(what, at)
+        if k < 0:
+            self.gone.add(what)
+        return k
+
+    def end(self, at: int) -> int:
+        """Place of the > that closes the tag with attributes from `at`, or -1."""
+        first = self.find(">", at)
+        if first < 0 or self.plain:
+            return first
+        while m := EDGE.search(self.page, at):
+            if m[0] == ">":
+                return m.start()
+            at = self.find(m[0], m.end()) + 1
+            if not at:
+                break
+        self.plain = True
+        return first
+
+    def raw(self, tag: str) -> None:
+        """Goes behind the closing tag of `tag`, or to the end."""
+        m = re.compile(rf"</{tag}(?=[\s/>])", re.I).search(self.page, self.at)
+        k = self.find(">", m.end()) if m else -1
+        self.at = k + 1 if k >= 0 else len(self.page)
+
+    def __iter__(self) -> Iterator[tuple[str, str, str]]:
+        page = self.page
+        while self.at < len(page):
+            k = self.find("<", self.at)
+            if k != self.at:
+                k = k if k >= 0 else len(page)
+                text, self.at = page[self.at : k], k
+                yield "text", text, ""
+                continue
+            mark = page[k + 1 : k + 2]
+            skip = ("-->" if page.startswith("<!--", k) else "]]>" if page.startswith("<![CDATA[", k) else ">") if mark in ("!", "?") else ""
+            if skip:
+                j = k + 1 if page.startswith(("<!-->", "<!--->"), k) else k + 4 if skip == "-->" else k
+                j = self.find(skip if j != k + 1 else ">", j)
+                if j >= 0 or skip != ">":
+                    self.at = j + len(skip) if j >= 0 else len(page)
+                    if skip == "-->" and page.startswith(("<!-->", "<!--->"), k):
+                        self.at = j + 1
+                    continue
+            m = NAME.match(page, k + 2 if mark == "/" else k + 1)
+            if m:
+                j = self.find(">", m.end()) if mark == "/" else self.end(m.end())
+                if j >= 0:
+                    self.at = j + 1
+                    yield "close" if mark == "/" else "open", m[0].lower(), page[m.end() : j]
+                    continue
+            self.at = k + 1
+            yield "text", "<", ""
+
+
+def parsed(page: str | None) -> Page:
     """Blocks with text, in page order; text in elements that are never shown, and in forms, is left out."""
-    page = page or ""
-    stack: list[tuple[str, int, frozenset[str], bool, bool]] = []  # tag, number, kinds, unseen, inside an article
+    # Of every element: tag, the block-level element it is or is in, unseen, inside an article, form it is in.
+    stack: list[tuple[str, int, bool, bool, int]] = [("", 0, False, False, 0)]
+    places: dict[str, list[int]] = {}  # of the open elements by tag, and of block-level ones
+    up, depth, tags, kinds, forms, article, main = [0], [0], [""], [frozenset()], [], [False], [False]
     blocks: list[Block] = []
+    block_form: list[int] = []
     parts: list[str] = []
-    numbers, linked, links, owner = 0, 0, 0, ()
+    linked, shown, owner = 0, False, stack[0]
 
     def close() -> None:
-        nonlocal linked
-        text = " ".join(html.unescape("".join(parts)).split()) if parts else ""
+        nonlocal linked, shown
+        text = " ".join(html.unescape("".join(parts)).split()) if shown else ""
         if text:
-            near = next((e for e in reversed(owner) if e[0] in BLOCK), None)
-            path = tuple(e[1] for e in owner if e[0] in BLOCK)
-            own = owner[-1] if owner else ("", 0, frozenset(), False, False)
-            blocks.append(Block(text, min(1.0, linked / max(1, sum(map(len, parts)))), near[0] if near else "", path[-2] if len(path) > 1 else 0, path, own[2], own[4]))
+            _, e, _, inside, form = owner
+            blocks.append(Block(text, min(1.0, linked / max(1, sum(map(len, parts)))), tags[e], e, up[e], inside))
+            block_form.append(form)
         parts.clear()
-        linked = 0
+        linked, shown = 0, False
+
+    def last(tag: str) -> int:
+        found = places.get(tag)
+        return found[-1] if found else 0
 
     def drop(i: int) -> None:
-        nonlocal links
         for tag, *_ in stack[i:]:
-            links -= tag == "a"
+            places[tag].pop()
+            if tag in BLOCK:
+                places["*"].pop()
         del stack[i:]
 
-    at, end = 0, len(page)
-    while at < end:
-        m = TOKEN.match(page, at)
-        at = m.end()
-        if (text := m["text"]) is not None:
-            if not (stack and stack[-1][3]):
-                if not parts or not any(map(str.strip, parts)):
-                    owner = tuple(stack)
-                parts.append(text)
-                if links:
-                    linked += len(text)
-            continue
-        tag = m["tag"] or m["tag2"]
-        if not tag:
-            continue
-        rest = m["rest"] or m["rest2"] or ""
-        tag = tag.lower()
-        if tag[0] == "/":
-            tag = tag[1:]
-            if tag in BLOCK or tag == "br":
-                close() if tag != "br" else parts.append(" ")
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    drop(i)
-                    break
-                if tag not in BLOCK and stack[i][0] in BLOCK:
-                    break
+    tokens = Tokens(page or "")
+    for kind, name, rest in tokens:
+        if kind == "text":
+            if not stack[-1][2]:
+                if not shown and not name.isspace():
+                    owner, shown = stack[-1], True
+                parts.append(name)
+                if places.get("a"):
+                    linked += len(name)
             continue
-        if tag in BLOCK:
-            close()
-        if tag == "br":
+        if name == "br":
             parts.append(" ")
-        if ended := ENDS.get(tag):
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] in ended:
-                    drop(i)
-                    break
-                if stack[i][0] in SCOPE:
-                    break
-        if tag in VOID:
+        elif name in BLOCK:
+            close()
+        if kind == "close":
+            i = last(name)
+            if i and (name in BLOCK or i > last("*")):
+                drop(i)
             continue
-        kinds, hidden = _kinds(tag, rest)
-        up = stack[-1] if stack else ("", 0, frozenset(), False, False)
-        numbers += 1
-        if tag in RAW:
-            # Raw text runs up to its own closing tag.
-            if rest.endswith("/"):
-                continue
-            done = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)
-            at = done.end() if done else end
+        if name in BLOCK and name not in ("html", "head") and last("head"):
+            drop(last("head"))
+        i = max((last(t) for t in ENDS.get(name, ())), default=0)
+        if i and i > max(last(t) for t in SCOPE):
+            drop(i)
+        if name in VOID:
+            continue
+        if name in RAW:
+            if not (name == "svg" and rest.endswith("/")):
+                tokens.raw(name)
             continue
-        inside = up[4] or tag in ("article", "main")
-        stack.append((tag, numbers, up[2] | kinds, up[3] or hidden or tag in UNSEEN, inside))
-        links += tag == "a"
+        _, e, unseen, inside, form = stack[-1]
+        found, hidden = _says(name, rest, inside)
+        inside = inside or name in ("article", "main")
+        if name in BLOCK or found:
+            up.append(e)
+            depth.append(depth[e] + 1)
+            tags.append(name if name in BLOCK else tags[e])
+            kinds.append(found)
+            article.append(name in ("article", "main"))
+            main.append(name == "main")
+            e = len(up) - 1
+            if name == "form":
+                form = e
+                forms.append(e)
+        places.setdefault(name, []).append(len(stack))
+        if name in BLOCK:
+            places.setdefault("*", []).append(len(stack))
+        stack.append((name, e, unseen or hidden or name in UNSEEN, inside, form))
     close()
-    return blocks
+    words = [0] * len(up)
+    for b in blocks:
+        words[b.element] += b.text.count(" ") + 1
+    for e in range(len(up) - 1, 0, -1):
+        words[up[e]] += words[e]
+        article[up[e]], main[up[e]] = article[up[e]] or article[e], main[up[e]] or main[e]
+    total = max(1, words[0])
+    frame = {e for e in forms if article[e] or words[e] >= FRAME_WORDS and words[e] > FRAME_SHARE * total}
+    near: list[tuple[float, ...]] = [(0.0,) * len(KINDS)]
+    far = list(near)
+    for e in range(1, len(up)):
+        p = up[e]
+        if not kinds[e]:
+            near.append(near[p])
+            far.append(far[p])
+            continue
+        # What an element says doesn't tell blocks apart if it holds the page, or its main part; but an article may be all there is.
+        holds = main[e] and tags[e] != "main" or article[e] and tags[e] != "article" and 2 * words[e] > total
+        weight = 0.0 if holds else min(1.0, 2 - 2 * words[e] / total)
+        near.append(tuple((1.0 if k == "main" else weight) if k in kinds[e] else 0.0 for k in KINDS))
+        far.append(tuple(map(max, far[p], near[p])))
+    # A form can't stand in a form: the innermost one decides.
+    kept = [b for b, form in zip(blocks, block_form, strict=True) if not form or form in frame]
+    for b in kept:
+        b.near, b.far = near[b.element], far[b.element]
+    return Page(kept, up, depth)
+
+
+def blocks_of(page: str | None) -> list[Block]:
+    return parsed(page).blocks
 
 
 STOPS = frozenset("the and of to in is that for der die und das ist von den le la les de des et un une el los las que en y del por con".split())
@@ -175,13 +299,13 @@ def features(blocks: list[Block]) -> np.ndarray:
     x = np.zeros((len(blocks), len(FEATURES)))
     place = {f: i for i, f in enumerate(FEATURES)}
     for i, b in enumerate(blocks):
-        for k in b.kinds:
-            x[i, place[k]] = 1
+        x[i, : len(KINDS)], x[i, len(KINDS) : 2 * len(KINDS)] = b.near, b.far
         t = b.tag
         name = "h" if re.fullmatch(r"h\d", t) else "cell" if t in ("td", "th", "dd", "dt") else t
         if (at := place.get(f"tag_{name}")) is not None:
             x[i, at] = 1
         n = b.text.count(" ") + 1
+        x[i, place["plain"]] = max(0.0, 1 - sum(b.near) - sum(b.far))
         x[i, place["in_article"]] = b.in_article
         x[i, place["linked"]] = b.linked
         x[i, place["log_words"]] = np.log1p(n) / 3
@@ -193,7 +317,7 @@ def features(blocks: list[Block]) -> np.ndarray:
 
 
 def _made_up(rng: random.Random) -> list[tuple[str, bool]]:
-    """(page fragment, is content) of a page in one of many layouts."""
+    """(part of the page, is content) of a page in one of many layouts. Parts that open and close elements have no text."""
     stock = [*STOPS, *("".join(rng.choice("bcdfglmnprst") + rng.choice("aeiou") for _ in range(rng.randint(1, 4))) for _ in range(80))]
 
     def words(a: int, b: int) -> str:
@@ -208,6 +332,9 @@ def _made_up(rng: random.Random) -> list[tuple[str, bool]]:
     def boxed(kind: str, tag: str, body: str) -> str:
         bare = rng.random() < 0.5 and tag != "div"
         name = rng.choice([w for w in KINDS[kind].split() if "-" not in w])
+        if rng.random() < 0.3:
+            inner = rng.choice(["inner", "box", "text", "content", "body", "row", "entry"])
+            body = f"<div class='{inner}'>{body}</div>"
         return f"<{tag}>{body}</{tag}>" if bare else f'<{tag} {rng.choice(["class", "id"])}="{name}">{body}</{tag}>'
 
     wrap = rng.choice(["article", "main", "div class=content", "div id=main", "div class=post", "section", "div", "div class='entry text'", ""])
@@ -221,7 +348,7 @@ def _made_up(rng: random.Random) -> list[tuple[str, bool]]:
     tail = [
         (boxed("side", rng.choice(["aside", "div"]), f"<h4>{words(1, 3)}</h4>" + listed(3)), 0.4),
         (boxed("share", "div", listed(3)), 0.4),
-        (boxed("talk", rng.choice(["section", "div"]), "".join(f"<p>{sentences(1, 3)}</p>" for _ in range(rng.randint(1, 4)))), 0.5),
+        (boxed("talk", rng.choice(["section", "div"]), "".join(rng.choice(["<p>{}</p>", "<article class=comment><p>{}</p></article>", "<div class='comment-body'><div class=text>{}</div></div>"]).format(sentences(1, 3)) for _ in range(rng.randint(1, 4)))), 0.5),
         (boxed("foot", rng.choice(["footer", "div"]), rng.choice([f"&copy; {words(2, 6)}", f"<p>{sentences(1, 2)}</p>", listed(4)])), 0.9),
     ]
     middle = [f"<h1>{words(2, 9)}</h1>"]
@@ -232,16 +359,23 @@ def _made_up(rng: random.Random) -> list[tuple[str, bool]]:
                 [8, 2, 2, 1, 1, 3, 1, 1],
             )[0]
         )
+    if rng.random() < 0.3:
+        # An article's own head.
+        middle[0] = rng.choice(["<header>{}</header>", "<div class='entry-header'>{}</div>", "<header class=article-header>{}</header>", "<div class='post-header'>{}</div>"]).format(middle[0]) if wrap else middle[0]
     # Adverts and notices stand inside articles too.
     for box in (boxed("ad", "div", words(3, 9)), boxed("share", "div", listed(3)), boxed("side", "aside", f"<p>{sentences(1, 1)}</p>"), boxed("note", "div", sentences(1, 1))):
         if rng.random() < 0.25:
             middle.insert(rng.randint(1, len(middle)), box + "\0")
     open_, shut = (f"<{wrap}>", f"</{wrap.split()[0]}>") if wrap else ("", "")
-    out = [(b, False) for b, p in outer if rng.random() < p]
-    out += [(open_ + m.rstrip("\0") + shut, not m.endswith("\0")) for m in middle]
-    return out + [(b, False) for b, p in tail if rng.random() < p]
+    before, after = [b for b, p in outer if rng.random() < p], [b for b, p in tail if rng.random() < p]
+    # The whole page in an element that names its parts.
+    frame = rng.choice(["", "", "div class='layout with-sidebar'", "div class='page has-menu has-footer'", "form id=search-page", "div id=wrap", "div class='container comments-open'"])
+    inside = [*before, open_, *middle, shut, *after]
+    content = [False] * (len(before) + 1) + [not m.endswith("\0") for m in middle] + [False] * (len(after) + 1)
+    return [(f"<{frame}>" if frame else "", False), *((p.rstrip("\0"), c) for p, c in zip(inside, content, strict=True))]
 
 
+MADE = re.compile("\x01(\\d+)\x02 ?")
 _MODEL: list[np.ndarray] = []
 
 
@@ -251,11 +385,15 @@ def model(pages: int = 400, seed: int = 7, l2: float = 0.3) -> np.ndarray:
         rng = random.Random(seed)
         xs, ys = [], []
         for _ in range(pages):
-            for fragment, content in _made_up(rng):
-                found = blocks_of(f"<body>{fragment}</body>")
-                if found:
-                    xs.append(features(found))
-                    ys += [content] * len(found)
+            made = _made_up(rng)
+            # Blocks are told by a word of their own that stands before each part's text and is taken out again.
+            whole = "".join(re.sub(r">(?=[^<\s])", f">\x01{k}\x02 ", part) if part.count("<") > 1 else part for k, (part, _) in enumerate(made))
+            found = parsed(f"<body>{whole}</body>")
+            part = [int(m[1]) for b in found.blocks if (m := MADE.search(b.text))]
+            for b in found.blocks:
+                b.text = MADE.sub("", b.text).strip() or "-"
+            xs.append(features(found.blocks))
+            ys += [made[k][1] for k in part]
         x, y = np.concatenate(xs), np.array(ys, dtype=float)
         w = np.zeros(x.shape[1])
         for _ in range(30):  # Newton
@@ -266,8 +404,9 @@ def model(pages: int = 400, seed: int = 7, l2: float = 0.3) -> np.ndarray:
     return _MODEL[0]
 
 
-def label(blocks: list[Block], weights: np.ndarray) -> list[bool]:
+def label(page: Page, weights: np.ndarray) -> list[bool]:
     """True for the blocks of the main text."""
+    blocks = page.blocks
     if not blocks:
         return []
     # cost(boilerplate) - cost(content) = log odds; bounded, so that a certain block still listens to certain neighbours
@@ -276,31 +415,27 @@ def label(blocks: list[Block], weights: np.ndarray) -> list[bool]:
     for i, b in enumerate(blocks):
         if i:
             a = blocks[i - 1]
-            common = 0
-            for p, q in zip(a.path, b.path, strict=False):
-                if p != q:
-                    break
-                common += 1
-            far = len(a.path) + len(b.path) - 2 * common
+            far = page.apart(a.element, b.element)
             # Blocks that different kinds of element enclose are hardly tied.
-            tie = ADJACENT / (1 + far) if a.kinds == b.kinds else ADJACENT / (4 + 4 * far)
+            tie = ADJACENT / (1 + far) if a.near == b.near else ADJACENT / (4 + 4 * far)
             edges.append((i - 1, i, tie))
         j = last.get(b.parent)
-        if j is not None and blocks[j].kinds == b.kinds:
+        if j is not None and blocks[j].near == b.near:
             edges.append((j, i, SIBLING))
         last[b.parent] = i
     return source_side(net, edges)
 
 
 def main_text(page: str | None, weights: np.ndarray) -> str:
-    blocks = blocks_of(page)
-    return "\n".join(b.text for b, keep in zip(blocks, label(blocks, weights), strict=True) if keep)
+    found = parsed(page)
+    return "\n".join(b.text for b, keep in zip(found.blocks, label(found, weights), strict=True) if keep)
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars (code points) for every row of `pages`.
 
-    The whole html is read. A null or empty html, and one without main text, give an empty text; ids and urls may be null or repeated and are
+    The whole html is read, in time that grows with its length. Elements with the attribute hidden or an inline display:none are not shown. Forms are
+    left out, but for one that frames the page: it holds an article, or most of the page's words. The header of an article belongs to it. A null or empty html, and one without main text, give an empty text; ids and urls may be null or repeated and are
     passed on; other columns are ignored; an empty table gives no rows.
     """
     weights = model()

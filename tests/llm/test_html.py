@@ -1,5 +1,6 @@
 import itertools
 import random
+import time
 
 import pytest
 
@@ -42,6 +43,66 @@ def test_pages(page, text):
     assert html.main_text(page, W) == text
 
 
+ARTICLE = "<h1>A day at the sea</h1><p>We went to the sea early in the morning. The water was cold.</p><p>Later we saw a boat and two birds. They flew away.</p>"
+TEXT = "A day at the sea\nWe went to the sea early in the morning. The water was cold.\nLater we saw a boat and two birds. They flew away."
+MENU = "<nav><ul><li><a href=1>Home</a></li><li><a href=2>News</a></li></ul></nav>"
+FOOT = "<footer>&copy; 2020 Site name. All rights reserved.</footer>"
+
+
+@pytest.mark.parametrize(
+    "frame",
+    [
+        '<div class="overflow hidden md">{}</div>',
+        '<article title="the hidden valley">{}</article>',
+        '<article data-x="aria-hidden=true">{}</article>',
+        '<div class="layout with-sidebar"><article>{}</article></div>',
+        '<div class="layout with-sidebar"><div class="content">{}</div></div>',
+        '<div id="page" class="has-footer comments-open"><main>{}</main></div>',
+        "<form action=/s><article>{}</article></form>",
+        "<article>{}</article>",
+        "<main>{}</main>",
+        "<div id=content><div class=inner>{}</div></div>",
+        "<article><p hidden>Not this one here.</p><p style='color:red; display: none'>Nor this.</p>{}</article>",
+        "<script/>x</script><article>{}</article>",
+        "<article>{}</article><form><p>Search the whole site for words.</p></form>",
+        "<article>{}</article><!-->x--><!-- > <p>y</p> --><![CDATA[ <p>z</p> ]]><?php <p ?>",
+        '<article>{}</article><a title="1 > 0"></a>',
+    ],
+)
+@pytest.mark.parametrize("around", ["{}", MENU + "{}" + FOOT])
+def test_frames(frame, around):
+    got = html.main_text("<html><head><title>T</title></head><body>" + around.format(frame.format(ARTICLE)) + "</body></html>", W)
+    if "<!-->" in frame:
+        got = got.replace("\nx-->", "")
+    assert got == TEXT
+
+
+def test_headline_in_a_header():
+    page = "<article><header><h1>A day at the sea</h1></header>" + ARTICLE[ARTICLE.index("<p>") :] + "</article>"
+    assert html.main_text(f"<header><p>Daily news of the town</p></header>{page}{FOOT}", W) == TEXT
+
+
+def test_page_within_a_form():
+    page = f"<form id=aspnet><div class=header>Site</div><div class=content>{ARTICLE * 4}</div></form>"
+    assert html.main_text(page, W) == "\n".join([TEXT] * 4)
+
+
+def test_head_that_is_not_closed():
+    assert html.main_text("<html><head><title>T</title><meta x><body><article>" + ARTICLE, W) == TEXT
+
+
+@pytest.mark.parametrize(
+    "piece", ['<a b="', "<a b='\"", "<", "<!", "</a", "<a<", "<a ", "<!--x", "<div>x", "<p>x</b>", "<i>", "<b></u>", '<a b=">" ', "<script>", "</script", "<a b=c d", "<form>x", "<a  =", "&am", "<td>", "<li>x<ul>"]
+)
+def test_time_grows_with_length(piece):
+    """Half a megabyte of broken markup; what takes time in the square of that would run for hours."""
+    page = "<article><p>The quick fox saw the lazy dog today.</p>" + piece * (500_000 // len(piece))
+    began = time.perf_counter()
+    html.main_text(page, W)
+    html.main_text(page + ">", W)
+    assert time.perf_counter() - began < 60
+
+
 def test_cut_is_minimal():
     rng = random.Random(3)
     for _ in range(200):
