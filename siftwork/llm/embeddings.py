@@ -24,7 +24,7 @@ BLOCK = 2048
 TOP = 20
 SCALE = 64
 EVERY = 20
-QUERY_BLOCK = 1024
+QUERY_BLOCK = 4096
 #: Tasks, at most; with more pairs of blocks a task has several.
 TASKS = 20_000
 DATA_BLOCK = 8192
@@ -54,9 +54,9 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def _whole(x: np.ndarray) -> np.ndarray:
+def _whole(x: np.ndarray, scale: int) -> np.ndarray:
     with np.errstate(over="ignore"):
-        return np.floor(x * SCALE)
+        return np.floor(x * scale)
 
 
 def _pivots(x: np.ndarray, want: int) -> np.ndarray:
@@ -73,8 +73,11 @@ def _pivots(x: np.ndarray, want: int) -> np.ndarray:
 class Cells:
     """Pivots of the groups that need several blocks, and what cells are made of: (group columns, cell, rest) -> blocks to meet."""
 
-    def __init__(self, rows: DataFrame, by: list[str], key: str, block: int, point: Callable[[np.ndarray], np.ndarray]):
-        """rows(*by, key, v); by ends with n_dim. point: what a row of numbers stands for in the tree's space."""
+    def __init__(self, rows: DataFrame, by: list[str], key: str, block: int, point: Callable[[np.ndarray], np.ndarray], near: Callable[..., np.ndarray]):
+        """rows(*by, key, v); by ends with n_dim. point: what a row of numbers stands for in the tree's space.
+
+        near(points, pivots, cell of each point, distances): which cells have to meet, judged by the sample; pivots serve if that spares enough.
+        """
         self.rows, self.by, self.point = rows, by, point
         sizes = rows.groupBy(*by).agg(F.count("*").alias("n")).checkpoint()
         self.pivots: dict[tuple, np.ndarray] = {}
@@ -91,7 +94,13 @@ class Cells:
                 x = point(_matrix(group["v"]))
                 tame = np.isfinite(x).all(axis=1) & (np.abs(x).max(axis=1) < math.sqrt(ENDLESS))
                 if tame.sum() > 1 and name in known:
-                    self.pivots[name] = _pivots(x[tame], -(-known[name] // block) + 1)
+                    x = x[tame]
+                    pivots = _pivots(x, -(-known[name] // block) + 1)
+                    d = distances(x, pivots)
+                    cell = d.argmin(axis=1)
+                    n = np.bincount(cell, minlength=len(pivots)).astype(float)
+                    if (n[:, None] * n[None] * near(x, pivots, cell, d.min(axis=1))).sum() <= (1 - SPARED) * n.sum() ** 2:
+                        self.pivots[name] = pivots
 
     def name(self, row) -> tuple:
         return tuple(row[c] for c in self.by)
@@ -143,7 +152,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, block: int = BLO
     classes = good.groupBy("label", "v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight"), F.first("n_dim").alias("n_dim")).checkpoint()
     limit = math.sqrt(2 - 2 * cosine)
     by = ["label", "n_dim"]
-    cells = Cells(classes, by, "rep", block, _unit)
+    cells = Cells(classes, by, "rep", block, _unit, lambda x, p, cell, far: _may_link(p, _most(far, cell, len(p)), limit))
     placed = cells.dealt()
     if cells.pivots:
         placed = placed.checkpoint()
@@ -202,6 +211,37 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, block: int = BLO
     return rest.join(per_id, "vec_id", "left").select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"), (F.coalesce("component", "vec_id") == F.col("vec_id")).alias("kept"))
 
 
+def _most(far: np.ndarray, cell: np.ndarray, n: int) -> np.ndarray:
+    out = np.zeros(n)
+    np.maximum.at(out, cell, far)
+    return out
+
+
+def _may_link(pivots: np.ndarray, radius: np.ndarray, limit: float) -> np.ndarray:
+    near = distances(pivots, pivots) <= limit + radius[:, None] + radius[None] + 4 * EPS
+    np.fill_diagonal(near, True)
+    return near
+
+
+def _bounds(p: np.ndarray, r: np.ndarray, s: np.ndarray) -> np.ndarray:
+    """No inner product of a point within r[i] of p[i] and one within s[j] of p[j] is above [i, j]."""
+    length = np.sqrt((p * p).sum(axis=1))
+    r, s = r + EPS * (r + length), s + EPS * (s + length)
+    bound = p @ p.T + r[:, None] * length[None] + s[None] * (length + r)[:, None]
+    return bound + EPS * ((length + r)[:, None] * (length + s)[None])
+
+
+def _may_score(x: np.ndarray, pivots: np.ndarray, cell: np.ndarray, far: np.ndarray, k: int) -> np.ndarray:
+    """Which pairs of cells may have a score of the k highest, if the sample were all there is."""
+    if len(x) <= k:
+        return np.ones((len(pivots), len(pivots)), dtype=bool)
+    kth = np.partition(x @ x.T, len(x) - k - 1, axis=1)[:, len(x) - k - 1]
+    worst = np.full(len(pivots), np.inf)
+    np.minimum.at(worst, cell, kth)
+    radius = _most(far, cell, len(pivots))
+    return _bounds(pivots, radius, radius) >= worst[:, None]
+
+
 def close_cells(sized: DataFrame, cells: Cells, limit: float, block: int) -> list[tuple]:
     """(*by, cell, units, others) of the groups where cells spare enough pairs; others are the (cell, units) that may hold points within the limit.
 
@@ -211,8 +251,7 @@ def close_cells(sized: DataFrame, cells: Cells, limit: float, block: int) -> lis
     found = pd.DataFrame([r.asDict() for r in sized.join(F.broadcast(_names(sized, cells)), cells.by, "left_semi").collect()])
     for name, group in found.groupby(cells.by, sort=False) if len(found) else ():
         p, cell, n, radius = cells.pivots[tuple(name)], group["cell"].to_numpy(), group["n"].to_numpy(), group["radius"].to_numpy()
-        near = distances(p[cell], p[cell]) <= limit + radius[:, None] + radius[None] + 4 * EPS
-        np.fill_diagonal(near, True)
+        near = _may_link(p[cell], radius, limit)
         if (n[:, None] * n[None] * near).sum() > (1 - SPARED) * float(n.sum()) ** 2:
             continue
         units = -(-n // block)
@@ -236,7 +275,7 @@ def top_k(vectors: DataFrame, k: int = TOP, every: int = EVERY, scale: int = SCA
     block = data_block or DATA_BLOCK
     good = usable(vectors.where("vec_id is not null").withColumn("label", F.lit(None)), nonzero=False)
     rows = good.select("vec_id", "v", F.size("v").alias("n_dim"), (F.col("vec_id") % every == 0).alias("is_query"))
-    cells = Cells(rows, ["n_dim"], "vec_id", block, _whole if scale == SCALE else lambda x: np.floor(x * scale))
+    cells = Cells(rows, ["n_dim"], "vec_id", block, lambda x: _whole(x, scale), lambda x, p, cell, far: _may_score(x, p, cell, far, k))
     placed = cells.dealt()
     if cells.pivots:
         placed = placed.checkpoint()
@@ -294,10 +333,7 @@ def _search_cells(placed: DataFrame, cells: Cells, evenly: DataFrame, met: Calla
     for n_dim, group in stat.groupby("n_dim"):
         group = group.reset_index(drop=True)
         p = np.vstack([cells.pivots[(n_dim,)], np.zeros((1, int(n_dim)))])[group["cell"].to_numpy()]  # cell -1 has the row of zeros
-        length = np.sqrt((p * p).sum(axis=1))
-        s, r = (x + EPS * (x + length) for x in (group["far"].to_numpy(), group["far_q"].fillna(0).to_numpy()))
-        bound = p @ p.T + r[:, None] * length[None] + s[None] * (length + r)[:, None]
-        bound += EPS * ((length + r)[:, None] * (length + s)[None])
+        bound = _bounds(p, group["far_q"].fillna(0).to_numpy(), group["far"].to_numpy())
         endless = (group["cell"] < 0).to_numpy()
         bound[endless] = bound[:, endless] = np.inf
         first = np.zeros(bound.shape, dtype=bool)

@@ -56,7 +56,7 @@ def test_cells_spare_pairs(spark):
     rows = clustered()
     table = frame(spark, rows)
     good = embeddings.usable(table, True).selectExpr("label", "size(v) as n_dim", "vec_id", "v")
-    cells = embeddings.Cells(good, ["label", "n_dim"], "vec_id", 50, embeddings._unit)
+    cells = embeddings.Cells(good, ["label", "n_dim"], "vec_id", 50, embeddings._unit, lambda x, p, cell, far: np.eye(len(p), dtype=bool))
     sized = cells.dealt().groupBy("label", "n_dim", "cell").agg(embeddings.F.count("*").alias("n"), embeddings.F.max("far").alias("radius"))
     kept = embeddings.close_cells(sized, cells, 0.37, 50)
     met = sum(units * sum(u for _, u in others) for *_, units, others in kept)
@@ -65,6 +65,15 @@ def test_cells_spare_pairs(spark):
     assert got == brute_links(rows)
 
 
+def test_cells_of_searches(spark, monkeypatch):
+    rows = [(k, ((np.arange(6) == k % 6) * 3.0 + 0.01 * np.sin(k * np.arange(1, 7))).tolist(), 0) for k in range(600)]
+    used = []
+    inner = embeddings._search_cells
+    monkeypatch.setattr(embeddings, "_search_cells", lambda *a: used.append(1) or inner(*a))
+    got = {(r.query_id, r["rank"], r.vec_id, r.score) for r in embeddings.top_k(frame(spark, rows), data_block=100).collect()}
+    assert got == brute_top(rows) and used
+
+
 def test_tiny_and_huge_vectors(spark):
     rows = [(0, [1e-200, 1e-200], 0), (1, [1e-200, 1.01e-200], 0), (2, [1e200, 1e200], 0), (3, [1e200, 1.01e200], 0), (4, [1e300, -1e300], 0), (5, [5e-324, 0.0], 1), (6, [1.0, 0.0], 1)]
     got = {r.vec_id: (r.n_links, r.component_id) for r in embeddings.near_duplicates(frame(spark, rows)).collect()}
