@@ -3,6 +3,10 @@
 Categories are predicted one after another; each model sees the words of the whole text and the probabilities of the
 categories before it. While fitting, those earlier probabilities are out-of-fold predictions, so that later models learn from
 inputs as uncertain as they will meet. A word counts once in a text, with its own weight and those of its beginnings.
+
+The model's limits, the same at every size of the input: it is fitted on SAMPLE labelled documents at most, its features are hashed into DIM places,
+and each linear model uses the SCREEN of them that tell its training rows apart best. They are chosen from grouped counts; the driver gets
+a table of counts with DIM rows at most, and of the sample's texts only the chosen features. Scoring reads all rows and whole texts.
 """
 
 from __future__ import annotations
@@ -59,16 +63,23 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
+def strengths(df: np.ndarray, hit: np.ndarray, n: int, up: int) -> np.ndarray:
+    """How well each feature tells apart n rows, `up` of them in the class; in df of them and in hit of the class. 0 where it occurs once or never."""
+    share = up / max(n, 1)
+    out = (hit - df * share) / np.sqrt(df * share * (1 - share) + 1)
+    out[df < 2] = 0
+    return out
+
+
+def strongest(strength: np.ndarray) -> np.ndarray:
+    index = np.sort(np.argsort(-np.abs(strength), kind="stable")[:SCREEN])
+    return index[strength[index] != 0]
+
+
 def fit_linear(rows: np.ndarray, features: np.ndarray, earlier: np.ndarray, y: np.ndarray, l1: float = 1.0, l2: float = 0.05, steps: int = 150) -> Linear:
     """Logistic regression with both penalties by accelerated proximal steps; (rows, features) are the non-zero places of the matrix."""
     n, up = len(y), max(1, int(y.sum()))
-    df = np.bincount(features, minlength=DIM)
-    hit = np.bincount(features, weights=y[rows], minlength=DIM)
-    share = up / max(n, 1)
-    strength = (hit - df * share) / np.sqrt(df * share * (1 - share) + 1)
-    strength[df < 2] = 0
-    index = np.sort(np.argsort(-np.abs(strength), kind="stable")[:SCREEN])
-    index = index[strength[index] != 0]
+    index = strongest(strengths(np.bincount(features, minlength=DIM), np.bincount(features, weights=y[rows], minlength=DIM), n, up))
     place = np.full(DIM, -1)
     place[index] = np.arange(len(index))
     keep = place[features] >= 0
@@ -91,9 +102,15 @@ def fit_linear(rows: np.ndarray, features: np.ndarray, earlier: np.ndarray, y: n
     def loss(z):
         return float(np.logaddexp(0, z).sum() - y @ z)
 
+    low, still = np.inf, 0
     for _ in range(steps):
         z = margin(v)
         g, base = gradient(z), loss(z)
+        # Steps that no longer matter end the fit.
+        still = still + 1 if base > low - 1e-4 * abs(low) else 0
+        low = min(low, base)
+        if still >= 8:
+            break
         g[:k] += l2 * v[:k]
         while True:
             new = v - rate * g
@@ -163,21 +180,41 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Chain | Non
             found = [sorted({f for w in words_of(t) for f in word_features(w)}) for t in b["text"]]
             yield pd.DataFrame({"doc_id": b["doc_id"], "quality": b["quality"], "toxic": b["toxic"], "features": found})
 
+    fold = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(FOLDS)).cast("int")
     seen = both.mapInPandas(read, "doc_id long, quality int, toxic int, features array<int>")
-    got = seen.orderBy(F.xxhash64("doc_id"), "doc_id", F.hash("features")).limit(sample).toPandas()
-    if not len(got):
+    # Of several rows of one id, one.
+    seen = seen.groupBy("doc_id").agg(F.min(F.struct("quality", "toxic", "features")).alias("r")).select("doc_id", (F.col("r.quality") == 0).alias("low"), (F.col("r.toxic") == 1).alias("toxic"), fold.alias("fold"), "r.features").checkpoint()
+    known = seen.select("doc_id", "low", "toxic", "fold").toPandas()
+    if not len(known):
         return None
-    got = got.sort_values("doc_id", ignore_index=True)
+    kinds = {"n": F.lit(True), "low": F.col("low"), "toxic": F.col("toxic"), "severe": F.col("low") & F.col("toxic")}
+    counts = seen.select("low", "toxic", "fold", F.explode("features").alias("feature")).groupBy("feature").agg(*(F.count_if(of & (F.col("fold") == k)).cast("int").alias(f"{name}{k}") for name, of in kinds.items() for k in range(FOLDS)))
+    # A row a hashed feature that two texts have: DIM at most, whatever the texts.
+    table = counts.where(sum(F.col(f"n{k}") for k in range(FOLDS)) > 1).toPandas()
+    wanted = np.zeros(DIM, dtype=bool)
+    classes = {"low": known["low"].to_numpy(), "toxic": known["toxic"].to_numpy()}
+    classes["severe"] = classes["low"] & classes["toxic"]
+    place, folds = table["feature"].to_numpy(), known["fold"].to_numpy()
+    for without in (None, *range(FOLDS)):
+        ks = [k for k in range(FOLDS) if k != without]
+        df = np.bincount(place, weights=sum(table[f"n{k}"] for k in ks), minlength=DIM)
+        for name, y in classes.items():
+            hit = np.bincount(place, weights=sum(table[f"{name}{k}"] for k in ks), minlength=DIM)
+            train = folds != without if without is not None else np.ones(len(folds), dtype=bool)
+            wanted[strongest(strengths(df, hit, int(train.sum()), max(1, int(y[train].sum()))))] = True
+    del table, counts
+    bits = docs.sparkSession.sparkContext.broadcast(wanted)
+
+    @F.pandas_udf("array<int>")
+    def chosen_of(features: pd.Series) -> pd.Series:
+        return features.map(lambda f: f[bits.value[f]] if len(f) else f)
+
+    got = seen.select("doc_id", "low", "toxic", "fold", chosen_of("features").alias("features")).toPandas().sort_values("doc_id", ignore_index=True)
     size = got["features"].map(len).to_numpy()
     rows = np.repeat(np.arange(len(got), dtype=np.int32), size)
     features = np.concatenate([np.asarray(x, dtype=np.int32) for x in got["features"]])
-    got = got.drop(columns="features")
-    # What one text alone has can't be told from chance; most features are such.
-    common = (np.bincount(features, minlength=DIM) > 1)[features]
-    rows, features = rows[common], features[common]
-    low, toxic = (got["quality"] == 0).to_numpy(), (got["toxic"] == 1).to_numpy()
-    fold = np.array([zlib.crc32(str(i).encode()) % FOLDS for i in got["doc_id"]])
-    return fit_chain(rows, features, fold, np.column_stack([low, toxic, low & toxic]))
+    low, toxic = got["low"].to_numpy(), got["toxic"].to_numpy()
+    return fit_chain(rows, features, got["fold"].to_numpy(), np.column_stack([low, toxic, low & toxic]))
 
 
 def score(docs: DataFrame, chain: Chain | None, keep: bool = False) -> DataFrame:

@@ -1,4 +1,5 @@
 import random
+import zlib
 
 import numpy as np
 
@@ -50,3 +51,33 @@ def test_edges(spark):
 def test_threshold():
     assert toxicity.best_threshold(np.array([0.9, 0.8, 0.2]), np.array([1.0, 1.0, 0.0])) == 0.5
     assert toxicity.best_threshold(np.array([0.9]), np.array([0.0])) > 1
+
+
+def test_fit_like_plain_python(spark):
+    """Grouped counts and chosen features give the chain that all features of all texts give, and no row's inputs come from a model that saw it."""
+    docs, labels = corpus(n=250)
+    d, y = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    got = toxicity.fit(d.repartition(3), y)
+    found = [sorted({f for w in toxicity.words_of(t) for f in toxicity.word_features(w)}) for _, t in docs]
+    rows, features = np.repeat(np.arange(len(docs)), [len(f) for f in found]), np.concatenate([np.array(f) for f in found])
+    fold = np.array([zlib.crc32(str(i).encode()) % toxicity.FOLDS for i, _ in docs])
+    low, toxic = np.array([q == 0 for _, q, _ in labels]), np.array([t == 1 for *_, t in labels])
+    targets = [low, toxic, low & toxic]
+    held = np.zeros((len(docs), 0))
+    for k, (target, model) in enumerate(zip(targets, got.models, strict=True)):
+        want = toxicity.fit_linear(rows, features, held, target.astype(float))
+        assert np.array_equal(want.index, model.index) and np.allclose(want.weight, model.weight) and np.allclose(want.earlier, model.earlier) and np.isclose(want.bias, model.bias)
+        column = np.zeros(len(docs))
+        for i in range(len(docs)):
+            others = np.nonzero(fold != fold[i])[0]
+            key = (k, fold[i])
+            if key not in MODELS:
+                part = np.isin(rows, others)
+                MODELS[key] = toxicity.fit_linear(np.searchsorted(others, rows[part]), features[part], held[others], target[others].astype(float))
+            own = features[rows == i]
+            column[i] = toxicity.predict_linear(MODELS[key], np.zeros(len(own), dtype=int), own, held[i : i + 1], 1)[0]
+        assert np.isclose(toxicity.best_threshold(column, target.astype(float)), got.thresholds[k])
+        held = np.column_stack([held, column])
+
+
+MODELS: dict = {}
