@@ -134,34 +134,53 @@ def _sized(sources: DataFrame) -> DataFrame:
     return F.broadcast(sources) if len(sources.select("key").limit(BROADCAST + 1).take(BROADCAST + 1)) <= BROADCAST else sources
 
 
-def copies(docs: DataFrame, planned: DataFrame, seed: str = SEED) -> DataFrame:
-    """docs with mix_budget, mix_exponent and mix_copies, the times that the row occurs in the mixture."""
-    rank, block = _rank(seed), F.col("mix_rank") % F.col("n_blocks")
-    first = (block < F.col("cut_block")) | (block == F.col("cut_block")) & ((F.col("mix_rank") < F.col("cut_rank")) | (F.col("mix_rank") == F.col("cut_rank")) & (_id() <= F.col("cut_id")))
-    names = [F.col(f"`{c}`") for c in docs.columns]
-    rows = docs.withColumn("mix_key", _key(docs)).withColumn("mix_rank", rank)
-    slim = planned.select(F.col("key").alias("mix_key"), F.col("budget").alias("mix_budget"), F.col("exponent").alias("mix_exponent"), "passes", "n_blocks", "cut_block", "cut_rank", "cut_id")
+def _fresh(docs: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores before them until no column of docs has them in any case."""
+    taken = {c.lower() for c in docs.columns}
+    mark = ""
+    while any(mark + n in taken for n in names):
+        mark += "_"
+    return [mark + n for n in names]
+
+
+def copies(docs: DataFrame, planned: DataFrame, seed: str = SEED) -> tuple[DataFrame, str, str, str]:
+    """docs with three columns more, and their names: the budget of the row's source, the exponent, and the times that the row occurs in the mixture.
+
+    Names are such as no column of docs has.
+    """
+    own = _fresh(docs, "mix_key", "mix_rank", "key", "budget", "exponent", "passes", "n_blocks", "cut_block", "cut_rank", "cut_id", "mix_copies")
+    key, rank, key2, budget, exponent_, passes, n_blocks, cut_block, cut_rank, cut_id, times = own
+    c = {n: F.col(n) for n in own}
+    block = c[rank] % c[n_blocks]
+    first = (block < c[cut_block]) | (block == c[cut_block]) & ((c[rank] < c[cut_rank]) | (c[rank] == c[cut_rank]) & (_id() <= c[cut_id]))
+    rows = docs.withColumn(key, _key(docs)).withColumn(rank, _rank(seed))
+    slim = planned.select(*(F.col(name).alias(new) for name, new in zip(("key", "budget", "exponent", "passes", "n_blocks", "cut_block", "cut_rank", "cut_id"), own[2:10], strict=True)))
     small = planned.count() <= BROADCAST
-    joined = rows.join(F.broadcast(slim) if small else slim, "mix_key")
-    return joined.select(*names, "mix_budget", "mix_exponent", (F.col("passes") + first.cast("long")).alias("mix_copies"))
+    joined = rows.join(F.broadcast(slim) if small else slim, rows[key] == slim[key2])
+    names = [F.col(f"`{n}`") for n in docs.columns]
+    return joined.select(*names, budget, exponent_, (c[passes] + first.cast("long")).alias(times)), budget, exponent_, times
 
 
 def mix(docs: DataFrame, entropy: float | None = ENTROPY, repeat: float | None = REPEAT, cover: bool = False, seed: str = SEED) -> DataFrame:
     """doc_id, source, n_tokens, copies, budget (of the source), exponent (in 1 / STEPS) for every row of docs.
 
-    Tokens are runs of characters other than blanks, tabs and line ends. A null text has none; a null source is a source of its own; a null doc_id
+    Tokens are runs of characters other than blanks, tabs and line ends, counted in whole texts. A null text has none; a null source is a source of its own; a null doc_id
     ranks like any other; equal rows get equal copies; other columns are ignored; an empty table gives no rows.
     """
     docs = docs.select("doc_id", "source", "text")
-    found = copies(docs, plan(docs, entropy, repeat, cover, seed), seed)
-    return found.select("doc_id", "source", _tokens().alias("n_tokens"), F.col("mix_copies").alias("copies"), F.col("mix_budget").alias("budget"), F.col("mix_exponent").alias("exponent"))
+    found, budget, exponent_, times = copies(docs, plan(docs, entropy, repeat, cover, seed), seed)
+    return found.select("doc_id", "source", _tokens().alias("n_tokens"), F.col(times).alias("copies"), F.col(budget).alias("budget"), F.col(exponent_).alias("exponent"))
 
 
 def mixture(docs: DataFrame, entropy: float | None = None, repeat: float | None = 2.0, cover: bool = True, seed: str = SEED) -> DataFrame:
-    """The rows of docs as often as the mixture has them; with `cover` each of them once at least."""
+    """The rows of docs as often as the mixture has them; with `cover` each of them once at least.
+
+    All columns pass unchanged, whatever their names; nulls and repeated rows are as in `mix`; an empty table gives no rows.
+    """
     names = [F.col(f"`{c}`") for c in docs.columns]
-    found = copies(docs, plan(docs, entropy, repeat, cover, seed), seed)
-    return found.where("mix_copies > 0").select(*names, F.explode(F.sequence(F.lit(1).cast("long"), "mix_copies")).alias("mix_copy")).drop("mix_copy")
+    found, _, _, times = copies(docs, plan(docs, entropy, repeat, cover, seed), seed)
+    again = F.explode(F.sequence(F.lit(1).cast("long"), F.col(times))).alias(times)
+    return found.where(F.col(times) > 0).select(*names, again).drop(times)
 
 
 #: `mix` with its own parameters over the table documents.

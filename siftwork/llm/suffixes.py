@@ -333,15 +333,21 @@ def unions(spans: pa.ListArray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return text[new], lo[new], (far - start)[last]
 
 
-def _split(docs: DataFrame, spans: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows of docs that can have spans, with them, and the rest. Only the former are shuffled."""
-    bits = docs.sparkSession.sparkContext.broadcast(sketch.bitmap(spans, sketch.place("doc_id")))
+def _split(docs: DataFrame, spans: DataFrame) -> tuple[DataFrame, DataFrame, str]:
+    """Rows of docs that can have spans, with them, and the rest; and the name of the column of spans, which no column of docs has.
 
+    Only the former are shuffled.
+    """
+    bits = docs.sparkSession.sparkContext.broadcast(sketch.bitmap(spans, sketch.place("doc_id")))
+    taken, mark = {c.lower() for c in docs.columns}, ""
+    while {f"{mark}spans", f"{mark}span_doc_id"} & taken:
+        mark += "_"
+    name, key = f"{mark}spans", f"{mark}span_doc_id"
     id_ = F.col("doc_id").cast("long")
     flag = id_.isNotNull() & _marked(bits)(sketch.place(F.coalesce(id_, F.lit(0).cast("long"))))
-    named = spans.select(F.col("doc_id").alias("span_doc_id"), F.col("spans").alias("removed_spans"))
+    named = spans.select(F.col("doc_id").alias(key), F.col("spans").alias(name))
     hit = docs.where(flag)
-    return hit.join(named, hit["doc_id"].cast("long") == named["span_doc_id"], "left").drop("span_doc_id"), docs.where(~flag)
+    return hit.join(named, hit["doc_id"].cast("long") == named[key], "left").drop(key), docs.where(~flag), name
 
 
 def digest(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
@@ -352,7 +358,7 @@ def digest(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame
     table gives no rows.
     """
     docs = _texts(docs)
-    hit, rest = _split(docs, repeated_spans(docs, length, gram))
+    hit, rest, spans = _split(docs, repeated_spans(docs, length, gram))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in portions(batches):
@@ -373,7 +379,7 @@ def digest(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame
                 [b.column(0), pa.array(sizes), pa.array(removed), pa.array(np.bincount(text, minlength=len(raw)).astype(np.int64)), pa.array(kept, pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
             )
 
-    changed = hit.select("doc_id", "text", "removed_spans").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    changed = hit.select("doc_id", "text", spans).mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
     text, zero = F.coalesce("text", F.lit("")), F.lit(0).cast("long")
     same = rest.select("doc_id", F.octet_length(text).cast("long").alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"), F.sha2(text.cast("binary"), 256).alias("kept_sha256"))
     return changed.unionByName(same)
@@ -399,17 +405,18 @@ def strip_text(text: str | None, spans: list[dict] | None) -> str | None:
 def strip(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """docs with repeated strings taken out of the column text; a row of which nothing is left goes. Other columns pass unchanged.
 
-    Nulls, empty texts and rows without doc_id are as in `digest`; they stay.
+    Nulls, empty texts and rows without doc_id are as in `digest`; they stay. Other columns may have any names; an empty table gives no rows.
     """
-    hit, rest = _split(docs, repeated_spans(docs, length, gram))
+    hit, rest, name = _split(docs, repeated_spans(docs, length, gram))
 
     @F.pandas_udf("string")
     def cut(text: pd.Series, spans: pd.Series) -> pd.Series:
         return pd.Series([strip_text(t, None if s is None else list(s)) for t, s in zip(text, spans, strict=True)], dtype=object)
 
-    cut_ = hit.withColumn("removed_spans", F.struct(cut(F.col("text").cast("string"), "removed_spans").alias("text"), F.col("text").alias("old")))
-    left = cut_.where("removed_spans.text <> '' or removed_spans.old = '' or removed_spans.old is null")
-    return left.select(*(F.col("removed_spans.text").alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns)).unionByName(rest)
+    both = hit.withColumn(name, F.struct(cut(F.col("text").cast("string"), F.col(name)).alias("new"), F.col("text").alias("old")))
+    new, old = F.col(f"{name}.new"), F.col(f"{name}.old")
+    left = both.where((new != "") | (old == "") | old.isNull())
+    return left.select(*(new.alias(c) if c.lower() == "text" else F.col(f"`{c}`") for c in docs.columns)).unionByName(rest)
 
 
 def reference(texts: dict[int, str | None], length: int = LENGTH) -> dict[int, tuple[int, int, int, str]]:

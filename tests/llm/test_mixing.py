@@ -30,11 +30,12 @@ def test_like_sql(spark):
 
 def test_cover(spark):
     docs = spark.createDataFrame(rows(), "doc_id long, text string, source string")
-    found = mixing.copies(docs, mixing.plan(docs, None, 2.0, True)).collect()
-    assert min(r.mix_copies for r in found) == 1 and max(r.mix_copies for r in found) <= 3
-    assert {r.mix_copies for r in found if r.source == "big"} == {1}
+    found, _, _, times = mixing.copies(docs, mixing.plan(docs, None, 2.0, True))
+    found = found.collect()
+    assert min(r[times] for r in found) == 1 and max(r[times] for r in found) <= 3
+    assert {r[times] for r in found if r.source == "big"} == {1}
     out = mixing.mixture(docs)
-    assert out.columns == docs.columns and out.count() == sum(r.mix_copies for r in found)
+    assert out.columns == docs.columns and out.count() == sum(r[times] for r in found)
 
 
 @pytest.mark.parametrize("n", [0, 1])
@@ -49,3 +50,15 @@ def test_entropy_is_met(spark):
     assert flat == 0 < half < mixing.STEPS
     assert mixing.exponent(sources, None, 1.0, False) == mixing.STEPS
     assert 0 < mixing.exponent(sources, None, 3.0, True) < mixing.STEPS
+
+
+def test_clashing_names_and_long_texts(spark):
+    names = ["passes", "n_blocks", "cut_block", "cut_rank", "cut_id", "mix_budget", "mix_copies", "mix_copy", "mix_key", "mix_rank", "key", "budget", "exponent", "_key", "Tokens"]
+    base = spark.createDataFrame([(k, "a b " * (k % 5) + ("x " * 100_000 if k == 3 else ""), f"s{k % 3}") for k in range(30)], "doc_id long, text string, source string")
+    docs = base.selectExpr("*", *(f"concat('own {n} ', doc_id) as {n}" for n in names))
+    got = mixing.mixture(docs)
+    assert got.columns == docs.columns
+    rows = got.collect()
+    assert {r.doc_id for r in rows} == set(range(30))
+    assert all(r[n] == f"own {n} {r.doc_id}" for r in rows for n in names)
+    assert mixing.mixture(docs.limit(0)).count() == 0

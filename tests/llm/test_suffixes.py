@@ -72,3 +72,14 @@ def test_merged_transforms():
         for b, shard, t, a in zip(*repeats([Shard(p, k) for p in parts], k), strict=True):
             found.setdefault(int(b), set()).add((int(t) + (len(parts[0]) if shard else 0), int(a)))
         assert {frozenset(x) for x in found.values()} == {frozenset(x) for x in places.values() if len(x) > 1}
+
+
+def test_clashing_names(spark):
+    rng = random.Random(6)
+    long = "".join(rng.choice("abcdef ") for _ in range(300))
+    names = ["spans", "removed_spans", "span_doc_id", "new", "old", "lo", "anchor", "_spans"]
+    docs = spark.createDataFrame([(1, long), (2, long), (3, long + "end")], "doc_id long, text string").selectExpr("*", *(f"concat('{n}', doc_id) as {n}" for n in names))
+    rows = suffixes.strip(docs).collect()
+    assert {r.doc_id: r.text for r in rows} == {1: long, 3: "end"}
+    assert all(r[n] == f"{n}{r.doc_id}" for r in rows for n in names)
+    assert suffixes.digest(docs).count() == 3
