@@ -58,14 +58,15 @@ def vocabulary() -> list[str]:
     return sorted({w for _, t in TEMPLATES for w in _terms(t)})
 
 
-def _id() -> Column:
-    return F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)).cast("long"))
-
-
 def _text() -> Column:
     return _lower(F.coalesce(F.col("text").cast("string"), F.lit("")))
 
 
+def _id() -> Column:
+    """What a document is known by: its doc_id, or where that is null its text, which alone decides about its licence."""
+    return F.coalesce(F.col("doc_id").cast("long").cast("string"), F.concat(F.lit("text:"), F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")))))
+
+
 def _few(rows: DataFrame) -> DataFrame:
     """rows, sent to every executor where they are few: then the texts that they are joined with stay where they are."""
     rows = rows.checkpoint()
@@ -141,14 +142,15 @@ def scan(files: DataFrame, cosine: float = COSINE) -> DataFrame:
 
     A file has the licence of its best line, or else that of the nearest directory above it, its own first, that holds a licence file: a
     file with a licence of its own that is short or a licence's full text; of several the one of the smallest doc_id counts. A null or empty text has no licence of its
-    own; a null directory has none to inherit and gives none; rows of equal doc_id share what is found in any of them; other columns are
+    own; a null directory has none to inherit and gives none; rows of equal doc_id share what is found in any of them, rows without doc_id
+    only with rows of the same text; texts are read whole, however long; repeated rows are rows like others; other columns are
     ignored; an empty table gives no rows.
     """
     own = detect(files, cosine).checkpoint()
     n_words = F.regexp_count(F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit("[^ \\t\\n\\r]+"))
     slim = files.select("doc_id", _id().alias("id"), F.col("directory").cast("string").alias("directory"), F.when(n_words <= FILE_WORDS, True).otherwise(full_text(n_words)).alias("file"))
     known = slim.join(own, "id", "left")
-    given = known.where("licence is not null and file").groupBy("directory").agg(F.min(F.struct("id", "licence")).alias("first")).select(F.col("directory").alias("above"), F.col("first.licence").alias("above_licence"))
+    given = known.where("licence is not null and file").groupBy("directory").agg(F.min(F.struct(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)).cast("long")).alias("doc_id"), "id", "licence")).alias("first")).select(F.col("directory").alias("above"), F.col("first.licence").alias("above_licence"))
     parts = F.split("directory", "/")
     ways = slim.where("directory is not null").select("directory").distinct()
     steps = ways.select("directory", F.explode(F.sequence(F.lit(1), F.size(parts))).alias("depth")).withColumn("above", F.array_join(F.slice(parts, F.lit(1), F.col("depth")), "/"))

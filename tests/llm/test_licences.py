@@ -67,3 +67,10 @@ def test_full_texts_are_licence_files(spark):
 def test_empty(spark):
     assert scan(spark, []) == {}
     assert scan(spark, [(1, "x", "MIT License"), (1, "x", "MIT License")]) == {1: ("MIT", "own")}
+
+
+def test_null_ids_and_long_texts(spark):
+    rows = [(None, "a", "Released under the MIT License."), (None, "b", "nothing here"), (None, "b", "nothing here"), (1, "b", "word " * 300_000 + "\nReleased under the MIT License."), (1, "b", None), (None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, directory string, text string")
+    got = sorted((str(r.doc_id), str(r.directory), str(r.licence), str(r.origin)) for r in licences.scan(docs).collect())
+    assert got == [("1", "b", "MIT", "own"), ("1", "b", "MIT", "own"), ("None", "None", "None", "None"), ("None", "a", "MIT", "own"), ("None", "b", "MIT", "inherited"), ("None", "b", "MIT", "inherited")]
