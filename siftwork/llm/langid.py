@@ -14,7 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftwork.llm import html
@@ -23,6 +23,8 @@ from siftwork.llm.batches import portions
 DIM = 1 << 15
 #: Labelled documents of each language that the text model is fitted on, at most: those with the smallest hash of their id.
 SAMPLE = 4_000
+#: Ids of the sample that are sent to every executor.
+BROADCAST = 200_000
 #: Character sequences are far from independent: a page counts as so many of them, at most.
 WEIGHT = 60.0
 #: Pages' worth of the level above in a host's and in a domain's prior.
@@ -36,7 +38,7 @@ DECLARED = re.compile(r"""<html\b[^>]*?\blang\s*=\s*["']?\s*([a-zA-Z]+)|http-equ
 
 
 def grams(text: str) -> np.ndarray:
-    """Hashed sequences of one to three characters of the words, with their boundaries, and how often each occurs."""
+    """Hashed sequences of two to four characters of the words, with a blank on either side, and how often each occurs."""
     words: dict[str, int] = {}
     for w in WORD.findall(text.lower()):
         words[w] = words.get(w, 0) + 1
@@ -57,18 +59,22 @@ _KNOWN: dict[str, list[int]] = {}
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarray]:
-    """Languages, and the log probability of each hashed sequence in each, from documents(doc_id, text, lang); rows of null language or text take no part.
+    """Languages, and the log probability of each hashed sequence in each, from documents(doc_id, text, lang).
 
-    Languages are those of all documents; the sample is drawn in each, so that a rare one isn't missed.
+    Rows of null language, text or doc_id take no part. Languages are those of all other documents; the model is fitted on at most `sample` ids of each, those with
+    the smallest hashes, so that a rare language isn't missed. Texts are read whole, where they lie: only ids are sorted and sent.
     """
-    labelled = docs.where("lang is not null and text is not null").select(F.col("doc_id").cast("long"), "text", F.col("lang").cast("string"))
-    chosen = None
-    # One plan a language: each sample is the top of its own sort, so that no task gets all documents of a language.
-    for (lang,) in labelled.groupBy("lang").count().select("lang").orderBy("lang").collect():
-        some = labelled.where(F.col("lang") == lang).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-        chosen = some if chosen is None else chosen.unionByName(some)
-    if chosen is None:
+    labelled = docs.where("lang is not null and text is not null and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("lang").cast("string").alias("lang"))
+    share = (F.pmod(F.xxhash64("doc_id"), F.lit(1 << 31)) / F.lit(float(1 << 31))).alias("u")
+    # A little more than the sample is below the cut; what is below it is ranked.
+    cut = F.when(F.col("n") > sample, (sample + 6 * sample**0.5 + 6) / F.col("n")).otherwise(1.0)
+    few = labelled.select("doc_id", "lang", share).join(F.broadcast(labelled.groupBy("lang").agg(F.count("*").alias("n"))), "lang").where(F.col("u") <= cut)
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("u", "doc_id"))
+    ids = few.select("lang", "doc_id", "u").distinct().withColumn("r", rank).where(F.col("r") <= sample).select("lang", "doc_id").checkpoint()
+    if not ids.limit(1).count():
         return [], np.zeros((0, DIM))
+    # At most `sample` ids a language.
+    chosen = labelled.join(F.broadcast(ids) if ids.count() <= BROADCAST else ids, ["lang", "doc_id"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total: dict[str, np.ndarray] = {}
@@ -78,7 +84,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarray]:
         if total:
             yield pd.DataFrame({"lang": list(total), "counts": [c.tobytes() for c in total.values()]})
 
-    rows = chosen.repartition(8).mapInPandas(run, "lang string, counts binary").collect()
+    rows = chosen.select("lang", "text").mapInPandas(run, "lang string, counts binary").collect()
     total: dict[str, np.ndarray] = {}
     for r in rows:
         total[r["lang"]] = total.get(r["lang"], 0) + np.frombuffer(r["counts"], dtype=np.int64)
@@ -93,13 +99,13 @@ def _address(url: Column, langs: list[str]) -> dict[str, Column]:
     named = F.lower(F.regexp_extract(url, "^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*/([a-zA-Z]{2})(?:[-_/.?#]|$)", 1))
     top = F.regexp_extract(host, "\\.([a-z]+)$", 1)
     suffix = F.when(named.isin(*langs), named).when(top.isin(*langs), top).when(top == "", NONE).otherwise(OTHER)
-    return {"host": F.coalesce(host, F.lit("")), "domain": F.coalesce(F.when(domain != "", domain).otherwise(host), F.lit("")), "suffix": F.coalesce(suffix, F.lit(NONE))}
+    return {"host": F.coalesce(host, F.lit("")), "domain": F.coalesce(F.when(domain != "", domain).otherwise(host), F.lit("")), "suffix": F.when(url.isNull(), NONE).otherwise(suffix)}
 
 
 def identify(pages: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
     """page_id, url, host, declared, suffix, lang, probability for every row of pages(page_id, url, html).
 
-    A null or empty html has no text and no declaration, a null url no address: what is missing says nothing, and the priors decide. lang is null where the
+    Pages are read whole, however long. A null or empty html has no text and no declaration, a null url no address: what is missing says nothing, and the priors decide. lang is null where the
     model has no languages. Null and repeated page_ids are rows like others; other columns are ignored; an empty table gives no rows.
     """
     langs, logp = model
