@@ -123,18 +123,21 @@ def _round(items: DataFrame, buckets: int, size: int, salt: int) -> DataFrame:
 
 
 def pack(parts: DataFrame, size: int = SIZE, slack: int = SLACK, bucket: int | None = None) -> DataFrame:
-    """Adds sequence_id and offset to `parts`, any rows with a column length of 1 to size.
+    """Adds sequence_id and offset, in the place of columns of these names, to `parts`, any rows with a column length of 1 to size.
 
     Rows are told apart by a number of their own, so repeated or null ids are ordinary; an empty input gives no rows.
     Raises ValueError for a length outside 1..size.
     """
     bucket = bucket or BUCKET
-    parts = parts.withColumn("uid", F.monotonically_increasing_id()).checkpoint()
+    uid = "uid"
+    while uid in {c.lower() for c in parts.columns}:
+        uid = f"_{uid}"
+    parts = parts.drop("sequence_id", "offset").withColumn(uid, F.monotonically_increasing_id()).checkpoint()
     found = parts.agg(F.count(F.when(F.col("length") < size, 1)).alias("n"), F.min("length").alias("least"), F.max("length").alias("most"), F.count(F.when(F.col("length").isNull(), 1)).alias("none")).first()
     if found["none"] or found["least"] is not None and (found["least"] < 1 or found["most"] > size):
         raise ValueError(f"lengths must lie in 1..{size}")
-    full = parts.where(F.col("length") == size).select("uid", F.col("uid").alias("bin"), F.lit(0).cast("long").alias("shift"))
-    items, place, n = parts.where(F.col("length") < size).select("uid", "length"), None, found["n"]
+    full = parts.where(F.col("length") == size).select(F.col(uid).alias("uid"), F.col(uid).alias("bin"), F.lit(0).cast("long").alias("shift"))
+    items, place, n = parts.where(F.col("length") < size).select(F.col(uid).alias("uid"), "length"), None, found["n"]
     done = [full]
     k = 0
     while n:
@@ -158,7 +161,7 @@ def pack(parts: DataFrame, size: int = SIZE, slack: int = SLACK, bucket: int | N
     where = done[0]
     for x in done[1:]:
         where = where.unionByName(x)
-    return parts.join(where.select("uid", F.col("bin").alias("sequence_id"), F.col("shift").alias("offset")), "uid").drop("uid")
+    return parts.join(where.select(F.col("uid").alias(uid), F.col("bin").alias("sequence_id"), F.col("shift").alias("offset")), uid).drop(uid)
 
 
 def pack_documents(docs: DataFrame, tokenizer: str | None = None, size: int = SIZE) -> DataFrame:

@@ -79,3 +79,10 @@ def test_best_fit(lengths):
     assert (np.bincount(bins, weights=n, minlength=len(fills)) == fills).all() and (fills <= 50).all()
     assert (offsets + n <= fills[bins]).all()
     assert (fills <= 25).sum() <= 1
+
+
+def test_clashing_names(spark):
+    parts = spark.range(40).selectExpr("id % 9 + 1 as length", "id as uid", "id as _uid", "id as bin", "id as shift", "id as fill", "id as offset", "'x' as sequence_id")
+    got = packing.pack(parts, 10).collect()
+    assert sorted(r.uid for r in got) == list(range(40)) and all(r.uid == r.bin == r._uid for r in got)
+    assert {type(r.sequence_id) for r in got} == {int}
