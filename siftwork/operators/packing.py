@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siftwork.functions.tokens import EOS, tokenize
+from siftwork.functions.tokens import EOS, n_tokens, tokenize
 from siftwork.operators.prefix import prefix_sum
 
 # Between the ranges of a document that lies in several shards; what the names of shards begin with.
@@ -24,7 +24,8 @@ def token_table(docs: DataFrame, *keep: str) -> DataFrame:
 
 def positions(docs: DataFrame, *keep: str) -> DataFrame:
     """(doc_id, *keep, n_tokens, total_tokens_seen) in the order of doc_id."""
-    return prefix_sum(token_table(docs, *keep).drop("tokens"), "doc_id", "n_tokens", "total_tokens_seen")
+    # Tokens are counted, not made.
+    return prefix_sum(docs.select("doc_id", *keep, (n_tokens(F.col("text")) + 1).alias("n_tokens")), "doc_id", "n_tokens", "total_tokens_seen")
 
 
 def shard_name(index: Column, prefix: str = PREFIX) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -24,18 +24,37 @@ def lengths(scores: DataFrame) -> DataFrame:
     return parts.join(F.broadcast(ends), "__part").withColumn("tok_len", F.col("total_tokens_seen") - F.coalesce(lag, "__before")).drop("__part", "__before")
 
 
+def ranked(scores: DataFrame, order: list[Column], by: str | None = None) -> DataFrame:
+    """scores with __rank, from 1, by `order` overall or in each group of `by`.
+
+    Rows go by range of the order to many tasks, each of which sorts its own; what lies before a range comes from a table of one row a range and group.
+    """
+    n = int(scores.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    group = [] if by is None else [by]
+    parts = scores.repartitionByRange(n, *group, *order).withColumn("__part", F.spark_partition_id()).checkpoint()
+    counts = parts.groupBy(*group, "__part").agg(F.count("*").alias("__n"))
+    before = F.sum("__n").over(Window.partitionBy(*group).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
+    starts = counts.select(*(F.col(g).alias("__by") for g in group), F.col("__part").alias("__at"), F.coalesce(before, F.lit(0)).alias("__before"))
+    same = parts["__part"] == starts["__at"]
+    if by is not None:
+        same = same & parts[by].eqNullSafe(starts["__by"])
+    inside = F.row_number().over(Window.partitionBy("__part", *group).orderBy(*order))
+    out = parts.join(F.broadcast(starts) if by is None else starts, same).withColumn("__rank", inside + F.col("__before"))
+    return out.drop("__part", "__at", "__before", "__by")
+
+
 def select(scores: DataFrame, top: float = 20.0, bottom: float | None = None, by: str | None = None) -> DataFrame:
     """The ceil(n * top / 100) rows of the highest ai_score, or with `bottom` that share of the lowest; with `by` in each of its groups.
 
-    Ties go to the smaller total_tokens_seen, null scores first. With `by` the score rows of a group are sorted in one task, spilling where they have to.
+    Ties go to the smaller total_tokens_seen, null scores first.
     """
     per_cent, up = (top, False) if bottom is None else (bottom, True)
     order = [F.asc_nulls_first("ai_score") if up else F.desc_nulls_first("ai_score"), F.asc("total_tokens_seen")]
+    placed = ranked(scores, order, by)
     if by is None:
-        return scores.orderBy(*order).limit(how_many(scores.count(), per_cent))
-    sizes = scores.groupBy(by).agg(F.count("*").alias("__n"))
-    ranked = scores.join(sizes, by).withColumn("__rank", F.row_number().over(Window.partitionBy(by).orderBy(*order)))
-    return ranked.where(F.col("__rank") <= F.ceil(F.col("__n").cast("double") * F.lit(float(per_cent)) / F.lit(100.0))).drop("__rank", "__n")
+        return placed.where(F.col("__rank") <= how_many(scores.count(), per_cent)).drop("__rank")
+    sizes = scores.groupBy(F.col(by).alias("__by")).agg(F.count("*").alias("__n"))
+    return placed.join(sizes, placed[by].eqNullSafe(sizes["__by"])).where(F.col("__rank") <= F.ceil(F.col("__n").cast("double") * F.lit(float(per_cent)) / F.lit(100.0))).drop("__rank", "__n", "__by")
 
 
 def summary(selected: DataFrame, scores: DataFrame) -> DataFrame:

@@ -19,8 +19,8 @@ SHARD, SMALL_SHARD, CHUNK = 20_000, 512, 512
 BLOCK = 128
 MAX_TOKENS = 100_000
 TOP = 20.0
-#: Probes: how many, their token budget (which some tables of 60 exceed), seed.
-N_PROBES, BUDGET, SEED = 20, 1_000, "probes"
+#: Probes: how many, their token budget, seed.
+N_PROBES, BUDGET, SEED = 800, 4_096, "probes"
 #: Attention: vectors in a sequence, of them in the prompt, heads, per cent of heads chosen, layers that heads are counted in.
 SEQUENCE, PROMPT, HEADS, HEADS_PER_LAYER, TOP_HEADS = 50, 40, 16, 8, 20.0
 HEAD_DIM = 4
@@ -88,7 +88,7 @@ def chunk_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _scores(spark: SparkSession, sf_dir: str, max_tokens: int | None = None) -> DataFrame:
     """doc_id, lang, source, l_base, l_ref, ai_score, n_tokens, total_tokens_seen."""
     docs = _documents(spark, sf_dir)
-    tokens = packing.token_table(docs, *DOCS)
+    tokens = packing.token_table(docs, *DOCS).checkpoint()
     placed = scoring.until(packing.positions(docs), max_tokens)
     read = tokens if max_tokens is None else tokens.join(placed.select("doc_id"), "doc_id", "left_semi")
     share = scoring.frequencies(tokens)

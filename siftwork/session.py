@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import re
+import shutil
 import tempfile
 from pathlib import Path
 
@@ -20,7 +23,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def prepare(spark: SparkSession) -> SparkSession:
     """Lets Python workers import this package, gives the session a checkpoint folder, and makes Arrow batches small.
 
-    A folder named in spark.checkpoint.dir is kept; one of our own is made only where there is none. A batch size that is set is kept too.
+    A folder named in spark.checkpoint.dir is kept. Where there is none a local session gets a temporary one; on a cluster, whose machines
+    share no such folder, ValueError is raised. A batch size that is set is kept too.
     """
     if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":  # Spark's own
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
@@ -29,5 +33,11 @@ def prepare(spark: SparkSession) -> SparkSession:
     if ROOT not in known.split(os.pathsep):
         sc.environment["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, known) if x)
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="siftwork-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+                raise ValueError("spark.checkpoint.dir has to name a folder that all machines share")
+            folder = tempfile.mkdtemp(prefix="siftwork-")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        sc.setCheckpointDir(folder)
     return spark
