@@ -13,6 +13,11 @@ def table_path(spark: SparkSession, name: str) -> str:
     return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}.parquet"
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 class Scratch:
     """Tables of one computation: written compressed, read back without their lineage, and deleted when they are no longer needed."""
 
@@ -32,9 +37,7 @@ class Scratch:
 
     def clear(self) -> None:
         """Deletes the tables; nothing that is still to be computed may read them."""
-        jvm = self.spark.sparkContext._jvm
         for path in self.paths:
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+            delete(self.spark, path)
         self.paths.clear()
         self.tidy()

@@ -103,8 +103,8 @@ def fit_linear(rows: np.ndarray, features: np.ndarray, earlier: np.ndarray, y: n
         return float(np.logaddexp(0, z).sum() - y @ z)
 
     low, still = np.inf, 0
+    z = at_w = margin(v)  # of v and of w; margins are linear, so that those of v follow from those of w
     for _ in range(steps):
-        z = margin(v)
         g, base = gradient(z), loss(z)
         # Steps that no longer matter end the fit.
         still = still + 1 if base > low - 1e-4 * abs(low) else 0
@@ -115,11 +115,12 @@ def fit_linear(rows: np.ndarray, features: np.ndarray, earlier: np.ndarray, y: n
         while True:
             new = v - rate * g
             new[:k] = np.sign(new[:k]) * np.maximum(np.abs(new[:k]) - rate * l1, 0)
-            step = new - v
-            if rate < 1e-9 or loss(margin(new)) + l2 / 2 * (new[:k] @ new[:k]) <= base + l2 / 2 * (v[:k] @ v[:k]) + g @ step + step @ step / (2 * rate) + 1e-9:
+            step, at_new = new - v, margin(new)
+            if rate < 1e-9 or loss(at_new) + l2 / 2 * (new[:k] @ new[:k]) <= base + l2 / 2 * (v[:k] @ v[:k]) + g @ step + step @ step / (2 * rate) + 1e-9:
                 break
             rate /= 2
         t2 = (1 + np.sqrt(1 + 4 * t * t)) / 2
+        z, at_w = at_new + (t - 1) / t2 * (at_new - at_w), at_new
         v, w, t = new + (t - 1) / t2 * (new - w), new, t2
         rate *= 1.1
     used = w[:k] != 0
