@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftwork.llm import jaccard, mixing, packing, suffixes, toxicity
-from siftwork.llm.storage import table_path
+from siftwork.llm.storage import delete, table_path
 from siftwork.session import prepare, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -57,10 +57,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; what a stage returns is written as Parquet and read again for the next."""
-    docs = table(prepare(spark), sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        path = table_path(spark, name)
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
-    return STAGES[-1][1](spark, docs, sf_dir)
+    """All stages over documents; what a stage returns is written as Parquet and read again for the next. These tables are deleted at the end."""
+    docs, paths = table(prepare(spark), sf_dir, "documents"), []
+    try:
+        for name, stage in STAGES[:-1]:
+            paths.append(table_path(spark, name))
+            stage(spark, docs, sf_dir).write.parquet(paths[-1])
+            docs = spark.read.parquet(paths[-1])
+        return STAGES[-1][1](spark, docs, sf_dir).checkpoint()
+    finally:
+        for path in paths:
+            delete(spark, path)
