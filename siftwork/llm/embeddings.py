@@ -369,3 +369,20 @@ def _search_cells(placed: DataFrame, cells: Cells, evenly: DataFrame, met: Calla
         done.append(n_dim)
     listed, total = plan(more)
     return one, met(placed, spark.createDataFrame(listed, schema), total) if listed else None, done
+
+
+#: Both queries over the table embeddings, in DuckDB's SQL.
+SQL_USABLE = "embedding is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0"
+ORACLE_LINKS = f"""
+with recursive g as (select vec_id, label, list_transform(embedding, lambda x: cast(x as double)) as v from embeddings where label is not null and {SQL_USABLE} and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+    u as (select vec_id, label, len(v) as n, list_transform(v, lambda x: x / list_aggregate(list_transform(v, lambda y: abs(y)), 'max')) as v from g),
+    w as (select vec_id, label, n, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) as v from u),
+    l as (select a.vec_id as x, b.vec_id as y from w a join w b on a.label = b.label and a.n = b.n and a.vec_id <> b.vec_id where list_dot_product(a.v, b.v) >= 0.93),
+    r as (select vec_id, vec_id as low from embeddings union select l.y, r.low from r join l on l.x = r.vec_id)
+select e.vec_id, coalesce(n.n, 0) as n_links, m.low as component_id, m.low = e.vec_id as kept from embeddings e left join (select x as vec_id, count(*) as n from l group by x) n using (vec_id) join (select vec_id, min(low) as low from r group by vec_id) m using (vec_id)
+"""
+ORACLE_SEARCH = f"""
+with g as (select vec_id, list_transform(embedding, lambda x: floor(64 * cast(x as double))) as v from embeddings where {SQL_USABLE}),
+    s as (select a.vec_id as query_id, b.vec_id, cast(list_dot_product(a.v, b.v) as bigint) as score from g a join g b on a.vec_id <> b.vec_id and len(a.v) = len(b.v) where a.vec_id % 20 = 0)
+select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank, vec_id, score from s qualify rank <= 20
+"""

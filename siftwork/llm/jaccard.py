@@ -351,3 +351,16 @@ def reference(texts: dict[int, str | None], per_cent: int = PER_CENT) -> dict[in
     pairs = [(x, y) for x in range(len(ids)) for y in range(x) if sets[ids[x]] and 100 * len(sets[ids[x]] & sets[ids[y]]) >= per_cent * len(sets[ids[x]] | sets[ids[y]])]
     root = forest(len(ids), np.array([p[0] for p in pairs], dtype=np.int64), np.array([p[1] for p in pairs], dtype=np.int64))
     return {i: (len(sets[i]), ids[root[k]]) for k, i in enumerate(ids)}
+
+
+#: `similar` over the table documents, in DuckDB's SQL.
+ORACLE = r"""
+with recursive d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+    s as (select doc_id, unnest(list_distinct(case when len(w) >= 5 then list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) when len(w) > 0 then [array_to_string(w, ' ')] else [] end)) as shingle from d),
+    n as (select doc_id, count(*) as n from s group by doc_id),
+    o as (select a.doc_id as x, b.doc_id as y, count(*) as same from s a join s b using (shingle) where a.doc_id < b.doc_id group by all),
+    l as (select x, y from o join n a on a.doc_id = x join n b on b.doc_id = y where 100 * same >= 80 * (a.n + b.n - same)),
+    e as (select x, y from l union all select y, x from l),
+    r as (select doc_id, doc_id as low from documents union select e.y, r.low from r join e on e.x = r.doc_id)
+select d.doc_id, cast(coalesce(n.n, 0) as bigint) as n_shingles, m.low as component_id from documents d left join n using (doc_id) join (select doc_id, min(low) as low from r group by doc_id) m using (doc_id)
+"""

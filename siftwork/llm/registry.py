@@ -64,6 +64,10 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op2_suffix_array_dedup": suffixes.ORACLE,
+    "op4_embedding_near_dedup": embeddings.ORACLE_LINKS,
+    "op5_ngram_jaccard_join": jaccard.ORACLE,
     "op6_licence_scan": licences.oracle(),
     "op7_mixing_to_target_weights": mixing.ORACLE,
+    "op8_exact_top_k": embeddings.ORACLE_SEARCH,
 }

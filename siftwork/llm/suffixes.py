@@ -435,3 +435,19 @@ def reference(texts: dict[int, str | None], length: int = LENGTH) -> dict[int, t
         kept = bytes(x for x, g in zip(t, gone, strict=False) if not g)
         out[i] = (len(t), int(gone.sum()), int((np.diff(np.concatenate([[0], gone])) == 1).sum()), hashlib.sha256(kept).hexdigest())
     return out
+
+
+#: `digest` over the table documents, in DuckDB's SQL; texts are cut into pieces that overlap by 99 bytes, since long ones are slow to index.
+ORACLE = """
+with d as (select doc_id, hex(encode(coalesce(text, ''))) as h from documents),
+    c as (select doc_id, first, substr(h, 2 * first + 1, 2198) as h from (select doc_id, h, unnest(range(0, len(h) // 2 - 99, 1000)) as first from d where len(h) >= 200)),
+    s as (select doc_id, first + i as pos, md5(substr(h, 2 * i + 1, 200)) as string from (select doc_id, first, h, unnest(range(0, least(1000, len(h) // 2 - 99))) as i from c)),
+    l as (select doc_id, pos from s qualify row_number() over (partition by string order by doc_id, pos) > 1),
+    g as (select doc_id, pos, case when pos <= lag(pos) over (partition by doc_id order by pos) + 100 then 0 else 1 end as new from l),
+    i as (select doc_id, pos, sum(new) over (partition by doc_id order by pos) as run from g),
+    r as (select doc_id, run, min(pos) as lo, max(pos) + 100 as hi from i group by all),
+    k as (select doc_id, coalesce(lag(hi) over (partition by doc_id order by lo), 0) as a, lo as b from r union all select d.doc_id, coalesce(max(hi), 0), len(any_value(h)) // 2 from d left join r using (doc_id) group by d.doc_id),
+    t as (select k.doc_id, sha256(unhex(string_agg(substr(h, 2 * a + 1, 2 * (b - a)), '' order by a))) as kept from k join d using (doc_id) group by k.doc_id),
+    m as (select doc_id, cast(sum(hi - lo) as bigint) as n_removed, count(*) as n_spans from r group by doc_id)
+select d.doc_id, cast(len(h) // 2 as bigint) as n_bytes, coalesce(n_removed, 0) as n_removed, coalesce(n_spans, 0) as n_spans, kept as kept_sha256 from d join t using (doc_id) left join m using (doc_id)
+"""
