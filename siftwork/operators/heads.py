@@ -10,7 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftwork.operators.ranking import how_many
@@ -23,35 +23,48 @@ def sequences(vectors: DataFrame, length: int) -> DataFrame:
     return vectors.select(F.expr(f"vec_id div {length}").alias("probe_id"), F.expr(f"cast(vec_id % {length} as int)").alias("pos"), F.col("label").alias("token"), F.col("embedding").cast("array<double>").alias("v"))
 
 
-def attention(seq: DataFrame, prompt: int, n_heads: int) -> DataFrame:
-    """(probe_id, head, query_pos, attended_pos): the first prompt position of the largest inner product, for every later position and head."""
+def probe_sequences(tokens: DataFrame, vector: Column) -> DataFrame:
+    """(probe_id, pos, token, v, n_prompt) of tokens(id, tokens, n_prompt); `vector` is that of the column token."""
+    return tokens.select(F.col("id").alias("probe_id"), "n_prompt", F.posexplode("tokens").alias("pos", "token")).withColumn("v", vector)
+
+
+def _early(prompt: int | None) -> Column:
+    """Whether a position is in the prompt: of a length that all probes have, or of their own."""
+    return F.col("pos") < (F.col("n_prompt") if prompt is None else F.lit(prompt))
+
+
+def attention(seq: DataFrame, prompt: int | None, n_heads: int) -> DataFrame:
+    """(probe_id, head, query_pos, attended_pos): the first prompt position of the largest inner product, for every later position and head.
+
+    prompt: positions of every prompt, or None where seq has n_prompt.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out: list[list] = [[], [], [], []]
             for probe, steps in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                pos, v = np.array([s["pos"] for s in steps]), np.array([s["v"] for s in steps])
+                pos, v, first = (np.array([s[k] for s in steps]) for k in ("pos", "v", "early"))
                 width = v.shape[1] // n_heads
-                early, late = v[pos < prompt], v[pos >= prompt]
+                early, late = v[first], v[~first]
                 if not len(early):
                     continue
                 for h in range(n_heads):
                     part = slice(h * width, (h + 1) * width)
                     best = (late[:, part] @ early[:, part].T).argmax(axis=1)
-                    for q, k in zip(pos[pos >= prompt].tolist(), pos[pos < prompt][best].tolist(), strict=True):
+                    for q, k in zip(pos[~first].tolist(), pos[first][best].tolist(), strict=True):
                         for column, x in zip(out, (probe, h, q, k), strict=True):
                             column.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), *(pa.array(c, pa.int32()) for c in out[1:])], names=["probe_id", "head", "query_pos", "attended_pos"])
 
-    whole = seq.groupBy("probe_id").agg(F.array_sort(F.collect_list(F.struct("pos", "v"))).alias("steps"))
+    whole = seq.groupBy("probe_id").agg(F.array_sort(F.collect_list(F.struct("pos", "v", _early(prompt).alias("early")))).alias("steps"))
     return whole.mapInArrow(run, "probe_id long, head int, query_pos int, attended_pos int")
 
 
-def copy_recall(seq: DataFrame, attended: DataFrame, prompt: int) -> DataFrame:
+def copy_recall(seq: DataFrame, attended: DataFrame, prompt: int | None) -> DataFrame:
     """(head, hits, attempts, recall): of the answer tokens that the prompt has too, how many attend to one that equals them."""
-    tokens = seq.select("probe_id", "pos", "token")
-    early = tokens.where(F.col("pos") < prompt)
-    can = tokens.where(F.col("pos") >= prompt).join(early.select("probe_id", "token").distinct(), ["probe_id", "token"], "left_semi")
+    tokens = seq.select("probe_id", "pos", "token", _early(prompt).alias("early"))
+    early = tokens.where("early")
+    can = tokens.where("not early").join(early.select("probe_id", "token").distinct(), ["probe_id", "token"], "left_semi")
     tried = attended.join(can.select("probe_id", F.col("pos").alias("query_pos"), "token"), ["probe_id", "query_pos"])
     seen = tried.join(early.select("probe_id", F.col("pos").alias("attended_pos"), F.col("token").alias("attended_token")), ["probe_id", "attended_pos"])
     out = seen.groupBy("head").agg(F.count_if(F.col("token") == F.col("attended_token")).alias("hits"), F.count("*").alias("attempts"))

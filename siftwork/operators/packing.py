@@ -55,28 +55,42 @@ def pointer(parts: Column) -> Column:
 
 
 def parse_pointer(text: Column) -> Column:
-    """Array of (name, lo, hi) of a pointer; hi of a part that ends in EOF is null. A name may hold colons and dots."""
-    part = "^(.*):(\\d+)-(\\d+|EOF)$"
+    """Array of (name, lo, hi) of a pointer; hi of a part that ends in EOF is null. A name may hold colons and dots.
+
+    'name:EOF' is the whole shard; after a part of the same shard it says only that this one runs to the shard's end.
+    """
+    part = "^(.*):(?:(\\d+)-)?(\\d+|EOF)$"
+    parts = F.split(text, DASH)
+
+    def name(p: Column) -> Column:
+        return F.regexp_extract(p, part, 1)
 
     def one(p: Column) -> Column:
-        end = F.regexp_extract(p, part, 3)
-        return F.struct(F.regexp_extract(p, part, 1).alias("name"), F.regexp_extract(p, part, 2).cast("long").alias("lo"), F.when(end != "EOF", end).cast("long").alias("hi"))
+        lo, end = F.regexp_extract(p, part, 2), F.regexp_extract(p, part, 3)
+        return F.struct(name(p).alias("name"), F.coalesce(F.when(lo != "", lo).cast("long"), F.lit(0)).alias("lo"), F.when(end != "EOF", end).cast("long").alias("hi"))
+
+    def new(p: Column, i: Column) -> Column:
+        return ~(p.rlike(":EOF$") & (i > 0) & (name(F.get(parts, i - 1)) == name(p)))
 
-    # A closing 'name:EOF' says only that the part before it runs to the end of its shard.
-    named = F.filter(F.split(text, DASH), lambda p: ~p.rlike("^[^:]*:EOF$"))
-    return F.transform(named, one)
+    return F.transform(F.filter(parts, new), one)
 
 
 def slices(tokens: DataFrame, size: int, block: int = 1024) -> DataFrame:
-    """(shard, block, at, tokens): the stream in pieces that end with documents and blocks; `at` is the first one's place in the shard.
+    """(shard, block, at, tokens): the stream in pieces that end with documents, blocks and shards; `at` is the first one's place in the shard.
 
-    tokens has doc_id, tokens, n_tokens, total_tokens_seen. Blocks are places div `block`; `size` has to be a multiple of it.
+    tokens has doc_id, tokens, n_tokens, total_tokens_seen. A block is a place in the shard div `block`; a shard may have any size, its last block then is shorter.
     """
-    first = F.col("total_tokens_seen") - F.col("n_tokens")
-    cut = F.sequence(F.floor(first / block), F.floor((F.col("total_tokens_seen") - 1) / block))
-    piece = tokens.select("tokens", first.alias("first"), F.explode(cut).alias("b"))
-    lo = F.greatest(F.col("b") * block, F.col("first"))
-    hi = F.least((F.col("b") + 1) * block, F.col("first") + F.size("tokens"))
+    each = -(-size // block)  # blocks of a shard
+    first, last = F.col("total_tokens_seen") - F.col("n_tokens"), F.col("total_tokens_seen") - 1
+
+    def number(g: Column) -> Column:
+        return F.floor(g / size) * each + F.floor(g % size / block)
+
+    piece = tokens.select("tokens", first.alias("first"), F.explode(F.sequence(number(first), number(last))).alias("b"))
+    start = F.floor(F.col("b") / each) * size + F.col("b") % each * block
+    end = F.least(start + block, (F.floor(F.col("b") / each) + 1) * size)
+    lo = F.greatest(start, F.col("first"))
+    hi = F.least(end, F.col("first") + F.size("tokens"))
     place = lo % size
     return piece.select(F.floor(lo / size).alias("shard"), F.floor(place / block).alias("block"), place.alias("at"), F.slice("tokens", (lo - F.col("first") + 1).cast("int"), (hi - lo).cast("int")).alias("tokens"))
 

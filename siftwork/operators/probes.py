@@ -49,14 +49,22 @@ def number(h: Column) -> Column:
 
 
 def contexts(sents: DataFrame, n_probes: int, seed: str, draws: int = DRAWS, size: int = SIZES[0]) -> DataFrame:
-    """(probe_id, pos, key, sentence): up to `size` different sentences a probe, in drawn order, each under a key of 32 characters."""
+    """(probe_id, pos, key, sentence): up to `size` different sentences a probe, in drawn order, each under a key of 32 characters.
+
+    From a pool so small that draws may repeat too often, all sentences come in the order of their hashes.
+    """
     spark = sents.sparkSession
     known = numbered(sents)
     n = known.count()
     if not n:
         return spark.createDataFrame([], "probe_id int, pos int, key string, sentence string")
+    if n <= 4 * size:
+        draws = n
     draw = spark.range(n_probes * draws).select(F.expr(f"cast(id div {draws} as int)").alias("probe_id"), F.expr(f"id % {draws}").alias("i"))
-    drawn = draw.withColumn("sent_id", number(hashed(seed, "draw", F.col("probe_id").cast("string"), F.col("i").cast("string"))) % n)
+    if n <= 4 * size:
+        order = hashed(seed, "order", F.col("probe_id").cast("string"), F.col("i").cast("string"))
+        draw = draw.withColumn("sent_id", F.col("i")).withColumn("i", F.row_number().over(Window.partitionBy("probe_id").orderBy(order, "sent_id")))
+    drawn = draw if n <= 4 * size else draw.withColumn("sent_id", number(hashed(seed, "draw", F.col("probe_id").cast("string"), F.col("i").cast("string"))) % n)
     first = drawn.groupBy("probe_id", "sent_id").agg(F.min("i").alias("i"))
     pos = F.row_number().over(Window.partitionBy("probe_id").orderBy("i")) - 1
     kept = first.withColumn("pos", pos).where(F.col("pos") < size)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from siftwork.functions.tokens import EOS, SQL_TOKEN_TABLE, SQL_WORD, chunks, n_tokens, with_bos
 from siftwork.operators import heads, packing, probes, ranking, scoring
 from siftwork.session import table
-from siftwork.sources import shards
+from siftwork.sources import shards, tables
 from siftwork.sources.storage import scratch
 
 #: Tokens in a shard of the layout queries, in one of the pointer queries (so that documents span three and more), and in a chunk.
@@ -24,6 +24,8 @@ N_PROBES, BUDGET, SEED = 800, 4_096, "probes"
 #: Attention: vectors in a sequence, of them in the prompt, heads, per cent of heads chosen, layers that heads are counted in.
 SEQUENCE, PROMPT, HEADS, HEADS_PER_LAYER, TOP_HEADS = 50, 40, 16, 8, 20.0
 HEAD_DIM = 4
+#: Places that are read of every shard by the range scan, both included.
+RANGE = (100, 299)
 DOCS = ("lang", "source")
 
 
@@ -70,7 +72,7 @@ def doc_id_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shard_file_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Shards written by the data source, read by it, split at their ends again."""
+    """Shards written by the data source, read by Spark's own file reader, split at their ends again."""
     pieces = _stream(spark, sf_dir)[1]
     path = scratch(spark, "shards")
     shards.write(pieces.withColumn("shard", packing.shard_name(F.col("shard"))), path)
@@ -79,6 +81,57 @@ def shard_file_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.islands(back, SMALL_SHARD)
 
 
+def _scanned(spark: SparkSession, sf_dir: str, lo: int | None = None, hi: int | None = None) -> DataFrame:
+    path = scratch(spark, "shards")
+    shards.write(_stream(spark, sf_dir)[1].withColumn("shard", packing.shard_name(F.col("shard"))), path)
+    read = shards.read(spark, f"{path}/*.bin", lo, hi, BLOCK)
+    total = F.aggregate("tokens", F.lit(0).cast("long"), lambda s, t: s + t)
+    return read.groupBy("shard").agg(F.sum(F.size("tokens")).cast("long").alias("n_tokens"), F.sum(total).alias("token_sum"), F.min("at").alias("first"))
+
+
+def shard_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shards written and read by the data source."""
+    return _scanned(spark, sf_dir)
+
+
+def shard_range_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same for a range of places in every shard."""
+    return _scanned(spark, sf_dir, *RANGE)
+
+
+def probe_file_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark, "probes")
+    tables.write_probes(probe_prompt(spark, sf_dir).withColumnRenamed("probe_id", "id"), path)
+    return tables.read_probes(spark, path)
+
+
+def score_file_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores written as text and as Parquet; the text is read."""
+    path, micro = scratch(spark, "scores"), F.lit(float(scoring.MICRO))
+    made = _scores(spark, sf_dir)
+    tables.write_scores(made.select(F.col("doc_id").cast("string"), (F.col("l_base") / micro).alias("L_base"), (F.col("l_ref") / micro).alias("L_ref"), F.col("ai_score").alias("AI_Score"), "total_tokens_seen"), path)
+    return tables.read_scores(spark, f"{path}/tsv")
+
+
+def selection_file_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark, "selection")
+    tables.write_selection(rank_top20(spark, sf_dir).select(F.col("doc_id").cast("string"), F.col("ai_score").alias("AI_Score"), "tok_len"), path)
+    return tables.read_selection(spark, f"{path}/tsv")
+
+
+def head_list_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark, "heads")
+    tables.write_heads(retrieval_heads_topk(spark, sf_dir), path)
+    return tables.read_heads(spark, path)
+
+
+def masked_weights_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Masked weights as a file that is read again, summed up."""
+    path = scratch(spark, "weights")
+    tables.write_weights(_masked(spark, sf_dir), path)
+    return _row_sums(tables.read_weights(spark, path)).select("layer", "proj", "row_idx", "w_sum")
+
+
 def chunk_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokens = packing.token_table(_documents(spark, sf_dir))
     each = tokens.select("doc_id", F.posexplode(chunks(F.col("tokens"), CHUNK)).alias("chunk", "t"))
@@ -159,12 +212,19 @@ def retrieval_heads_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return heads.best_heads(head_copy_recall(spark, sf_dir), HEADS_PER_LAYER, TOP_HEADS)
 
 
-def masked_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _masked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vectors stand for weight rows: 32 to a projection, three projections to a layer."""
     rows = table(spark, sf_dir, "embeddings").select(F.expr("vec_id div 96").cast("int").alias("layer"), F.element_at(F.array(F.lit("q"), F.lit("k"), F.lit("v")), F.expr("cast(vec_id div 32 % 3 as int) + 1")).alias("proj"), F.expr("cast(vec_id % 32 as int)").alias("row_idx"), F.col("embedding").cast("array<double>").alias("w"))
     chosen = retrieval_heads_topk(spark, sf_dir).select("layer", F.col("head_in_layer").alias("head"))
-    out = heads.masked(rows, chosen, HEAD_DIM, HEADS_PER_LAYER)
-    return out.select("layer", "proj", "row_idx", "masked", F.round(F.aggregate("w", F.lit(0.0), lambda a, x: a + x), 6).alias("w_sum"))
+    return heads.masked(rows, chosen, HEAD_DIM, HEADS_PER_LAYER)
+
+
+def _row_sums(weights: DataFrame) -> DataFrame:
+    return weights.withColumn("w_sum", F.round(F.aggregate("w", F.lit(0.0), lambda a, x: a + x), 6))
+
+
+def masked_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _row_sums(_masked(spark, sf_dir)).select("layer", "proj", "row_idx", "masked", "w_sum")
 
 
 def mixture_70_30(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -183,6 +243,7 @@ QUERIES = {
     for f in (
         doc_token_counts, token_prefix_sum, shard_layout, shard_doc_ids, doc_split_islands, doc_id_resolve, shard_file_roundtrip, chunk_table, ai_scores, ai_scores_max_tokens, rank_top20, rank_bottom20,
         rank_top20_per_domain, selection_summary, score_by_label, sentence_pool, probe_context, probe_prompt, head_copy_recall, retrieval_heads_topk, masked_weights, mixture_70_30,
+        shard_scan, shard_range_scan, probe_file_roundtrip, score_file_roundtrip, selection_file_roundtrip, head_list_roundtrip, masked_weights_roundtrip,
     )
 }
 
@@ -267,3 +328,16 @@ ORACLES = {
         and ('0x' || substr(md5('mixture:' || doc_id), 1, 12))::bigint < floor(k * 30.0::double / 70.0::double / greatest(1, n - k) * 281474976710656)""",
 }
 ORACLES["shard_file_roundtrip"] = ORACLES["doc_split_islands"]
+_STREAM = f"""stream as (select token, row_number() over (order by doc_id, pos) - 1 as g from (select doc_id, unnest(tokens) as token, generate_subscripts(tokens, 1) as pos from docs)),
+    placed as (select token, g // {SMALL_SHARD} as s, g % {SMALL_SHARD} as spot from stream)"""
+_SCAN = f"select {_name('s')} as shard, count(*) as n_tokens, cast(sum(token) as bigint) as token_sum, cast(min(spot) as bigint) as first from placed"
+ORACLES |= {
+    "shard_scan": f"with {_T}, {_STREAM} {_SCAN} group by s",
+    "shard_range_scan": f"with {_T}, {_STREAM} {_SCAN} where spot between {RANGE[0]} and {RANGE[1]} group by s",
+    "probe_file_roundtrip": f"select probe_id as id, prompt, answer from ({ORACLES['probe_prompt']})",
+    # Whole millionths to four places, half up.
+    "score_file_roundtrip": f"with {_S} select cast(doc_id as varchar) as doc_id, ((l_base + 50) // 100) / 10000::double as \"L_base\", ((l_ref + 50) // 100) / 10000::double as \"L_ref\", ai_score as \"AI_Score\", total_tokens_seen from scores",
+    "selection_file_roundtrip": f"select cast(doc_id as varchar) as doc_id, ai_score as \"AI_Score\", tok_len from ({ORACLES['rank_top20']})",
+    "head_list_roundtrip": f"select layer, head_in_layer as head from ({ORACLES['retrieval_heads_topk']})",
+    "masked_weights_roundtrip": f"select layer, proj, row_idx, w_sum from ({ORACLES['masked_weights']})",
+}

@@ -8,6 +8,7 @@ for stores that only Spark's readers open, read_with_spark() takes the bytes fro
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterator
 from glob import glob
 from pathlib import Path
@@ -34,6 +35,29 @@ def local(path: str) -> str:
     return "/" + rest.lstrip("/")
 
 
+def complete(name: str, base: str = "") -> str:
+    """Path of the shard that a pointer names: with the ending .bin, in the folder `base` unless the name has a folder of its own."""
+    stem = name if name.endswith(".bin") else f"{re.sub(r'[.][^./]*$', '', name)}.bin"
+    return stem if "/" in stem or not base else f"{base.rstrip('/')}/{stem}"
+
+
+def paths_of(pointer: str, base: str = "", dash: str = "—") -> list[tuple[str, int, int | None]]:
+    """(path, lo, hi) of the ranges of a pointer; hi is None where a range runs to the end of its shard. Later names without a folder are in the first one's."""
+    out: list[tuple[str, int, int | None]] = []
+    for part in pointer.split(dash):
+        name, _, span = part.rpartition(":")
+        if out and "/" not in name and "/" in out[0][0]:
+            base = out[0][0].rpartition("/")[0]
+        path = complete(name, base)
+        if span == "EOF":
+            # After a range of the same shard it says nothing new; else it is the whole shard.
+            if not any(p == path for p, _, _ in out):
+                out.append((path, 0, None))
+            continue
+        lo, _, hi = span.partition("-")
+        out.append((path, int(lo), None if hi == "EOF" else int(hi)))
+    return out
+
 
 def header(n: int) -> bytes:
     if n >= 1 << 31:
@@ -194,6 +218,11 @@ def read(spark: SparkSession, path: str, lo: int | None = None, hi: int | None =
     return source.load()
 
 
+def exists(path: str) -> bool:
+    """Whether any shard matches the path."""
+    return bool(glob(local(path)))
+
+
 def read_with_spark(spark: SparkSession, path: str, block: int = 1024) -> DataFrame:
     """The same by Spark's own file reader, for any store it knows. A shard is one row there, so it has to fit in a task."""
 

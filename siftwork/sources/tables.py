@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 PROBES = "id int, prompt string, answer string"
 SCORES = "doc_id string, L_base double, L_ref double, AI_Score double, total_tokens_seen bigint"
+WEIGHTS = "layer int, proj string, row_idx int, w array<double>"
 SELECTION = "doc_id string, AI_Score double, tok_len bigint"
 
 
@@ -30,6 +31,15 @@ def write_heads(heads: DataFrame, path: str) -> None:
     heads.orderBy("rank").select(F.concat_ws(",", "layer", "head_in_layer").alias("value")).coalesce(1).write.text(path)
 
 
+def read_weights(spark: SparkSession, path: str) -> DataFrame:
+    """(layer, proj, row_idx, w) of a model's attention projections, a row of a matrix a row."""
+    return spark.read.schema(WEIGHTS).parquet(path)
+
+
+def write_weights(weights: DataFrame, path: str) -> None:
+    weights.selectExpr("cast(layer as int) layer", "proj", "cast(row_idx as int) row_idx", "w").write.parquet(path)
+
+
 def read_scores(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(SCORES).option("sep", "\t").option("header", True).csv(path)
 
@@ -40,6 +50,10 @@ def write_scores(scores: DataFrame, path: str) -> None:
     _both(rounded, path)
 
 
+def read_selection(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(SELECTION).option("sep", "\t").option("header", True).csv(path)
+
+
 def write_selection(selected: DataFrame, path: str) -> None:
     _both(selected.select("doc_id", "AI_Score", "tok_len"), path)
 

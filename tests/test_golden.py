@@ -200,3 +200,40 @@ def test_tables(spark, tmp_path):
     p = spark.createDataFrame([(1, "é\n", "x")], tables.PROBES)
     tables.write_probes(p, str(tmp_path / "p"))
     assert tables.read_probes(spark, str(tmp_path / "p")).collect() == p.collect()
+
+
+def test_parse_pointer(spark):
+    rows = spark.createDataFrame([(1, "a.b:3-5"), (2, "a:3-EOF—b:0-2"), (3, "a:3-5—a:EOF"), (4, "a:3-5—b:EOF"), (5, "x:y:1-2")], "doc_id long, pointer string")
+    got = {r.doc_id: [tuple(p) for p in r.p] for r in rows.select("doc_id", packing.parse_pointer(F.col("pointer")).alias("p")).collect()}
+    assert got == {1: [("a.b", 3, 5)], 2: [("a", 3, None), ("b", 0, 2)], 3: [("a", 3, 5)], 4: [("a", 3, 5), ("b", 0, None)], 5: [("x:y", 1, 2)]}
+
+
+@pytest.mark.parametrize("parts", [1, 3, 7])
+def test_ranks(spark, parts):
+    rng = np.random.default_rng(parts)
+    rows = [(k, None if k % 17 == 0 else float(rng.integers(0, 9)), k, None if k % 5 == 0 else int(k % 3)) for k in range(120)]
+    scores = spark.createDataFrame(rows, "doc_id long, ai_score double, total_tokens_seen long, lang int").repartition(parts)
+    high = sorted(rows, key=lambda r: (r[1] is not None, -(r[1] or 0), r[2]))
+    assert {r.doc_id for r in ranking.select(scores, 30).collect()} == {r[0] for r in high[:36]}
+    low = sorted(rows, key=lambda r: (r[1] is not None, r[1] or 0, r[2]))
+    assert {r.doc_id for r in ranking.select(scores, bottom=5).collect()} == {r[0] for r in low[:6]}
+    want = set()
+    for lang in (None, 0, 1, 2):
+        own = [r for r in high if r[3] == lang]
+        want |= {r[0] for r in own[: ranking.how_many(len(own), 10)]}
+    got = ranking.select(scores, 10, by="lang")
+    assert got.columns == scores.columns and {r.doc_id for r in got.collect()} == want
+
+
+def test_shards_of_any_size(spark):
+    rows = placed(spark, 2, 5, 9, 1, 30).withColumn("tokens", F.expr("transform(sequence(total_tokens_seen - n_tokens, total_tokens_seen - 1), x -> cast(x as int))"))
+    for size, block in ((7, 3), (5, 8), (47, 4), (10, 5)):
+        got = sorted((r.shard, r.at, r.block, r.tokens) for r in packing.slices(rows, size, block).collect())
+        assert [t for *_, x in got for t in x] == list(range(47))
+        assert all(x[0] == s * size + a and b == a // block == (a + len(x) - 1) // block and a + len(x) <= size for s, a, b, x in got)
+
+
+def test_small_pools_are_used_up(spark):
+    pool = spark.createDataFrame([(k, 0, f"sentence {k}", 5) for k in range(61)], "doc_id long, sent_no int, sentence string, n_tok long")
+    got = probes.contexts(pool, 5, "s").groupBy("probe_id").agg(F.count_distinct("sentence").alias("n"), F.max("pos").alias("last")).collect()
+    assert [(r.n, r["last"]) for r in got] == [(60, 59)] * 5
