@@ -6,7 +6,7 @@ to 2 are reserved; 1 begins a chunk for the models, 2 ends a document.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BOS, EOS = 1, 2
@@ -51,10 +51,12 @@ def chunks(tokens: Column, length: int) -> Column:
     return F.transform(starts, lambda i: F.slice(tokens, i + 1, F.lit(length + 1)))
 
 
-def detokenize(tokens: Column, vocabulary: dict[int, str]) -> Column:
-    """Words of the ids that the vocabulary knows, joined by blanks; others show as <id>."""
-    known = F.create_map(*(x for k, v in sorted(vocabulary.items()) for x in (F.lit(k), F.lit(v)))) if vocabulary else F.create_map().cast("map<int,string>")
-    return F.array_join(F.transform(tokens, lambda t: F.coalesce(F.try_element_at(known, t), F.concat(F.lit("<"), t.cast("string"), F.lit(">")))), " ")
+def detokenize(rows: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """rows(doc_id, tokens) with text, the words that vocabulary(token, word) has for the ids, joined by blanks; others show as <id>. No tokens: an empty text."""
+    each = rows.select("doc_id", F.posexplode_outer("tokens").alias("pos", "token")).join(vocabulary, "token", "left")
+    word = F.coalesce("word", F.concat(F.lit("<"), F.col("token").cast("string"), F.lit(">")))
+    listed = F.array_sort(F.collect_list(F.when(F.col("token").isNotNull(), F.struct("pos", word.alias("w")))))
+    return each.groupBy("doc_id").agg(F.array_join(F.transform(listed, lambda s: s["w"]), " ").alias("text"))
 
 
 #: The same in DuckDB's SQL.

@@ -149,8 +149,9 @@ def test_tokenizer(spark):
     assert [r.n for r in rows] == [3, 0, 0]
     assert rows[0].x[0] == rows[0].x[2] != rows[0].x[1] and rows[0].x[3] == 2 and rows[1].x == [2] == rows[2].x
     assert rows[1].b == [1, 2]
-    known = spark.createDataFrame([([7, 8],)], "t array<int>").select(tokens.detokenize(F.col("t"), {7: "sea"}).alias("s"))
-    assert known.first().s == "sea <8>"
+    rows = spark.createDataFrame([(1, [7, 8, 7]), (2, []), (3, None)], "doc_id long, tokens array<int>")
+    known = tokens.detokenize(rows, spark.createDataFrame([(7, "sea")], "token int, word string"))
+    assert {r.doc_id: r.text for r in known.collect()} == {1: "sea <8> sea", 2: "", 3: ""}
 
 
 def test_sentences(spark):
