@@ -102,3 +102,14 @@ def test_bound_loses_nothing(seed):
         near = {j for j, o in enumerate(sets) if 100 * len(np.intersect1d(s, o)) >= 80 * len(np.union1d(s, o))}
         assert near <= set(index.candidates(counts[i], int(n[i]), 80).tolist())
         assert (rtree.decoded(counts[i].tobytes(), int(n[i])) == counts[i]).all()
+
+
+def test_long_texts(spark):
+    rng = random.Random(2)
+    long = [f"v{rng.randrange(5000)}" for _ in range(120_000)]
+    near = list(long)
+    for k in range(0, 2000, 10):
+        near[k] = "changed"
+    rows = [(1, " ".join(long)), (2, " ".join(near)), (3, " ".join(long[: len(long) // 2])), (4, "w" * 1_000_000), (5, "w" * 1_000_000), (6, "w" * 999_999)]
+    got = {r.doc_id: r.component_id for r in jaccard.similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 1, 2: 1, 3: 3, 4: 4, 5: 4, 6: 6}

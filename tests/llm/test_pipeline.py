@@ -61,3 +61,22 @@ def test_run(spark, folder):
     assert out.count() >= 200
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "ngram_jaccard_join", "suffix_array_dedup", "mixing", "packing"]
     assert {f"op{k}" for k in range(1, 11)} == {n.split("_")[0] for n in registry.QUERIES}
+
+
+def test_edges(spark, folder, tmp_path):
+    """Empty tables, columns with names of the operators' own, and very long texts."""
+    sf_dir, texts, _ = folder
+    docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    names = ["uid", "spans", "passes", "mix_key", "component_id", "gone_id", "shingle", "features", "p_toxic", "piece"]
+    long = spark.createDataFrame([(9000, "u v w " * 100_000, "en", "src1", 1), (9001, "z" * 500_000, "en", "src1", 1), (None, "no id", "en", None, 5)], docs.schema)
+    for name, (rows, y) in {"none": (docs.limit(0), labels), "unlabelled": (docs, labels.limit(0)), "odd": (docs.unionByName(long).selectExpr("*", *(f"'{n}' as {n}" for n in names)), labels)}.items():
+        at = str(tmp_path / name)
+        rows.write.parquet(f"{at}/documents.parquet")
+        y.write.parquet(f"{at}/labels.parquet")
+        got = corpus_pipeline.run(spark, at).select("doc_id").distinct().collect()
+        if name == "none":
+            assert not got
+        else:
+            assert {0, 1, 5000, 5001} <= {r.doc_id for r in got}
+        if name == "odd":
+            assert {9000, 9001, None} <= {r.doc_id for r in got}

@@ -83,3 +83,12 @@ def test_clashing_names(spark):
     assert {r.doc_id: r.text for r in rows} == {1: long, 3: "end"}
     assert all(r[n] == f"{n}{r.doc_id}" for r in rows for n in names)
     assert suffixes.digest(docs).count() == 3
+
+
+def test_long_texts(spark):
+    rng = random.Random(4)
+    long = "".join(rng.choices("abcdefghij ", k=400_000))
+    t = {1: long, 2: "start " + long[150_000:350_000] + " end", 3: "aé" * 100_000}
+    docs = spark.createDataFrame(list(t.items()), "doc_id long, text string")
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffixes.digest(docs).collect()}
+    assert got == suffixes.reference(t)
