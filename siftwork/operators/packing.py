@@ -24,8 +24,13 @@ def token_table(docs: DataFrame, *keep: str) -> DataFrame:
 
 def positions(docs: DataFrame, *keep: str) -> DataFrame:
     """(doc_id, *keep, n_tokens, total_tokens_seen) in the order of doc_id."""
-    # Tokens are counted, not made.
-    return prefix_sum(docs.select("doc_id", *keep, (n_tokens(F.col("text")) + 1).alias("n_tokens")), "doc_id", "n_tokens", "total_tokens_seen")
+    # Tokens are counted, not made, and texts are read once: the ranges are sampled from the counts.
+    return prefix_sum(docs.select("doc_id", *keep, (n_tokens(F.col("text")) + 1).alias("n_tokens")).checkpoint(), "doc_id", "n_tokens", "total_tokens_seen")
+
+
+def placed(tokens: DataFrame) -> DataFrame:
+    """(doc_id, total_tokens_seen) of a token table that has been written."""
+    return prefix_sum(tokens.select("doc_id", "n_tokens"), "doc_id", "n_tokens", "total_tokens_seen").select("doc_id", "total_tokens_seen")
 
 
 def shard_name(index: Column, prefix: str = PREFIX) -> Column:

@@ -53,7 +53,8 @@ def shard_doc_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _stream(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Tokens of the documents with their totals, and the pieces of the shards that they fill."""
     docs = _documents(spark, sf_dir)
-    tokens = packing.token_table(docs).join(packing.positions(docs).drop("n_tokens"), "doc_id").checkpoint()
+    made = packing.token_table(docs).checkpoint()
+    tokens = made.join(packing.placed(made), "doc_id").checkpoint()
     return tokens, packing.slices(tokens, SMALL_SHARD, BLOCK)
 
 
@@ -142,7 +143,7 @@ def _scores(spark: SparkSession, sf_dir: str, max_tokens: int | None = None) ->
     """doc_id, lang, source, l_base, l_ref, ai_score, n_tokens, total_tokens_seen."""
     docs = _documents(spark, sf_dir)
     tokens = packing.token_table(docs, *DOCS).checkpoint()
-    placed = scoring.until(packing.positions(docs), max_tokens)
+    placed = scoring.until(tokens.select("doc_id", "n_tokens").join(packing.placed(tokens), "doc_id"), max_tokens)
     read = tokens if max_tokens is None else tokens.join(placed.select("doc_id"), "doc_id", "left_semi")
     share = scoring.frequencies(tokens)
     scored = scoring.ai_score(scoring.score(read, scoring.stand_in(share), CHUNK, DOCS))
