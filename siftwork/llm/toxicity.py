@@ -5,16 +5,17 @@ categories before it. While fitting, those earlier probabilities are out-of-fold
 inputs as uncertain as they will meet. A word counts once in a text, with its own weight and those of its beginnings.
 
 The model's limits, the same at every size of the input: it is fitted on SAMPLE labelled documents at most, its features are hashed into DIM places,
-and each linear model uses the SCREEN of them that tell its training rows apart best. They are chosen from grouped counts; the driver gets
-a table of counts with DIM rows at most, and of the sample's texts only the chosen features. Scoring reads all rows and whole texts.
+and each linear model uses the SCREEN of them that tell its training rows apart best. They are chosen from grouped counts, a table of DIM rows at most; the
+chosen features of the sample meet in one task, and the driver gets the weights. Scoring reads all rows and whole texts.
 """
 
 from __future__ import annotations
 
+import ctypes
 import re
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
@@ -33,9 +34,16 @@ CATEGORIES = ("low_quality", "toxic", "severe")
 TOKEN = re.compile(r"[^\W\d_]+|[^\w\s]{2,}")
 
 
+def forms_of(word: str) -> list[str]:
+    return [word, *(f"{word[:k]}*" for k in BEGINNINGS if len(word) > k)]
+
+
+def place_of(form: str) -> int:
+    return zlib.crc32(form.encode("utf-8", "surrogatepass")) % DIM
+
+
 def word_features(word: str) -> list[int]:
-    forms = [word, *(f"{word[:k]}*" for k in BEGINNINGS if len(word) > k)]
-    return [zlib.crc32(x.encode("utf-8", "surrogatepass")) % DIM for x in forms]
+    return [place_of(x) for x in forms_of(word)]
 
 
 def words_of(text: str | None) -> set[str]:
@@ -57,6 +65,8 @@ class Chain:
     categories: tuple[str, ...]
     models: list[Linear]
     thresholds: np.ndarray
+    #: The words, and beginnings with a star, that the models' features stand for in the sample; no others have weight.
+    forms: dict[str, int] = field(default_factory=dict)
 
 
 def _sigmoid(z: np.ndarray) -> np.ndarray:
@@ -210,12 +220,38 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Chain | Non
     def chosen_of(features: pd.Series) -> pd.Series:
         return features.map(lambda f: f[bits.value[f]] if len(f) else f)
 
-    got = seen.select("doc_id", "low", "toxic", "fold", chosen_of("features").alias("features")).toPandas().sort_values("doc_id", ignore_index=True)
-    size = got["features"].map(len).to_numpy()
-    rows = np.repeat(np.arange(len(got), dtype=np.int32), size)
-    features = np.concatenate([np.asarray(x, dtype=np.int32) for x in got["features"]])
-    low, toxic = got["low"].to_numpy(), got["toxic"].to_numpy()
-    return fit_chain(rows, features, got["fold"].to_numpy(), np.column_stack([low, toxic, low & toxic]))
+    def chain_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        got = pd.concat([b for b in batches if len(b)], ignore_index=True).sort_values("doc_id", ignore_index=True)
+        rows = np.repeat(np.arange(len(got), dtype=np.int32), got["features"].map(len).to_numpy())
+        features = np.concatenate([np.asarray(x, dtype=np.int32) for x in got["features"]])
+        low, toxic = got["low"].to_numpy(), got["toxic"].to_numpy()
+        chain = fit_chain(rows, features, got["fold"].to_numpy(), np.column_stack([low, toxic, low & toxic]))
+        del got, rows, features
+        give_back()
+        for k, m in enumerate(chain.models):
+            yield pd.DataFrame({"k": [k], "index": [m.index], "weight": [m.weight], "earlier": [m.earlier], "bias": [m.bias], "threshold": [chain.thresholds[k]]})
+
+    def give_back() -> None:
+        """Workers live on, and C's allocator keeps what a fit has freed."""
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (OSError, AttributeError):  # another C library
+            pass
+
+    # The sample, `sample` rows of chosen features, meets in one task; the driver gets the weights.
+    whole = seen.select("doc_id", "low", "toxic", "fold", chosen_of("features").alias("features")).repartition(1)
+    found = whole.mapInPandas(chain_of, "k int, index array<long>, weight array<double>, earlier array<double>, bias double, threshold double").orderBy("k").collect()
+    models = [Linear(np.array(r["index"], dtype=np.int64), np.array(r["weight"]), np.array(r["earlier"]), r["bias"]) for r in found]
+    used = docs.sparkSession.sparkContext.broadcast(np.isin(np.arange(DIM), np.concatenate([m.index for m in models])))
+
+    def carried(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            forms = {x for t in b["text"] for w in words_of(t) for x in forms_of(w) if used.value[place_of(x)]}
+            yield pd.DataFrame({"form": sorted(forms)}, dtype=object)
+
+    # As many as the models' features, and those of the sample's words that fall into the same places.
+    forms = [r["form"] for r in both.select("text").mapInPandas(carried, "form string").distinct().collect()]
+    return Chain(CATEGORIES, models, np.array([r["threshold"] for r in found]), {x: place_of(x) for x in forms})
 
 
 def score(docs: DataFrame, chain: Chain | None, keep: bool = False) -> DataFrame:
@@ -229,42 +265,37 @@ def score(docs: DataFrame, chain: Chain | None, keep: bool = False) -> DataFrame
         return docs if keep else docs.select(F.col("doc_id").cast("long"), *(F.lit(None).cast("double").alias(n) for n in names), F.lit(False).alias("is_toxic"))
     toxic = chain.categories.index("toxic")
 
-    def tables():
-        dense = np.zeros((DIM, len(chain.models)))
-        for j, m in enumerate(chain.models):
-            dense[m.index, j] = m.weight
-        return dense
-
-    def probabilities(texts, dense, known: dict) -> np.ndarray:
+    def probabilities(texts: list[str | None]) -> np.ndarray:
         z = np.zeros((len(texts), len(chain.models)))
         for i, text in enumerate(texts):
-            # A feature counts once, however many words have it: words are only looked up if they carry weight.
-            carried: set[int] = set()
-            for w in words_of(text):
-                fs = known.get(w)
-                if fs is None:
-                    if len(known) > 400_000:
-                        known.clear()
-                    known[w] = fs = tuple(f for f in word_features(w) if dense[f].any())
-                carried.update(fs)
+            words = words_of(text)
+            # A feature counts once, however many words have it.
+            carried = {chain.forms[w] for w in words & exact}
+            for k, known in begun:
+                carried.update(chain.forms[f"{x}*"] for x in {w[:k] for w in words if len(w) > k} & known)
             if carried:
-                z[i] = dense[sorted(carried)].sum(axis=0)
+                z[i] = sum(weights[f] for f in sorted(carried))
         p = np.zeros_like(z)
         for j, m in enumerate(chain.models):
             p[:, j] = _sigmoid(z[:, j] + m.bias + (p[:, :j] @ m.earlier if j else 0))
         return p
 
+    weights = {f: np.zeros(len(chain.models)) for f in set(chain.forms.values())}
+    for j, m in enumerate(chain.models):
+        for f, w in zip(m.index.tolist(), m.weight.tolist(), strict=True):
+            if f in weights:
+                weights[f][j] = w
+    exact = frozenset(chain.forms)
+    begun = [(k, known) for k in BEGINNINGS if (known := frozenset(x[:-1] for x in exact if len(x) == k + 1 and x.endswith("*")))]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        dense, known = tables(), {}
         for b in batches:
-            p = probabilities(b.column(1).to_pylist(), dense, known)
+            p = probabilities(b.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([b.column(0), *map(pa.array, p.T), pa.array(p[:, toxic] >= chain.thresholds[toxic])], names=["doc_id", *names, "is_toxic"])
 
     @F.pandas_udf("boolean")
-    def rejected(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        dense, known = tables(), {}
-        for b in batches:
-            yield pd.Series(probabilities(b.tolist(), dense, known)[:, toxic] >= chain.thresholds[toxic])
+    def rejected(texts: pd.Series) -> pd.Series:
+        return pd.Series(probabilities(texts.tolist())[:, toxic] >= chain.thresholds[toxic])
 
     if keep:
         return docs.where(~rejected(F.col("text").cast("string")))

@@ -81,3 +81,15 @@ def test_fit_like_plain_python(spark):
 
 
 MODELS: dict = {}
+
+
+def test_forms(spark):
+    """What is scored are the sample's own words and beginnings: a word that only shares a hashed place has no weight."""
+    docs, labels = corpus(n=300)
+    chain = toxicity.fit(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    assert all(toxicity.place_of(x) == f for x, f in chain.forms.items())
+    assert set(chain.forms.values()) == {int(f) for m in chain.models for f in m.index}
+    text = docs[0][1]
+    got = toxicity.score(spark.createDataFrame([(1, text), (2, f"{text} {text} grolkling"), (3, f"{text} zzzzzz")], "doc_id long, text string"), chain)
+    p = {r.doc_id: r.p_toxic for r in got.collect()}
+    assert p[1] == p[3] < p[2]
