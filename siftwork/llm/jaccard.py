@@ -114,25 +114,36 @@ def _frequent(often: DataFrame, limit: int = FREQUENT) -> tuple[np.ndarray, np.n
     return key[order], np.log2(top["seen"].to_numpy(dtype=np.float64)[order]).astype(np.int64) if len(top) else np.zeros(0, dtype=np.int64)
 
 
+def _bits(docs: DataFrame, ids: DataFrame):
+    return docs.sparkSession.sparkContext.broadcast(sketch.bitmap(ids, sketch.place("id")))
+
+
+def _placed(docs: DataFrame) -> DataFrame:
+    return _texts(docs.where("doc_id is not null")).withColumn("place", sketch.place("doc_id"))
+
+
 def _wanted(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(doc_id, text) of the documents in ids(id), and of few others where ids are few."""
-    bits = docs.sparkSession.sparkContext.broadcast(sketch.bitmap(ids, sketch.place("id")))
+    """(id, body) of the texts of the documents in ids(id), and of few others where ids are few."""
+    bits = _bits(docs, ids)
 
-    @F.pandas_udf("boolean")
-    def marked(at: pd.Series) -> pd.Series:
-        return pd.Series(sketch.inside(bits.value, at.to_numpy()))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array(sketch.inside(bits.value, b.column(2).to_numpy()))).select([0, 1]).rename_columns(["id", "body"])
+
+    return _placed(docs).mapInArrow(run, "id long, body string")
 
-    return _texts(docs.where("doc_id is not null")).where(marked(sketch.place("doc_id")))
 
+def prefixes(docs: DataFrame, wanted, often: tuple[np.ndarray, np.ndarray], per_cent: int, shared: np.ndarray | None = None) -> DataFrame:
+    """(shingle, doc_id) of the shingles that a set has to share one of with any set that is similar enough; with a bitmap of shared ones, those and few others.
 
-def prefixes(texts: DataFrame, often: tuple[np.ndarray, np.ndarray], per_cent: int, shared: np.ndarray | None = None) -> DataFrame:
-    """(shingle, doc_id) of the shingles that a set has to share one of with any set that is similar enough; with a bitmap of shared ones, those and few others."""
-    sc = texts.sparkSession.sparkContext
+    Of the documents in the bitmap `wanted`, and few others; one function does all of that, since each worker of a task takes memory.
+    """
     key, heat = often
-    bits = None if shared is None else sc.broadcast(shared)
+    bits = None if shared is None else docs.sparkSession.sparkContext.broadcast(shared)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in portions(batches):
+            b = b.filter(pa.array(sketch.inside(wanted.value, b.column(2).to_numpy())))
             found, sizes = [], []
             for s in shingles(b.column(1).to_pylist()):
                 n = len(s)
@@ -150,7 +161,7 @@ def prefixes(texts: DataFrame, often: tuple[np.ndarray, np.ndarray], per_cent: i
             ids = b.column(0).take(pa.array(np.repeat(np.arange(len(sizes)), sizes)))
             yield pa.RecordBatch.from_arrays([pa.array(signed(shingle)), ids], names=["shingle", "doc_id"])
 
-    return texts.mapInArrow(run, "shingle long, doc_id long")
+    return _placed(docs).mapInArrow(run, "shingle long, doc_id long")
 
 
 def _low(s: np.ndarray) -> np.ndarray:
@@ -158,26 +169,31 @@ def _low(s: np.ndarray) -> np.ndarray:
 
 
 class Groups:
-    """The components of some rows while links between them are found."""
+    """The components of some rows while links between them are found; rows of one label are tied from the start."""
 
     def __init__(self, labels: np.ndarray):
-        self.root = np.unique(labels, return_inverse=True)[1]
+        self.label = np.unique(labels, return_inverse=True)[1]
+        self.root = self.label.copy()
 
     def apart(self, j: int, rows: np.ndarray) -> np.ndarray:
         return rows[self.root[rows] != self.root[j]]
 
-    def join(self, j: int, rows: np.ndarray) -> np.ndarray:
-        """Ties j to the rows; of each component that is new to it, one of them."""
-        roots, first = np.unique(self.root[rows], return_index=True)
-        new = roots != self.root[j]
-        self.root[np.isin(self.root, roots[new])] = self.root[j]
-        return rows[first[new]]
+    def join(self, j: int, rows: np.ndarray) -> None:
+        roots = np.unique(self.root[rows])
+        self.root[np.isin(self.root, roots)] = self.root[j]
+
+    def stars(self) -> tuple[np.ndarray, np.ndarray]:
+        """(row, first row of its component) for the first row of every label that isn't itself that; as many links as span the components."""
+        first = np.unique(self.label, return_index=True)[1]
+        roots, at = np.unique(self.root, return_index=True)
+        head = at[np.searchsorted(roots, self.root[first])]
+        return first[first != head], head[first != head]
 
 
-def _forest(a: np.ndarray, b: np.ndarray, n: np.ndarray, counts: list[np.ndarray], groups: Groups, per_cent: int, sets: list[np.ndarray] | None = None) -> Iterator[tuple[int, int]]:
-    """Links (row, row) between rows a, indexed, and rows b that span the components of all their links; a is b: within one unit.
+def _tie(a: np.ndarray, b: np.ndarray, n: np.ndarray, counts: list[np.ndarray], groups: Groups, per_cent: int, sets: list[np.ndarray] | None = None) -> None:
+    """Ties groups by the links between rows a, indexed, and rows b; a is b: within one unit.
 
-    A link is a pair that the R-tree lets through, or with `sets` one whose sets are similar enough.
+    A link is a pair that the R-tree lets through, or with `sets` one whose sets are similar enough. Pairs that are tied already aren't verified.
     """
     index = Index([counts[i] for i in a.tolist()], n[a])
     if sets is not None:
@@ -190,7 +206,7 @@ def _forest(a: np.ndarray, b: np.ndarray, n: np.ndarray, counts: list[np.ndarray
         if not len(hit):
             continue
         if sets is None:
-            yield from ((i, j) for i in groups.join(j, hit).tolist())
+            groups.join(j, hit)
             continue
         mark[codes[edge[j] : edge[j + 1]]] = True
         while len(hit):
@@ -198,7 +214,7 @@ def _forest(a: np.ndarray, b: np.ndarray, n: np.ndarray, counts: list[np.ndarray
             cut = np.concatenate([[0], np.cumsum(n[some])])
             at = np.arange(cut[-1]) + np.repeat(edge[some] - cut[:-1], n[some])
             same = np.add.reduceat(mark[codes[at]].astype(np.int64), cut[:-1])
-            yield from ((i, j) for i in groups.join(j, some[same >= enough(n[some], n[j], per_cent)]).tolist())
+            groups.join(j, some[same >= enough(n[some], n[j], per_cent)])
             hit = groups.apart(j, hit)
         mark[codes[edge[j] : edge[j + 1]]] = False
 
@@ -220,9 +236,11 @@ def _meet(per_cent: int, whole: bool) -> Callable[[pd.DataFrame], pd.DataFrame]:
             counts = [decoded(c, k) for c, k in zip(group["body"], n.tolist(), strict=True)]
         own, ids = group["own"].to_numpy(), group["id"].to_numpy()
         a, b = np.nonzero(own == 0)[0], np.nonzero(own == 1)[0]
-        found = list(_forest(a, b if len(b) else a, n, counts, Groups(group["component"].to_numpy()), per_cent, sets))
-        x, y = (ids[np.array(v, dtype=np.int64)] for v in (zip(*found, strict=True) if found else ((), ())))
-        return pd.DataFrame({"a": x, "b": y})
+        groups = Groups(group["component"].to_numpy())
+        if len(ids):
+            _tie(a, b if len(b) else a, n, counts, groups, per_cent, sets)
+        row, head = groups.stars()
+        return pd.DataFrame({"a": ids[row], "b": ids[head]})
 
     return run
 
@@ -307,12 +325,12 @@ def similar(docs: DataFrame, per_cent: int = PER_CENT, counted: int = COUNTED, v
         # Groupings are written before they are joined, so that Spark can split a key that very many documents have.
         classes = named.groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("id")).checkpoint()
         member = named.select("doc_id", "n", "k1", "k2").join(classes, ["n", "k1", "k2"]).select("doc_id", "id", "n").distinct().checkpoint()
-        reps = _wanted(docs, classes.select("id"))
+        reps = _bits(docs, classes.select("id"))
         top = _frequent(often)
-        rows = prefixes(reps, top, per_cent)
+        rows = prefixes(docs, reps, top, per_cent)
         shared = scratch.keep(rows.groupBy("shingle").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low <> high").select("shingle"), "shared")
         scratch.tidy()
-        rows = prefixes(reps, top, per_cent, sketch.bitmap(shared, F.col("shingle").bitwiseAND(F.lit(sketch.BITS - 1))))
+        rows = prefixes(docs, reps, top, per_cent, sketch.bitmap(shared, F.col("shingle").bitwiseAND(F.lit(sketch.BITS - 1))))
         live = rows.join(shared, "shingle").join(member, "doc_id").select("shingle", "id", "n").distinct()
         # Similar sets have sizes in one class or in neighbours, so a document stands in its own class and in the next.
         size = F.floor(F.log("n") / F.log(F.lit(101.0 / per_cent)))
@@ -324,7 +342,7 @@ def similar(docs: DataFrame, per_cent: int = PER_CENT, counted: int = COUNTED, v
         bound = linked(groups, points, per_cent, counted, False, scratch)
         scratch.tidy()
         clusters = components(bound).select(F.col("component").alias("grp"), "id").join(classes.select("id", "n"), "id").checkpoint()
-        texts = _wanted(docs, clusters.select("id")).select(F.col("doc_id").alias("id"), F.col("text").alias("body"))
+        texts = _wanted(docs, clusters.select("id"))
         links = linked(clusters, texts, per_cent, verified, True, scratch).unionByName(member.where("doc_id <> id").select(F.col("doc_id").alias("a"), F.col("id").alias("b")))
         final = components(links).withColumnRenamed("id", "doc_id")
         out = surveyed.select("doc_id", F.col("n").alias("n_shingles")).join(final, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")).checkpoint()

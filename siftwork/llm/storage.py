@@ -19,14 +19,17 @@ def delete(spark: SparkSession, path: str) -> None:
 
 
 class Scratch:
-    """Tables of one computation: written compressed, read back without their lineage, and deleted when they are no longer needed."""
+    """Tables of one computation: written, read back without their lineage, and deleted when they are no longer needed.
+
+    They have Spark's own compression: a stronger one takes native memory for every column and thread, which an executor doesn't give back.
+    """
 
     def __init__(self, spark: SparkSession):
         self.spark, self.paths = spark, []
 
     def keep(self, rows: DataFrame, name: str) -> DataFrame:
         path = table_path(self.spark, name)
-        rows.write.option("compression", "zstd").parquet(path)
+        rows.write.parquet(path)
         self.paths.append(path)
         return self.spark.read.schema(rows.schema).parquet(path)
 
