@@ -11,8 +11,8 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Rows that go to a Python worker at a time, where the session doesn't say otherwise: rows of documents are long.
-ARROW_ROWS = "1000"
+#: Rows and bytes that go to a Python worker at a time, where the session doesn't say otherwise: rows of documents are long, and both sides hold a batch.
+ARROW_ROWS, ARROW_BYTES = "200", "4m"
 ROOT = str(Path(__file__).resolve().parent.parent)
 
 
@@ -28,6 +28,8 @@ def prepare(spark: SparkSession) -> SparkSession:
     """
     if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":  # Spark's own
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == "67108864b":  # Spark's own
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
     sc = spark.sparkContext
     known = sc.environment.get("PYTHONPATH", "")
     if ROOT not in known.split(os.pathsep):
