@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siftwork.llm import embeddings, html, jaccard, langid, licences, mixing, packing, suffixes, toxicity
+from siftwork.llm import centroids, codes, embeddings, html, jaccard, langid, licences, mixing, packing, suffixes, toxicity
 from siftwork.session import table
 
 
@@ -50,6 +50,14 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(table(spark, sf_dir, "pages"))
 
 
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.compress(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_suffix_array_dedup": op2_suffix_array_dedup,
@@ -61,6 +69,8 @@ QUERIES = {
     "op8_exact_top_k": op8_exact_top_k,
     "op9_packing": op9_packing,
     "op10_html_extraction": op10_html_extraction,
+    "op11_centroid_clustering": op11_centroid_clustering,
+    "op13_vector_codes": op13_vector_codes,
 }
 
 ORACLES: dict[str, str] = {
@@ -70,4 +80,6 @@ ORACLES: dict[str, str] = {
     "op6_licence_scan": licences.oracle(),
     "op7_mixing_to_target_weights": mixing.ORACLE,
     "op8_exact_top_k": embeddings.ORACLE_SEARCH,
+    "op11_centroid_clustering": centroids.ORACLE,
+    "op13_vector_codes": codes.ORACLE,
 }

@@ -33,6 +33,12 @@ class Scratch:
         self.paths.append(path)
         return self.spark.read.schema(rows.schema).parquet(path)
 
+    def drop(self, n: int) -> None:
+        """Deletes the n oldest tables."""
+        for path in self.paths[:n]:
+            delete(self.spark, path)
+        del self.paths[:n]
+
     def tidy(self) -> None:
         """Lets go of what steps that have ended still hold: Spark deletes shuffle files once the driver's garbage is collected."""
         gc.collect()
