@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siftwork.llm import centroids, codes, embeddings, html, jaccard, langid, licences, mixing, packing, suffixes, toxicity
+from siftwork.llm import centroids, codes, embeddings, html, jaccard, langid, licences, mixing, packing, quality, suffixes, toxicity
 from siftwork.session import table
 
 
@@ -54,6 +54,10 @@ def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.cluster(table(spark, sf_dir, "embeddings"))
 
 
+def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents"))
+
+
 def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codes.compress(table(spark, sf_dir, "embeddings"))
 
@@ -70,6 +74,7 @@ QUERIES = {
     "op9_packing": op9_packing,
     "op10_html_extraction": op10_html_extraction,
     "op11_centroid_clustering": op11_centroid_clustering,
+    "op12_quality_rules": op12_quality_rules,
     "op13_vector_codes": op13_vector_codes,
 }
 
@@ -81,5 +86,6 @@ ORACLES: dict[str, str] = {
     "op7_mixing_to_target_weights": mixing.ORACLE,
     "op8_exact_top_k": embeddings.ORACLE_SEARCH,
     "op11_centroid_clustering": centroids.ORACLE,
+    "op12_quality_rules": quality.ORACLE,
     "op13_vector_codes": codes.ORACLE,
 }
