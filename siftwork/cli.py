@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from siftwork import config
 from siftwork.functions import vocabulary
 from siftwork.functions.tokens import EOS, tokenize as words_as_tokens
-from siftwork.operators import heads, packing, probes, ranking, scoring
+from siftwork.operators import heads, packing, probes, ranking, scoring, streams
 from siftwork.session import prepare
 from siftwork.sources import shards, tables
 
@@ -44,31 +44,11 @@ def tokenize(spark: SparkSession, a: argparse.Namespace) -> None:
     shards.write(pieces.withColumn("shard", packing.shard_name(F.col("shard"))), a.out)
 
 
-def _tokens(spark: SparkSession, path: str, eot: int) -> DataFrame:
-    """(doc_id, tokens, n_tokens, total_tokens_seen) of the documents in shards; ids are pointers.
-
-    Shards are in the order of the numbers that names end in, then of names; all but the last are of one size. There is a row a shard for that.
-    """
-    pieces = shards.read(spark, path)
-    ends = pieces.groupBy("shard").agg(F.max(F.col("at") + F.size("tokens")).alias("n")).withColumn("named", F.coalesce(F.regexp_extract("shard", "(\\d+)$", 1).cast("decimal(38,0)"), F.lit(0)))
-    # Their numbers are 0, 1, ...: named by range, then counted within it.
-    numbers = ranking.ranked(ends, [F.asc("named"), F.asc("shard")]).select("shard", (F.col("__rank") - 1).alias("number"), "n").checkpoint()
-    size = numbers.agg(F.max("n")).first()[0] or 1
-    known = pieces.join(numbers.drop("n"), "shard").withColumnRenamed("shard", "shard_name").withColumnRenamed("number", "shard")
-    placed = packing.islands(known, size, eot).checkpoint()
-    parts = placed.select("total_tokens_seen", F.posexplode(packing.ranges(size)).alias("k", "r")).join(numbers.select(F.col("number").alias("at"), F.col("shard").alias("name")), F.col("r.shard") == F.col("at"))
-    text = F.concat("name", F.lit(":"), F.col("r.lo").cast("string"), F.lit("-"), F.col("r.hi").cast("string"))
-    ids = parts.groupBy("total_tokens_seen").agg(F.array_sort(F.collect_list(F.struct("k", text.alias("t")))).alias("p")).select("total_tokens_seen", F.array_join(F.transform("p", lambda x: x["t"]), packing.DASH).alias("doc_id"))
-    named = placed.join(ids, "total_tokens_seen")
-    found = packing.resolve(named.select("doc_id", F.col("doc_id").alias("pointer")), known.select("shard_name", "block", "at", "tokens"))
-    return named.join(found, "doc_id").select("doc_id", "tokens", "n_tokens", "total_tokens_seen")
-
-
 def score(spark: SparkSession, a: argparse.Namespace) -> None:
-    """Token shards to scores of their documents."""
-    tokens = _tokens(spark, a.data, _end(a)).checkpoint()
-    some = scoring.until(tokens, a.max_tokens)
-    made = scoring.ai_score(scoring.score(some, scoring.stand_in(scoring.frequencies(tokens)), a.seq_len, ("total_tokens_seen",)))
+    """Token shards to scores of their documents. With a limit only the shards that it needs are opened, and frequencies are those of what is read."""
+    pieces, known = streams.read(spark, a.data, a.order, a.max_tokens, _end(a))
+    tokens = scoring.until(streams.split(pieces, known, _end(a)), a.max_tokens).checkpoint()
+    made = scoring.ai_score(scoring.score(tokens, scoring.stand_in(scoring.frequencies(tokens)), a.seq_len, ("total_tokens_seen",)))
     micro = F.lit(float(scoring.MICRO))
     tables.write_scores(made.select("doc_id", (F.col("l_base") / micro).alias("L_base"), (F.col("l_ref") / micro).alias("L_ref"), F.col("ai_score").alias("AI_Score"), "total_tokens_seen"), a.out)
 
@@ -134,7 +114,7 @@ def run_all(spark: SparkSession, a: argparse.Namespace) -> None:
         ["find-heads", "--probes", f"{out}/probes", "--out", f"{out}/heads", "--top-pct", "5", *(["--tokenizer", a.tokenizer] if a.tokenizer else [])],
         *([["mask-heads", "--weights", a.weights, "--heads", f"{out}/heads", "--out", f"{out}/masked", "--head-dim", str(a.head_dim), "--n-heads", "8"]] if a.weights else []),
         ["tokenize", "--documents", a.documents, "--out", f"{out}/shards", "--shard-size", str(a.shard_size), *(["--tokenizer", a.tokenizer] if a.tokenizer else [])],
-        ["score", "--data", f"{out}/shards/*.bin", "--out", f"{out}/scores", "--seq-len", str(a.seq_len), *(["--max-tokens", str(a.max_tokens)] if a.max_tokens else []), *(["--tokenizer", a.tokenizer] if a.tokenizer else [])],
+        ["score", "--data", f"{out}/shards/*.bin", "--order", "number", "--out", f"{out}/scores", "--seq-len", str(a.seq_len), *(["--max-tokens", str(a.max_tokens)] if a.max_tokens else []), *(["--tokenizer", a.tokenizer] if a.tokenizer else [])],
         ["rank", "--scores", f"{out}/scores/tsv", "--out", f"{out}/selection", "--top-pct", str(a.top_pct)],
     ]
     for step in steps:
@@ -160,7 +140,7 @@ def parser() -> argparse.ArgumentParser:
     coder = ("tokenizer", str, None)
     made = program(tokenize, ("documents", str, ...), ("out", str, ...), ("shard-size", whole, 10**8), coder)
     made.add_argument("--version", choices=sorted(VERSIONS), help="the sample of that size, in its own folder under the documents")
-    program(score, ("data", str, ...), ("out", str, ...), ("seq-len", int, 4096), ("max-tokens", whole, None), coder)
+    program(score, ("data", str, ...), ("out", str, ...), ("seq-len", int, 4096), ("max-tokens", whole, None), coder).add_argument("--order", choices=streams.ORDERS, default="name", help="of shards: by name, or by the numbers that names end in")
     program(rank, ("scores", str, ...), ("out", str, ...), ("top-pct", float, 20.0), ("bottom-pct", float, None))
     program(make_probes, ("documents", str, ...), ("out", str, ...), ("n", int, 800), ("budget", int, 4096), ("seed", str, "42"))
     program(find_heads, ("probes", str, None), ("vectors", str, None), ("out", str, ...), ("length", int, 50), ("prompt", int, 40), ("heads", int, 16), ("heads-per-layer", int, 8), ("top-pct", float, 5.0), coder)

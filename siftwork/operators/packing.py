@@ -109,6 +109,11 @@ def resolve(pointers: DataFrame, pieces: DataFrame, block: int = 1024) -> DataFr
     asked = pointers.select("doc_id", F.posexplode(parse_pointer(F.col("pointer"))).alias("part", "r")).select("doc_id", "part", F.col("r.name").alias("shard_name"), F.col("r.lo").alias("lo"), F.col("r.hi").alias("hi"))
     ends = pieces.groupBy("shard_name").agg((F.max(F.col("at") + F.size("tokens")) - 1).alias("end"))
     asked = asked.join(ends, "shard_name").withColumn("hi", F.coalesce("hi", "end"))
+    return gather(asked, pieces, block)
+
+
+def gather(asked: DataFrame, pieces: DataFrame, block: int = 1024) -> DataFrame:
+    """(doc_id, tokens) of asked(doc_id, part, shard_name, lo, hi): the tokens of a document's ranges in the order of `part`, hi included."""
     asked = asked.withColumn("block", F.explode(F.sequence(F.floor(F.col("lo") / block), F.floor(F.col("hi") / block))))
     met = asked.join(pieces, ["shard_name", "block"]).where("at <= hi and at + size(tokens) > lo")
     skip = F.greatest(F.col("lo") - F.col("at"), F.lit(0))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftwork.functions.tokens import EOS, SQL_TOKEN_TABLE, SQL_WORD, chunks, n_tokens, with_bos
-from siftwork.operators import heads, packing, probes, ranking, scoring
+from siftwork.operators import heads, packing, probes, ranking, scoring, streams
 from siftwork.session import table
 from siftwork.sources import shards, tables
 from siftwork.sources.storage import scratch
@@ -17,6 +17,10 @@ from siftwork.sources.storage import scratch
 #: Tokens in a shard of the layout queries, in one of the pointer queries (so that documents span three and more), and in a chunk.
 SHARD, SMALL_SHARD, CHUNK = 20_000, 512, 512
 BLOCK = 128
+#: Tokens in the shards of unequal sizes, again and again.
+SIZES = (20_000, 3_000, 7, 50_001, 511)
+#: What the filtered scan asks for: shards from this one on, places below this one, blocks.
+FROM, BELOW, BLOCKS = "part_000003", 40_000, (0, 3, 4, 150, 155)
 MAX_TOKENS = 100_000
 TOP = 20.0
 #: Probes: how many, their token budget, seed.
@@ -100,6 +104,41 @@ def shard_range_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scanned(spark, sf_dir, *RANGE)
 
 
+def _uneven(spark: SparkSession, sf_dir: str) -> str:
+    """Path of files of the documents' tokens in shards of SIZES."""
+    made = packing.token_table(_documents(spark, sf_dir)).checkpoint()
+    tokens = made.join(packing.placed(made), "doc_id").checkpoint()
+    total = F.lit(tokens.agg(F.max("total_tokens_seen")).first()[0] or 0)
+    # A row for each shard, all of it arithmetic.
+    turn, before = sum(SIZES), [sum(SIZES[:i]) for i in range(len(SIZES))]
+    shard = spark.range(1).select(F.explode(F.sequence(F.lit(0), F.floor(total / turn))).alias("k")).select("k", F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(n).cast("long").alias("size"), F.lit(b).cast("long").alias("b")) for i, (n, b) in enumerate(zip(SIZES, before, strict=True))))).alias("x"))
+    start = F.col("k") * turn + F.col("x.b")
+    known = shard.select(F.concat(F.lit("part_"), F.lpad((F.col("k") * len(SIZES) + F.col("x.i")).cast("string"), 6, "0")).alias("shard"), start.alias("start"), F.least("x.size", total - start).alias("n")).where("n > 0").checkpoint()
+    path = scratch(spark, "shards")
+    shards.write(streams.slices(tokens, known, BLOCK), path)
+    return f"{path}/*.bin"
+
+
+def _pointed(tokens: DataFrame) -> DataFrame:
+    return tokens.select("doc_id", F.col("n_tokens").cast("long").alias("n_tokens"), "total_tokens_seen", F.md5(F.array_join("tokens", " ")).alias("tokens_md5"))
+
+
+def shard_any_size(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shards of unequal sizes, written and read by the data source, split at the ends of documents; ids are pointers."""
+    return _pointed(streams.split(*streams.read(spark, _uneven(spark, sf_dir), block=BLOCK), block=BLOCK))
+
+
+def shard_early_stop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents up to MAX_TOKENS of the same shards, from the shards that hold them."""
+    return _pointed(scoring.until(streams.split(*streams.read(spark, _uneven(spark, sf_dir), max_tokens=MAX_TOKENS, block=BLOCK), block=BLOCK), MAX_TOKENS))
+
+
+def shard_filtered_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of the same shards by filters that the data source turns into files and bytes."""
+    rows = shards.read(spark, _uneven(spark, sf_dir), block=BLOCK).where((F.col("shard") >= FROM) & (F.col("at") < BELOW) & F.col("block").isin(*BLOCKS))
+    return rows.select("shard", "block", "at", F.size("tokens").alias("n_tokens"), F.md5(F.array_join("tokens", " ")).alias("tokens_md5"))
+
+
 def probe_file_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "probes")
     tables.write_probes(probe_prompt(spark, sf_dir).withColumnRenamed("probe_id", "id"), path)
@@ -244,7 +283,7 @@ QUERIES = {
     for f in (
         doc_token_counts, token_prefix_sum, shard_layout, shard_doc_ids, doc_split_islands, doc_id_resolve, shard_file_roundtrip, chunk_table, ai_scores, ai_scores_max_tokens, rank_top20, rank_bottom20,
         rank_top20_per_domain, selection_summary, score_by_label, sentence_pool, probe_context, probe_prompt, head_copy_recall, retrieval_heads_topk, masked_weights, mixture_70_30,
-        shard_scan, shard_range_scan, probe_file_roundtrip, score_file_roundtrip, selection_file_roundtrip, head_list_roundtrip, masked_weights_roundtrip,
+        shard_scan, shard_range_scan, shard_any_size, shard_early_stop, shard_filtered_scan, probe_file_roundtrip, score_file_roundtrip, selection_file_roundtrip, head_list_roundtrip, masked_weights_roundtrip,
     )
 }
 
@@ -332,7 +371,17 @@ ORACLES["shard_file_roundtrip"] = ORACLES["doc_split_islands"]
 _STREAM = f"""stream as (select token, row_number() over (order by doc_id, pos) - 1 as g from (select doc_id, unnest(tokens) as token, generate_subscripts(tokens, 1) as pos from docs)),
     placed as (select token, g // {SMALL_SHARD} as s, g % {SMALL_SHARD} as spot from stream)"""
 _SCAN = f"select {_name('s')} as shard, count(*) as n_tokens, cast(sum(token) as bigint) as token_sum, cast(min(spot) as bigint) as first from placed"
+_UNEVEN = f"""sizes as (select unnest([{", ".join(map(str, SIZES))}]) as size, unnest(range({len(SIZES)})) as i),
+    turns as (select k * {len(SIZES)} + i as number, k * {sum(SIZES)} + sum(size) over (partition by k order by i) - size as start, size, total from sizes, (select max(total_tokens_seen) as total from seen), range(total // {sum(SIZES)} + 1) k(k)),
+    spans as (select 'part_' || lpad(cast(number as varchar), 6, '0') as shard, cast(start as bigint) as start, cast(least(size, total - start) as bigint) as n from turns where start < total)"""
+_POINTED = f"""select string_agg(shard || ':' || greatest(total_tokens_seen - n_tokens - start, 0) || '-' || least(total_tokens_seen - start, n) - 1, '{packing.DASH}' order by start) as doc_id,
+    cast(any_value(n_tokens) as bigint) as n_tokens, total_tokens_seen, any_value(md5(array_to_string(tokens, ' '))) as tokens_md5 from seen join spans on start < total_tokens_seen and start + n > total_tokens_seen - n_tokens"""
 ORACLES |= {
+    "shard_any_size": f"with {_T}, {_UNEVEN} {_POINTED} group by total_tokens_seen",
+    "shard_early_stop": f"with {_T}, {_UNEVEN} {_POINTED} where total_tokens_seen - n_tokens < {MAX_TOKENS} or total_tokens_seen = n_tokens group by total_tokens_seen",
+    "shard_filtered_scan": f"""with {_T}, {_UNEVEN}, stream as (select token, row_number() over (order by doc_id, pos) - 1 as g from (select doc_id, unnest(tokens) as token, generate_subscripts(tokens, 1) as pos from docs)),
+        placed as (select shard, token, g - start as spot from stream join spans on g >= start and g < start + n)
+        select shard, spot // {BLOCK} as block, min(spot) as at, cast(count(*) as integer) as n_tokens, md5(string_agg(token, ' ' order by spot)) as tokens_md5 from placed where shard >= '{FROM}' and spot // {BLOCK} in {BLOCKS} group by shard, spot // {BLOCK} having min(spot) < {BELOW}""",
     "shard_scan": f"with {_T}, {_STREAM} {_SCAN} group by s",
     "shard_range_scan": f"with {_T}, {_STREAM} {_SCAN} where spot between {RANGE[0]} and {RANGE[1]} group by s",
     "probe_file_roundtrip": f"select probe_id as id, prompt, answer from ({ORACLES['probe_prompt']})",

@@ -7,6 +7,7 @@ for stores that only Spark's readers open, read_with_spark() takes the bytes fro
 
 from __future__ import annotations
 
+import operator
 import os
 import re
 from collections.abc import Iterator
@@ -17,7 +18,22 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import (
+    DataSource,
+    DataSourceArrowWriter,
+    DataSourceReader,
+    EqualTo,
+    Filter,
+    GreaterThan,
+    GreaterThanOrEqual,
+    In,
+    InputPartition,
+    IsNotNull,
+    LessThan,
+    LessThanOrEqual,
+    StringStartsWith,
+    WriterCommitMessage,
+)
 from pyspark.sql.types import StructType
 
 # Fixed values of the format.
@@ -103,33 +119,118 @@ class _Range(InputPartition):
         self.path, self.lo, self.hi = path, lo, hi
 
 
+class _Files(InputPartition):
+    def __init__(self, paths: list[str]):
+        self.paths = paths
+
+
+#: How filters compare a column with a value; all of them are false for nulls.
+COMPARED = {EqualTo: operator.eq, GreaterThan: operator.gt, GreaterThanOrEqual: operator.ge, LessThan: operator.lt, LessThanOrEqual: operator.le}
+
+
 class _Reader(DataSourceReader):
-    """A task for each RANGE tokens of a shard, of those from option lo to option hi (included) if they are given."""
+    """A task for each RANGE tokens of a shard, of those from option lo to option hi (included) if they are given.
+
+    Filters on shard leave files out; filters on at and block leave out the bytes of other blocks. All others are Spark's to evaluate.
+    Rows begin at multiples of the block, or at lo, wherever tasks begin. Headers are read by tasks: the driver knows files by their sizes.
+    """
 
     RANGE = 1 << 22
 
     def __init__(self, options: dict):
-        self.paths = sorted(p for p in glob(local(options["path"])) if os.path.isfile(p))
+        self.path = local(options["path"])
         self.lo, self.hi, self.block = int(options.get("lo", 0)), int(options["hi"]) if "hi" in options else None, int(options.get("block", 1024))
+        self.by_name: list[tuple] = []
+        self.by_place: list[tuple] = []
+
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
+        for f in filters:
+            name = f.attribute[0] if isinstance(getattr(f, "attribute", None), tuple) and len(f.attribute) == 1 else None
+            if isinstance(f, IsNotNull) and name in ("shard", "block", "at", "tokens"):
+                continue  # no column of a row is null
+            value = tuple(f.value) if isinstance(f, In) else getattr(f, "value", None)
+            known = value is not None and type(f) in (*COMPARED, In, *((StringStartsWith,) if name == "shard" else ()))
+            if known and name == "shard":
+                self.by_name.append((type(f), value))
+            elif known and name in ("at", "block"):
+                self.by_place.append((name, type(f), value))
+            else:
+                yield f
+
+    def paths(self) -> list[str]:
+        def asked(shard: str) -> bool:
+            return all(shard in v if kind is In else shard.startswith(v) if kind is StringStartsWith else COMPARED[kind](shard, v) for kind, v in self.by_name)
+
+        return sorted(p for p in glob(self.path) if asked(Path(p).stem) and os.path.isfile(p))
+
+    def ranges(self, n: int) -> list[tuple[int, int]]:
+        """Places that are read of a shard of n tokens: those of the blocks that filters leave."""
+        lo, hi, listed = self.lo, n if self.hi is None else min(n, self.hi + 1), None
+        for name, kind, value in self.by_place:
+            unit = self.block if name == "block" else 1
+            if kind in (In, EqualTo):
+                some = {v * unit // self.block for v in (value if kind is In else (value,)) if v is not None}
+                listed = some if listed is None else listed & some
+            elif kind in (GreaterThan, GreaterThanOrEqual):
+                lo = max(lo, value * unit // self.block * self.block)
+            else:
+                hi = min(hi, (value * unit // self.block + 1) * self.block)
+        if listed is None:
+            return [(lo, hi)] if lo < hi else []
+        out: list[tuple[int, int]] = []
+        for b in sorted(listed):
+            a, z = max(lo, b * self.block), min(hi, (b + 1) * self.block)
+            if a < z and out and out[-1][1] == a:
+                out[-1] = (out[-1][0], z)
+            elif a < z:
+                out.append((a, z))
+        return out
 
     def partitions(self) -> list[InputPartition]:
-        out = []
-        for path in self.paths:
-            with open(path, "rb") as f:
-                n = count_of(f.read(4 * HEADER))
-            end = n if self.hi is None else min(n, self.hi + 1)
-            edges = [*range(self.lo, end, self.RANGE), end]
-            out += [_Range(path, a, b) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+        out, step = [], max(1, self.RANGE // self.block) * self.block
+        for path in self.paths():
+            # At least one place, so that a file without tokens is looked at too.
+            for lo, hi in self.ranges(max(1, (os.path.getsize(path) - 4 * HEADER) // 2)):
+                edges = [lo, *range((lo // step + 1) * step, hi, step), hi]
+                out += [_Range(path, a, b) for a, b in zip(edges[:-1], edges[1:], strict=True)]
         return out or [_Range("", 0, 0)]
 
     def read(self, part: _Range) -> Iterator[pa.RecordBatch]:
         if part.lo < part.hi:
             with open(part.path, "rb") as f:
+                n = count_of(f.read(4 * HEADER))
+                if n > (os.fstat(f.fileno()).st_size - 4 * HEADER) // 2:
+                    raise ValueError("a token shard that is cut off")
+                hi = min(part.hi, n)
                 f.seek(4 * HEADER + 2 * part.lo)
-                body = f.read(2 * (part.hi - part.lo))
-            if len(body) != 2 * (part.hi - part.lo):
-                raise ValueError("a token shard that is cut off")
-            yield blocks(Path(part.path).stem, part.lo, np.frombuffer(body, dtype="<u2").astype(np.int32), self.block)
+                body = f.read(2 * max(0, hi - part.lo))
+            if body:
+                yield self.kept(blocks(Path(part.path).stem, part.lo, np.frombuffer(body, dtype="<u2").astype(np.int32), self.block))
+
+    def kept(self, rows: pa.RecordBatch) -> pa.RecordBatch:
+        keep = np.ones(rows.num_rows, dtype=bool)
+        for name, kind, value in self.by_place:
+            x = rows.column(name).to_numpy()
+            keep &= np.isin(x, [v for v in value if v is not None]) if kind is In else COMPARED[kind](x, value)
+        return rows if keep.all() else rows.filter(pa.array(keep))
+
+
+class _Headers(DataSourceReader):
+    """A task for each FILES shards, of which only headers are read."""
+
+    FILES = 256
+
+    def __init__(self, options: dict):
+        self.path = local(options["path"])
+
+    def partitions(self) -> list[InputPartition]:
+        found = sorted(p for p in glob(self.path) if os.path.isfile(p))
+        return [_Files(found[i : i + self.FILES]) for i in range(0, len(found), self.FILES)] or [_Files([])]
+
+    def read(self, part: _Files) -> Iterator[tuple[str, str, int]]:
+        for path in part.paths:
+            with open(path, "rb") as f:
+                yield Path(path).stem, path, count_of(f.read(4 * HEADER))
 
 
 class _Done(WriterCommitMessage):
@@ -198,11 +299,32 @@ class TokenShards(DataSource):
         return _Writer(local(self.options["path"]))
 
 
+class ShardHeaders(DataSource):
+    """format("token_shard_headers"): option path is a file or pattern."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "token_shard_headers"
+
+    def schema(self) -> str:
+        return "shard string, path string, n_tokens long"
+
+    def reader(self, schema: StructType) -> DataSourceReader:
+        return _Headers(dict(self.options))
+
+
 def register(spark: SparkSession) -> SparkSession:
     spark.dataSource.register(TokenShards)
+    spark.dataSource.register(ShardHeaders)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     return spark
 
 
+def headers(spark: SparkSession, path: str) -> DataFrame:
+    """(shard, path, n_tokens) of the shards that match the path, empty ones too; their tokens are not read."""
+    return register(spark).read.format("token_shard_headers").option("path", path).load()
+
+
 def write(pieces: DataFrame, path: str) -> None:
     """Writes pieces(shard, at, tokens) as shards named by `shard`."""
     register(pieces.sparkSession)

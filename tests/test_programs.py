@@ -18,7 +18,7 @@ def test_from_documents_to_selection(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "docs"))
     cli.main(["tokenize", "--documents", str(tmp_path / "docs"), "--out", str(tmp_path / "shards"), "--shard-size", "1_000"], spark)
     data = str(tmp_path / "shards/*.bin")
-    cli.main(["score", "--data", data, "--out", str(tmp_path / "scores"), "--seq-len", "64"], spark)
+    cli.main(["score", "--data", data, "--out", str(tmp_path / "scores"), "--seq-len", "64", "--order", "number"], spark)
     found = spark.read.parquet(str(tmp_path / "scores/parquet")).orderBy("total_tokens_seen").collect()
     n = [len(t.split()) + 1 for _, t in rows]
     assert [r.total_tokens_seen for r in found] == np.cumsum(n).tolist()
@@ -55,7 +55,7 @@ def test_with_a_tokenizer(spark, tmp_path, capsys):
     texts = ["One fox saw a hen.", "", None, "Où est <|endoftext|> la maison ?", "x " * 700]
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "docs"))
     cli.main(["tokenize", "--documents", str(tmp_path / "docs"), "--out", str(tmp_path / "shards"), "--shard-size", "333", "--tokenizer", BPE], spark)
-    cli.main(["score", "--data", str(tmp_path / "shards/*.bin"), "--out", str(tmp_path / "scores"), "--tokenizer", BPE], spark)
+    cli.main(["score", "--data", str(tmp_path / "shards/*.bin"), "--out", str(tmp_path / "scores"), "--order", "number", "--tokenizer", BPE], spark)
     found = spark.read.parquet(str(tmp_path / "scores/parquet")).orderBy("total_tokens_seen").collect()
     whole = vocabulary.load(BPE)
     ends = np.cumsum([len(whole.encode(t or "", add_special_tokens=False).ids) + 1 for t in texts]).tolist()
