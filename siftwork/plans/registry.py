@@ -8,8 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwork.functions.tokens import EOS, SQL_TOKEN_TABLE, SQL_WORD, chunks, n_tokens, with_bos
-from siftwork.operators import heads, packing, probes, ranking, scoring, streams
+from siftwork.functions.tokens import BOS, EOS, SQL_TOKEN_TABLE, SQL_WORD, VOCABULARY, chunks, n_tokens, with_bos
+from siftwork.operators import heads, ngrams, packing, probes, ranking, scoring, streams
 from siftwork.session import table
 from siftwork.sources import shards, tables
 from siftwork.sources.storage import scratch
@@ -200,6 +200,18 @@ def ai_scores_max_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scores(spark, sf_dir, MAX_TOKENS).select(*SCORE_COLUMNS)
 
 
+def trigram_losses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Losses of chunks under a smoothed trigram model that is fitted to all documents."""
+    tokens = packing.token_table(_documents(spark, sf_dir)).checkpoint()
+    return ngrams.chunk_losses(tokens, ngrams.fit(tokens), CHUNK)
+
+
+def trigram_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How much documents lose when that model loses its context."""
+    tokens = packing.token_table(_documents(spark, sf_dir)).checkpoint()
+    return scoring.ai_score(ngrams.document_losses(tokens, ngrams.fit(tokens), CHUNK))
+
+
 def _ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The score table as a program finds it on disk: lengths come from differences again."""
     return ranking.lengths(_scores(spark, sf_dir).drop("n_tokens", "l_base", "l_ref")).checkpoint()
@@ -281,7 +293,7 @@ def mixture_70_30(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        doc_token_counts, token_prefix_sum, shard_layout, shard_doc_ids, doc_split_islands, doc_id_resolve, shard_file_roundtrip, chunk_table, ai_scores, ai_scores_max_tokens, rank_top20, rank_bottom20,
+        doc_token_counts, token_prefix_sum, shard_layout, shard_doc_ids, doc_split_islands, doc_id_resolve, shard_file_roundtrip, chunk_table, ai_scores, ai_scores_max_tokens, trigram_losses, trigram_scores, rank_top20, rank_bottom20,
         rank_top20_per_domain, selection_summary, score_by_label, sentence_pool, probe_context, probe_prompt, head_copy_recall, retrieval_heads_topk, masked_weights, mixture_70_30,
         shard_scan, shard_range_scan, shard_any_size, shard_early_stop, shard_filtered_scan, probe_file_roundtrip, score_file_roundtrip, selection_file_roundtrip, head_list_roundtrip, masked_weights_roundtrip,
     )
@@ -371,12 +383,32 @@ ORACLES["shard_file_roundtrip"] = ORACLES["doc_split_islands"]
 _STREAM = f"""stream as (select token, row_number() over (order by doc_id, pos) - 1 as g from (select doc_id, unnest(tokens) as token, generate_subscripts(tokens, 1) as pos from docs)),
     placed as (select token, g // {SMALL_SHARD} as s, g % {SMALL_SHARD} as spot from stream)"""
 _SCAN = f"select {_name('s')} as shard, count(*) as n_tokens, cast(sum(token) as bigint) as token_sum, cast(min(spot) as bigint) as first from placed"
+_TRIGRAMS = f"""
+    padded as (select doc_id, list_prepend({BOS}, tokens) as x, n_tokens as n from counted),
+    every as materialized (select doc_id, (i - 1) // {CHUNK} as chunk, case when (i - 1) % {CHUNK} = 0 then {BOS} else x[i] end as u, x[i] as before, x[i + 1] as v, x[i + 2] as w from (select doc_id, x, unnest(range(1, n)) as i from padded)),
+    tri as materialized (select before as u, v, w, count(*) as c from every group by all),
+    ctx as (select u, v, sum(c) as c_uv, count(*) as n_uv from tri group by all),
+    bi as materialized (select v, w, count(*) as k from tri group by all),
+    firsts as (select v, sum(k) as k_v, count(*) as n_v from bi group by all),
+    singles as (select w, count(*) as m from bi group by all),
+    d as (select coalesce(t1 / nullif(t1 + 2 * t2, 0)::double, 0.5) as d3, coalesce(b1 / nullif(b1 + 2 * b2, 0)::double, 0.5) as d2, coalesce(s1 / nullif(s1 + 2 * s2, 0)::double, 0.5) as d1, total, types
+        from (select count(*) filter (where c = 1) as t1, count(*) filter (where c = 2) as t2 from tri), (select count(*) filter (where k = 1) as b1, count(*) filter (where k = 2) as b2 from bi),
+            (select count(*) filter (where m = 1) as s1, count(*) filter (where m = 2) as s2, sum(m) as total, count(*) as types from singles)),
+    p1 as (select w, (greatest(m - d1, 0) + d1 * types * (1.0::double / {VOCABULARY})) / total as p1 from singles, d),
+    asked as (select distinct u, v, w from every),
+    p2 as (select a.*, p1, case when k_v is null then p1 else (greatest(coalesce(k, 0) - d2, 0) + d2 * n_v * p1) / k_v end as p2 from asked a join p1 using (w) left join bi using (v, w) left join firsts using (v), d),
+    p3 as (select p2.*, case when c_uv is null then p2 else (greatest(coalesce(c, 0) - d3, 0) + d3 * n_uv * p2) / c_uv end as p3 from p2 left join tri using (u, v, w) left join ctx using (u, v), d),
+    chunk_losses as materialized (select doc_id, cast(chunk as integer) as chunk, count(*) as n_targets, {", ".join(f"cast(sum(cast(floor(-ln({p}) * 1000000 + 0.5) as bigint)) as bigint) as {name}" for p, name in (("p3", "l_trigram"), ("p2", "l_bigram"), ("p1", "l_unigram")))}
+        from every join p3 using (u, v, w) group by doc_id, chunk)"""
 _UNEVEN = f"""sizes as (select unnest([{", ".join(map(str, SIZES))}]) as size, unnest(range({len(SIZES)})) as i),
     turns as (select k * {len(SIZES)} + i as number, k * {sum(SIZES)} + sum(size) over (partition by k order by i) - size as start, size, total from sizes, (select max(total_tokens_seen) as total from seen), range(total // {sum(SIZES)} + 1) k(k)),
     spans as (select 'part_' || lpad(cast(number as varchar), 6, '0') as shard, cast(start as bigint) as start, cast(least(size, total - start) as bigint) as n from turns where start < total)"""
 _POINTED = f"""select string_agg(shard || ':' || greatest(total_tokens_seen - n_tokens - start, 0) || '-' || least(total_tokens_seen - start, n) - 1, '{packing.DASH}' order by start) as doc_id,
     cast(any_value(n_tokens) as bigint) as n_tokens, total_tokens_seen, any_value(md5(array_to_string(tokens, ' '))) as tokens_md5 from seen join spans on start < total_tokens_seen and start + n > total_tokens_seen - n_tokens"""
 ORACLES |= {
+    "trigram_losses": f"with {_T}, {_TRIGRAMS} select * from chunk_losses",
+    "trigram_scores": f"""with {_T}, {_TRIGRAMS}, per_doc as (select doc_id, cast(coalesce(sum(l_trigram), 0) as bigint) as l_base, cast(coalesce(sum(l_unigram), 0) as bigint) as l_ref from counted left join chunk_losses using (doc_id) group by doc_id)
+        select *, round((l_ref / 1e6::double - l_base / 1e6::double) / greatest(l_base / 1e6::double, 1e-12::double), 6) as ai_score from per_doc""",
     "shard_any_size": f"with {_T}, {_UNEVEN} {_POINTED} group by total_tokens_seen",
     "shard_early_stop": f"with {_T}, {_UNEVEN} {_POINTED} where total_tokens_seen - n_tokens < {MAX_TOKENS} or total_tokens_seen = n_tokens group by total_tokens_seen",
     "shard_filtered_scan": f"""with {_T}, {_UNEVEN}, stream as (select token, row_number() over (order by doc_id, pos) - 1 as g from (select doc_id, unnest(tokens) as token, generate_subscripts(tokens, 1) as pos from docs)),
