@@ -13,7 +13,8 @@ from siftwork.functions import vocabulary
 from siftwork.functions.tokens import EOS, tokenize as words_as_tokens
 from siftwork.operators import heads, packing, probes, ranking, scoring, streams
 from siftwork.session import prepare
-from siftwork.sources import shards, tables
+from siftwork.sources import arriving, shards, tables
+from siftwork.streaming import documents
 
 VERSIONS = {"10B": "sample/10BT", "100B": "sample/100BT"}
 #: Numbers of a stand-in vector for a token, for each head.
@@ -53,6 +54,13 @@ def score(spark: SparkSession, a: argparse.Namespace) -> None:
     tables.write_scores(made.select("doc_id", (F.col("l_base") / micro).alias("L_base"), (F.col("l_ref") / micro).alias("L_ref"), F.col("ai_score").alias("AI_Score"), "total_tokens_seen"), a.out)
 
 
+def follow(spark: SparkSession, a: argparse.Namespace) -> None:
+    """Documents of the shards that have arrived in a folder, in any order, to Parquet; run again for what comes later, with the number of all once it is known."""
+    if a.shards is not None:
+        arriving.finish(a.data, a.shards)
+    documents.run(spark, a.data, a.out, a.state, _end(a))
+
+
 def rank(spark: SparkSession, a: argparse.Namespace) -> None:
     """Scores to the best or worst per cent of the documents."""
     scores = ranking.lengths(tables.read_scores(spark, a.scores).withColumnRenamed("AI_Score", "ai_score")).checkpoint()
@@ -141,6 +149,7 @@ def parser() -> argparse.ArgumentParser:
     made = program(tokenize, ("documents", str, ...), ("out", str, ...), ("shard-size", whole, 10**8), coder)
     made.add_argument("--version", choices=sorted(VERSIONS), help="the sample of that size, in its own folder under the documents")
     program(score, ("data", str, ...), ("out", str, ...), ("seq-len", int, 4096), ("max-tokens", whole, None), coder).add_argument("--order", choices=streams.ORDERS, default="name", help="of shards: by name, or by the numbers that names end in")
+    program(follow, ("data", str, ...), ("out", str, ...), ("state", str, ...), ("shards", int, None), coder)
     program(rank, ("scores", str, ...), ("out", str, ...), ("top-pct", float, 20.0), ("bottom-pct", float, None))
     program(make_probes, ("documents", str, ...), ("out", str, ...), ("n", int, 800), ("budget", int, 4096), ("seed", str, "42"))
     program(find_heads, ("probes", str, None), ("vectors", str, None), ("out", str, ...), ("length", int, 50), ("prompt", int, 40), ("heads", int, 16), ("heads-per-layer", int, 8), ("top-pct", float, 5.0), coder)

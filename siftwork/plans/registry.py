@@ -11,14 +11,17 @@ from pyspark.sql import functions as F
 from siftwork.functions.tokens import BOS, EOS, SQL_TOKEN_TABLE, SQL_WORD, VOCABULARY, chunks, n_tokens, with_bos
 from siftwork.operators import heads, ngrams, packing, probes, ranking, scoring, streams
 from siftwork.session import table
-from siftwork.sources import shards, tables
+from siftwork.sources import arriving, shards, tables
 from siftwork.sources.storage import scratch
+from siftwork.streaming import documents as arrived
 
 #: Tokens in a shard of the layout queries, in one of the pointer queries (so that documents span three and more), and in a chunk.
 SHARD, SMALL_SHARD, CHUNK = 20_000, 512, 512
 BLOCK = 128
 #: Tokens in the shards of unequal sizes, again and again.
 SIZES = (20_000, 3_000, 7, 50_001, 511)
+#: Shards that are taken in at a time.
+ARRIVALS = 64
 #: What the filtered scan asks for: shards from this one on, places below this one, blocks.
 FROM, BELOW, BLOCKS = "part_000003", 40_000, (0, 3, 4, 150, 155)
 MAX_TOKENS = 100_000
@@ -139,6 +142,16 @@ def shard_filtered_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("shard", "block", "at", F.size("tokens").alias("n_tokens"), F.md5(F.array_join("tokens", " ")).alias("tokens_md5"))
 
 
+def shard_arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of the same shards by the queries for shards that arrive, some at a time."""
+    path = _uneven(spark, sf_dir)
+    folder, out, state = path.removesuffix("/*.bin"), scratch(spark, "arrived"), scratch(spark, "stream")
+    arrived.run(spark, folder, out, state, most=ARRIVALS)
+    arriving.finish(folder, shards.headers(spark, path).count())
+    arrived.run(spark, folder, out, state)
+    return arrived.read(spark, out).select("doc_id", "n_tokens", F.md5(F.array_join("tokens", " ")).alias("tokens_md5"))
+
+
 def probe_file_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "probes")
     tables.write_probes(probe_prompt(spark, sf_dir).withColumnRenamed("probe_id", "id"), path)
@@ -295,7 +308,7 @@ QUERIES = {
     for f in (
         doc_token_counts, token_prefix_sum, shard_layout, shard_doc_ids, doc_split_islands, doc_id_resolve, shard_file_roundtrip, chunk_table, ai_scores, ai_scores_max_tokens, trigram_losses, trigram_scores, rank_top20, rank_bottom20,
         rank_top20_per_domain, selection_summary, score_by_label, sentence_pool, probe_context, probe_prompt, head_copy_recall, retrieval_heads_topk, masked_weights, mixture_70_30,
-        shard_scan, shard_range_scan, shard_any_size, shard_early_stop, shard_filtered_scan, probe_file_roundtrip, score_file_roundtrip, selection_file_roundtrip, head_list_roundtrip, masked_weights_roundtrip,
+        shard_scan, shard_range_scan, shard_any_size, shard_early_stop, shard_filtered_scan, shard_arrivals, probe_file_roundtrip, score_file_roundtrip, selection_file_roundtrip, head_list_roundtrip, masked_weights_roundtrip,
     )
 }
 
@@ -410,6 +423,7 @@ ORACLES |= {
     "trigram_scores": f"""with {_T}, {_TRIGRAMS}, per_doc as (select doc_id, cast(coalesce(sum(l_trigram), 0) as bigint) as l_base, cast(coalesce(sum(l_unigram), 0) as bigint) as l_ref from counted left join chunk_losses using (doc_id) group by doc_id)
         select *, round((l_ref / 1e6::double - l_base / 1e6::double) / greatest(l_base / 1e6::double, 1e-12::double), 6) as ai_score from per_doc""",
     "shard_any_size": f"with {_T}, {_UNEVEN} {_POINTED} group by total_tokens_seen",
+    "shard_arrivals": f"with {_T}, {_UNEVEN} select doc_id, n_tokens, tokens_md5 from ({_POINTED} group by total_tokens_seen)",
     "shard_early_stop": f"with {_T}, {_UNEVEN} {_POINTED} where total_tokens_seen - n_tokens < {MAX_TOKENS} or total_tokens_seen = n_tokens group by total_tokens_seen",
     "shard_filtered_scan": f"""with {_T}, {_UNEVEN}, stream as (select token, row_number() over (order by doc_id, pos) - 1 as g from (select doc_id, unnest(tokens) as token, generate_subscripts(tokens, 1) as pos from docs)),
         placed as (select shard, token, g - start as spot from stream join spans on g >= start and g < start + n)
