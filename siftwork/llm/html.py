@@ -57,11 +57,12 @@ KINDS = {
 }
 KIND_OF = {w: k for k, ws in KINDS.items() for w in ws.split()}
 TAG_KIND = {"nav": "menu", "menu": "menu", "header": "head", "footer": "foot", "aside": "side", "article": "main", "main": "main", "dialog": "note"}
-FEATURES = (*(f"near_{k}" for k in KINDS), *(f"far_{k}" for k in KINDS), *(f"tag_{t}" for t in ("p", "h", "li", "cell", "div", "pre")), "plain", "in_article", "linked", "log_words", "few_words", "ends", "stops", "bias")
+FEATURES = (*(f"near_{k}" for k in KINDS), *(f"far_{k}" for k in KINDS), *(f"tag_{t}" for t in ("h", "li", "cell", "pre")), "plain", "in_article", "linked", "log_words", "few_words", "ends", "stops", "bias")
 #: What a tie between two blocks costs to cut, next to each other or under one parent.
 ADJACENT, SIBLING = 0.6, 0.5
-#: A form with this share of the page's words and so many of them is the page's frame, and so is one that holds an article.
-FRAME_SHARE, FRAME_WORDS = 0.5, 50
+#: A form that holds one of these frames a part of the page, and so does one with all of the page's text and a heading.
+FRAMED = frozenset(("article", "main", "nav", "header", "footer"))
+HEADING = re.compile(r"h\d")
 
 
 @dataclass
@@ -192,7 +193,7 @@ def parsed(page: str | None) -> Page:
 
     def close() -> None:
         nonlocal linked, shown
-        text = " ".join(html.unescape("".join(parts)).split()) if shown else ""
+        text = " ".join("".join(parts).split()) if shown else ""
         if text:
             _, e, _, inside, form = owner
             blocks.append(Block(text, min(1.0, linked / max(1, sum(map(len, parts)))), tags[e], e, up[e], inside))
@@ -215,6 +216,8 @@ def parsed(page: str | None) -> Page:
     for kind, name, rest in tokens:
         if kind == "text":
             if not stack[-1][2]:
+                # References are those of one text node: what tags part stays apart.
+                name = html.unescape(name)
                 if not shown and not name.isspace():
                     owner, shown = stack[-1], True
                 parts.append(name)
@@ -260,14 +263,16 @@ def parsed(page: str | None) -> Page:
             places.setdefault("*", []).append(len(stack))
         stack.append((name, e, unseen or hidden or name in UNSEEN, inside, form))
     close()
-    words = [0] * len(up)
+    words, framed, headed = [0] * len(up), [t in FRAMED for t in tags], [HEADING.fullmatch(t) is not None for t in tags]
     for b in blocks:
         words[b.element] += b.text.count(" ") + 1
     for e in range(len(up) - 1, 0, -1):
         words[up[e]] += words[e]
         article[up[e]], main[up[e]] = article[up[e]] or article[e], main[up[e]] or main[e]
+        framed[up[e]], headed[up[e]] = framed[up[e]] or framed[e], headed[up[e]] or headed[e]
     total = max(1, words[0])
-    frame = {e for e in forms if article[e] or words[e] >= FRAME_WORDS and words[e] > FRAME_SHARE * total}
+    # What a form is beside other text isn't told by how much it has.
+    frame = {e for e in forms if framed[e] or words[e] == total and headed[e]}
     near: list[tuple[float, ...]] = [(0.0,) * len(KINDS)]
     far = list(near)
     for e in range(1, len(up)):
@@ -337,25 +342,27 @@ def _made_up(rng: random.Random) -> list[tuple[str, bool]]:
             body = f"<div class='{inner}'>{body}</div>"
         return f"<{tag}>{body}</{tag}>" if bare else f'<{tag} {rng.choice(["class", "id"])}="{name}">{body}</{tag}>'
 
+    # Pages write their paragraphs in p, or in elements that say nothing.
+    para = rng.choices(["<p>{}</p>", "<div>{}</div>", "<section>{}</section>", "<div><div>{}</div></div>", "<div class=c{}>{{}}</div>".format(rng.randint(1, 9)), "<section><p>{}</p></section>"], [10, 3, 2, 2, 2, 1])[0]
     wrap = rng.choice(["article", "main", "div class=content", "div id=main", "div class=post", "section", "div", "div class='entry text'", ""])
     outer = [
         (boxed("menu", rng.choice(["nav", "div", "ul"]), listed(rng.randint(3, 8))), 0.9),
-        (boxed("head", rng.choice(["header", "div"]), rng.choice([f"<h1>{words(1, 4)}</h1>", f"<a href=/>{words(1, 2)}</a>", f"<p>{words(2, 8)}</p>"])), 0.6),
+        (boxed("head", rng.choice(["header", "div"]), rng.choice([f"<h1>{words(1, 4)}</h1>", f"<a href=/>{words(1, 2)}</a>", para.format(words(2, 8))])), 0.6),
         (boxed("ad", "div", rng.choice([sentences(1, 2), words(3, 9)])), 0.6),
-        (boxed("note", "div", f"<p>{sentences(1, 2)}</p>"), 0.5),
-        (boxed("side", rng.choice(["aside", "div"]), f"<h3>{words(1, 3)}</h3>" + rng.choice([listed(4), f"<p>{sentences(1, 2)}</p>"])), 0.5),
+        (boxed("note", "div", para.format(sentences(1, 2))), 0.5),
+        (boxed("side", rng.choice(["aside", "div"]), f"<h3>{words(1, 3)}</h3>" + rng.choice([listed(4), para.format(sentences(1, 2))])), 0.5),
     ]
     tail = [
         (boxed("side", rng.choice(["aside", "div"]), f"<h4>{words(1, 3)}</h4>" + listed(3)), 0.4),
         (boxed("share", "div", listed(3)), 0.4),
-        (boxed("talk", rng.choice(["section", "div"]), "".join(rng.choice(["<p>{}</p>", "<article class=comment><p>{}</p></article>", "<div class='comment-body'><div class=text>{}</div></div>"]).format(sentences(1, 3)) for _ in range(rng.randint(1, 4)))), 0.5),
-        (boxed("foot", rng.choice(["footer", "div"]), rng.choice([f"&copy; {words(2, 6)}", f"<p>{sentences(1, 2)}</p>", listed(4)])), 0.9),
+        (boxed("talk", rng.choice(["section", "div"]), "".join(rng.choice([para, "<article class=comment><p>{}</p></article>", "<div class='comment-body'><div class=text>{}</div></div>"]).format(sentences(1, 3)) for _ in range(rng.randint(1, 4)))), 0.5),
+        (boxed("foot", rng.choice(["footer", "div"]), rng.choice([f"&copy; {words(2, 6)}", para.format(sentences(1, 2)), listed(4)])), 0.9),
     ]
-    middle = [f"<h1>{words(2, 9)}</h1>"]
+    middle = [f"<h1>{words(2, 9)}</h1>"] if rng.random() < 0.9 else [para.format(sentences(1, 6))]
     for _ in range(rng.randint(1, 9)):
         middle.append(
             rng.choices(
-                [f"<p>{sentences(1, 6)}</p>", f"<p>{words(1, 4)}.</p>", f"<h2>{words(1, 5)}</h2>", f"<ul><li>{words(3, 12)}.</li><li>{words(2, 9)}</li></ul>", f"<blockquote>{sentences(1, 2)}</blockquote>", f"<p>{words(4, 9)} <a href=/x>{words(1, 3)}</a> {words(2, 9)}.</p>", f"<pre>{words(3, 12)}</pre>", f"<table><tr><td>{words(1, 3)}</td><td>{words(1, 3)}</td></tr></table>"],
+                [para.format(sentences(1, 6)), para.format(f"{words(1, 4)}."), f"<h2>{words(1, 5)}</h2>", f"<ul><li>{words(3, 12)}.</li><li>{words(2, 9)}</li></ul>", f"<blockquote>{sentences(1, 2)}</blockquote>", para.format(f"{words(4, 9)} <a href=/x>{words(1, 3)}</a> {words(2, 9)}."), f"<pre>{words(3, 12)}</pre>", f"<table><tr><td>{words(1, 3)}</td><td>{words(1, 3)}</td></tr></table>"],
                 [8, 2, 2, 1, 1, 3, 1, 1],
             )[0]
         )
@@ -363,13 +370,16 @@ def _made_up(rng: random.Random) -> list[tuple[str, bool]]:
         # An article's own head.
         middle[0] = rng.choice(["<header>{}</header>", "<div class='entry-header'>{}</div>", "<header class=article-header>{}</header>", "<div class='post-header'>{}</div>"]).format(middle[0]) if wrap else middle[0]
     # Adverts and notices stand inside articles too.
-    for box in (boxed("ad", "div", words(3, 9)), boxed("share", "div", listed(3)), boxed("side", "aside", f"<p>{sentences(1, 1)}</p>"), boxed("note", "div", sentences(1, 1))):
+    for box in (boxed("ad", "div", words(3, 9)), boxed("share", "div", listed(3)), boxed("side", "aside", para.format(sentences(1, 1))), boxed("note", "div", sentences(1, 1))):
         if rng.random() < 0.25:
             middle.insert(rng.randint(1, len(middle)), box + "\0")
     open_, shut = (f"<{wrap}>", f"</{wrap.split()[0]}>") if wrap else ("", "")
     before, after = [b for b, p in outer if rng.random() < p], [b for b, p in tail if rng.random() < p]
+    if rng.random() < 0.12:
+        # A page that is nothing but its text.
+        before, after, open_, shut, middle = [], [], "", "", [para.format(rng.choice([words(2, 9), sentences(1, 3)])) for _ in range(rng.randint(1, 3))]
     # The whole page in an element that names its parts.
-    frame = rng.choice(["", "", "div class='layout with-sidebar'", "div class='page has-menu has-footer'", "form id=search-page", "div id=wrap", "div class='container comments-open'"])
+    frame = rng.choice(["", "", "div class='layout with-sidebar'", "div class='page has-menu has-footer'", "form id=search-page", "div id=wrap", "div class='container comments-open'", "div", "section", "div><div"])
     inside = [*before, open_, *middle, shut, *after]
     content = [False] * (len(before) + 1) + [not m.endswith("\0") for m in middle] + [False] * (len(after) + 1)
     return [(f"<{frame}>" if frame else "", False), *((p.rstrip("\0"), c) for p, c in zip(inside, content, strict=True))]
@@ -435,7 +445,7 @@ def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars (code points) for every row of `pages`.
 
     The whole html is read, in time that grows with its length. Elements with the attribute hidden or an inline display:none are not shown. Forms are
-    left out, but for one that frames the page: it holds an article, or most of the page's words. The header of an article belongs to it. A null or empty html, and one without main text, give an empty text; ids and urls may be null or repeated and are
+    left out, but for one that frames the page: it holds an article, a menu, a header or a footer, or all of the page's text and a heading. The header of an article belongs to it. A null or empty html, and one without main text, give an empty text; ids and urls may be null or repeated and are
     passed on; other columns are ignored; an empty table gives no rows.
     """
     weights = model()

@@ -1,5 +1,6 @@
 import itertools
 import random
+import re
 import time
 
 import pytest
@@ -136,3 +137,50 @@ def test_stop_words_are_counted_in_whole_blocks():
     assert html.features([block])[0, at] == html.features([other])[0, at] == 1
     (tail,) = html.blocks_of("<p>" + "xyzzy " * 900 + "the " * 99 + "xyzzy.</p>")
     assert abs(html.features([tail])[0, at] - 0.297) < 1e-9
+
+
+SENTENCES = "We went to the sea early in the morning. The water was cold and the wind was strong. "
+PLAIN = [
+    ("<div>{}</div>".format(SENTENCES * 20), (SENTENCES * 20).strip()),
+    ("<body><div id=page>{}</div></body>".format(f"<div>{SENTENCES}</div>" * 8), "\n".join([SENTENCES.strip()] * 8)),
+    ("<body>{}{}{}</body>".format(MENU, f"<section>{SENTENCES}</section>" * 8, FOOT), "\n".join([SENTENCES.strip()] * 8)),
+    ("<body>{}<div><div>{}</div></div>{}</body>".format(MENU, f"<div><div>{SENTENCES}</div></div>" * 5, FOOT), "\n".join([SENTENCES.strip()] * 5)),
+    ("<body><div class=x1><span>{}</span></div></body>".format(SENTENCES * 4), (SENTENCES * 4).strip()),
+    ("<body><table><tr><td>{}</td></tr></table></body>".format(SENTENCES * 4), (SENTENCES * 4).strip()),
+    (SENTENCES * 3, (SENTENCES * 3).strip()),
+]
+
+
+@pytest.mark.parametrize(("page", "text"), PLAIN)
+def test_text_in_elements_that_say_nothing(page, text):
+    assert html.main_text(page, W) == text
+
+
+def test_forms_beside_an_article():
+    """However much a form says, it goes; one around the page's parts stays."""
+    form = "<form action=/s>" + f"<p>{SENTENCES}</p>" * 30 + "<input name=q></form>"
+    assert html.main_text(f"<body>{MENU}<article>{ARTICLE}</article>{form}{FOOT}</body>", W) == TEXT
+    assert html.main_text(f"<body>{MENU}{form}<div>{ARTICLE}</div>{FOOT}</body>", W) == TEXT
+    assert html.main_text(f"<body><a href=#x>Skip</a><form id=aspnet>{MENU}<div>{ARTICLE}</div>{FOOT}</form></body>", W) == TEXT
+    assert html.main_text(f"<body><form><div><main>{ARTICLE}</main></div></form></body>", W) == TEXT
+    assert html.main_text("<body><form><p>Your name and your password, please. We keep both.</p><input name=q></form></body>", W) == ""
+
+
+def test_references_end_with_their_text_node():
+    assert html.main_text("<p>We know AT&<b>amp;</b>T and &lt<b>;</b> and &amp;lt; and &#x41;&#66; and a&nbsp;b, as all of us do.</p>", W) == "We know AT&amp;T and <; and &lt; and AB and a b, as all of us do."
+
+
+def test_made_up_pages_are_told_apart():
+    """Pages of other seeds than those that the weights come from: nearly all blocks are right."""
+    rng, right, every = random.Random(99), 0, 0
+    for _ in range(150):
+        made = html._made_up(rng)
+        whole = "".join(re.sub(r">(?=[^<\s])", f">\x01{k}\x02 ", part) if part.count("<") > 1 else part for k, (part, _) in enumerate(made))
+        found = html.parsed(f"<body>{whole}</body>")
+        part = [int(html.MADE.search(b.text)[1]) for b in found.blocks]
+        for b in found.blocks:
+            b.text = html.MADE.sub("", b.text).strip() or "-"
+        want = [made[k][1] for k in part]
+        right += sum(a == b for a, b in zip(html.label(found, W), want))
+        every += len(want)
+    assert right > 0.97 * every
