@@ -9,10 +9,10 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -37,25 +37,28 @@ WORD = re.compile(r"[^\W\d_]+")
 DECLARED = re.compile(r"""<html\b[^>]*?\blang\s*=\s*["']?\s*([a-zA-Z]+)|http-equiv\s*=\s*["']?content-language["']?[^>]*?content\s*=\s*["']?\s*([a-zA-Z]+)""", re.I | re.S)
 
 
-def grams(text: str) -> np.ndarray:
-    """Hashed sequences of two to four characters of the words, with a blank on either side, and how often each occurs."""
-    words: dict[str, int] = {}
-    for w in WORD.findall(text.lower()):
-        words[w] = words.get(w, 0) + 1
-    out = np.zeros(DIM, dtype=np.int64)
-    for w, n in words.items():
+def counted(words: dict[str, int]) -> np.ndarray:
+    """Hashed sequences of two to four characters of words that are counted, with a blank on either side, and how often each occurs."""
+    found = []
+    for w in words:
         known = _KNOWN.get(w)
         if known is None:
             if len(_KNOWN) > 200_000:
                 _KNOWN.clear()
             s = f" {w} "
-            _KNOWN[w] = known = [zlib.crc32(s[i : i + k].encode("utf-8", "surrogatepass")) % DIM for k in (2, 3, 4) for i in range(len(s) - k + 1)]
-        for g in known:
-            out[g] += n
-    return out
+            _KNOWN[w] = known = np.array([zlib.crc32(s[i : i + k].encode("utf-8", "surrogatepass")) % DIM for k in (2, 3, 4) for i in range(len(s) - k + 1)], dtype=np.int64)
+        found.append(known)
+    if not found:
+        return np.zeros(DIM, dtype=np.int64)
+    times = np.repeat(np.fromiter(words.values(), dtype=np.int64, count=len(words)), np.fromiter(map(len, found), dtype=np.int64, count=len(found)))
+    return np.bincount(np.concatenate(found), weights=times, minlength=DIM).astype(np.int64)
+
 
+def grams(text: str) -> np.ndarray:
+    return counted(Counter(WORD.findall(text.lower())))
 
-_KNOWN: dict[str, list[int]] = {}
+
+_KNOWN: dict[str, np.ndarray] = {}
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarray]:
@@ -76,18 +79,23 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarray]:
     # At most `sample` ids a language.
     chosen = labelled.join(F.broadcast(ids) if ids.count() <= BROADCAST else ids, ["lang", "doc_id"])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
-        for b in batches:
-            for lang, text in zip(b["lang"], b["text"], strict=True):
-                total[lang] = total.get(lang, 0) + grams(text)
-        if total:
-            yield pd.DataFrame({"lang": list(total), "counts": [c.tobytes() for c in total.values()]})
-
-    rows = chosen.select("lang", "text").mapInPandas(run, "lang string, counts binary").collect()
-    total: dict[str, np.ndarray] = {}
-    for r in rows:
-        total[r["lang"]] = total.get(r["lang"], 0) + np.frombuffer(r["counts"], dtype=np.int64)
+        for b in portions(batches):
+            words: dict[str, Counter] = {}
+            for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                words.setdefault(lang, Counter()).update(WORD.findall(text.lower()))
+            for lang, own in words.items():
+                total[lang] = total.get(lang, 0) + counted(own)
+        for lang, n in total.items():
+            some = np.nonzero(n)[0]
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some), pa.string()), pa.array(some, pa.int32()), pa.array(n[some])], names=["lang", "gram", "n"])
+
+    # Summed up before the driver gets them: DIM numbers a language, at most.
+    sums = chosen.select("lang", "text").mapInArrow(run, "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
+    total = {lang: np.zeros(DIM, dtype=np.int64) for lang in {r["lang"] for r in ids.select("lang").distinct().collect()}}
+    for lang, own in sums.groupby("lang"):
+        total[lang][own["gram"].to_numpy()] = own["n"].to_numpy()
     langs = sorted(total)
     counts = np.array([total[k] for k in langs], dtype=float).reshape(len(langs), DIM) + 0.5
     return langs, np.log(counts / counts.sum(axis=1, keepdims=True))
@@ -149,7 +157,7 @@ def identify(pages: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame
 
     both = by_text.join(F.broadcast(said("declared")), "declared").join(F.broadcast(said("suffix")), "suffix")
     # A page without a declaration or suffix isn't judged by that.
-    own = [F.col("likely")[i] + F.col(f"declared{i}") + F.when(F.col("suffix") == NONE, 0.0).otherwise(F.col(f"suffix{i}")) for i in range(n)]
+    own = [F.col("likely")[i] + F.when(F.col("declared") == NONE, 0.0).otherwise(F.col(f"declared{i}")) + F.when(F.col("suffix") == NONE, 0.0).otherwise(F.col(f"suffix{i}")) for i in range(n)]
     page = both.select("page_id", "url", "declared", "suffix", "host", "domain", *(x.alias(f"o{i}") for i, x in enumerate(own)))
     page = page.select("*", *(p.alias(f"p{i}") for i, p in enumerate(normal([F.col(f"o{i}") for i in range(n)])))).checkpoint()
     hosts = page.groupBy("host", "domain").agg(F.count("*").alias("h_n"), *(F.sum(f"p{i}").alias(f"h{i}") for i in range(n)))

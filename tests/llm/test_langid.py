@@ -36,6 +36,15 @@ def test_evidence(spark):
     assert got[None].lang is not None and abs(got[0].probability - 1) < 0.05
 
 
+def test_what_is_missing_says_nothing(spark):
+    """Pages of one language declare it and those of another don't; a page of which nothing is known goes by the priors."""
+    rng, model = setup(spark)
+    rows = [(k, "http://h.d.org/x", page(prose(rng, "en", 30), "en")) for k in range(60)] + [(100 + k, "http://h.d.org/x", page(prose(rng, "de", 30))) for k in range(20)] + [(1000, None, None)]
+    got = {r.page_id: r for r in langid.identify(spark.createDataFrame(rows, "page_id long, url string, html string"), model).collect()}
+    assert (got[1000].lang, got[1000].declared, got[1000].suffix) == ("en", "-", "-") and got[1000].probability > 0.6
+    assert all(got[100 + k].lang == "de" for k in range(20))
+
+
 def test_rare_language_is_known(spark):
     rng = random.Random(4)
     docs = [(k, prose(rng, "en" if k else "fr", 20), "en" if k else "fr") for k in range(60)]
@@ -85,7 +94,7 @@ def test_like_plain_python(spark):
         own = sum(t for s, t in zip(seen, text, strict=True) if s[by] == value)
         return np.log((own + langid.EVEN) / (sum(text) + langid.EVEN * (n + 2)))
 
-    own = [s["ll"] + said("declared", s["declared"]) + (0 if s["suffix"] == "-" else said("suffix", s["suffix"])) for s in seen]
+    own = [s["ll"] + (0 if s["declared"] == "-" else said("declared", s["declared"])) + (0 if s["suffix"] == "-" else said("suffix", s["suffix"])) for s in seen]
     p = [normal(o) for o in own]
     want = {}
     for k, s in enumerate(seen):
