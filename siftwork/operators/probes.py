@@ -14,8 +14,8 @@ from siftwork.operators.prefix import prefix_sum
 LEAST, MOST = 5, 30
 #: Entries of a probe's table: the most that fit the token budget are taken.
 SIZES = (60, 55, 50, 45, 40, 35, 30)
-#: Draws of sentence numbers for each probe; repeated ones are passed over.
-DRAWS = 128
+#: Times that both sides of a permutation are moved on.
+STEPS = 3
 #: Fixed text: the instruction that probes begin with.
 INSTRUCTION = "Please extract the value corresponding to the specified key from the following JSON object. Output only the value of the corresponding key and nothing else. The JSON data is as follows:\n"
 BREAK = "\x1e"
@@ -48,28 +48,54 @@ def number(h: Column) -> Column:
     return F.conv(F.substring(h, 1, 12), 16, 10).cast("long")
 
 
-def contexts(sents: DataFrame, n_probes: int, seed: str, draws: int = DRAWS, size: int = SIZES[0]) -> DataFrame:
-    """(probe_id, pos, key, sentence): up to `size` different sentences a probe, in drawn order, each under a key of 32 characters.
+def shuffled(i: Column, n: Column, key: Column) -> Column:
+    """A permutation of 0..a*b-1, where a and b are the sides of the smallest near-square of n places at least; `key` chooses which one.
 
-    From a pool so small that draws may repeat too often, all sentences come in the order of their hashes.
+    i is a row and a column of the square. In turn the one is moved on by a hash of the other, within its side; every such step can be undone.
     """
+    a, b = sides(n)
+    row, column = F.floor(i / b), i % b
+    for step in range(STEPS):
+        row = (row + number(hashed(key, f"{step}a", column.cast("string"))) % a) % a
+        column = (column + number(hashed(key, f"{step}b", row.cast("string"))) % b) % b
+    return row * b + column
+
+
+def sides(n: Column) -> tuple[Column, Column]:
+    a = F.ceil(F.sqrt(n.cast("double")))
+    return a, F.ceil(n / a)
+
+
+def drawn(places: DataFrame, n: int, *by: str) -> DataFrame:
+    """places(*by, i) with number, a place of 0..n-1 for each i below n: different ones for different i of the same `by`, by a permutation with them as its key.
+
+    What the permutation takes beyond n is taken on by it until it is below, which it was to begin with, so that it comes to that.
+    """
+    key = F.concat_ws(":", *(F.col(c).cast("string") for c in by))
+    size = F.lit(n).cast("long")
+    found, open_ = None, places.withColumn("number", shuffled(F.col("i"), size, key)).checkpoint()
+    while True:
+        here = open_.where(F.col("number") < n)
+        found = here if found is None else found.unionByName(here)
+        # At most 1 in the square root of n each time.
+        rest = open_.where(F.col("number") >= n)
+        if rest.isEmpty():
+            return found
+        open_ = rest.withColumn("number", shuffled(F.col("number"), size, key)).checkpoint()
+
+
+def contexts(sents: DataFrame, n_probes: int, seed: str, size: int = SIZES[0]) -> DataFrame:
+    """(probe_id, pos, key, sentence): `size` different sentences a probe, all of them if there are fewer, in drawn order, each under a key of 32 characters."""
     spark = sents.sparkSession
     known = numbered(sents)
     n = known.count()
     if not n:
         return spark.createDataFrame([], "probe_id int, pos int, key string, sentence string")
-    if n <= 4 * size:
-        draws = n
-    draw = spark.range(n_probes * draws).select(F.expr(f"cast(id div {draws} as int)").alias("probe_id"), F.expr(f"id % {draws}").alias("i"))
-    if n <= 4 * size:
-        order = hashed(seed, "order", F.col("probe_id").cast("string"), F.col("i").cast("string"))
-        draw = draw.withColumn("sent_id", F.col("i")).withColumn("i", F.row_number().over(Window.partitionBy("probe_id").orderBy(order, "sent_id")))
-    drawn = draw if n <= 4 * size else draw.withColumn("sent_id", number(hashed(seed, "draw", F.col("probe_id").cast("string"), F.col("i").cast("string"))) % n)
-    first = drawn.groupBy("probe_id", "sent_id").agg(F.min("i").alias("i"))
-    pos = F.row_number().over(Window.partitionBy("probe_id").orderBy("i")) - 1
-    kept = first.withColumn("pos", pos).where(F.col("pos") < size)
+    each = min(size, n)
+    places = spark.range(n_probes * each).select(F.lit(f"{seed}:draw").alias("seed"), F.expr(f"cast(id div {each} as int)").alias("probe_id"), F.expr(f"id % {each}").alias("i"))
+    draw = drawn(places, n, "seed", "probe_id").select("probe_id", F.col("i").cast("int").alias("pos"), F.col("number").alias("sent_id"))
     key = hashed(seed, "key", F.col("probe_id").cast("string"), F.col("pos").cast("string"))
-    return kept.join(known.select("sent_id", "sentence"), "sent_id").select("probe_id", "pos", key.alias("key"), "sentence")
+    return draw.join(known.select("sent_id", "sentence"), "sent_id").select("probe_id", "pos", key.alias("key"), "sentence")
 
 
 def quoted(value: Column) -> Column:

@@ -339,10 +339,24 @@ _SENTENCES = f"""
     each as (select doc_id, unnest(parts) as raw, generate_subscripts(parts, 1) - 1 as sent_no from cut),
     trimmed as (select doc_id, cast(sent_no as integer) as sent_no, regexp_replace(raw, '^[ \\t\\n\\r]+|[ \\t\\n\\r]+$', '', 'g') as sentence from each),
     pool as (select *, cast(len(regexp_extract_all(sentence, '{SQL_WORD}')) as bigint) as n_tok from trimmed where len(regexp_extract_all(sentence, '{SQL_WORD}')) between {probes.LEAST} and {probes.MOST})"""
+
+
+def _shuffled() -> str:
+    """The permutation of probes.shuffled as one expression, with {{i}} for the place."""
+    row, column = "({i} // b)", "({i} % b)"
+    for step in range(probes.STEPS):
+        row = f"(({row} + ('0x' || substr(md5('{SEED}:draw:' || probe_id || ':{step}a:' || {column}), 1, 12))::bigint % a) % a)"
+        column = f"(({column} + ('0x' || substr(md5('{SEED}:draw:' || probe_id || ':{step}b:' || {row}), 1, 12))::bigint % b) % b)"
+    return f"({row} * b + {column})"
+
+
+_SHUFFLED = _shuffled()
 _CONTEXT = f"""{_SENTENCES},
     known as (select *, row_number() over (order by doc_id, sent_no) - 1 as sent_id from pool),
-    draws as (select p.probe_id, i.i, ('0x' || substr(md5('{SEED}:draw:' || p.probe_id || ':' || i.i), 1, 12))::bigint % (select count(*) from known) as sent_id from range({N_PROBES}) p(probe_id), range({probes.DRAWS}) i(i)),
-    firsts as (select probe_id, sent_id, row_number() over (partition by probe_id order by min(i)) - 1 as pos from draws group by probe_id, sent_id),
+size as (select n, cast(ceil(sqrt(n::double)) as bigint) as a, cast(ceil(n::double / ceil(sqrt(n::double))) as bigint) as b from (select count(*) as n from known)),
+    walks(probe_id, i, number, n, a, b) as (select p.probe_id, i.i, {_SHUFFLED.format(i="i.i")}, n, a, b from size, range({N_PROBES}) p(probe_id), range({probes.SIZES[0]}) i(i) where i.i < n
+        union all select probe_id, i, {_SHUFFLED.format(i="number")}, n, a, b from walks where number >= n),
+    firsts as (select probe_id, number as sent_id, i as pos from walks where number < n),
     context as (select cast(probe_id as integer) as probe_id, cast(pos as integer) as pos, md5('{SEED}:key:' || probe_id || ':' || pos) as key, sentence from firsts join known using (sent_id) where pos < {probes.SIZES[0]})"""
 _ATTENTION = f"""
     seq as (select vec_id // {SEQUENCE} as probe_id, vec_id % {SEQUENCE} as pos, label as token, embedding as v from embeddings),
@@ -376,8 +390,8 @@ ORACLES = {
     "selection_summary": f"with {_S} select count(*) as n_selected, cast(coalesce(sum(tok_len), 0) as bigint) as selected_tokens, (select max(total_tokens_seen) from scores) as total_tokens, round(sum(tok_len) * 100.0::double / (select max(total_tokens_seen) from scores), 6) as token_pct from ({_TOP_ROWS})",
     "score_by_label": f"with {_S} select quality, toxic, count(*) as n_docs, cast(sum(l_base) as bigint) as l_base, cast(sum(l_ref) as bigint) as l_ref, count(*) filter (where ai_score > 0) as n_positive from scores join labels using (doc_id) group by quality, toxic",
     "sentence_pool": f"with {_SENTENCES} select doc_id, sent_no, sentence, n_tok from pool",
-    "probe_context": f"with {_CONTEXT} select probe_id, pos, key, sentence from context",
-    "probe_prompt": f"""with {_CONTEXT},
+    "probe_context": f"with recursive {_CONTEXT} select probe_id, pos, key, sentence from context",
+    "probe_prompt": f"""with recursive {_CONTEXT},
         tried as (select c.*, k.k, row_number() over (partition by c.probe_id, k.k order by md5('{SEED}:ask:' || c.probe_id || ':' || k.k || ':' || c.pos)) as ask from context c, (values {", ".join(f"({k})" for k in probes.SIZES)}) k(k) where c.pos < k.k),
         made as (select probe_id, k, '{probes.INSTRUCTION.rstrip(chr(10))}' || chr(10) || '{{' || string_agg(cast(to_json(key) as varchar) || ': ' || cast(to_json(sentence) as varchar), ', ' order by pos) || '}}' || chr(10) || chr(10)
             || string_agg(key || chr(10) || sentence || chr(10), '' order by ask) filter (where ask <= 3) || max(key) filter (where ask = 4) || chr(10) || 'answer:' as prompt, max(sentence) filter (where ask = 4) as answer

@@ -226,6 +226,41 @@ def test_ranks(spark, parts):
     assert got.columns == scores.columns and {r.doc_id for r in got.collect()} == want
 
 
+@pytest.mark.parametrize(("bins", "few"), [(8, 3), (1024, 1000)])
+def test_selection_of_any_numbers(spark, monkeypatch, bins, few):
+    """Nulls, NaN, infinities, the smallest and the largest doubles, ties and rows that nothing tells apart."""
+    monkeypatch.setattr(ranking, "BINS", bins)
+    monkeypatch.setattr(ranking, "FEW", few)
+    odd = [None, math.nan, math.inf, -math.inf, 5e-324, 1e-323, -5e-324, 0.0, -0.0, 1.7e308, -1.7e308, 1.0, 1.0, 1.0, 1.0]
+    rows = [(k, x, seen) for k, (x, seen) in enumerate(zip(odd * 2, [*range(12), 99, 99, 99, *range(20, 34), None], strict=True))]
+    scores = spark.createDataFrame(rows, "__k long, ai_score double, total_tokens_seen long")
+
+    def place(r, up):
+        x = r[1]
+        kind = -1 if x is None else 0
+        key = (math.inf if up else -math.inf, 1) if x is not None and math.isnan(x) else ((x if up else -x) if x is not None else 0.0, 0)
+        if x is not None and math.isnan(x):
+            key = (math.inf, 1) if up else (-math.inf, -1)
+        return (kind, *key, -1 if r[2] is None else r[2])
+
+    for up in (False, True):
+        order = [place(r, up) for r in sorted(rows, key=lambda r: place(r, up))]
+        for per_cent in (50,) if few < 1000 else (1, 70, 120):
+            got = ranking.select(scores, per_cent, per_cent if up else None)
+            assert got.columns == scores.columns
+            want = order[: ranking.how_many(len(rows), per_cent)]
+            assert sorted(place(r, up) for r in got.collect()) == want
+    assert ranking.select(scores.limit(0), 20).collect() == []
+
+
+def test_selection_sorts_nothing(spark, monkeypatch):
+    monkeypatch.setattr(ranking, "FEW", 100)
+    rows = spark.range(50_000).selectExpr("id total_tokens_seen", "cast(pmod(xxhash64(id), 1000000) as double) / 1e6 ai_score").checkpoint()
+    got = ranking.select(rows, 20)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert got.count() == 10_000 and "Sort" not in plan and "rangepartitioning" not in plan
+
+
 def test_shards_of_any_size(spark):
     rows = placed(spark, 2, 5, 9, 1, 30).withColumn("tokens", F.expr("transform(sequence(total_tokens_seen - n_tokens, total_tokens_seen - 1), x -> cast(x as int))"))
     for size, block in ((7, 3), (5, 8), (47, 4), (10, 5)):
@@ -238,3 +273,21 @@ def test_small_pools_are_used_up(spark):
     pool = spark.createDataFrame([(k, 0, f"sentence {k}", 5) for k in range(61)], "doc_id long, sent_no int, sentence string, n_tok long")
     got = probes.contexts(pool, 5, "s").groupBy("probe_id").agg(F.count_distinct("sentence").alias("n"), F.max("pos").alias("last")).collect()
     assert [(r.n, r["last"]) for r in got] == [(60, 59)] * 5
+
+
+@pytest.mark.parametrize("n", [1, 2, 7, 30, 100, 577])
+def test_permutations(spark, n):
+    """Every place once for every key, and different orders for different keys."""
+    places = spark.range(3 * n).selectExpr(f"cast(id div {n} as int) p", f"id % {n} i")
+    got = {}
+    for r in probes.drawn(places, n, "p").collect():
+        got.setdefault(r.p, {})[r.i] = r.number
+    assert len(got) == 3 and all(sorted(x.values()) == sorted(x) == list(range(n)) for x in got.values())
+    assert n < 30 or len({tuple(x[i] for i in range(n)) for x in got.values()}) == 3
+
+
+@pytest.mark.parametrize(("n", "size"), [(3, 5), (5, 5), (61, 60), (200, 60)])
+def test_draws_without_replacement(spark, n, size):
+    pool = spark.createDataFrame([(k, 0, f"sentence {k}", 5) for k in range(n)], "doc_id long, sent_no int, sentence string, n_tok long")
+    got = probes.contexts(pool, 4, "s", size).groupBy("probe_id").agg(F.count_distinct("sentence").alias("n"), F.count("*").alias("rows"), F.max("pos").alias("last")).collect()
+    assert [(r.n, r.rows, r["last"]) for r in got] == [(min(n, size), min(n, size), min(n, size) - 1)] * 4
