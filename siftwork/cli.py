@@ -5,13 +5,13 @@ from __future__ import annotations
 import argparse
 import logging
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Observation, SparkSession
 from pyspark.sql import functions as F
 
 from siftwork import config
 from siftwork.functions import vocabulary
 from siftwork.functions.tokens import EOS, tokenize as words_as_tokens
-from siftwork.operators import heads, packing, probes, ranking, scoring, streams
+from siftwork.operators import bytepairs, heads, packing, probes, ranking, scoring, streams
 from siftwork.session import prepare
 from siftwork.sources import arriving, shards, tables
 from siftwork.streaming import documents
@@ -35,8 +35,13 @@ def tokenize(spark: SparkSession, a: argparse.Namespace) -> None:
     """Documents (Parquet with doc_id and text) to token shards."""
     docs = spark.read.parquet(f"{a.documents}/{VERSIONS[a.version]}" if a.version else a.documents)
     if a.tokenizer:
-        made = vocabulary.token_table(docs, a.tokenizer).checkpoint()
-        log.info("documents that could not be tokenised: %d", made.where("failed").count())
+        if bytepairs.fits(a.tokenizer):
+            table = bytepairs.encode(docs, a.tokenizer, _end(a)).withColumn("failed", F.lit(False))
+        else:
+            table = vocabulary.token_table(docs, a.tokenizer)
+        seen = Observation()
+        made = table.observe(seen, F.count_if("failed").alias("failed")).checkpoint()
+        log.info("documents that could not be tokenised: %d", seen.get["failed"])
         placed = packing.prefix_sum(made.select("doc_id", "n_tokens"), "doc_id", "n_tokens", "total_tokens_seen").drop("n_tokens")
         tokens = made.drop("failed").join(placed, "doc_id")
     else:
@@ -63,10 +68,13 @@ def follow(spark: SparkSession, a: argparse.Namespace) -> None:
 
 def rank(spark: SparkSession, a: argparse.Namespace) -> None:
     """Scores to the best or worst per cent of the documents."""
-    scores = ranking.lengths(tables.read_scores(spark, a.scores).withColumnRenamed("AI_Score", "ai_score")).checkpoint()
-    chosen = ranking.select(scores, a.top_pct, a.bottom_pct).checkpoint()
+    # What is logged is counted by the passes that make the tables.
+    every, seen = Observation(), Observation()
+    scores = ranking.lengths(tables.read_scores(spark, a.scores).withColumnRenamed("AI_Score", "ai_score")).observe(every, F.max("total_tokens_seen").alias("total_tokens")).checkpoint()
+    chosen = ranking.select(scores, a.top_pct, a.bottom_pct).observe(seen, F.count("*").alias("n_selected"), F.coalesce(F.sum("tok_len"), F.lit(0)).alias("selected_tokens")).checkpoint()
     tables.write_selection(chosen.withColumnRenamed("ai_score", "AI_Score"), a.out)
-    log.info("%s", ranking.summary(chosen, scores).first().asDict())
+    total, found = every.get["total_tokens"], seen.get
+    log.info("selected %d documents with %d of %d tokens, %.6f per cent", found["n_selected"], found["selected_tokens"], total or 0, 100.0 * found["selected_tokens"] / total if total else 0.0)
 
 
 def make_probes(spark: SparkSession, a: argparse.Namespace) -> None:
@@ -111,7 +119,7 @@ def inspect(spark: SparkSession, a: argparse.Namespace) -> None:
     made = scoring.ai_score(scoring.score(one, scoring.stand_in(share), a.seq_len, ("n_tokens",)))
     log.info("%s", made.first().asDict())
     if a.tokenizer:
-        print(one.select(vocabulary.decoded(a.tokenizer)("tokens")).first()[0])
+        print(bytepairs.decode(one, a.tokenizer).first()["text"] if bytepairs.fits(a.tokenizer) else one.select(vocabulary.decoded(a.tokenizer)("tokens")).first()[0])
 
 
 def run_all(spark: SparkSession, a: argparse.Namespace) -> None:

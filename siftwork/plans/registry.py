@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftwork.functions.tokens import BOS, EOS, SQL_TOKEN_TABLE, SQL_WORD, VOCABULARY, chunks, n_tokens, with_bos
-from siftwork.operators import heads, ngrams, packing, probes, ranking, scoring, streams
+from siftwork.operators import bytepairs, heads, ngrams, packing, probes, ranking, scoring, streams
 from siftwork.session import table
 from siftwork.sources import arriving, shards, tables
 from siftwork.sources.storage import scratch
@@ -44,6 +44,25 @@ def doc_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _documents(spark, sf_dir).select("doc_id", n_tokens(F.col("text")).alias("n_text_tokens"), (n_tokens(F.col("text")) + 1).alias("n_tokens"))
 
 
+def _tokenizer() -> str:
+    """Path of a byte-level tokenizer file."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def byte_pair_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids by a real vocabulary, which SQL can't merge; test_bytepairs compares them with those of its own library."""
+    made = bytepairs.encode(_documents(spark, sf_dir), _tokenizer())
+    return made.select("doc_id", "n_tokens", F.md5(F.array_join("tokens", " ")).alias("tokens_md5"))
+
+
+def byte_pair_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts back from these ids."""
+    back = bytepairs.decode(bytepairs.encode(_documents(spark, sf_dir), _tokenizer()), _tokenizer())
+    return back.select("doc_id", F.char_length("text").cast("long").alias("n_chars"), F.md5("text").alias("text_md5"))
+
+
 def token_prefix_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.positions(_documents(spark, sf_dir)).select("doc_id", "n_tokens", "total_tokens_seen")
 
@@ -306,7 +325,7 @@ def mixture_70_30(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        doc_token_counts, token_prefix_sum, shard_layout, shard_doc_ids, doc_split_islands, doc_id_resolve, shard_file_roundtrip, chunk_table, ai_scores, ai_scores_max_tokens, trigram_losses, trigram_scores, rank_top20, rank_bottom20,
+        doc_token_counts, byte_pair_tokens, byte_pair_text, token_prefix_sum, shard_layout, shard_doc_ids, doc_split_islands, doc_id_resolve, shard_file_roundtrip, chunk_table, ai_scores, ai_scores_max_tokens, trigram_losses, trigram_scores, rank_top20, rank_bottom20,
         rank_top20_per_domain, selection_summary, score_by_label, sentence_pool, probe_context, probe_prompt, head_copy_recall, retrieval_heads_topk, masked_weights, mixture_70_30,
         shard_scan, shard_range_scan, shard_any_size, shard_early_stop, shard_filtered_scan, shard_arrivals, probe_file_roundtrip, score_file_roundtrip, selection_file_roundtrip, head_list_roundtrip, masked_weights_roundtrip,
     )
@@ -433,6 +452,7 @@ _UNEVEN = f"""sizes as (select unnest([{", ".join(map(str, SIZES))}]) as size, u
 _POINTED = f"""select string_agg(shard || ':' || greatest(total_tokens_seen - n_tokens - start, 0) || '-' || least(total_tokens_seen - start, n) - 1, '{packing.DASH}' order by start) as doc_id,
     cast(any_value(n_tokens) as bigint) as n_tokens, total_tokens_seen, any_value(md5(array_to_string(tokens, ' '))) as tokens_md5 from seen join spans on start < total_tokens_seen and start + n > total_tokens_seen - n_tokens"""
 ORACLES |= {
+    "byte_pair_text": "select doc_id, length(coalesce(text, '')) as n_chars, md5(coalesce(text, '')) as text_md5 from documents",
     "trigram_losses": f"with {_T}, {_TRIGRAMS} select * from chunk_losses",
     "trigram_scores": f"""with {_T}, {_TRIGRAMS}, per_doc as (select doc_id, cast(coalesce(sum(l_trigram), 0) as bigint) as l_base, cast(coalesce(sum(l_unigram), 0) as bigint) as l_ref from counted left join chunk_losses using (doc_id) group by doc_id)
         select *, round((l_ref / 1e6::double - l_base / 1e6::double) / greatest(l_base / 1e6::double, 1e-12::double), 6) as ai_score from per_doc""",
