@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftwork.functions.tokens import BOS, EOS, SQL_TOKEN_TABLE, SQL_WORD, VOCABULARY, chunks, n_tokens, with_bos
-from siftwork.operators import bytepairs, heads, ngrams, packing, probes, ranking, scoring, streams
+from siftwork.operators import bytepairs, heads, ngrams, packing, probes, ranking, scoring, sentences, streams
 from siftwork.session import table
 from siftwork.sources import arriving, shards, tables
 from siftwork.sources.storage import scratch
@@ -279,6 +279,17 @@ def sentence_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
     return probes.pool(_documents(spark, sf_dir))
 
 
+def abbreviation_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that are seen with a period, by language, and how much speaks for their being abbreviations."""
+    return sentences.abbreviations(sentences.pairs(_documents(spark, sf_dir))).withColumnRenamed("by", "lang")
+
+
+def sentences_by_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sentences of all documents by that; test_sentences has a labelled set."""
+    docs = _documents(spark, sf_dir)
+    return sentences.split(docs, sentences.fit(docs))
+
+
 def probe_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     return probes.contexts(probes.pool(_documents(spark, sf_dir)), N_PROBES, SEED)
 
@@ -326,7 +337,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         doc_token_counts, byte_pair_tokens, byte_pair_text, token_prefix_sum, shard_layout, shard_doc_ids, doc_split_islands, doc_id_resolve, shard_file_roundtrip, chunk_table, ai_scores, ai_scores_max_tokens, trigram_losses, trigram_scores, rank_top20, rank_bottom20,
-        rank_top20_per_domain, selection_summary, score_by_label, sentence_pool, probe_context, probe_prompt, head_copy_recall, retrieval_heads_topk, masked_weights, mixture_70_30,
+        rank_top20_per_domain, selection_summary, score_by_label, sentence_pool, abbreviation_scores, sentences_by_statistics, probe_context, probe_prompt, head_copy_recall, retrieval_heads_topk, masked_weights, mixture_70_30,
         shard_scan, shard_range_scan, shard_any_size, shard_early_stop, shard_filtered_scan, shard_arrivals, probe_file_roundtrip, score_file_roundtrip, selection_file_roundtrip, head_list_roundtrip, masked_weights_roundtrip,
     )
 }
@@ -336,6 +347,10 @@ def _name(i: str) -> str:
     return f"'{packing.PREFIX}_' || case when {i} = 0 then 'val' else 'train' end || '_' || lpad(cast({i} as varchar), 6, '0')"
 
 
+def _quoted(text: str) -> str:
+    return text.replace("'", "''")
+
+
 _T = SQL_TOKEN_TABLE
 _PARTS = f"""parts as (select doc_id, total_tokens_seen, unnest(range((total_tokens_seen - n_tokens) // {SMALL_SHARD}, (total_tokens_seen - 1) // {SMALL_SHARD} + 1)) as s, n_tokens from seen)"""
 _SCORED = f"""
@@ -452,6 +467,14 @@ _UNEVEN = f"""sizes as (select unnest([{", ".join(map(str, SIZES))}]) as size, u
 _POINTED = f"""select string_agg(shard || ':' || greatest(total_tokens_seen - n_tokens - start, 0) || '-' || least(total_tokens_seen - start, n) - 1, '{packing.DASH}' order by start) as doc_id,
     cast(any_value(n_tokens) as bigint) as n_tokens, total_tokens_seen, any_value(md5(array_to_string(tokens, ' '))) as tokens_md5 from seen join spans on start < total_tokens_seen and start + n > total_tokens_seen - n_tokens"""
 ORACLES |= {
+    "abbreviation_scores": f"""with w as (select lang, unnest(regexp_extract_all(coalesce(text, ''), '{SQL_WORD}')) as word from documents),
+        t as (select lang, regexp_replace(lower(regexp_replace(word, '^{_quoted(sentences.OPENERS)}+|{_quoted(sentences.CLOSERS)}+$', '', 'g')), '^[0-9]+(?:[.,:][0-9]+)*(\\.?)$', '{sentences.NUMBER}\\1') as type from w),
+        c as (select lang, case when regexp_matches(type, '[^.]\\.$') then type[:-2] else type end as base, regexp_matches(type, '[^.]\\.$') as stop from t),
+        n as (select lang, base, count(*) filter (where stop) as n_with, count(*) as n from c group by all),
+        e as (select lang, sum(n) as words, sum(n_with) as stops from n group by lang),
+        s as (select n.*, length(replace(base, '.', '')) as size, n - n_with as without, stops / words::double as p from n join e on n.lang is not distinct from e.lang where n_with > 0 and regexp_matches(base, '\\p{{L}}'))
+        select lang, base, n_with, n, round(2 * (n_with * ln({sentences.CERTAIN}::double / p) + case when without > 0 then without * ln((1 - {sentences.CERTAIN}::double) / (1 - p)) else 0 end) * exp(-size::double) * (length(base) - size + 1) * pow(size::double, -without::double), 6) + 0 as score,
+            score >= {sentences.ABBREVIATION}::double as abbreviation from s""",
     "byte_pair_text": "select doc_id, length(coalesce(text, '')) as n_chars, md5(coalesce(text, '')) as text_md5 from documents",
     "trigram_losses": f"with {_T}, {_TRIGRAMS} select * from chunk_losses",
     "trigram_scores": f"""with {_T}, {_TRIGRAMS}, per_doc as (select doc_id, cast(coalesce(sum(l_trigram), 0) as bigint) as l_base, cast(coalesce(sum(l_unigram), 0) as bigint) as l_ref from counted left join chunk_losses using (doc_id) group by doc_id)
