@@ -47,7 +47,7 @@ def tokenize(spark: SparkSession, a: argparse.Namespace) -> None:
     else:
         tokens = packing.token_table(docs).join(packing.positions(docs).drop("n_tokens"), "doc_id")
     pieces = packing.slices(tokens, a.shard_size)
-    shards.write(pieces.withColumn("shard", packing.shard_name(F.col("shard"))), a.out)
+    shards.write(pieces.withColumn("shard", packing.shard_name(F.col("shard"))), a.out, a.manifest)
 
 
 def score(spark: SparkSession, a: argparse.Namespace) -> None:
@@ -155,6 +155,7 @@ def parser() -> argparse.ArgumentParser:
 
     coder = ("tokenizer", str, None)
     made = program(tokenize, ("documents", str, ...), ("out", str, ...), ("shard-size", whole, 10**8), coder)
+    made.add_argument("--manifest", action="store_true", help="for stores without renaming: one file says which of the others are shards")
     made.add_argument("--version", choices=sorted(VERSIONS), help="the sample of that size, in its own folder under the documents")
     program(score, ("data", str, ...), ("out", str, ...), ("seq-len", int, 4096), ("max-tokens", whole, None), coder).add_argument("--order", choices=streams.ORDERS, default="name", help="of shards: by name, or by the numbers that names end in")
     program(follow, ("data", str, ...), ("out", str, ...), ("state", str, ...), ("shards", int, None), coder)

@@ -7,10 +7,13 @@ for stores that only Spark's readers open, read_with_spark() takes the bytes fro
 
 from __future__ import annotations
 
+import hashlib
+import json
 import operator
 import os
 import re
 from collections.abc import Iterator
+from fnmatch import fnmatch
 from glob import glob
 from pathlib import Path
 
@@ -38,6 +41,8 @@ from pyspark.sql.types import StructType
 
 # Fixed values of the format.
 MARK, VERSION, HEADER = 20240520, 1, 256
+#: Names of files that a manifest names, and of manifests.
+OBJECT, MANIFEST = ".tokens", "_manifest."
 SCHEMA = "shard string, block long, at long, tokens array<int>"
 
 
@@ -114,13 +119,33 @@ def blocks(shard: str, first: int, tokens: np.ndarray, block: int) -> pa.RecordB
     return pa.RecordBatch.from_arrays([pa.array([shard] * len(at)), pa.array(at // block), pa.array(at), lists], names=["shard", "block", "at", "tokens"])
 
 
+def listed(path: str) -> list[tuple[str, str]]:
+    """(shard, path of its file) of the shards that match a file or pattern, in the order of their paths.
+
+    Files whose names end in .bin speak for themselves. Others belong to a shard only if a manifest beside them says so, whose digest shows that it is whole.
+    """
+    found = [(Path(p).stem, p) for p in glob(path) if os.path.isfile(p) and not p.endswith((OBJECT, ".json"))]
+    folder, _, name = path.rpartition("/")
+    for m in glob(f"{folder or '.'}/{MANIFEST}*.json"):
+        found += [(shard, f"{folder or '.'}/{file}") for shard, file in _manifest(Path(m).read_bytes()) if fnmatch(f"{shard}.bin", name)]
+    if len({shard for shard, _ in found}) < len(found) and any(p.endswith(OBJECT) for _, p in found):
+        raise ValueError(f"a shard is there twice: {path}")
+    return sorted(found, key=lambda x: (x[1].rpartition("/")[0], x[0]))
+
+
+def _manifest(content: bytes) -> list[tuple[str, str]]:
+    """What a manifest lists; nothing if it was not written to its end."""
+    digest, _, body = content.partition(b"\n")
+    return [(shard, file) for shard, file in json.loads(body)] if digest.decode("ascii", "replace") == hashlib.sha256(body).hexdigest() else []
+
+
 class _Range(InputPartition):
-    def __init__(self, path: str, lo: int, hi: int):
-        self.path, self.lo, self.hi = path, lo, hi
+    def __init__(self, shard: str, path: str, lo: int, hi: int):
+        self.shard, self.path, self.lo, self.hi = shard, path, lo, hi
 
 
 class _Files(InputPartition):
-    def __init__(self, paths: list[str]):
+    def __init__(self, paths: list[tuple[str, str]]):
         self.paths = paths
 
 
@@ -157,11 +182,11 @@ class _Reader(DataSourceReader):
             else:
                 yield f
 
-    def paths(self) -> list[str]:
+    def paths(self) -> list[tuple[str, str]]:
         def asked(shard: str) -> bool:
             return all(shard in v if kind is In else shard.startswith(v) if kind is StringStartsWith else COMPARED[kind](shard, v) for kind, v in self.by_name)
 
-        return sorted(p for p in glob(self.path) if asked(Path(p).stem) and os.path.isfile(p))
+        return [(shard, p) for shard, p in listed(self.path) if asked(shard)]
 
     def ranges(self, n: int) -> list[tuple[int, int]]:
         """Places that are read of a shard of n tokens: those of the blocks that filters leave."""
@@ -188,12 +213,12 @@ class _Reader(DataSourceReader):
 
     def partitions(self) -> list[InputPartition]:
         out, step = [], max(1, self.RANGE // self.block) * self.block
-        for path in self.paths():
+        for shard, path in self.paths():
             # At least one place, so that a file without tokens is looked at too.
             for lo, hi in self.ranges(max(1, (os.path.getsize(path) - 4 * HEADER) // 2)):
                 edges = [lo, *range((lo // step + 1) * step, hi, step), hi]
-                out += [_Range(path, a, b) for a, b in zip(edges[:-1], edges[1:], strict=True)]
-        return out or [_Range("", 0, 0)]
+                out += [_Range(shard, path, a, b) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+        return out or [_Range("", "", 0, 0)]
 
     def read(self, part: _Range) -> Iterator[pa.RecordBatch]:
         if part.lo < part.hi:
@@ -205,7 +230,7 @@ class _Reader(DataSourceReader):
                 f.seek(4 * HEADER + 2 * part.lo)
                 body = f.read(2 * max(0, hi - part.lo))
             if body:
-                yield self.kept(blocks(Path(part.path).stem, part.lo, np.frombuffer(body, dtype="<u2").astype(np.int32), self.block))
+                yield self.kept(blocks(part.shard, part.lo, np.frombuffer(body, dtype="<u2").astype(np.int32), self.block))
 
     def kept(self, rows: pa.RecordBatch) -> pa.RecordBatch:
         keep = np.ones(rows.num_rows, dtype=bool)
@@ -224,13 +249,13 @@ class _Headers(DataSourceReader):
         self.path = local(options["path"])
 
     def partitions(self) -> list[InputPartition]:
-        found = sorted(p for p in glob(self.path) if os.path.isfile(p))
+        found = listed(self.path)
         return [_Files(found[i : i + self.FILES]) for i in range(0, len(found), self.FILES)] or [_Files([])]
 
     def read(self, part: _Files) -> Iterator[tuple[str, str, int]]:
-        for path in part.paths:
+        for shard, path in part.paths:
             with open(path, "rb") as f:
-                yield Path(path).stem, path, count_of(f.read(4 * HEADER))
+                yield shard, path, count_of(f.read(4 * HEADER))
 
 
 class _Done(WriterCommitMessage):
@@ -239,10 +264,14 @@ class _Done(WriterCommitMessage):
 
 
 class _Writer(DataSourceArrowWriter):
-    """Rows of (shard, at, tokens), a shard's in one task and in order. Files get their names when all tasks have ended."""
+    """Rows of (shard, at, tokens), a shard's in one task and in order. Files get their names when all tasks have ended.
+
+    With a manifest they keep the names that their attempt has given them, and one small file, written when all tasks have ended, says which of them are shards;
+    so a store needs no renaming. What a lost task or attempt has left, or a commit that didn't come to its end, is never seen.
+    """
 
-    def __init__(self, path: str):
-        self.path = path
+    def __init__(self, path: str, manifest: bool = False):
+        self.path, self.manifest = path, manifest
 
     def write(self, batches: Iterator[pa.RecordBatch]) -> _Done:
         import uuid
@@ -262,7 +291,7 @@ class _Writer(DataSourceArrowWriter):
                 if shard != now:
                     close()
                     now, n = shard, 0
-                    files.append((f"{self.path}/.{shard}.{uuid.uuid4().hex}", f"{self.path}/{shard}.bin"))
+                    files.append((f"{self.path}/{shard}.{uuid.uuid4().hex}{OBJECT}", shard) if self.manifest else (f"{self.path}/.{shard}.{uuid.uuid4().hex}", f"{self.path}/{shard}.bin"))
                     out = open(files[-1][0], "wb")  # noqa: SIM115
                     out.write(header(0))
                 body = encode(tokens.values.to_numpy())[4 * HEADER :]
@@ -272,6 +301,13 @@ class _Writer(DataSourceArrowWriter):
         return _Done(files)
 
     def commit(self, messages: list[_Done | None]) -> None:
+        if self.manifest:
+            import uuid
+
+            body = json.dumps([(shard, Path(file).name) for m in messages if m for file, shard in m.files]).encode()
+            os.makedirs(self.path, exist_ok=True)
+            Path(f"{self.path}/{MANIFEST}{uuid.uuid4().hex}.json").write_bytes(hashlib.sha256(body).hexdigest().encode() + b"\n" + body)
+            return
         for m in messages:
             for temporary, name in m.files if m else ():
                 os.replace(temporary, name)
@@ -296,7 +332,7 @@ class TokenShards(DataSource):
         return _Reader(dict(self.options))
 
     def writer(self, schema: StructType, overwrite: bool) -> _Writer:
-        return _Writer(local(self.options["path"]))
+        return _Writer(local(self.options["path"]), self.options.get("manifest", "false").lower() == "true")
 
 
 class ShardHeaders(DataSource):
@@ -325,11 +361,11 @@ def headers(spark: SparkSession, path: str) -> DataFrame:
     return register(spark).read.format("token_shard_headers").option("path", path).load()
 
 
-def write(pieces: DataFrame, path: str) -> None:
-    """Writes pieces(shard, at, tokens) as shards named by `shard`."""
+def write(pieces: DataFrame, path: str, manifest: bool = False) -> None:
+    """Writes pieces(shard, at, tokens) as shards named by `shard`; with a manifest where the store has no renaming."""
     register(pieces.sparkSession)
     in_order = pieces.select("shard", "at", "tokens").repartition("shard").sortWithinPartitions("shard", "at")
-    in_order.write.format("token_shards").option("path", path).mode("append").save()
+    in_order.write.format("token_shards").option("path", path).option("manifest", str(manifest).lower()).mode("append").save()
 
 
 def read(spark: SparkSession, path: str, lo: int | None = None, hi: int | None = None, block: int = 1024) -> DataFrame:
@@ -342,7 +378,7 @@ def read(spark: SparkSession, path: str, lo: int | None = None, hi: int | None =
 
 def exists(path: str) -> bool:
     """Whether any shard matches the path."""
-    return bool(glob(local(path)))
+    return bool(listed(local(path)))
 
 
 def read_with_spark(spark: SparkSession, path: str, block: int = 1024) -> DataFrame:
