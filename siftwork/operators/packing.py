@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftwork.functions.tokens import EOS, n_tokens, tokenize
-from siftwork.operators.prefix import prefix_sum
+from siftwork.operators.prefix import carried, prefix_sum
 
 # Between the ranges of a document that lies in several shards; what the names of shards begin with.
 DASH = "—"
@@ -135,8 +135,7 @@ def islands(pieces: DataFrame, size: int, eot: int = EOS) -> DataFrame:
     ends = ends.unionByName(tail)
     last = ends.groupBy("shard", "block").agg(F.max("doc_end").alias("last"))
     in_shard = last.withColumn("before", F.lag("last").over(Window.partitionBy("shard").orderBy("block")))
-    # One row a shard.
-    shards = last.groupBy("shard").agg(F.max("last").alias("s_last")).withColumn("s_before", F.lag("s_last").over(Window.orderBy("shard")))
+    shards = carried(last.groupBy("shard").agg(F.max("last").alias("s_last")), "shard", {"s_last": "s_before"}, itself=False)
     known = in_shard.join(shards, "shard").select("shard", "block", F.coalesce("before", "s_before", F.lit(-1)).alias("before"))
     lagged = F.lag("doc_end").over(Window.partitionBy("shard", "block").orderBy("doc_end"))
     out = ends.withColumn("own", lagged).join(known, ["shard", "block"]).withColumn("doc_start", F.coalesce("own", "before") + 1)

@@ -9,7 +9,7 @@ from siftwork import cli, config
 from siftwork.functions import vocabulary
 from siftwork.operators import heads
 from siftwork.sources import shards, tables
-from siftwork.streaming import scores
+from siftwork.streaming import documents, scores
 
 
 def test_from_documents_to_selection(spark, tmp_path):
@@ -48,6 +48,15 @@ def test_stream(spark, tmp_path):
     assert len(run()) == 21
 
 
+def test_shards_are_followed(spark, tmp_path):
+    rows = [(k, " ".join(f"w{x}" for x in range(k))) for k in range(9)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "docs"))
+    cli.main(["tokenize", "--documents", str(tmp_path / "docs"), "--out", str(tmp_path / "shards"), "--shard-size", "7"], spark)
+    n = len(list((tmp_path / "shards").glob("*.bin")))
+    cli.main(["follow", "--data", str(tmp_path / "shards"), "--out", str(tmp_path / "out"), "--state", str(tmp_path / "state"), "--shards", str(n)], spark)
+    assert sorted(r.n_tokens for r in documents.read(spark, str(tmp_path / "out")).collect()) == [k + 1 for k, _ in rows]
+
+
 BPE = public_tokenizers.path("byte_bpe_50k.json")
 
 
