@@ -29,10 +29,15 @@ def type_of(word: Column) -> Column:
 
 
 def pairs(docs: DataFrame, by: str = "lang") -> DataFrame:
-    """(doc_id, by, i, word, type, next): every word of docs(doc_id, text, by) by its place, its type, and the next word."""
+    """(doc_id, by, i, word, next): every word of docs(doc_id, text, by) by its place, and the next word."""
     each = docs.select("doc_id", F.col(by).alias("by"), words(F.col("text")).alias("w"))
     placed = each.select("doc_id", "by", F.posexplode(F.arrays_zip(F.col("w").alias("word"), F.slice("w", F.lit(2), F.greatest(F.size("w") - 1, F.lit(0))).alias("next"))).alias("i", "x"))
-    return placed.select("doc_id", "by", "i", "x.word", type_of(F.col("x.word")).alias("type"), "x.next")
+    return placed.select("doc_id", "by", "i", "x.word", "x.next")
+
+
+def types(each: DataFrame) -> DataFrame:
+    """(by, type, n) of pairs(): different words are counted before their types are looked at."""
+    return each.groupBy("by", "word").agg(F.count("*").alias("n")).groupBy("by", type_of(F.col("word")).alias("type")).agg(F.sum("n").alias("n"))
 
 
 def _stops(kind: Column) -> Column:
@@ -43,9 +48,9 @@ def _base(kind: Column) -> Column:
     return F.when(_stops(kind), F.substring(kind, F.lit(1), F.length(kind) - 1)).otherwise(kind)
 
 
-def abbreviations(each: DataFrame) -> DataFrame:
-    """(by, base, n_with, n, score, abbreviation) of the types of pairs() that have a letter and are seen with a period at least once."""
-    counts = each.groupBy("by", _base(F.col("type")).alias("base")).agg(F.count_if(_stops(F.col("type"))).alias("n_with"), F.count("*").alias("n"))
+def abbreviations(counted: DataFrame) -> DataFrame:
+    """(by, base, n_with, n, score, abbreviation) of the types() that have a letter and are seen with a period at least once."""
+    counts = counted.groupBy("by", _base(F.col("type")).alias("base")).agg(F.sum(F.when(_stops(F.col("type")), F.col("n")).otherwise(0)).alias("n_with"), F.sum("n").alias("n"))
     every = counts.groupBy("by").agg(F.sum("n").alias("words"), F.sum("n_with").alias("stops"))
     met = counts.where("n_with > 0").where(F.col("base").rlike("\\p{L}")).join(F.broadcast(every) if every.count() <= BROADCAST else every, F.col("base").isNotNull() & counts["by"].eqNullSafe(every["by"])).drop(every["by"])
     p, without = F.col("stops") / F.col("words"), F.col("n") - F.col("n_with")
@@ -78,7 +83,7 @@ class Model:
 
 def _known(each: DataFrame, short: DataFrame) -> DataFrame:
     """The words of pairs() that have a period and a next word: base, what follows, and weak, whether the period may be one of an abbreviation, an initial or a number."""
-    stopped = each.where(_stops(F.col("type")) & F.col("next").isNotNull()).select("doc_id", F.coalesce(F.col("by").cast("string"), F.lit("")).alias("by"), "i", _base(F.col("type")).alias("base"), "next", _base(type_of(F.col("next"))).alias("follows"))
+    stopped = each.where(F.col("word").contains(".") & F.col("next").isNotNull()).withColumn("type", type_of(F.col("word"))).where(_stops(F.col("type"))).select("doc_id", F.coalesce(F.col("by").cast("string"), F.lit("")).alias("by"), "i", _base(F.col("type")).alias("base"), "next", _base(type_of(F.col("next"))).alias("follows"))
     met = stopped.join(_sent(short.withColumn("short", F.lit(True))), ["by", "base"], "left")
     initial = F.col("base").rlike("^\\p{L}$")
     return met.withColumn("initial", initial).withColumn("weak", F.col("short").isNotNull() | initial | (F.col("base") == NUMBER))
@@ -90,17 +95,18 @@ def _sent(rows: DataFrame) -> DataFrame:
 
 def fit(docs: DataFrame, by: str = "lang") -> Model:
     each = pairs(docs, by)
-    short = abbreviations(each).where("abbreviation").select(F.coalesce(F.col("by").cast("string"), F.lit("")).alias("by"), "base").checkpoint()
-    types = each.groupBy(F.coalesce(F.col("by").cast("string"), F.lit("")).alias("by"), _base(F.col("type")).alias("follows")).agg(F.count("*").alias("b")).checkpoint()
-    every = types.groupBy("by").agg(F.sum("b").alias("words"))
+    counted = types(each).checkpoint()
+    short = abbreviations(counted).where("abbreviation").select(F.coalesce(F.col("by").cast("string"), F.lit("")).alias("by"), "base").checkpoint()
+    known = counted.groupBy(F.coalesce(F.col("by").cast("string"), F.lit("")).alias("by"), _base(F.col("type")).alias("follows")).agg(F.sum("n").alias("b")).checkpoint()
+    every = known.groupBy("by").agg(F.sum("b").alias("words"))
     seen = _known(each, short).groupBy("by", "base", "follows", "weak").agg(F.count("*").alias("ab")).checkpoint()
     firsts = seen.where("weak").groupBy("by", "base").agg(F.sum("ab").alias("a"))
-    joined = seen.where("weak and ab > 1").join(firsts, ["by", "base"]).join(types, ["by", "follows"]).join(_sent(every), "by")
+    joined = seen.where("weak and ab > 1").join(firsts, ["by", "base"]).join(known, ["by", "follows"]).join(_sent(every), "by")
     # What follows no more often than anywhere else isn't company.
     company = joined.where((F.col("ab") * F.col("words") > F.col("a") * F.col("b")) & (ratio(F.col("ab"), F.col("a"), F.col("b"), F.col("words")) >= COMPANY)).select("by", "base", "follows").checkpoint()
     ends = seen.where("not weak").groupBy("by", "follows").agg(F.sum("ab").alias("ab"))
     all_ends = ends.groupBy("by").agg(F.sum("ab").alias("a"))
-    begun = ends.join(types, ["by", "follows"]).join(_sent(all_ends), "by").join(_sent(every), "by")
+    begun = ends.join(known, ["by", "follows"]).join(_sent(all_ends), "by").join(_sent(every), "by")
     starters = begun.where((F.col("ab") * F.col("words") > F.col("a") * F.col("b")) & (ratio(F.col("ab"), F.col("a"), F.col("b"), F.col("words")) >= STARTER)).select("by", "follows").checkpoint()
     return Model(short, company, starters)
 
