@@ -1,5 +1,7 @@
 import pathlib
 
+import duckdb
+import pandas as pd
 import pytest
 
 from siftwork.llm import licences
@@ -74,3 +76,31 @@ def test_null_ids_and_long_texts(spark):
     docs = spark.createDataFrame(rows, "doc_id long, directory string, text string")
     got = sorted((str(r.doc_id), str(r.directory), str(r.licence), str(r.origin)) for r in licences.scan(docs).collect())
     assert got == [("1", "b", "MIT", "own"), ("1", "b", "MIT", "own"), ("None", "None", "None", "None"), ("None", "a", "MIT", "own"), ("None", "b", "MIT", "inherited"), ("None", "b", "MIT", "inherited")]
+
+
+@pytest.mark.skipif(not APACHE.exists(), reason="no full text")
+def test_full_texts_like_sql(spark):
+    """Full texts, with words of their own around them or between, whole in one line, beside prose with words of theirs and notices."""
+    apache, prose = APACHE.read_text(), "the software of the old house has a licence and its terms run over many green stones in summer " * 30
+    texts = [MIT, MIT.upper() + "\nrare words of one file", MIT.replace("\n", " "), apache, apache + prose, prose + MIT, prose, f"{prose}\nLicensed under the BSD License", "Licensed under the BSD License", "", None, "\u043b\u0438\u0446\u0435\u043d\u0437\u0438\u044f " * 200]
+    rows = [(k, t, "en" if k % 3 else "de", f"s{k % 5}/{'x' if k % 2 else 'y'}", len(t or "")) for k, t in enumerate(texts * 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = licences.scan(docs.select("doc_id", licences.directory_of_documents().alias("directory"), "text"))
+    con = duckdb.connect()
+    con.register("documents", pd.DataFrame(rows, columns=docs.columns))
+    want = con.execute(licences.oracle())
+    columns = [d[0] for d in want.description]
+    assert sorted(repr(tuple(r)) for r in got.select(*columns).collect()) == sorted(repr(r) for r in want.fetchall())
+    own = {r.doc_id: r.licence for r in got.where("origin = 'own'").collect()}
+    assert {k: own.get(k) for k in range(12) if k != 5} == {0: "MIT", 1: "MIT", 2: "MIT", 3: "Apache-2.0", 4: "Apache-2.0", 6: None, 7: "BSD", 8: "BSD", 9: None, 10: None, 11: None}
+
+
+@pytest.mark.skipif(not APACHE.exists(), reason="no full text")
+def test_profiles_by_rule():
+    found = {name: terms for name, whole, terms in licences.templates() if whole and name in ("MIT", "Apache-2.0")}
+    assert found == {"MIT": licences.profile(MIT), "Apache-2.0": licences.profile(APACHE.read_text())}
+
+
+def test_equal_ids_keep_their_lines_apart(spark):
+    rows = [(1, "a", "Released under the MIT License."), (1, "a", "long prose that has nothing to do with any such thing " * 5), (2, "b", "nothing")]
+    assert scan(spark, rows) == {1: ("MIT", "own"), 2: (None, None)}
