@@ -21,6 +21,8 @@ REPEAT = 4.0
 STEPS = 4096
 SECTIONS = 16
 BLOCK = 1024
+#: Blocks that are summed up together, and such spans, where the end of a budget is looked for.
+SPAN = 1024
 SEED = "mix"
 #: Sources up to which their table is broadcast; a row has less than 200 bytes.
 BROADCAST = 20_000
@@ -113,11 +115,8 @@ def plan(docs: DataFrame, entropy: float | None = ENTROPY, repeat: float | None
     made = made.withColumn("rest", F.when(F.col("tokens") > 0, F.col("budget") - F.col("passes") * F.col("tokens")).otherwise(0))
     few = made.select("key", "n_blocks", "rest").where("rest > 0")
     dealt = slim.join(_sized(few), "key").withColumn("block", F.col("rank") % F.col("n_blocks"))
-    blocks = dealt.groupBy("key", "block").agg(F.sum("n").alias("in_block"), F.first("rest").alias("rest"))
-    to_block = F.sum("in_block").over(Window.partitionBy("key").orderBy("block"))
-    # The block in which the rest of the budget ends.
-    cut = blocks.withColumn("upto", to_block).where("upto > rest and upto - in_block <= rest").select("key", "block", (F.col("rest") - F.col("upto") + F.col("in_block")).alias("room"))
-    cut = cut.withColumnRenamed("block", "cut_block").groupBy("key").agg(F.min(F.struct("cut_block", "room")).alias("c")).select("key", "c.cut_block", "c.room")
+    blocks = dealt.groupBy("key", "block").agg(F.sum("n").alias("in_block")).checkpoint()
+    cut = _cut(blocks, few)
     inside = dealt.join(_sized(cut), "key").where("block = cut_block")
     # Rows of equal rank and id go together, so that equal rows meet an equal end.
     upto = F.sum("n").over(Window.partitionBy("key").orderBy("rank", "id").rangeBetween(Window.unboundedPreceding, Window.currentRow))
@@ -129,6 +128,23 @@ def plan(docs: DataFrame, entropy: float | None = ENTROPY, repeat: float | None
     ).checkpoint()
 
 
+def _cut(blocks: DataFrame, rests: DataFrame) -> DataFrame:
+    """(key, cut_block, room): of blocks(key, block, in_block) the one in which the rest of rests(key, rest) ends, and what is left of the rest there.
+
+    Found from above, by sums of SPAN * SPAN blocks, then of SPAN, then of one: a window is over SPAN rows of a source, or all its largest spans.
+    """
+    at = _sized(rests.select("key", F.lit(0).cast("long").alias("span"), F.col("rest").alias("room")))
+    for width in (SPAN * SPAN, SPAN, 1):
+        met = blocks.join(at, "key")
+        if width < SPAN * SPAN:
+            met = met.where(F.expr(f"block div {width * SPAN}") == F.col("span"))
+        sums = met.groupBy("key", F.expr(f"block div {width}").alias("part")).agg(F.sum("in_block").alias("in_part"), F.first("room").alias("room"))
+        upto = F.sum("in_part").over(Window.partitionBy("key").orderBy("part"))
+        ends = sums.withColumn("upto", upto).where("upto > room and upto - in_part <= room")
+        at = _sized(ends.select("key", F.col("part").alias("span"), (F.col("room") - F.col("upto") + F.col("in_part")).alias("room")).checkpoint())
+    return at.select("key", F.col("span").alias("cut_block"), "room")
+
+
 def _sized(sources: DataFrame) -> DataFrame:
     """With a broadcast hint if there are few rows; else the join sorts, and Spark splits what is skewed."""
     return F.broadcast(sources) if len(sources.select("key").limit(BROADCAST + 1).take(BROADCAST + 1)) <= BROADCAST else sources

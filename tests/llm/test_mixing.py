@@ -1,6 +1,7 @@
 import duckdb
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from siftwork.llm import mixing
 
@@ -28,6 +29,21 @@ def test_like_sql(spark):
     assert ((used.b - used.t).between(0, 2 * used.most + 2)).all()
 
 
+@pytest.mark.parametrize("span", [2, 3, 1024])
+def test_ends_by_levels(spark, monkeypatch, span):
+    monkeypatch.setattr(mixing, "SPAN", span)
+    data = [(k, f"{k % 3}", k, 0 if k % 5 else k % 7) for k in range(60)]
+    blocks = spark.createDataFrame(data, "i long, key string, block long, in_block long").withColumn("block", F.expr("block div 3")).select("key", "block", "in_block")
+    sums = {key: [n for _, of, _, n in data if of == key] for key in "012"}
+    for rest in (1, 3, 5):
+        rests = spark.createDataFrame([(key, rest) for key in sums], "key string, rest long")
+        want = {}
+        for key, ns in sums.items():
+            block = next(b for b in range(len(ns)) if sum(ns[: b + 1]) > rest)
+            want[key] = (block, rest - sum(ns[:block]))
+        assert {r["key"]: (r["cut_block"], r["room"]) for r in mixing._cut(blocks, rests).collect()} == want
+
+
 def test_cover(spark):
     docs = spark.createDataFrame(rows(), "doc_id long, text string, source string")
     found, _, _, times = mixing.copies(docs, mixing.plan(docs, None, 2.0, True))
