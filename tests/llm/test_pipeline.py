@@ -60,7 +60,7 @@ def test_run(spark, folder):
     out = corpus_pipeline.run(spark, folder[0])
     assert out.count() >= 200
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "ngram_jaccard_join", "suffix_array_dedup", "mixing", "packing"]
-    assert {f"op{k}" for k in range(1, 11)} == {n.split("_")[0] for n in registry.QUERIES}
+    assert {f"op{k}" for k in range(1, 14)} == {n.split("_")[0] for n in registry.QUERIES}
 
 
 def test_edges(spark, folder, tmp_path):
