@@ -129,8 +129,10 @@ def islands(pieces: DataFrame, size: int, eot: int = EOS) -> DataFrame:
     and block the last end before it, from one row a block.
     """
     g = F.col("shard") * size + F.col("at")
-    ends = pieces.select("shard", "block", F.explode(F.filter(F.transform("tokens", lambda t, i: F.when(t == eot, g + i)), lambda x: x.isNotNull())).alias("doc_end"))
-    total = pieces.agg(F.max(g + F.size("tokens")).alias("total"), F.max(F.expr(f"if(element_at(tokens, -1) = {eot}, shard * {size} + at + size(tokens), null)")).alias("closed"))
+    # Tokens are read once.
+    seen = pieces.select("shard", "block", (g + F.size("tokens")).alias("upto"), F.filter(F.transform("tokens", lambda t, i: F.when(t == eot, g + i)), lambda x: x.isNotNull()).alias("ends")).checkpoint()
+    ends = seen.select("shard", "block", F.explode("ends").alias("doc_end"))
+    total = seen.agg(F.max("upto").alias("total"), (F.max(F.array_max("ends")) + 1).alias("closed"))
     tail = total.where("total > coalesce(closed, 0)").select(F.expr(f"(total - 1) div {size}").alias("shard"), F.lit(1 << 40).cast("long").alias("block"), (F.col("total") - 1).alias("doc_end"))
     ends = ends.unionByName(tail)
     last = ends.groupBy("shard", "block").agg(F.max("doc_end").alias("last"))

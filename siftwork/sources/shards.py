@@ -12,7 +12,8 @@ import json
 import operator
 import os
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from fnmatch import fnmatch
 from glob import glob
 from pathlib import Path
@@ -44,6 +45,10 @@ MARK, VERSION, HEADER = 20240520, 1, 256
 #: Names of files that a manifest names, and of manifests.
 OBJECT, MANIFEST = ".tokens", "_manifest."
 SCHEMA = "shard string, block long, at long, tokens array<int>"
+#: Tokens that go to Spark at a time.
+BATCH = 1 << 19
+#: Threads that give files their names.
+RENAMERS = 16
 
 
 def local(path: str) -> str:
@@ -104,19 +109,41 @@ def decode(content: bytes) -> np.ndarray:
     return np.frombuffer(body, dtype="<u2").astype(np.int32)
 
 
-def encode(tokens: np.ndarray) -> bytes:
+def ids(tokens: np.ndarray) -> np.ndarray:
+    """The tokens as they are in a shard."""
     tokens = np.asarray(tokens)
     if len(tokens) and (tokens.min() < 0 or tokens.max() >= 1 << 16):
         raise ValueError("a token id outside 0..65535")
-    return header(len(tokens)) + tokens.astype("<u2").tobytes()
+    return tokens.astype("<u2")
+
+
+def encode(tokens: np.ndarray) -> bytes:
+    return header(len(tokens)) + ids(tokens).tobytes()
 
 
-def blocks(shard: str, first: int, tokens: np.ndarray, block: int) -> pa.RecordBatch:
-    """Rows of SCHEMA; `first` is the place of tokens[0]."""
-    edge = sorted({first, first + len(tokens), *range(-(-first // block) * block, first + len(tokens), block)})
-    at = np.array(edge[:-1], dtype=np.int64)
-    lists = pa.ListArray.from_arrays(pa.array(np.array(edge) - first, pa.int32()), pa.array(tokens, pa.int32()))
-    return pa.RecordBatch.from_arrays([pa.array([shard] * len(at)), pa.array(at // block), pa.array(at), lists], names=["shard", "block", "at", "tokens"])
+def blocks(runs: Iterable[tuple[str, int, np.ndarray]], block: int) -> Iterator[pa.RecordBatch]:
+    """Rows of SCHEMA of runs (shard, first, tokens), `first` being the place of tokens[0]; short runs go together, BATCH tokens at a time."""
+    names, places, sizes, bodies, n = [], [], [], [], 0
+
+    def batch() -> pa.RecordBatch:
+        at, edge = np.concatenate(places), np.cumsum([0, *np.concatenate(sizes)])
+        lists = pa.ListArray.from_arrays(pa.array(edge, pa.int32()), pa.array(np.concatenate(bodies), pa.int32()))
+        return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(at // block), pa.array(at), lists], names=["shard", "block", "at", "tokens"])
+
+    for shard, first, tokens in runs:
+        if not len(tokens):
+            continue
+        edge = np.array([first, *range((first // block + 1) * block, first + len(tokens), block), first + len(tokens)], dtype=np.int64)
+        names += [shard] * (len(edge) - 1)
+        places.append(edge[:-1])
+        sizes.append(np.diff(edge))
+        bodies.append(tokens)
+        n += len(tokens)
+        if n >= BATCH:
+            yield batch()
+            names, places, sizes, bodies, n = [], [], [], [], 0
+    if n:
+        yield batch()
 
 
 def listed(path: str) -> list[tuple[str, str]]:
@@ -139,9 +166,16 @@ def _manifest(content: bytes) -> list[tuple[str, str]]:
     return [(shard, file) for shard, file in json.loads(body)] if digest.decode("ascii", "replace") == hashlib.sha256(body).hexdigest() else []
 
 
-class _Range(InputPartition):
-    def __init__(self, shard: str, path: str, lo: int, hi: int):
-        self.shard, self.path, self.lo, self.hi = shard, path, lo, hi
+class _Ranges(InputPartition):
+    """(shard, path, lo, hi) of places that a task reads. Paths in one folder are kept without it, since files may be very many."""
+
+    def __init__(self, ranges: list[tuple[str, str, int, int]]):
+        self.folder = os.path.commonpath([os.path.dirname(p) for _, p, _, _ in ranges]) if ranges else ""
+        self.short = [("" if Path(p).stem == shard else shard, os.path.relpath(p, self.folder or "."), lo, hi) for shard, p, lo, hi in ranges]
+
+    def ranges(self) -> Iterator[tuple[str, str, int, int]]:
+        for shard, p, lo, hi in self.short:
+            yield shard or Path(p).stem, os.path.join(self.folder, p), lo, hi
 
 
 class _Files(InputPartition):
@@ -154,13 +188,15 @@ COMPARED = {EqualTo: operator.eq, GreaterThan: operator.gt, GreaterThanOrEqual:
 
 
 class _Reader(DataSourceReader):
-    """A task for each RANGE tokens of a shard, of those from option lo to option hi (included) if they are given.
+    """A task for each RANGE tokens, of a long shard or of many short ones, of those from option lo to option hi (included) if they are given.
 
     Filters on shard leave files out; filters on at and block leave out the bytes of other blocks. All others are Spark's to evaluate.
     Rows begin at multiples of the block, or at lo, wherever tasks begin. Headers are read by tasks: the driver knows files by their sizes.
     """
 
     RANGE = 1 << 22
+    #: Tokens that could be read in the time that it takes to open a file.
+    OPEN = 1 << 12
 
     def __init__(self, options: dict):
         self.path = local(options["path"])
@@ -213,24 +249,32 @@ class _Reader(DataSourceReader):
 
     def partitions(self) -> list[InputPartition]:
         out, step = [], max(1, self.RANGE // self.block) * self.block
+        task, n = [], 0
         for shard, path in self.paths():
             # At least one place, so that a file without tokens is looked at too.
             for lo, hi in self.ranges(max(1, (os.path.getsize(path) - 4 * HEADER) // 2)):
                 edges = [lo, *range((lo // step + 1) * step, hi, step), hi]
-                out += [_Range(shard, path, a, b) for a, b in zip(edges[:-1], edges[1:], strict=True)]
-        return out or [_Range("", "", 0, 0)]
-
-    def read(self, part: _Range) -> Iterator[pa.RecordBatch]:
-        if part.lo < part.hi:
-            with open(part.path, "rb") as f:
+                for a, b in zip(edges[:-1], edges[1:], strict=True):
+                    if task and n + self.OPEN + b - a > self.RANGE + self.OPEN:
+                        out.append(_Ranges(task))
+                        task, n = [], 0
+                    task.append((shard, path, a, b))
+                    n += self.OPEN + b - a
+        return [*out, _Ranges(task)]
+
+    def read(self, part: _Ranges) -> Iterator[pa.RecordBatch]:
+        for rows in blocks(self.runs(part), self.block):
+            yield self.kept(rows)
+
+    def runs(self, part: _Ranges) -> Iterator[tuple[str, int, np.ndarray]]:
+        for shard, path, lo, hi in part.ranges():
+            with open(path, "rb") as f:
                 n = count_of(f.read(4 * HEADER))
                 if n > (os.fstat(f.fileno()).st_size - 4 * HEADER) // 2:
                     raise ValueError("a token shard that is cut off")
-                hi = min(part.hi, n)
-                f.seek(4 * HEADER + 2 * part.lo)
-                body = f.read(2 * max(0, hi - part.lo))
-            if body:
-                yield self.kept(blocks(part.shard, part.lo, np.frombuffer(body, dtype="<u2").astype(np.int32), self.block))
+                f.seek(4 * HEADER + 2 * lo)
+                body = f.read(2 * max(0, min(hi, n) - lo))
+            yield shard, lo, np.frombuffer(body, dtype="<u2").astype(np.int32)
 
     def kept(self, rows: pa.RecordBatch) -> pa.RecordBatch:
         keep = np.ones(rows.num_rows, dtype=bool)
@@ -259,8 +303,10 @@ class _Headers(DataSourceReader):
 
 
 class _Done(WriterCommitMessage):
-    def __init__(self, files: list[tuple[str, str]]):
-        self.files = files
+    """The shards that a task has written, and the mark in its files' names."""
+
+    def __init__(self, mark: str, shards: list[str]):
+        self.mark, self.shards = mark, shards
 
 
 class _Writer(DataSourceArrowWriter):
@@ -273,11 +319,15 @@ class _Writer(DataSourceArrowWriter):
     def __init__(self, path: str, manifest: bool = False):
         self.path, self.manifest = path, manifest
 
+    def made(self, shard: str, mark: str) -> str:
+        """Name of the file that an attempt writes."""
+        return f"{shard}.{mark}{OBJECT}" if self.manifest else f".{shard}.{mark}"
+
     def write(self, batches: Iterator[pa.RecordBatch]) -> _Done:
         import uuid
 
         os.makedirs(self.path, exist_ok=True)
-        files: list[tuple[str, str]] = []
+        mark, known = uuid.uuid4().hex, []
         now, out, n = None, None, 0
 
         def close() -> None:
@@ -287,35 +337,43 @@ class _Writer(DataSourceArrowWriter):
                 out.close()
 
         for b in batches:
-            for shard, tokens in zip(b.column("shard").to_pylist(), b.column("tokens"), strict=True):
-                if shard != now:
+            names, lists = b.column("shard").to_pylist(), b.column("tokens")
+            tokens, edge = ids(lists.flatten().to_numpy()), np.cumsum([0, *lists.value_lengths().to_pylist()])
+            # Rows of a shard follow each other.
+            first = [i for i in range(len(names)) if i == 0 or names[i] != names[i - 1]]
+            for lo, hi in zip(first, [*first[1:], len(names)], strict=True):
+                if names[lo] != now:
                     close()
-                    now, n = shard, 0
-                    files.append((f"{self.path}/{shard}.{uuid.uuid4().hex}{OBJECT}", shard) if self.manifest else (f"{self.path}/.{shard}.{uuid.uuid4().hex}", f"{self.path}/{shard}.bin"))
-                    out = open(files[-1][0], "wb")  # noqa: SIM115
+                    now, n = names[lo], 0
+                    known.append(now)
+                    out = open(f"{self.path}/{self.made(now, mark)}", "wb")  # noqa: SIM115
                     out.write(header(0))
-                body = encode(tokens.values.to_numpy())[4 * HEADER :]
-                out.write(body)
-                n += len(body) // 2
+                out.write(tokens[edge[lo] : edge[hi]].tobytes())
+                n += int(edge[hi] - edge[lo])
         close()
-        return _Done(files)
+        return _Done(mark, known)
 
     def commit(self, messages: list[_Done | None]) -> None:
+        done = [(self.made(shard, m.mark), shard) for m in messages if m for shard in m.shards]
         if self.manifest:
             import uuid
 
-            body = json.dumps([(shard, Path(file).name) for m in messages if m for file, shard in m.files]).encode()
+            body = json.dumps([(shard, file) for file, shard in done]).encode()
             os.makedirs(self.path, exist_ok=True)
             Path(f"{self.path}/{MANIFEST}{uuid.uuid4().hex}.json").write_bytes(hashlib.sha256(body).hexdigest().encode() + b"\n" + body)
             return
-        for m in messages:
-            for temporary, name in m.files if m else ():
-                os.replace(temporary, name)
+
+        def name(k: int) -> None:
+            for file, shard in done[k::RENAMERS]:
+                os.replace(f"{self.path}/{file}", f"{self.path}/{shard}.bin")
+
+        with ThreadPoolExecutor(RENAMERS) as pool:
+            list(pool.map(name, range(RENAMERS)))
 
     def abort(self, messages: list[_Done | None]) -> None:
         for m in messages:
-            for temporary, _ in m.files if m else ():
-                Path(temporary).unlink(missing_ok=True)
+            for shard in m.shards if m else ():
+                Path(f"{self.path}/{self.made(shard, m.mark)}").unlink(missing_ok=True)
 
 
 class TokenShards(DataSource):
@@ -384,12 +442,15 @@ def exists(path: str) -> bool:
 def read_with_spark(spark: SparkSession, path: str, block: int = 1024) -> DataFrame:
     """The same by Spark's own file reader, for any store it knows. A shard is one row there, so it has to fit in a task."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def contents(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, int, np.ndarray]]:
         for b in batches:
             for name, content in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                tokens = decode(content.as_py())
-                if len(tokens):
-                    yield blocks(name, 0, tokens, block)
+                yield name, 0, decode(content.as_py())
 
     stem = F.regexp_extract("path", "([^/]+?)(\\.[^./]*)?$", 1)
-    return spark.read.format("binaryFile").load(path).select(stem.alias("shard"), "content").mapInArrow(run, SCHEMA)
+    files, (folder, _, name) = spark.read.format("binaryFile"), path.rpartition("/")
+    # A pattern of names goes to the listing of one folder: as paths of their own files would be looked up one by one, and each new plan would compare them all.
+    found = files.option("pathGlobFilter", name).load(folder) if folder and re.search(r"[*?\[{]", name) and not re.search(r"[*?\[{,]", folder) else files.load(path)
+    # Spark takes a file for 4 MB at least, so short shards come to very many tasks.
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    return found.select(stem.alias("shard"), "content").coalesce(tasks).mapInArrow(lambda batches: blocks(contents(batches), block), SCHEMA)

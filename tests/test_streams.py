@@ -215,3 +215,23 @@ def test_early_stop_reads_what_the_limit_needs(spark, tmp_path):
     assert [d for d, _, _ in split(spark, path, max_tokens=4)] == ["s1:0-2", "s1:3-3—s2:0-1—s3:0-1", "s4:0-1"]
     with pytest.raises(Exception, match="cut off"):
         split(spark, path)
+
+
+def test_short_shards_share_tasks(tmp_path):
+    """A task for each shard made reading hundreds of thousands of them a matter of hours."""
+    path = written(tmp_path, **{f"s{k:04d}": range(k % 7) for k in range(3000)})
+    reader = shards._Reader({"path": path, "block": "4"})
+    parts = reader.partitions()
+    assert len(parts) < 10
+    batches = [b for p in parts for b in reader.read(p)]
+    assert len(batches) < 10
+    rows = [r for b in batches for r in b.to_pylist()]
+    assert rows == [{"shard": f"s{k:04d}", "block": at // 4, "at": at, "tokens": list(range(at, min(at + 4, k % 7)))} for k in range(3000) for at in range(0, k % 7, 4)]
+
+
+def test_short_shards_share_tasks_of_sparks_reader(spark, tmp_path):
+    path = written(tmp_path, **{f"s{k:04d}": range(k % 7) for k in range(1000)}, **{"x,y": [9]})
+    rows = shards.read_with_spark(spark, path, block=4)
+    assert rows.rdd.getNumPartitions() <= max(3, 4 * spark.sparkContext.defaultParallelism)
+    assert len(rows.inputFiles()) == 1001
+    assert sorted((r.shard, r.at, r.tokens) for r in rows.collect()) == sorted([*((f"s{k:04d}", at, list(range(at, min(at + 4, k % 7)))) for k in range(1000) for at in range(0, k % 7, 4)), ("x,y", 0, [9])])
