@@ -4,20 +4,26 @@ The model is three tables of counts, each a grouping of the one above: how often
 single token does. Discounts come from counts of counts. A probability takes what is left of its count and backs off to the shorter
 context with the rest. Different trigrams meet their contexts in joins, where a context has at most as many partners as there are token
 ids; tokens of text meet their trigram's loss: frequent ones, of which there can't be many, in a table that is sent to every task, all others by shuffle.
+
+A trigram, its two contexts and what it backs off to share their middle token. So all of this goes slice by slice of middle tokens, and what is
+shuffled for one slice is let go before the next.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftwork.functions.tokens import BOS, VOCABULARY, chunks
 from siftwork.operators.scoring import MICRO
+from siftwork.sources.storage import delete, scratch
 
 #: A trigram is frequent if it is one in so many targets.
 FREQUENT = 10_000
+#: Targets in a slice, about, and slices at most.
+SLICE, SLICES = 1 << 23, 16
 LOSSES = ("l_trigram", "l_bigram", "l_unigram")
 
 
@@ -35,7 +41,10 @@ def targets(tokens: DataFrame, length: int | None = None) -> DataFrame:
 
 @dataclass
 class Model:
-    """Tables (u, v, w, c), (u, v, c_uv, n_uv), (v, w, k), (v, k_v, n_v), (w, m); discounts of the three orders; sum and number of the m."""
+    """Tables (u, v, w, c), (u, v, c_uv, n_uv), (v, w, k), (v, k_v, n_v), (w, m); discounts of the three orders; sum and number of the m.
+
+    The first three are kept in slices (column part); clear() deletes them.
+    """
 
     trigrams: DataFrame
     contexts: DataFrame
@@ -45,6 +54,26 @@ class Model:
     discounts: tuple[float, float, float]
     total: int
     types: int
+    slices: int
+    paths: tuple[str, ...] = ()
+
+    def slice(self, k: int) -> Model:
+        trigrams, contexts, bigrams = (x.where(F.col("part") == k).drop("part") for x in (self.trigrams, self.contexts, self.bigrams))
+        return replace(self, trigrams=trigrams, contexts=contexts, bigrams=bigrams)
+
+    def clear(self) -> None:
+        """Nothing that is still to be computed may read the model."""
+        delete(self.singles.sparkSession, *self.paths)
+
+
+def _sliced(rows: DataFrame, slices: int, path: str) -> DataFrame:
+    """rows with `part`, the slice of their v; written."""
+    rows.withColumn("part", F.pmod(F.xxhash64("v"), F.lit(slices)).cast("int")).write.partitionBy("part").parquet(path)
+    return _read(rows, path)
+
+
+def _read(rows: DataFrame, path: str) -> DataFrame:
+    return rows.sparkSession.read.schema(rows.drop("part").withColumn("part", F.lit(0)).schema).parquet(path)
 
 
 def _discount(counts: DataFrame, n: str) -> float:
@@ -54,14 +83,31 @@ def _discount(counts: DataFrame, n: str) -> float:
 
 def fit(tokens: DataFrame) -> Model:
     """The model of tokens(doc_id, tokens), whose ids are below VOCABULARY."""
-    trigrams = targets(tokens).groupBy("u", "v", "w").agg(F.count("*").alias("c")).checkpoint()
-    contexts = trigrams.groupBy("u", "v").agg(F.sum("c").alias("c_uv"), F.count("*").alias("n_uv"))
-    bigrams = trigrams.groupBy("v", "w").agg(F.count("*").alias("k")).checkpoint()
+    spark, paths = tokens.sparkSession, [scratch(tokens.sparkSession, name) for name in ("targets", "trigrams", "bigrams")]
+    try:
+        n = tokens.agg(F.coalesce(F.sum(F.size(F.coalesce("tokens", F.array().cast("array<int>")))), F.lit(0))).first()[0]
+        slices = min(SLICES, max(1, -(-n // SLICE)))
+        every = _sliced(targets(tokens).select("u", "v", "w"), slices, paths[0])
+        for k in range(slices):
+            counted = every.where(F.col("part") == k).groupBy("u", "v", "w").agg(F.count("*").alias("c"))
+            counted.write.parquet(f"{paths[1]}/part={k}")
+            delete(spark)
+            trigrams = _read(counted, paths[1])
+            pairs = trigrams.where(F.col("part") == k).groupBy("v", "w").agg(F.count("*").alias("k"))
+            pairs.write.parquet(f"{paths[2]}/part={k}")
+            bigrams = _read(pairs, paths[2])
+            del counted, pairs
+            delete(spark)
+        delete(spark, paths[0])
+    except BaseException:
+        delete(spark, *paths)
+        raise
+    contexts = trigrams.groupBy("part", "u", "v").agg(F.sum("c").alias("c_uv"), F.count("*").alias("n_uv"))
     # As many rows as ids, at most.
     firsts = bigrams.groupBy("v").agg(F.sum("k").alias("k_v"), F.count("*").alias("n_v")).checkpoint()
     singles = bigrams.groupBy("w").agg(F.count("*").alias("m")).checkpoint()
     total, types = singles.agg(F.coalesce(F.sum("m"), F.lit(0)), F.count("*")).first()
-    return Model(trigrams, contexts, bigrams, firsts, singles, (_discount(trigrams, "c"), _discount(bigrams, "k"), _discount(singles, "m")), total, types)
+    return Model(trigrams, contexts, bigrams, firsts, singles, (_discount(trigrams, "c"), _discount(bigrams, "k"), _discount(singles, "m")), total, types, slices, tuple(paths[1:]))
 
 
 def _mixed(count: str, discount: float, more: str | Column, below: Column, total: str | Column) -> Column:
@@ -72,7 +118,8 @@ def _mixed(count: str, discount: float, more: str | Column, below: Column, total
 def losses(asked: DataFrame, model: Model) -> DataFrame:
     """asked(u, v, w, ...), one row a trigram, with LOSSES in millionths of a nat: of w after u and v, after v, and by itself."""
     three, two, one = model.discounts
-    met = asked.join(model.trigrams, ["u", "v", "w"], "left").join(model.contexts, ["u", "v"], "left").join(model.bigrams, ["v", "w"], "left")
+    trigrams, contexts, bigrams = model.trigrams.select("u", "v", "w", "c"), model.contexts.select("u", "v", "c_uv", "n_uv"), model.bigrams.select("v", "w", "k")
+    met = asked.join(trigrams, ["u", "v", "w"], "left").join(contexts, ["u", "v"], "left").join(bigrams, ["v", "w"], "left")
     met = met.join(F.broadcast(model.firsts), "v", "left").join(F.broadcast(model.singles), "w", "left")
     even = F.lit(1.0 / VOCABULARY)
     p1 = _mixed("m", one, F.lit(model.types), even, F.lit(model.total)) if model.total else even
@@ -84,16 +131,34 @@ def losses(asked: DataFrame, model: Model) -> DataFrame:
 
 def chunk_losses(tokens: DataFrame, model: Model, length: int, frequent: int = FREQUENT) -> DataFrame:
     """(doc_id, chunk, n_targets, *LOSSES) of the chunks of tokens(doc_id, tokens) that have targets."""
-    every = targets(tokens, length)
-    counted = every.groupBy("u", "v", "w").agg(F.count("*").alias("n")).checkpoint()
-    total = counted.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    known = losses(counted, model).checkpoint()
-    # At most `frequent` trigrams have such a share of all targets; none of the others is a hot key.
-    often = known.where(F.col("n") * frequent >= total).drop("n").withColumn("met", F.lit(True))
-    first = every.join(F.broadcast(often), ["u", "v", "w"], "left")
-    rest = first.where("met is null").select("doc_id", "chunk", "u", "v", "w").join(known.where(F.col("n") * frequent < total).drop("n"), ["u", "v", "w"])
-    both = first.where("met").select("doc_id", "chunk", *LOSSES).unionByName(rest.select("doc_id", "chunk", *LOSSES))
-    return both.groupBy("doc_id", "chunk").agg(F.count("*").alias("n_targets"), *(F.sum(c).alias(c) for c in LOSSES))
+    spark, names = tokens.sparkSession, ("targets", "known", "sums")
+    paths = [scratch(spark, name) for name in names]
+    try:
+        made = _sliced(targets(tokens, length), model.slices, paths[0])
+        total = made.count()
+        for k in range(model.slices):
+            every = made.where(F.col("part") == k).drop("part")
+            counted = every.groupBy("u", "v", "w").agg(F.count("*").alias("n"))
+            # Counted and met with the model by one shuffle.
+            found = losses(counted, model.slice(k))
+            found.write.parquet(f"{paths[1]}/{k}")
+            known = spark.read.schema(found.schema).parquet(f"{paths[1]}/{k}")
+            del counted, found
+            delete(spark)
+            # At most `frequent` trigrams have such a share of all targets; none of the others is a hot key.
+            often = known.where(F.col("n") * frequent >= total).drop("n").withColumn("met", F.lit(True))
+            first = every.join(F.broadcast(often), ["u", "v", "w"], "left")
+            rest = first.where("met is null").select("doc_id", "chunk", "u", "v", "w").join(known.where(F.col("n") * frequent < total).drop("n"), ["u", "v", "w"])
+            both = first.where("met").select("doc_id", "chunk", *LOSSES).unionByName(rest.select("doc_id", "chunk", *LOSSES))
+            sums = both.groupBy("doc_id", "chunk").agg(F.count("*").alias("n_targets"), *(F.sum(c).alias(c) for c in LOSSES))
+            sums.write.parquet(f"{paths[2]}/part={k}")
+            parts = _read(sums, paths[2])
+            del often, first, rest, both, sums, known
+            delete(spark, f"{paths[1]}/{k}")
+        # A chunk has a row for each slice.
+        return parts.groupBy("doc_id", "chunk").agg(*(F.sum(c).alias(c) for c in ("n_targets", *LOSSES))).checkpoint()
+    finally:
+        delete(spark, *paths)
 
 
 def document_losses(tokens: DataFrame, model: Model, length: int, *keep: str) -> DataFrame:

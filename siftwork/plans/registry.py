@@ -235,13 +235,21 @@ def ai_scores_max_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 def trigram_losses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Losses of chunks under a smoothed trigram model that is fitted to all documents."""
     tokens = packing.token_table(_documents(spark, sf_dir)).checkpoint()
-    return ngrams.chunk_losses(tokens, ngrams.fit(tokens), CHUNK)
+    model = ngrams.fit(tokens)
+    try:
+        return ngrams.chunk_losses(tokens, model, CHUNK)
+    finally:
+        model.clear()
 
 
 def trigram_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How much documents lose when that model loses its context."""
     tokens = packing.token_table(_documents(spark, sf_dir)).checkpoint()
-    return scoring.ai_score(ngrams.document_losses(tokens, ngrams.fit(tokens), CHUNK))
+    model = ngrams.fit(tokens)
+    try:
+        return scoring.ai_score(ngrams.document_losses(tokens, model, CHUNK))
+    finally:
+        model.clear()
 
 
 def _ranked(spark: SparkSession, sf_dir: str) -> DataFrame:

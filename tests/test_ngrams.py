@@ -100,3 +100,18 @@ def test_documents(spark):
     assert got[102].l_base < 0.2 * got[102].l_ref
     empty = spark.createDataFrame([], SCHEMA)
     assert ngrams.document_losses(empty, ngrams.fit(empty), 7).collect() == []
+
+
+def test_slices_hold_little_and_leave_nothing(spark, tmp_path, monkeypatch):
+    """Slice by slice gives the same; no step shuffles the targets of all slices, and its tables are deleted."""
+    known = docs(1)
+    frame = spark.createDataFrame(known, SCHEMA)
+    monkeypatch.setattr(ngrams, "SLICE", 40)
+    made = []
+    monkeypatch.setattr(ngrams, "scratch", lambda spark, name: made.append(tmp_path / f"{len(made)}{name}") or str(made[-1]))
+    model = ngrams.fit(frame)
+    assert 3 < model.slices <= ngrams.SLICES
+    assert model.trigrams.groupBy("v").agg({"part": "min"}).count() == model.trigrams.select("v", "part").distinct().count()
+    same(ngrams.chunk_losses(frame, model, 7, 10).collect(), plain([t for _, t in known], known, 7))
+    model.clear()
+    assert made and not any(p.exists() for p in made)
