@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftwork.functions.tokens import n_tokens
-from siftwork.operators.prefix import prefix_sum
+from siftwork.operators.prefix import carried, prefix_sum
 
 LEAST, MOST = 5, 30
 #: Entries of a probe's table: the most that fit the token budget are taken.
@@ -19,6 +19,8 @@ STEPS = 3
 #: Fixed text: the instruction that probes begin with.
 INSTRUCTION = "Please extract the value corresponding to the specified key from the following JSON object. Output only the value of the corresponding key and nothing else. The JSON data is as follows:\n"
 BREAK = "\x1e"
+#: Drawn sentences whose documents are sent to every task.
+BROADCAST = 100_000
 
 
 def sentences(text: Column) -> Column:
@@ -33,11 +35,25 @@ def pool(docs: DataFrame, least: int = LEAST, most: int = MOST) -> DataFrame:
     return every.withColumn("n_tok", n_tokens(F.col("sentence"))).where(F.col("n_tok").between(least, most))
 
 
-def numbered(sents: DataFrame) -> DataFrame:
-    """sents with sent_id, 0 to the number of rows less 1 in the order of doc_id and sent_no. Running totals are kept for documents only."""
-    counts = prefix_sum(sents.groupBy("doc_id").agg(F.count("*").alias("n")), "doc_id", "n", "upto").select("doc_id", (F.col("upto") - F.col("n")).alias("first"))
+def firsts(sents: DataFrame) -> DataFrame:
+    """(doc_id, n, first): how many rows of sents a document has, and the number of its first one, in the order of doc_id. Written; texts are read once for it."""
+    counts = sents.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).checkpoint()
+    return prefix_sum(counts, "doc_id", "n", "upto").select("doc_id", "n", (F.col("upto") - F.col("n")).alias("first")).checkpoint()
+
+
+def picked(sents: DataFrame, known: DataFrame, asked: DataFrame) -> DataFrame:
+    """(sent_id, sentence) of asked(sent_id): rows of sents are numbered from 0 in the order of doc_id and sent_no, known is firsts().
+
+    The documents of the numbers are found first, by carrying their starts along; only these documents' sentences are sorted.
+    """
+    starts = known.select(F.col("first").alias("at"), F.struct("doc_id", "first").alias("start"), F.lit(False).alias("asked"))
+    both = starts.unionByName(asked.select(F.col("sent_id").alias("at"), F.lit(None).cast(starts.schema["start"].dataType).alias("start"), F.lit(True).alias("asked")))
+    places = both.groupBy("at").agg(F.max("start").alias("start"), F.max("asked").alias("asked"))
+    hits = carried(places, "at", {"start": "of"}).where("asked").select("of.doc_id", (F.col("at") - F.col("of.first")).alias("r"), F.col("at").alias("sent_id")).checkpoint()
+    docs = hits.select("doc_id").distinct()
+    some = sents.join(F.broadcast(docs) if hits.count() <= BROADCAST else docs, "doc_id")
     rank = F.row_number().over(Window.partitionBy("doc_id").orderBy("sent_no")) - 1
-    return sents.withColumn("r", rank).join(counts, "doc_id").withColumn("sent_id", F.col("first") + F.col("r")).drop("r", "first")
+    return some.withColumn("r", rank.cast("long")).join(hits, ["doc_id", "r"]).select("sent_id", "sentence")
 
 
 def hashed(*parts: Column | str) -> Column:
@@ -87,15 +103,15 @@ def drawn(places: DataFrame, n: int, *by: str) -> DataFrame:
 def contexts(sents: DataFrame, n_probes: int, seed: str, size: int = SIZES[0]) -> DataFrame:
     """(probe_id, pos, key, sentence): `size` different sentences a probe, all of them if there are fewer, in drawn order, each under a key of 32 characters."""
     spark = sents.sparkSession
-    known = numbered(sents)
-    n = known.count()
+    known = firsts(sents)
+    n = known.agg(F.sum("n")).first()[0]
     if not n:
         return spark.createDataFrame([], "probe_id int, pos int, key string, sentence string")
     each = min(size, n)
     places = spark.range(n_probes * each).select(F.lit(f"{seed}:draw").alias("seed"), F.expr(f"cast(id div {each} as int)").alias("probe_id"), F.expr(f"id % {each}").alias("i"))
-    draw = drawn(places, n, "seed", "probe_id").select("probe_id", F.col("i").cast("int").alias("pos"), F.col("number").alias("sent_id"))
+    draw = drawn(places, n, "seed", "probe_id").select("probe_id", F.col("i").cast("int").alias("pos"), F.col("number").alias("sent_id")).checkpoint()
     key = hashed(seed, "key", F.col("probe_id").cast("string"), F.col("pos").cast("string"))
-    return draw.join(known.select("sent_id", "sentence"), "sent_id").select("probe_id", "pos", key.alias("key"), "sentence")
+    return draw.join(picked(sents, known, draw.select("sent_id")), "sent_id").select("probe_id", "pos", key.alias("key"), "sentence")
 
 
 def quoted(value: Column) -> Column:

@@ -291,3 +291,14 @@ def test_draws_without_replacement(spark, n, size):
     pool = spark.createDataFrame([(k, 0, f"sentence {k}", 5) for k in range(n)], "doc_id long, sent_no int, sentence string, n_tok long")
     got = probes.contexts(pool, 4, "s", size).groupBy("probe_id").agg(F.count_distinct("sentence").alias("n"), F.count("*").alias("rows"), F.max("pos").alias("last")).collect()
     assert [(r.n, r.rows, r["last"]) for r in got] == [(min(n, size), min(n, size), min(n, size) - 1)] * 4
+
+
+def test_drawn_sentences_are_the_numbered_ones_and_others_stay(spark):
+    """Numbers go by doc_id and sent_no; only documents that are drawn from are sorted."""
+    rows = [(d, 2 * i, f"d{d} s{i}", 5) for d in (9, 3, 4, 1) for i in range(d % 5)]
+    sents = spark.createDataFrame(rows, "doc_id long, sent_no int, sentence string, n_tok long")
+    want = [s for _, _, s, _ in sorted(rows)]
+    known = probes.firsts(sents)
+    for ids in ([0], list(range(len(want))), [1, 4, len(want) - 1]):
+        asked = spark.createDataFrame([(i,) for i in ids], "sent_id long")
+        assert sorted(probes.picked(sents, known, asked).collect()) == [(i, want[i]) for i in ids]
