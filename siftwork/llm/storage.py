@@ -39,6 +39,13 @@ class Scratch:
             delete(self.spark, path)
         del self.paths[:n]
 
+    def done(self, *names: str) -> None:
+        """Deletes the tables of these names, and lets go of what made them."""
+        for path in [p for p in self.paths if p.rpartition("/")[2].rpartition("-")[0] in names]:
+            delete(self.spark, path)
+            self.paths.remove(path)
+        self.tidy()
+
     def tidy(self) -> None:
         """Lets go of what steps that have ended still hold: Spark deletes shuffle files once the driver's garbage is collected."""
         gc.collect()

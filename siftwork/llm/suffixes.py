@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -35,6 +36,10 @@ HOT = 4096
 #: Parts in a shard whose transform is built by sorting.
 SHARD = 1024
 SPAN = "lo long, hi long"
+SPANS = "array<struct<lo: long, hi: long>>"
+#: Slices of anchors, and of cores, that are worked on one after another (a power of 2), and occurrences from which on there is more than one.
+SLICES = 2
+SLICED = 1 << 20
 #: Low bits of a sliding minimum's keys, which hold the position.
 PLACE = np.uint64((1 << 26) - 1)
 
@@ -124,26 +129,32 @@ def _bytes(column: pa.Array) -> list[bytes]:
     return [t or b"" for t in column.cast(pa.binary()).to_pylist()]
 
 
-def _occurrences(docs: DataFrame, length: int, gram: int) -> DataFrame:
-    """(anchor, context, doc_id, pos, again) of every anchor; again: the document has the same before."""
+def _occurrences(docs: DataFrame, length: int, gram: int, slices: int = 1, k: int = 0) -> DataFrame:
+    """(anchor, context, doc_id, pos, again) of every anchor of slice k; again: the document has the same before."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in portions(batches):
             for first, a in anchored(_bytes(b.column(1)), length, gram):
+                keep = a.hash & np.uint64(slices - 1) == k
+                a.at, a.hash, a.text = a.at[keep], a.hash[keep], a.text[keep]
                 content = a.content(*a.spans(length - gram, length))
                 yield pa.RecordBatch.from_arrays([pa.array(signed(a.hash)), pa.array(signed(content)), b.column(0).take(pa.array(first + a.text)), pa.array((a.at - a.start[a.text]).astype(np.int32)), pa.array(a.again(a.hash, content))], names=["anchor", "context", "doc_id", "pos", "again"])
 
     return _texts(docs.where("doc_id is not null")).mapInArrow(run, "anchor long, context long, doc_id long, pos int, again boolean")
 
 
-def _parts(docs: DataFrame, wanted: DataFrame, length: int, gram: int) -> DataFrame:
-    """(core, part, doc_id, lo, hi, again) of the parts, lo to hi in the text, of the wanted (anchor, doc_id, pos); `part` is a hash of content and place.
+def _places(wanted: DataFrame) -> tuple:
+    """Bitmaps, sent to every task, of the wanted (anchor, doc_id, pos) and of their documents."""
+    of, sc = F.col("anchor").bitwiseXOR(F.col("doc_id")).bitwiseXOR(F.col("pos").cast("long")), wanted.sparkSession.sparkContext
+    return sc.broadcast(sketch.bitmap(wanted, F.pmod(of, F.lit(sketch.BITS)))), sc.broadcast(sketch.bitmap(wanted, sketch.place("doc_id")))
+
+
+def _parts(docs: DataFrame, places: tuple, length: int, gram: int, slices: int = 1, slice_: int = 0) -> DataFrame:
+    """(core, part, doc_id, lo, hi, again) of the parts, lo to hi in the text, of the wanted places, with a core of the slice; `part` is a hash of content and place.
 
     Parts of a few other places may come too. They are as real as the wanted ones, and are judged in the same way.
     """
-    of = F.col("anchor").bitwiseXOR(F.col("doc_id")).bitwiseXOR(F.col("pos").cast("long"))
-    bits = docs.sparkSession.sparkContext.broadcast(sketch.bitmap(wanted, F.pmod(of, F.lit(sketch.BITS))))
-    by_doc = docs.sparkSession.sparkContext.broadcast(sketch.bitmap(wanted, sketch.place("doc_id")))
+    bits, by_doc = places
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in portions(batches):
@@ -161,6 +172,8 @@ def _parts(docs: DataFrame, wanted: DataFrame, length: int, gram: int) -> DataFr
                     some = np.nonzero(hi - lo >= length)[0]
                     # What all strings of the part have, whether or not the text's ends leave room for all of them.
                     core = mix(a.runs.hash((a.at - p)[some], (a.at - q + 1 + length)[some]) + np.uint64(k << 56 | 0x1E98DF25))
+                    own = core & np.uint64(slices - 1) == slice_
+                    core, some = core[own], some[own]
                     # A part has its core in it, and its hash its place about the anchor.
                     out.append((a.text[some], signed(core), signed(part[some]), (lo - begin)[some], (hi - begin)[some], a.again(part)[some]))
                 text, core, part, lo, hi, again = (np.concatenate(x) for x in zip(*out, strict=True))
@@ -253,52 +266,78 @@ def _by_string(bodies: DataFrame, length: int) -> DataFrame:
     return late.select("doc_id", F.col("start").alias("lo"), (F.col("start") + length).alias("hi"))
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """(doc_id, spans): the runs of bytes, in any order and overlapping, that strings starting earlier cover; documents without any are left out.
+def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, sliced: int = SLICED) -> DataFrame:
+    """(doc_id, spans): the maximal runs of bytes that strings starting earlier cover; documents without any are left out.
 
     Texts are UTF-8 bytes; a string is earlier in a document of smaller doc_id, or in the same one at a smaller start. Rows
-    without doc_id take no part; rows of one doc_id are one document.
+    without doc_id take no part; rows of one doc_id are one document. From `sliced` occurrences of shared anchors on, anchors and cores go slice by slice.
     """
     scratch = Scratch(docs.sparkSession)
     try:
-        rows = _occurrences(docs, length, gram)
         # Minima of whole numbers combine in hash tables; which place of one document comes first, its own task has said.
-        shared = scratch.keep(rows.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), "shared")
-        scratch.tidy()
-        live = scratch.keep(rows.join(shared, "anchor"), "live")
-        scratch.tidy()
-        # Written before they are joined: with the grouping out of the join's stage, Spark can split a context that very many documents have.
-        firsts = scratch.keep(live.groupBy("anchor", "context").agg(F.min("doc_id").alias("first")), "firsts")
-        scratch.tidy()
-        judged = scratch.keep(live.join(firsts, ["anchor", "context"]).select("anchor", "doc_id", "pos", ((F.col("doc_id") != F.col("first")) | F.col("again")).alias("late")), "judged")
+        shared = scratch.keep(_occurrences(docs, length, gram).groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1"), "shared")
         scratch.tidy()
+        slices = SLICES if (shared.agg(F.sum("n")).first()[0] or 0) >= sliced else 1
+        copies, wanted, equal, open_ = [], [], [], []
+        for k in range(slices):
+            own = shared.where(F.col("anchor").bitwiseAND(F.lit(slices - 1)) == k).select("anchor")
+            live = scratch.keep(_occurrences(docs, length, gram, slices, k).join(own, "anchor"), "live")
+            scratch.tidy()
+            # Written before they are joined: with the grouping out of the join's stage, Spark can split a context that very many documents have.
+            firsts = scratch.keep(live.groupBy("anchor", "context").agg(F.min("doc_id").alias("first")), "firsts")
+            scratch.tidy()
+            judged = scratch.keep(live.join(firsts, ["anchor", "context"]).select("anchor", "doc_id", "pos", ((F.col("doc_id") != F.col("first")) | F.col("again")).alias("late")), "judged")
+            scratch.done("live", "firsts")
+            copies.append(scratch.keep(judged.where("late").groupBy("doc_id").agg(F.collect_list("pos").alias("at")), "copies"))
+            different = judged.where("not late")
+            many = different.groupBy("anchor").agg(F.count("*").alias("contexts")).where("contexts > 1").select("anchor")
+            wanted.append(scratch.keep(different.join(many, "anchor").select("anchor", "doc_id", "pos"), "wanted"))
+            scratch.done("judged")
+        scratch.done("shared")
+        places = _places(_all(wanted))
+        scratch.done("wanted")
+        for k in range(slices):
+            parts = scratch.keep(_parts(docs, places, length, gram, slices, k), "parts")
+            settled = scratch.keep(parts.groupBy("core", "part").agg(F.min("doc_id").alias("first")), "settled")
+            scratch.tidy()
+            ruled = scratch.keep(parts.join(settled, ["core", "part"]).select("core", "doc_id", "lo", "hi", ((F.col("doc_id") != F.col("first")) | F.col("again")).alias("late")), "ruled")
+            scratch.done("parts", "settled")
+            equal.append(scratch.keep(ruled.where("late").groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")), "equal"))
+            apart = ruled.where("not late")
+            differ = apart.groupBy("core").agg(F.count("*").alias("parts")).where("parts > 1").select("core", (F.col("parts") > HOT).alias("hot"))
+            open_.append(scratch.keep(apart.join(differ, "core").select("core", "hot", "doc_id", "lo", "hi"), "open"))
+            scratch.done("ruled")
+        bodies = scratch.keep(_bodies(docs, _all(open_)), "bodies")
+        cool = _all(open_).where("not hot").count()
+        scratch.done("open")
+        late = _merged(bodies.where("not hot"), length, cool).unionByName(_by_string(bodies.where("hot"), length))
+        late = late.groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
         # Spans are cut to the text where they are used, as contexts were.
-        copies = judged.where("late").select("doc_id", F.greatest(F.lit(0), F.col("pos") - (length - gram)).cast("long").alias("lo"), (F.col("pos") + length).cast("long").alias("hi"))
-        copies = scratch.keep(copies.groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")), "copies")
-        different = judged.where("not late")
-        many = different.groupBy("anchor").agg(F.count("*").alias("contexts")).where("contexts > 1").select("anchor")
-        wanted = scratch.keep(different.join(many, "anchor").select("anchor", "doc_id", "pos"), "wanted")
-        scratch.tidy()
-        parts = scratch.keep(_parts(docs, wanted, length, gram), "parts")
-        settled = scratch.keep(parts.groupBy("core", "part").agg(F.min("doc_id").alias("first")), "settled")
-        ruled = scratch.keep(parts.join(settled, ["core", "part"]).select("core", "doc_id", "lo", "hi", ((F.col("doc_id") != F.col("first")) | F.col("again")).alias("late")), "ruled")
-        scratch.tidy()
-        equal = ruled.where("late").select("doc_id", F.col("lo").cast("long").alias("lo"), F.col("hi").cast("long").alias("hi"))
-        apart = ruled.where("not late")
-        differ = apart.groupBy("core").agg(F.count("*").alias("parts")).where("parts > 1").select("core", (F.col("parts") > HOT).alias("hot"))
-        open_ = scratch.keep(apart.join(differ, "core").select("core", "hot", "doc_id", "lo", "hi"), "open")
-        scratch.tidy()
-        bodies = scratch.keep(_bodies(docs, open_), "bodies")
-        scratch.tidy()
-        late = equal.unionByName(_merged(bodies.where("not hot"), length, open_.where("not hot").count())).unionByName(_by_string(bodies.where("hot"), length))
-        late = late.groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi")).alias("late"))
-        spans = copies.join(late, "doc_id", "full").select("doc_id", F.concat(F.coalesce("spans", F.array()), F.coalesce("late", F.array())).alias("spans"))
-        spans = spans.checkpoint()
+        around = F.transform("at", lambda p: F.struct(F.greatest(F.lit(0), p - (length - gram)).cast("long").alias("lo"), (p + length).cast("long").alias("hi")))
+        met = _all(copies).select("doc_id", around.alias("spans")).unionByName(_all(equal).select("doc_id", F.col("spans").cast(SPANS))).unionByName(late)
+        spans = _joined(met.groupBy("doc_id").agg(F.flatten(F.collect_list("spans")).alias("spans"))).checkpoint()
     finally:
         scratch.clear()
     return spans
 
 
+def _all(tables: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, tables)
+
+
+def _joined(met: DataFrame) -> DataFrame:
+    """(doc_id, spans) with spans that overlap as one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            text, lo, hi = unions(b.column(1), np.full(b.num_rows, 1 << 40))
+            edge = pa.array(np.searchsorted(text, np.arange(b.num_rows + 1)).astype(np.int32))
+            both = pa.StructArray.from_arrays([pa.array(lo), pa.array(hi)], names=["lo", "hi"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(edge, both)], names=["doc_id", "spans"])
+
+    return met.mapInArrow(run, f"doc_id long, spans {SPANS}")
+
+
 def union(spans: list[dict] | None, n: int) -> list[tuple[int, int]]:
     """Maximal runs of the spans within 0..n."""
     out: list[list[int]] = []

@@ -92,3 +92,22 @@ def test_long_texts(spark):
     docs = spark.createDataFrame(list(t.items()), "doc_id long, text string")
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffixes.digest(docs).collect()}
     assert got == suffixes.reference(t)
+
+
+def test_slices(spark, monkeypatch):
+    """Slice by slice the result is the same, and no table outlives the step that reads it."""
+    t, alive, real = texts(), {}, suffixes.Scratch.keep
+
+    def keep(self, rows, name):
+        alive.setdefault(name, set()).update(p.rpartition("/")[2].rpartition("-")[0] for p in self.paths)
+        return real(self, rows, name)
+
+    monkeypatch.setattr(suffixes.Scratch, "keep", keep)
+    docs = spark.createDataFrame(list(t.items()), "doc_id long, text string").repartition(3)
+    for sliced in (0, 1 << 20):
+        alive.clear()
+        spans = {r.doc_id: [(s["lo"], s["hi"]) for s in r.spans] for r in suffixes.repeated_spans(docs, sliced=sliced).collect()}
+        want = suffixes.reference(t)
+        found = {i: suffixes.union([{"lo": a, "hi": b} for a, b in s], want[i][0]) for i, s in spans.items()}
+        assert {i: (sum(b - a for a, b in s), len(s)) for i, s in found.items()} == {i: w[1:3] for i, w in want.items() if w[1]}
+        assert not alive["parts"] & {"shared", "live", "firsts", "judged", "wanted"} and not alive["bodies"] & {"parts", "settled", "ruled"}
