@@ -57,12 +57,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; what a stage returns is written as Parquet and read again for the next. These tables are deleted at the end."""
+    """All stages over documents; what a stage returns is written as Parquet and read again for the next, and deleted once that is written."""
     docs, paths = table(prepare(spark), sf_dir, "documents"), []
     try:
         for name, stage in STAGES[:-1]:
             paths.append(table_path(spark, name))
             stage(spark, docs, sf_dir).write.parquet(paths[-1])
+            for path in paths[:-1]:
+                delete(spark, path)
+            del paths[:-1]
             docs = spark.read.parquet(paths[-1])
         return STAGES[-1][1](spark, docs, sf_dir).checkpoint()
     finally:

@@ -1,4 +1,5 @@
 import random
+from pathlib import Path
 
 import corpus_pipeline
 import pytest
@@ -80,3 +81,19 @@ def test_edges(spark, folder, tmp_path):
             assert {0, 1, 5000, 5001} <= {r.doc_id for r in got}
         if name == "odd":
             assert {9000, 9001, None} <= {r.doc_id for r in got}
+
+
+def test_tables_between_stages_go(spark, monkeypatch, tmp_path):
+    """Of what stages have returned, only the table that the next one reads is left."""
+    paths, seen = [], []
+    monkeypatch.setattr(corpus_pipeline, "table_path", lambda s, name: paths.append(str(tmp_path / name)) or paths[-1])
+    monkeypatch.setattr(corpus_pipeline, "table", lambda s, d, name: s.range(3))
+
+    def stage(s, docs, sf_dir):
+        seen.append([Path(p).exists() for p in paths])
+        return docs
+
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [(f"s{k}", stage) for k in range(4)])
+    assert corpus_pipeline.run(spark, "").count() == 3
+    assert seen == [[False], [True, False], [False, True, False], [False, False, True]]
+    assert not any(Path(p).exists() for p in paths)
