@@ -40,6 +40,11 @@ def types(each: DataFrame) -> DataFrame:
     return each.groupBy("by", "word").agg(F.count("*").alias("n")).groupBy("by", type_of(F.col("word")).alias("type")).agg(F.sum("n").alias("n"))
 
 
+def counted(docs: DataFrame, by: str = "lang") -> DataFrame:
+    """The types() of docs(doc_id, text, by), from words without their places, written once: what is counted from them doesn't read the texts again."""
+    return types(docs.select(F.col(by).alias("by"), F.explode(words(F.col("text"))).alias("word"))).checkpoint()
+
+
 def _stops(kind: Column) -> Column:
     return kind.rlike("[^.]\\.$")
 
@@ -94,10 +99,9 @@ def _sent(rows: DataFrame) -> DataFrame:
 
 
 def fit(docs: DataFrame, by: str = "lang") -> Model:
-    each = pairs(docs, by)
-    counted = types(each).checkpoint()
-    short = abbreviations(counted).where("abbreviation").select(F.coalesce(F.col("by").cast("string"), F.lit("")).alias("by"), "base").checkpoint()
-    known = counted.groupBy(F.coalesce(F.col("by").cast("string"), F.lit("")).alias("by"), _base(F.col("type")).alias("follows")).agg(F.sum("n").alias("b")).checkpoint()
+    each, seen_types = pairs(docs, by), counted(docs, by)
+    short = abbreviations(seen_types).where("abbreviation").select(F.coalesce(F.col("by").cast("string"), F.lit("")).alias("by"), "base").checkpoint()
+    known = seen_types.groupBy(F.coalesce(F.col("by").cast("string"), F.lit("")).alias("by"), _base(F.col("type")).alias("follows")).agg(F.sum("n").alias("b")).checkpoint()
     every = known.groupBy("by").agg(F.sum("b").alias("words"))
     seen = _known(each, short).groupBy("by", "base", "follows", "weak").agg(F.count("*").alias("ab")).checkpoint()
     firsts = seen.where("weak").groupBy("by", "base").agg(F.sum("ab").alias("a"))

@@ -289,7 +289,7 @@ def sentence_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def abbreviation_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that are seen with a period, by language, and how much speaks for their being abbreviations."""
-    return sentences.abbreviations(sentences.types(sentences.pairs(_documents(spark, sf_dir)))).withColumnRenamed("by", "lang")
+    return sentences.abbreviations(sentences.counted(_documents(spark, sf_dir))).withColumnRenamed("by", "lang")
 
 
 def sentences_by_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -60,3 +60,9 @@ def test_nothing_is_lost(spark, corpus):
     for i, t, _ in [*corpus[:20], *((i + 5000, t, k) for i, t, k in odd)]:
         assert " ".join(got.get(i, [])) == " ".join((t or "").split(" ")).strip() or i == 5003
     assert sentences.split(docs.limit(0), sentences.fit(docs.limit(0))).collect() == []
+
+
+def test_abbreviations_read_texts_once(spark):
+    docs = spark.createDataFrame([(1, "a b. c.", "en"), (2, "e.g. x", "de")], "doc_id long, text string, lang string")
+    plan = sentences.abbreviations(sentences.counted(docs))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "regexp_extract_all" not in plan
