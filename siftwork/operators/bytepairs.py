@@ -1,8 +1,8 @@
 """Byte-pair ids of documents by a table of different pre-tokens, and text back from ids.
 
-Spark cuts texts into pre-tokens; each different one is merged once, whatever the number of its occurrences, and met again by its places. The most frequent ones, of
-which there can't be many, are sent to every task, so that none is a hot key. Text comes back from the bytes of ids in their order, which
-are decoded only when they are together: a character may span ids.
+Spark cuts texts into pre-tokens; of a batch of documents each different one is merged once, and a task remembers the ids of a bounded number of them. Nothing is
+shuffled, so that work and memory grow with the texts alone. Text comes back from the bytes of ids in their order, which are decoded only when
+they are together: a character may span ids.
 """
 
 from __future__ import annotations
@@ -13,12 +13,13 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: A pre-token is frequent if it is one in so many.
-FREQUENT = 10_000
+#: Pre-tokens whose ids a task remembers, and characters of one at most.
+KNOWN, LONGEST = 200_000, 64
 # Fixed value: the pattern that byte-level tokenizers cut texts by, in the syntax of Spark's regular expressions.
 PATTERN = r"(?U)'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -95,44 +96,66 @@ def pretokens(text: Column, added: list[str]) -> Column:
     return F.flatten(F.transform(between, lambda s, i: F.when(i > 0, F.concat(F.array(F.get(marks, i - 1)), cut(s))).otherwise(cut(s))))
 
 
-def encode(docs: DataFrame, path: str, end: int | None = None, frequent: int = FREQUENT) -> DataFrame:
+def _edges(lists: pa.ListArray) -> np.ndarray:
+    """Where each list begins among the elements of all, and their end; a null list is empty."""
+    return np.concatenate([[0], np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))]).astype(np.int64)
+
+
+def _id_column(docs: DataFrame) -> str:
+    return f"doc_id {docs.schema['doc_id'].dataType.simpleString()}"
+
+
+def encode(docs: DataFrame, path: str, end: int | None = None, known: int = KNOWN) -> DataFrame:
     """(doc_id, tokens, n_tokens) of docs(doc_id, text), whose doc_ids are unique: ids by the tokenizer file at `path`, and `end` behind them if given."""
     pairs = load(path)
-    each = docs.select("doc_id", F.posexplode_outer(pretokens(F.col("text").cast("string"), list(pairs.added))).alias("pos", "word"))
-    counted = each.where("word is not null").groupBy("word").agg(F.count("*").alias("n"))
-    known = docs.sparkSession.sparkContext.broadcast(pairs)
+    each = docs.select("doc_id", pretokens(F.col("text").cast("string"), list(pairs.added)).alias("words"))
+    sent = docs.sparkSession.sparkContext.broadcast(pairs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by_byte, p = letters(), known.value
+        by_byte, p, seen = letters(), sent.value, {}
+
+        def ids(word: str) -> list[int]:
+            if (found := seen.get(word)) is None:
+                found = [p.added[word]] if word in p.added else [p.ids[t] for t in merged("".join(by_byte[x] for x in word.encode()), p.ranks)]
+                if len(seen) >= known:
+                    seen.clear()
+                if len(word) <= LONGEST:
+                    seen[word] = found
+            return found
+
         for b in batches:
-            ids = [[p.added[w]] if w in p.added else [p.ids[t] for t in merged("".join(by_byte[x] for x in w.encode()), p.ranks)] for w in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ids, pa.list_(pa.int32()))], names=["word", "n", "ids"])
-
-    table = counted.mapInArrow(run, "word string, n long, ids array<int>").checkpoint()
-    total = table.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    # At most `frequent` pre-tokens have such a share of all; none of the others is a hot key.
-    often, seldom = (table.where(c).select("word", "ids") for c in (F.col("n") * frequent >= total, F.col("n") * frequent < total))
-    met = each.join(F.broadcast(often), "word", "left")
-    done = met.where("ids is not null or word is null").select("doc_id", "pos", "ids")
-    rest = met.where("ids is null and word is not null").select("doc_id", "pos", "word").join(seldom, "word").select("doc_id", "pos", "ids")
-    listed = F.array_sort(F.collect_list(F.when(F.col("ids").isNotNull(), F.struct("pos", "ids"))))
-    tokens = F.flatten(F.transform(listed, lambda x: x["ids"]))
-    tokens = tokens if end is None else F.concat(tokens, F.array(F.lit(end)))
-    return done.unionByName(rest).groupBy("doc_id").agg(tokens.alias("tokens")).select("doc_id", "tokens", F.size("tokens").cast("long").alias("n_tokens"))
-
-
-def vocabulary(spark: SparkSession, path: str) -> DataFrame:
-    """(token, hex): the bytes of every id of the tokenizer file at `path`."""
+            words = b.column(1).flatten().dictionary_encode()
+            coded = pa.array([ids(w) for w in words.dictionary.to_pylist()], pa.list_(pa.int32())).take(words.indices)
+            at = pa.array(_edges(coded)[_edges(b.column(1))].astype(np.int32))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(at, coded.flatten())], names=["doc_id", "tokens"])
+
+    made = each.mapInArrow(run, f"{_id_column(docs)}, tokens array<int>")
+    tokens = F.col("tokens") if end is None else F.concat("tokens", F.array(F.lit(end)))
+    return made.select("doc_id", tokens.alias("tokens")).select("doc_id", "tokens", F.size("tokens").cast("long").alias("n_tokens"))
+
+
+def vocabulary(path: str) -> dict[int, bytes]:
+    """The bytes of every id of the tokenizer file at `path`."""
     pairs, byte_of = load(path), {c: b for b, c in enumerate(letters())}
-    rows = [(i, bytes(byte_of[c] for c in t).hex()) for t, i in pairs.ids.items() if t not in pairs.added]
-    return spark.createDataFrame(rows + [(i, t.encode().hex()) for t, i in pairs.added.items()], "token int, hex string")
+    found = {i: bytes(byte_of[c] for c in t) for t, i in pairs.ids.items() if t not in pairs.added}
+    return found | {i: t.encode() for t, i in pairs.added.items()}
 
 
 def decode(rows: DataFrame, path: str) -> DataFrame:
     """(doc_id, text) of rows(doc_id, tokens), whose doc_ids are unique: the text that ids stand for, none for no ids; what isn't UTF-8 shows as U+FFFD, an id that isn't known as <id>."""
-    known = F.broadcast(vocabulary(rows.sparkSession, path))  # as many rows as ids
-    each = rows.select("doc_id", F.posexplode_outer("tokens").alias("pos", "token")).join(known, "token", "left")
-    piece = F.coalesce("hex", F.hex(F.concat(F.lit("<"), F.col("token").cast("string"), F.lit(">"))))
-    listed = F.array_sort(F.collect_list(F.when(F.col("token").isNotNull(), F.struct("pos", piece.alias("h")))))
-    whole = F.unhex(F.array_join(F.transform(listed, lambda x: x["h"]), ""))
-    return each.groupBy("doc_id").agg(F.make_valid_utf8(whole.cast("string")).alias("text"))
+    sent = rows.sparkSession.sparkContext.broadcast(vocabulary(path))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = sent.value
+        for b in batches:
+            ids = b.column(1).flatten().dictionary_encode()
+            piece = pa.array([known.get(i, b"<%d>" % i) for i in ids.dictionary.to_pylist()], pa.large_binary())
+            each = piece.take(ids.indices)
+            size = np.array([len(x) for x in piece.to_pylist()] + [0], dtype=np.int64)[ids.indices.fill_null(len(piece)).to_numpy(zero_copy_only=False)]
+            # The pieces lie one behind another: a text is those between its ends.
+            at = np.concatenate([[0], np.cumsum(size)])[_edges(b.column(1))]
+            whole = pa.LargeBinaryArray.from_buffers(pa.large_binary(), b.num_rows, [None, pa.py_buffer(at.astype(np.int64)), each.buffers()[2] or pa.py_buffer(b"")])
+            yield pa.RecordBatch.from_arrays([b.column(0), whole.cast(pa.binary())], names=["doc_id", "whole"])
+
+    coded = rows.select("doc_id", F.col("tokens").cast("array<long>").alias("tokens"))
+    return coded.mapInArrow(run, f"{_id_column(rows)}, whole binary").select("doc_id", F.make_valid_utf8(F.col("whole").cast("string")).alias("text"))

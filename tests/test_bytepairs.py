@@ -65,3 +65,11 @@ def test_query_like_the_library(spark):
         ids = whole(PATH).encode(r.text or "", add_special_tokens=False).ids
         want[r.doc_id] = (len(ids), hashlib.md5(" ".join(map(str, ids)).encode()).hexdigest())
     assert got == want
+
+
+def test_nothing_is_shuffled(spark, texts):
+    """Neither ids nor texts take an exchange, which would carry a row for each token."""
+    docs = spark.createDataFrame(texts[:30], "doc_id long, text string")
+    coded = bytepairs.encode(docs, PATH)
+    for frame in (coded, bytepairs.decode(coded, PATH)):
+        assert "Exchange" not in frame._jdf.queryExecution().executedPlan().toString()
