@@ -33,6 +33,10 @@ NAMES = [c.split()[0] for c in SCHEMA.split(", ")]
 END = "end.json"
 #: Tokens that are read at a time.
 STEP = 1 << 20
+#: A batch takes one in so many of the files that wait, where these are more than its files otherwise: batches grow with what is behind.
+SHARE = 4
+#: Tasks of a batch from which on short shards share one, and bytes of the files of such a task, about.
+TASKS, TASK_BYTES = 64, 16 << 20
 
 
 def number_of(path: str) -> int:
@@ -43,8 +47,21 @@ def number_of(path: str) -> int:
 
 
 class _Files(InputPartition):
-    def __init__(self, path: str):
-        self.path = path
+    def __init__(self, path: str, *more: str):
+        self.path, self.more = path, more
+
+
+def grouped(paths: list[str], tasks: int = TASKS, size: int = TASK_BYTES) -> list[list[str]]:
+    """The paths in order, a list a task: one each for `tasks` paths at most, and otherwise several, while they are small."""
+    most, out, held = -(-len(paths) // tasks), [], 0
+    for p in paths:
+        n = os.path.getsize(p) if most > 1 else 0
+        if not out or len(out[-1]) == most or held + n > size:
+            out.append([])
+            held = 0
+        out[-1].append(p)
+        held += n
+    return out
 
 
 def _row(boundary: int | None, kind: str, closed: bool, name: str, lo: int, tokens: np.ndarray) -> tuple:
@@ -125,7 +142,7 @@ class _Reader(DataSourceStreamReader):
         return [p for k in range(start, end) for p in json.loads(Path(self._entry(k)).read_text())]
 
     def latestOffset(self) -> dict:
-        """Behind the log's last entry; what has arrived since is written as a new one first, `most` files at a time."""
+        """Behind the log's last entry; what has arrived since is written as a new one first, `most` files at a time, or one in SHARE where that is more."""
         os.makedirs(self.log, exist_ok=True)
         known = sorted(int(Path(p).stem) for p in glob(f"{self.log}/*.json"))
         n = known[-1] + 1 if known else 0
@@ -135,7 +152,8 @@ class _Reader(DataSourceStreamReader):
         if self.part == "edges":
             # Tails that a shard without an end has passed on, and the end of it all.
             there += glob(f"{self.path}/{END}") + glob(f"{self.log}/passed/*/*.parquet")
-        new = sorted(p for p in there if p not in self.seen[1])[: self.most]
+        waiting = sorted(p for p in there if p not in self.seen[1])
+        new = waiting[: max(self.most, len(waiting) // SHARE)]
         if new:
             with open(f"{self.log}/.new", "w") as f:
                 json.dump(new, f)
@@ -145,23 +163,27 @@ class _Reader(DataSourceStreamReader):
         return {"entry": n}
 
     def partitions(self, start: dict, end: dict) -> list[InputPartition]:
-        return [_Files(p) for p in self._listed(start["entry"], end["entry"])]
+        return [_Files(*p) for p in grouped(self._listed(start["entry"], end["entry"]))]
 
     def commit(self, end: dict) -> None:
         """The log stays: a query may be started again from its beginning."""
 
     def read(self, part: _Files) -> Iterator[pa.RecordBatch]:
+        for path in (part.path, *part.more):
+            yield from self._rows(path)
+
+    def _rows(self, path: str) -> Iterator[pa.RecordBatch]:
         types = [pa.int64(), pa.string(), pa.bool_(), pa.string(), pa.binary()]
 
         def batch(rows: list[tuple]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=NAMES)
 
-        if part.path.endswith(END):
-            yield batch([_row(json.loads(Path(part.path).read_text())["shards"], "head", True, "", 0, np.zeros(0))])
-        elif part.path.endswith(".parquet"):
-            yield from pq.read_table(part.path, columns=NAMES).cast(pa.schema(list(zip(NAMES, types, strict=True)))).to_batches()
+        if path.endswith(END):
+            yield batch([_row(json.loads(Path(path).read_text())["shards"], "head", True, "", 0, np.zeros(0))])
+        elif path.endswith(".parquet"):
+            yield from pq.read_table(path, columns=NAMES).cast(pa.schema(list(zip(NAMES, types, strict=True)))).to_batches()
         else:
-            shard = _Shard(part.path)
+            shard = _Shard(path)
             with shard.file:
                 rows, size = [], 0
                 for r in shard.edges(self.eot) if self.part == "edges" else shard.documents(self.eot):

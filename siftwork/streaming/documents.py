@@ -23,6 +23,8 @@ from siftwork.session import prepare
 from siftwork.sources import arriving
 from siftwork.sources.shards import local
 
+#: Files of what a batch passes on, at most.
+PASSED = 8
 STATE = "kind string, closed boolean, pointer string, tokens binary"
 
 
@@ -64,7 +66,7 @@ def _source(spark: SparkSession, path: str, log: str, part: str, eot: int, most:
 def start(spark: SparkSession, path: str, out: str, state: str, eot: int = EOS, most: int | None = None) -> list[StreamingQuery]:
     """Two queries that append the documents of shards in the folder `path` to Parquet under `out`; `state` holds what a restart needs.
 
-    most: files of a batch. Rows of a batch go to a folder with its number, which a repeated batch writes anew.
+    most: files of a batch; where many wait it takes a share of them, so that batches are few. Rows of a batch go to a folder with its number, which a repeated batch writes anew.
     """
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     joined = _source(spark, path, f"{state}/log", "edges", eot, most).groupBy("boundary").transformWithStateInPandas(Boundary(), outputStructType=arriving.SCHEMA, outputMode="Append", timeMode="None")
@@ -76,7 +78,8 @@ def start(spark: SparkSession, path: str, out: str, state: str, eot: int = EOS,
         some = batch.where("boundary is not null")
         # The folder gets its name when it is whole, and keeps it if the batch is repeated.
         if not some.isEmpty() and not os.path.exists(f"{passed}/{number}"):
-            some.write.mode("overwrite").parquet(f"{passed}/.{number}")
+            # As few files as can be: each is one that the source takes in.
+            some.coalesce(PASSED).write.mode("overwrite").parquet(f"{passed}/.{number}")
             os.replace(f"{passed}/.{number}", f"{passed}/{number}")
         batch.unpersist()
 

@@ -92,3 +92,26 @@ def test_offsets_survive_a_restart(tmp_path):
     assert len({*first, *rest}) == 4 and two.latestOffset() == one.latestOffset() == {"entry": 2}
     with pytest.raises(ValueError, match="number"):
         arriving.number_of("/a/shard.bin")
+
+
+def test_batches_grow_with_what_waits(tmp_path):
+    """A long backlog takes few batches, and few tasks each; every file comes once."""
+    (tmp_path / "in").mkdir()
+    for k in range(1000):
+        put(tmp_path / "in", f"x_{k:04d}", [k + 3, 2])
+    reader, at, batches, tasks, rows = arriving._Reader({"path": str(tmp_path / "in"), "log": str(tmp_path / "log"), "most": "10", "part": "edges"}), {"entry": 0}, 0, [], []
+    while (to := reader.latestOffset()) != at:
+        parts = reader.partitions(at, to)
+        at, batches = to, batches + 1
+        tasks.append(len(parts))
+        rows += [r for p in parts for b in reader.read(p) for r in b.to_pylist()]
+    assert batches < 30 and max(tasks) <= arriving.TASKS
+    assert sorted(r["pointer"] for r in rows if r["kind"] == "head") == [f"x_{k:04d}:0-1" for k in range(1000)]
+
+
+def test_large_shards_have_tasks_of_their_own(tmp_path):
+    paths = [str(tmp_path / f"x_{k}") for k in range(9)]
+    for k, p in enumerate(paths):
+        open(p, "wb").write(b"0" * (10 if k % 3 else 100))
+    assert [len(x) for x in arriving.grouped(paths, 3, 100)] == [1, 2, 1, 2, 1, 2]
+    assert [len(x) for x in arriving.grouped(paths, 9, 100)] == [1] * 9
