@@ -294,13 +294,17 @@ def _across(inside: DataFrame, first: DataFrame, bodies: DataFrame, per_cent: in
     return _dealt(rows, bodies, per_cent, whole)
 
 
-def _groups(alike: DataFrame, weight: int) -> DataFrame:
+def _groups(alike: DataFrame, weight: int, scratch: Scratch) -> DataFrame:
     """(grp, id, n) of alike(shingle, id, n): documents under a shingle and those under shingles of these, or a shingle alone where that is less to meet."""
-    first = alike.groupBy("shingle").agg(F.min("id").alias("b"), F.max("id").alias("top"), F.count("*").alias("m"), F.sum("n").alias("w")).where("b <> top").select("shingle", "b", "m", "w").checkpoint()
-    meets = alike.join(first, "shingle").checkpoint()
+    first = alike.groupBy("shingle").agg(F.min("id").alias("b"), F.max("id").alias("top"), F.count("*").alias("m"), F.sum("n").alias("w")).where("b <> top").select("shingle", "b", "m", "w")
+    first = scratch.keep(first, "first")
+    meets = scratch.keep(alike.join(first.select("shingle", "b"), "shingle"), "meets")
+    scratch.done("alike")
     near = meets.groupBy("id").agg(F.min("b").alias("grp"))
     named = first.join(near, first["b"] == near["id"]).select("shingle", "grp", (F.col("m") * F.ceil(F.col("w") / F.lit(weight))).alias("cost")).checkpoint()
-    wide = meets.select("shingle", "id", "n").join(named, "shingle").select("grp", "id", "n").distinct().checkpoint()
+    scratch.done("first")
+    wide = scratch.keep(meets.select("shingle", "id", "n").join(named, "shingle").select("grp", "id", "n").distinct(), "wide")
+    scratch.tidy()
     cost = wide.groupBy("grp").agg((F.count("*") * F.ceil(F.sum("n") / F.lit(weight))).alias("wide"))
     dear = cost.join(named.groupBy("grp").agg(F.sum("cost").alias("apart")), "grp").where("wide > apart").select("grp").checkpoint()
     if not dear.limit(1).count():
@@ -336,12 +340,13 @@ def similar(docs: DataFrame, per_cent: int = PER_CENT, counted: int = COUNTED, v
         size = F.floor(F.log("n") / F.log(F.lit(101.0 / per_cent)))
         classed = F.explode(F.array(F.xxhash64("shingle", size), F.xxhash64("shingle", size + 1)))
         alike = scratch.keep(live.select(classed.alias("shingle"), "id", "n"), "alike")
-        scratch.tidy()
-        groups = _groups(alike, counted)
+        scratch.done("shared")
+        groups = _groups(alike, counted, scratch)
         points = named.select(F.col("doc_id").alias("id"), "n", F.col("counts").alias("body"))
         bound = linked(groups, points, per_cent, counted, False, scratch)
-        scratch.tidy()
+        scratch.done("meets", "wide")
         clusters = components(bound).select(F.col("component").alias("grp"), "id").join(classes.select("id", "n"), "id").checkpoint()
+        scratch.done("links")
         texts = _wanted(docs, clusters.select("id"))
         links = linked(clusters, texts, per_cent, verified, True, scratch).unionByName(member.where("doc_id <> id").select(F.col("doc_id").alias("a"), F.col("id").alias("b")))
         final = components(links).withColumnRenamed("id", "doc_id")

@@ -113,3 +113,17 @@ def test_long_texts(spark):
     rows = [(1, " ".join(long)), (2, " ".join(near)), (3, " ".join(long[: len(long) // 2])), (4, "w" * 1_000_000), (5, "w" * 1_000_000), (6, "w" * 999_999)]
     got = {r.doc_id: r.component_id for r in jaccard.similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {1: 1, 2: 1, 3: 3, 4: 4, 5: 4, 6: 6}
+
+
+def test_tables_go_once_they_are_read(spark, monkeypatch):
+    alive, real = {}, jaccard.Scratch.keep
+
+    def keep(self, rows, name):
+        alive.setdefault(name, set()).update(p.rpartition("/")[2].rpartition("-")[0] for p in self.paths)
+        return real(self, rows, name)
+
+    monkeypatch.setattr(jaccard.Scratch, "keep", keep)
+    texts = {1: "a b c d e f g h i j k l", 2: "a b c d e f g h i j k m", 3: "q r s t u v", 4: None}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.similar(docs, 70).collect()} == jaccard.reference(texts, 70)
+    assert "shared" not in alive["meets"] and not alive["wide"] & {"alike", "first"} and not alive["links"] & {"shared", "alike"}
