@@ -47,7 +47,11 @@ class Scratch:
         self.tidy()
 
     def tidy(self) -> None:
-        """Lets go of what steps that have ended still hold: Spark deletes shuffle files once the driver's garbage is collected."""
+        """Lets go of what steps that have ended still hold: Spark deletes shuffle files once the driver's garbage is collected.
+
+        On a cluster the scheduler holds on to the plan of its last job, so that is made a small one.
+        """
+        self.spark.range(1).count()
         gc.collect()
         self.spark.sparkContext._jvm.System.gc()
 

@@ -18,13 +18,13 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftwork.llm import sketch
 from siftwork.llm.batches import portions
 from siftwork.llm.bwt import Shard, repeats
-from siftwork.llm.hashing import Runs, chunks, mix, signed
+from siftwork.llm.hashing import M1, Runs, chunks, mix, signed
 from siftwork.llm.storage import Scratch
 
 LENGTH = 100
@@ -37,9 +37,8 @@ HOT = 4096
 SHARD = 1024
 SPAN = "lo long, hi long"
 SPANS = "array<struct<lo: long, hi: long>>"
-#: Slices of anchors, and of cores, that are worked on one after another (a power of 2), and occurrences from which on there is more than one.
+#: Slices of anchors, and of cores, that are worked on one after another where that is asked for (a power of 2).
 SLICES = 2
-SLICED = 1 << 20
 #: Low bits of a sliding minimum's keys, which hold the position.
 PLACE = np.uint64((1 << 26) - 1)
 
@@ -53,65 +52,77 @@ def _sliding(h: np.ndarray, n: int) -> np.ndarray:
     return np.minimum(h[: len(h) - (n - reach)], h[n - reach :]) if reach < n else h
 
 
-class Anchors:
-    """The anchors in a few texts: number of the text, position in it, hash, and the runs of bytes around."""
+class Places:
+    """Places in a few texts, in order: number of the text, position in the texts joined, and the runs of bytes around."""
 
-    def __init__(self, raw: list[bytes], length: int, gram: int):
-        data = np.frombuffer(b"".join(raw), dtype=np.uint8)
+    def __init__(self, raw: list[bytes]):
+        self.data = np.frombuffer(b"".join(raw), dtype=np.uint8)
         sizes = np.array([len(t) for t in raw], dtype=np.int64)
         self.end = np.cumsum(sizes)
         self.start = self.end - sizes
         self.at = self.text = np.zeros(0, dtype=np.int64)
-        if len(data) < length:
-            self.hash = np.zeros(0, dtype=np.uint64)
-            return
-        self.runs = Runs(data)
-        h = self.runs.every(gram)
-        # Of equal hashes in a string the first is its anchor.
-        low = _sliding((h & ~PLACE) | (np.arange(len(h), dtype=np.uint64) & PLACE), length - gram + 1)
-        inside = np.ones(len(low), dtype=bool)
-        for e in self.end[:-1].tolist():
-            inside[max(0, e - length + 1) : e] = False  # strings that cross the end of a text
-        first = np.nonzero(inside)[0]
-        low = low[inside]
-        if not len(low):
-            self.hash = h[:0]
-            return
-        change = np.concatenate([[True], low[1:] != low[:-1]])
-        near, low = first[change], low[change]
-        # The position counts from the string's start, which lies at most a string before.
-        at = near + ((low - near.astype(np.uint64)) & PLACE).astype(np.int64)
-        self.at = at[np.concatenate([[True], at[1:] != at[:-1]])]
-        self.hash = h[self.at]
-        self.text = np.searchsorted(self.end, self.at, side="right")
+        self.runs = Runs(self.data)
+
+    def put(self, text: np.ndarray, pos: np.ndarray) -> None:
+        """Takes the places at `pos` in the texts; those behind a text's end go."""
+        at = self.start[text] + pos
+        inside = at < self.end[text]
+        self.text, self.at = text[inside], at[inside]
 
     def spans(self, before: int, after: int) -> tuple[np.ndarray, np.ndarray]:
-        """Starts and ends of the bytes from `before` ahead of each anchor to `after` behind its start, within its text."""
+        """Starts and ends of the bytes from `before` ahead of each place to `after` behind it, within its text."""
         return np.maximum(self.start[self.text], self.at - before), np.minimum(self.end[self.text], self.at + after)
 
-    def again(self, *keys: np.ndarray) -> np.ndarray:
-        """Whether the same keys come earlier in the same text; anchors are in the order of their places."""
-        order = np.lexsort((*keys, self.text))
-        same = np.zeros(len(order), dtype=bool)
-        if len(order):
-            same[1:] = self.text[order][1:] == self.text[order][:-1]
-            for k in keys:
-                same[1:] &= k[order][1:] == k[order][:-1]
-        out = np.empty(len(order), dtype=bool)
-        out[order] = same
-        return out
-
-    def content(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-        """Hashes of runs together with how they lie about their anchors."""
-        return mix(self.runs.hash(lo, hi) + mix((self.at - lo + 4096).astype(np.uint64) * np.uint64(1 << 20) + (hi - self.at + 4096).astype(np.uint64)))
+    def content(self, lo: np.ndarray, hi: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Hashes of runs together with how they lie about their places."""
+        return mix(self.runs.hash(lo, hi) + mix((at - lo + 4096).astype(np.uint64) * np.uint64(1 << 20) + (hi - at + 4096).astype(np.uint64)))
+
+
+def anchors(raw: list[bytes], length: int, gram: int) -> tuple[Places, np.ndarray]:
+    """The anchors in a few texts, and their hashes."""
+    found = Places(raw)
+    if len(found.data) < length:
+        return found, np.zeros(0, dtype=np.uint64)
+    h = found.runs.every(gram)
+    # Of equal hashes in a string the first is its anchor.
+    low = _sliding((h & ~PLACE) | (np.arange(len(h), dtype=np.uint64) & PLACE), length - gram + 1)
+    inside = np.ones(len(low), dtype=bool)
+    for e in found.end[:-1].tolist():
+        inside[max(0, e - length + 1) : e] = False  # strings that cross the end of a text
+    first = np.nonzero(inside)[0]
+    low = low[inside]
+    if not len(low):
+        return found, h[:0]
+    change = np.concatenate([[True], low[1:] != low[:-1]])
+    near, low = first[change], low[change]
+    # The position counts from the string's start, which lies at most a string before.
+    at = near + ((low - near.astype(np.uint64)) & PLACE).astype(np.int64)
+    found.at = at[np.concatenate([[True], at[1:] != at[:-1]])]
+    found.text = np.searchsorted(found.end, found.at, side="right")
+    return found, h[found.at]
+
+
+def repeated(text: np.ndarray, doc: np.ndarray, *keys: np.ndarray) -> np.ndarray:
+    """Whether the same keys come earlier in the same text, or in another one here of a smaller document; rows are in the order of their places."""
+    order = np.lexsort((doc, *keys))
+    out = np.zeros(len(order), dtype=bool)
+    if len(order):
+        text, doc = text[order], doc[order]
+        same = np.ones(len(order), dtype=bool)
+        same[0] = False
+        for k in keys:
+            same[1:] &= k[order][1:] == k[order][:-1]
+        first = np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))
+        again = same.copy()
+        again[1:] &= text[1:] == text[:-1]
+        out[order] = again | (doc != doc[first])
+    return out
 
 
-def anchored(raw: list[bytes], length: int = LENGTH, gram: int = GRAM) -> Iterator[tuple[int, Anchors]]:
-    """Number of the first text, and the anchors, of some texts at a time."""
-    for lo, hi in chunks(raw):
-        found = Anchors(raw[lo:hi], length, gram)
-        if len(found.at):
-            yield lo, found
+def _dealt(key: np.ndarray, content: np.ndarray, doc: np.ndarray, at: np.ndarray, known: np.ndarray) -> pa.Array:
+    """Keys by which rows meet. Known repeats have nothing to meet, and go anywhere: so a key that very many documents have comes once from a few texts."""
+    spread = mix(content ^ mix(doc.astype(np.uint64) * M1 + at.astype(np.uint64)))
+    return pa.array(signed(np.where(known, spread, key)))
 
 
 def starts(length: int, gram: int, parts: int = PARTS) -> list[tuple[int, int]]:
@@ -130,66 +141,77 @@ def _bytes(column: pa.Array) -> list[bytes]:
 
 
 def _occurrences(docs: DataFrame, length: int, gram: int, slices: int = 1, k: int = 0) -> DataFrame:
-    """(anchor, context, doc_id, pos, again) of every anchor of slice k; again: the document has the same before."""
+    """(anchor, context, doc_id, pos, known) of every anchor of slice k; known: the texts at hand tell that it is a repeat."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in portions(batches):
-            for first, a in anchored(_bytes(b.column(1)), length, gram):
-                keep = a.hash & np.uint64(slices - 1) == k
-                a.at, a.hash, a.text = a.at[keep], a.hash[keep], a.text[keep]
-                content = a.content(*a.spans(length - gram, length))
-                yield pa.RecordBatch.from_arrays([pa.array(signed(a.hash)), pa.array(signed(content)), b.column(0).take(pa.array(first + a.text)), pa.array((a.at - a.start[a.text]).astype(np.int32)), pa.array(a.again(a.hash, content))], names=["anchor", "context", "doc_id", "pos", "again"])
+            raw, ids = _bytes(b.column(1)), b.column(0).to_numpy()
+            for first, last in chunks(raw):
+                a, anchor = anchors(raw[first:last], length, gram)
+                keep = anchor & np.uint64(slices - 1) == k
+                a.at, a.text, anchor = a.at[keep], a.text[keep], anchor[keep]
+                if not len(anchor):
+                    continue
+                context = a.content(*a.spans(length - gram, length), a.at)
+                doc, pos = ids[first + a.text], a.at - a.start[a.text]
+                known = repeated(a.text, doc, anchor, context)
+                yield pa.RecordBatch.from_arrays([_dealt(anchor, context, doc, pos, known), pa.array(signed(context)), pa.array(doc), pa.array(pos.astype(np.int32)), pa.array(known)], names=["anchor", "context", "doc_id", "pos", "known"])
+
+    return _texts(docs.where("doc_id is not null")).mapInArrow(run, "anchor long, context long, doc_id long, pos int, known boolean")
 
-    return _texts(docs.where("doc_id is not null")).mapInArrow(run, "anchor long, context long, doc_id long, pos int, again boolean")
 
+def _judged(rows: DataFrame, key: str, content: str) -> DataFrame:
+    """rows with `late`, whether they repeat what a smaller document has, and `many`, how many of the key are not late; rows that aren't late and alone with their key are left out.
 
-def _places(wanted: DataFrame) -> tuple:
-    """Bitmaps, sent to every task, of the wanted (anchor, doc_id, pos) and of their documents."""
-    of, sc = F.col("anchor").bitwiseXOR(F.col("doc_id")).bitwiseXOR(F.col("pos").cast("long")), wanted.sparkSession.sparkContext
-    return sc.broadcast(sketch.bitmap(wanted, F.pmod(of, F.lit(sketch.BITS)))), sc.broadcast(sketch.bitmap(wanted, sketch.place("doc_id")))
+    All is told from one shuffle and one order of the rows.
+    """
+    met = rows.repartition(key)
+    late = F.col("known") | (F.rank().over(Window.partitionBy(key, content).orderBy("doc_id")) > 1)
+    many = F.count(F.when(~F.col("late"), 1)).over(Window.partitionBy(key))
+    return met.withColumn("late", late).withColumn("many", many).where("late or many > 1")
 
 
-def _parts(docs: DataFrame, places: tuple, length: int, gram: int, slices: int = 1, slice_: int = 0) -> DataFrame:
-    """(core, part, doc_id, lo, hi, again) of the parts, lo to hi in the text, of the wanted places, with a core of the slice; `part` is a hash of content and place.
+def _with_lists(docs: DataFrame, lists: DataFrame) -> DataFrame:
+    """(doc_id, text, and the other column of lists) of the documents in lists."""
+    bits = docs.sparkSession.sparkContext.broadcast(sketch.bitmap(lists, sketch.place("doc_id")))
+    return _texts(docs.where("doc_id is not null")).where(_marked(bits)(sketch.place("doc_id"))).join(lists, "doc_id")
 
-    Parts of a few other places may come too. They are as real as the wanted ones, and are judged in the same way.
-    """
-    bits, by_doc = places
+
+def _parts(docs: DataFrame, wanted: DataFrame, length: int, gram: int, slices: int = 1, slice_: int = 0) -> DataFrame:
+    """(core, part, doc_id, lo, hi, known) of the parts, lo to hi in the text, about the places of wanted(doc_id, at), with a core of the slice; `part` is a hash of content and place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in portions(batches):
-            b = b.filter(pa.array(sketch.inside(by_doc.value, b.column(2).to_numpy())))
-            ids = b.column(0).to_numpy()
-            for first, a in anchored(_bytes(b.column(1)), length, gram):
-                keep = sketch.inside(bits.value, (signed(a.hash) ^ ids[first + a.text] ^ (a.at - a.start[a.text])) % sketch.BITS)
-                if not keep.any():
-                    continue
-                a.at, a.hash, a.text = a.at[keep], a.hash[keep], a.text[keep]
-                begin, out = a.start[a.text], []
+            raw, ids = _bytes(b.column(1)), b.column(0).to_numpy()
+            edge = np.cumsum([0, *b.column(2).value_lengths().to_pylist()])
+            of, pos = np.repeat(np.arange(b.num_rows), np.diff(edge)), b.column(2).flatten().to_numpy()
+            for first, last in chunks(raw):
+                a, own = Places(raw[first:last]), slice(edge[first], edge[last])
+                a.put(of[own] - first, pos[own].astype(np.int64))
+                out = []
                 for k, (p, q) in enumerate(starts(length, gram)):
                     lo, hi = a.spans(q - 1, length - p)
-                    part = a.content(lo, hi)
                     some = np.nonzero(hi - lo >= length)[0]
+                    lo, hi, at, text = lo[some], hi[some], a.at[some], a.text[some]
                     # What all strings of the part have, whether or not the text's ends leave room for all of them.
-                    core = mix(a.runs.hash((a.at - p)[some], (a.at - q + 1 + length)[some]) + np.uint64(k << 56 | 0x1E98DF25))
-                    own = core & np.uint64(slices - 1) == slice_
-                    core, some = core[own], some[own]
+                    core = mix(a.runs.hash(at - p, at - q + 1 + length) + np.uint64(k << 56 | 0x1E98DF25))
                     # A part has its core in it, and its hash its place about the anchor.
-                    out.append((a.text[some], signed(core), signed(part[some]), (lo - begin)[some], (hi - begin)[some], a.again(part)[some]))
-                text, core, part, lo, hi, again = (np.concatenate(x) for x in zip(*out, strict=True))
+                    out.append((text, core, a.content(lo, hi, at), lo - a.start[text], hi - a.start[text]))
+                text, core, part, lo, hi = (np.concatenate(x) for x in zip(*out, strict=True))
+                own = core & np.uint64(slices - 1) == slice_
+                text, core, part, lo, hi = text[own], core[own], part[own], lo[own], hi[own]
+                doc = ids[first + text]
+                known = repeated(text, doc, core, part)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(core), pa.array(part), b.column(0).take(pa.array(first + text)), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32)), pa.array(again)], names=["core", "part", "doc_id", "lo", "hi", "again"]
+                    [_dealt(core, part, doc, lo, known), pa.array(signed(part)), pa.array(doc), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32)), pa.array(known)], names=["core", "part", "doc_id", "lo", "hi", "known"]
                 )
 
-    texts = _texts(docs.where("doc_id is not null")).withColumn("place", sketch.place("doc_id"))
-    return texts.mapInArrow(run, "core long, part long, doc_id long, lo int, hi int, again boolean")
+    return _with_lists(docs, wanted).mapInArrow(run, "core long, part long, doc_id long, lo int, hi int, known boolean")
 
 
 def _bodies(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(core, hot, doc_id, lo, body) of wanted(core, hot, doc_id, lo, hi). A document's parts are fewer than its bytes."""
     lists = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("core", "hot", "lo", "hi")).alias("parts"))
-    bits = docs.sparkSession.sparkContext.broadcast(sketch.bitmap(wanted, sketch.place("doc_id")))
-    texts = _texts(docs.where("doc_id is not null")).where(_marked(bits)(sketch.place("doc_id"))).join(lists, "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in portions(batches):
@@ -200,7 +222,7 @@ def _bodies(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             body = [raw[i][x:y] for i, x, y in zip(of.tolist(), at.to_pylist(), end.to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([core, hot, b.column(0).take(pa.array(of)), at.cast(pa.int64()), pa.array(body, pa.binary())], names=["core", "hot", "doc_id", "lo", "body"])
 
-    return texts.select("doc_id", "text", "parts").mapInArrow(run, "core long, hot boolean, doc_id long, lo long, body binary")
+    return _with_lists(docs, lists).mapInArrow(run, "core long, hot boolean, doc_id long, lo long, body binary")
 
 
 def _covered(doc: np.ndarray, start: np.ndarray, length: int) -> pd.DataFrame:
@@ -266,55 +288,36 @@ def _by_string(bodies: DataFrame, length: int) -> DataFrame:
     return late.select("doc_id", F.col("start").alias("lo"), (F.col("start") + length).alias("hi"))
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, sliced: int = SLICED) -> DataFrame:
+def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, sliced: int | None = None) -> DataFrame:
     """(doc_id, spans): the maximal runs of bytes that strings starting earlier cover; documents without any are left out.
 
     Texts are UTF-8 bytes; a string is earlier in a document of smaller doc_id, or in the same one at a smaller start. Rows
-    without doc_id take no part; rows of one doc_id are one document. From `sliced` occurrences of shared anchors on, anchors and cores go slice by slice.
+    without doc_id take no part; rows of one doc_id are one document. From `sliced` bytes of text on, if that is given, anchors and cores go slice by
+    slice, which takes less disk at a time and more passes over the texts.
     """
     scratch = Scratch(docs.sparkSession)
     try:
-        # Minima of whole numbers combine in hash tables; which place of one document comes first, its own task has said.
-        shared = scratch.keep(_occurrences(docs, length, gram).groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1"), "shared")
-        scratch.tidy()
-        slices = SLICES if (shared.agg(F.sum("n")).first()[0] or 0) >= sliced else 1
-        copies, wanted, equal, open_ = [], [], [], []
+        slices = SLICES if sliced is not None and (_texts(docs).agg(F.sum(F.octet_length("text"))).first()[0] or 0) >= sliced else 1
+        places, equal, open_ = [], [], []
         for k in range(slices):
-            own = shared.where(F.col("anchor").bitwiseAND(F.lit(slices - 1)) == k).select("anchor")
-            live = scratch.keep(_occurrences(docs, length, gram, slices, k).join(own, "anchor"), "live")
-            scratch.tidy()
-            # Written before they are joined: with the grouping out of the join's stage, Spark can split a context that very many documents have.
-            firsts = scratch.keep(live.groupBy("anchor", "context").agg(F.min("doc_id").alias("first")), "firsts")
+            judged = _judged(_occurrences(docs, length, gram, slices, k), "anchor", "context")
+            places.append(scratch.keep(judged.groupBy("doc_id").agg(*(F.collect_list(F.when(of, F.col("pos"))).alias(name) for name, of in (("copies", F.col("late")), ("wanted", ~F.col("late"))))), "places"))
             scratch.tidy()
-            judged = scratch.keep(live.join(firsts, ["anchor", "context"]).select("anchor", "doc_id", "pos", ((F.col("doc_id") != F.col("first")) | F.col("again")).alias("late")), "judged")
-            scratch.done("live", "firsts")
-            copies.append(scratch.keep(judged.where("late").groupBy("doc_id").agg(F.collect_list("pos").alias("at")), "copies"))
-            different = judged.where("not late")
-            many = different.groupBy("anchor").agg(F.count("*").alias("contexts")).where("contexts > 1").select("anchor")
-            wanted.append(scratch.keep(different.join(many, "anchor").select("anchor", "doc_id", "pos"), "wanted"))
-            scratch.done("judged")
-        scratch.done("shared")
-        places = _places(_all(wanted))
-        scratch.done("wanted")
+        wanted = _all(places).where(F.size("wanted") > 0).groupBy("doc_id").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("wanted")))).alias("at"))
         for k in range(slices):
-            parts = scratch.keep(_parts(docs, places, length, gram, slices, k), "parts")
-            settled = scratch.keep(parts.groupBy("core", "part").agg(F.min("doc_id").alias("first")), "settled")
+            parts = scratch.keep(_judged(_parts(docs, wanted, length, gram, slices, k), "core", "part").select("core", "doc_id", "lo", "hi", "late", (F.col("many") > HOT).alias("hot")), "parts")
             scratch.tidy()
-            ruled = scratch.keep(parts.join(settled, ["core", "part"]).select("core", "doc_id", "lo", "hi", ((F.col("doc_id") != F.col("first")) | F.col("again")).alias("late")), "ruled")
-            scratch.done("parts", "settled")
-            equal.append(scratch.keep(ruled.where("late").groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")), "equal"))
-            apart = ruled.where("not late")
-            differ = apart.groupBy("core").agg(F.count("*").alias("parts")).where("parts > 1").select("core", (F.col("parts") > HOT).alias("hot"))
-            open_.append(scratch.keep(apart.join(differ, "core").select("core", "hot", "doc_id", "lo", "hi"), "open"))
-            scratch.done("ruled")
+            equal.append(scratch.keep(parts.where("late").groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")), "equal"))
+            open_.append(scratch.keep(parts.where("not late").select("core", "hot", "doc_id", "lo", "hi"), "open"))
+            scratch.done("parts")
         bodies = scratch.keep(_bodies(docs, _all(open_)), "bodies")
         cool = _all(open_).where("not hot").count()
         scratch.done("open")
         late = _merged(bodies.where("not hot"), length, cool).unionByName(_by_string(bodies.where("hot"), length))
         late = late.groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
         # Spans are cut to the text where they are used, as contexts were.
-        around = F.transform("at", lambda p: F.struct(F.greatest(F.lit(0), p - (length - gram)).cast("long").alias("lo"), (p + length).cast("long").alias("hi")))
-        met = _all(copies).select("doc_id", around.alias("spans")).unionByName(_all(equal).select("doc_id", F.col("spans").cast(SPANS))).unionByName(late)
+        around = F.transform("copies", lambda p: F.struct(F.greatest(F.lit(0), p - (length - gram)).cast("long").alias("lo"), (p + length).cast("long").alias("hi")))
+        met = _all(places).where(F.size("copies") > 0).select("doc_id", around.alias("spans")).unionByName(_all(equal).select("doc_id", F.col("spans").cast(SPANS))).unionByName(late)
         spans = _joined(met.groupBy("doc_id").agg(F.flatten(F.collect_list("spans")).alias("spans"))).checkpoint()
     finally:
         scratch.clear()

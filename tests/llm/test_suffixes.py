@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from siftwork.llm import suffixes
 from siftwork.llm.bwt import Shard, repeats
@@ -111,3 +112,30 @@ def test_slices(spark, monkeypatch):
         found = {i: suffixes.union([{"lo": a, "hi": b} for a, b in s], want[i][0]) for i, s in spans.items()}
         assert {i: (sum(b - a for a, b in s), len(s)) for i, s in found.items()} == {i: w[1:3] for i, w in want.items() if w[1]}
         assert not alive["parts"] & {"shared", "live", "firsts", "judged", "wanted"} and not alive["bodies"] & {"parts", "settled", "ruled"}
+
+
+def test_texts_are_read_three_times(spark):
+    """Anchors, parts and their bytes take one pass over the texts each."""
+    t, reads = texts(), spark.sparkContext.accumulator(0)
+
+    def read(text):
+        reads.add(1)
+        return text
+
+    docs = spark.createDataFrame(list(t.items()), "doc_id long, text string").repartition(3).withColumn("text", F.udf(read, "string").asNondeterministic()("text"))
+    want = {i: w[1:3] for i, w in suffixes.reference(t).items() if w[1]}
+    found = {r.doc_id: [(s["lo"], s["hi"]) for s in r.spans] for r in suffixes.repeated_spans(docs).collect()}
+    cut = {i: suffixes.union([{"lo": a, "hi": b} for a, b in s], len((t[i] or "").encode())) for i, s in found.items()}
+    assert {i: (sum(b - a for a, b in s), len(s)) for i, s in cut.items()} == want
+    assert 0 < reads.value <= 3 * len(t)
+
+
+def test_copies_do_not_meet_in_one_task(spark):
+    """Of copies in a batch one row stands for an anchor; the others have keys of their own. Copies in other batches meet that row."""
+    rng = random.Random(8)
+    long = "".join(rng.choice("abcdef ") for _ in range(500))
+    docs = spark.createDataFrame([(i, long) for i in range(50)], "doc_id long, text string").coalesce(1)
+    most = suffixes._occurrences(docs, suffixes.LENGTH, suffixes.GRAM).groupBy("anchor").count().agg(F.max("count")).first()[0]
+    assert most == 1
+    got = {r.doc_id: r.n_removed for r in suffixes.digest(docs.repartition(7)).collect()}
+    assert got == {i: 500 if i else 0 for i in range(50)}
