@@ -40,6 +40,12 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", "text", *DOCS)
 
 
+def _dealt_out(docs: DataFrame) -> DataFrame:
+    """A table in fewer pieces than there are cores goes to all of them."""
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    return docs if docs.rdd.getNumPartitions() >= cores else docs.repartition(cores)
+
+
 def doc_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _documents(spark, sf_dir).select("doc_id", n_tokens(F.col("text")).alias("n_text_tokens"), (n_tokens(F.col("text")) + 1).alias("n_tokens"))
 
@@ -234,8 +240,8 @@ def ai_scores_max_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def trigram_losses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Losses of chunks under a smoothed trigram model that is fitted to all documents."""
-    tokens = packing.token_table(_documents(spark, sf_dir)).checkpoint()
-    model = ngrams.fit(tokens)
+    tokens = packing.token_table(_dealt_out(_documents(spark, sf_dir)))
+    model = ngrams.fit(tokens, CHUNK)
     try:
         return ngrams.chunk_losses(tokens, model, CHUNK)
     finally:
@@ -244,8 +250,8 @@ def trigram_losses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def trigram_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How much documents lose when that model loses its context."""
-    tokens = packing.token_table(_documents(spark, sf_dir)).checkpoint()
-    model = ngrams.fit(tokens)
+    tokens = packing.token_table(_dealt_out(_documents(spark, sf_dir)))
+    model = ngrams.fit(tokens, CHUNK)
     try:
         return scoring.ai_score(ngrams.document_losses(tokens, model, CHUNK))
     finally:
