@@ -6,8 +6,14 @@ to 2 are reserved; 1 begins a chunk for the models, 2 ends a document.
 
 from __future__ import annotations
 
+import hashlib
+import re
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 BOS, EOS = 1, 2
 RESERVED = 3
@@ -29,6 +35,36 @@ def tokenize(text: Column, eos: int | None = EOS) -> Column:
     return ids if eos is None else F.concat(ids, F.array(F.lit(eos)))
 
 
+class _Words(dict):
+    """Ids of words; a word that isn't known is hashed."""
+
+    def __missing__(self, word: str) -> int:
+        h = hashlib.md5(word.encode()).digest()
+        self[word] = found = RESERVED + (h[0] << 8 | h[1]) % (VOCABULARY - RESERVED)
+        return found
+
+
+#: Words that a worker keeps, about; then it begins anew.
+KEPT = 1 << 18
+_KNOWN = _Words()
+
+
+def word_ids(texts: pa.Array) -> pa.Array:
+    find, ids, sizes = re.compile(WORD).findall, [], [0]
+    for text in texts.to_pylist():
+        ids.append(np.fromiter(map(_KNOWN.__getitem__, find(text or "")), dtype=np.int32))
+        ids.append(np.array([EOS], dtype=np.int32))
+        sizes.append(sizes[-1] + len(ids[-2]) + 1)
+        if len(_KNOWN) > KEPT:
+            _KNOWN.clear()
+    return pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(np.concatenate(ids) if ids else [], pa.int32()))
+
+
+def tokenize_by_words(text: Column | str) -> Column:
+    """tokenize(), in workers that hash a word once as long as they keep it: a word of a text is a look-up, where the expression hashes every one."""
+    return F.arrow_udf(word_ids, ArrayType(IntegerType()))(text)
+
+
 def n_tokens(text: Column) -> Column:
     """Number of tokens, without an end."""
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("long")

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwork.functions.tokens import BOS, EOS, SQL_TOKEN_TABLE, SQL_WORD, VOCABULARY, chunks, n_tokens, with_bos
+from siftwork.functions.tokens import BOS, EOS, SQL_TOKEN_TABLE, SQL_WORD, VOCABULARY, chunks, n_tokens, tokenize_by_words, with_bos
 from siftwork.operators import bytepairs, heads, ngrams, packing, probes, ranking, scoring, sentences, streams
 from siftwork.session import table
 from siftwork.sources import arriving, shards, tables
@@ -240,7 +240,7 @@ def ai_scores_max_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def trigram_losses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Losses of chunks under a smoothed trigram model that is fitted to all documents."""
-    tokens = packing.token_table(_dealt_out(_documents(spark, sf_dir)))
+    tokens = _dealt_out(_documents(spark, sf_dir)).select("doc_id", tokenize_by_words("text").alias("tokens"))
     model = ngrams.fit(tokens, CHUNK)
     try:
         return ngrams.chunk_losses(tokens, model, CHUNK)
@@ -250,7 +250,7 @@ def trigram_losses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def trigram_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How much documents lose when that model loses its context."""
-    tokens = packing.token_table(_dealt_out(_documents(spark, sf_dir)))
+    tokens = _dealt_out(_documents(spark, sf_dir)).select("doc_id", tokenize_by_words("text").alias("tokens"))
     model = ngrams.fit(tokens, CHUNK)
     try:
         return scoring.ai_score(ngrams.document_losses(tokens, model, CHUNK))
